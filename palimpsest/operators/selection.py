@@ -24,34 +24,39 @@ SHARD_ROWS = 20_000
 MAX_SHARDS = 8_192
 
 
-def select_ranks(df: DataFrame, key: str, value: str, targets: list[tuple[int, int]], low: int, high: int, bits: int = BITS) -> dict[tuple[int, int], int]:
+def select_ranks(df: DataFrame, key: str, value: str, targets: list[tuple[int, int]], low: int, high: int, bits: int = BITS, weight: str | None = None) -> dict[tuple[int, int], tuple[int, int, int]]:
     """The values at 1-based ``(key, rank)`` targets, among non-null bigint ``value`` between ``low`` and ``high``.
 
-    ``targets`` is bounded by the caller (2 * MAX_SHARDS here) and is broadcast with its prefixes each round.
+    To each target the value, and the ranks below it and up to it.
+
+    With ``weight``, a non-negative bigint column, ranks count weight instead of rows: the value at which the sum of weights in
+    the order of ``value`` reaches the rank. A rank has to lie between 1 and the key's rows or weight. ``targets`` is bounded by the caller (2 * MAX_SHARDS here) and is broadcast with its prefixes each round.
     """
     if not targets:
         return {}
     spark = df.sparkSession
+    total = F.sum(weight) if weight else F.count(F.lit(1))
+    columns = [key, *([weight] if weight else [])]
     width = 64 if (low < 0) != (high < 0) else (low ^ high).bit_length()
     shift = math.ceil(width / bits) * bits
     shift = min(shift, 63)
-    state = {t: (low >> shift if shift < 63 else (-1 if low < 0 else 0), 0) for t in targets}
+    state = {t: (low >> shift, 0, 0) for t in targets}
     if shift == 63:  # both signs, or the full width: the sign is the first prefix
-        counts = {(r[0], r[1]): r[2] for r in df.groupBy(key, F.shiftright(F.col(value), 63)).count().join(F.broadcast(_frame(spark, [(k,) for k in {k for k, _ in targets}], f"{key} bigint")), key).collect()}
-        state = {(k, n): ((-1, 0) if n <= counts.get((k, -1), 0) else (0, counts.get((k, -1), 0))) for k, n in targets}
+        counts = {(r[0], r[1]): r[2] for r in df.groupBy(key, F.shiftright(F.col(value), 63)).agg(total).join(F.broadcast(_frame(spark, [(k,) for k in {k for k, _ in targets}], f"{key} bigint")), key).collect()}
+        state = {(k, n): ((-1, 0, 0) if n <= counts.get((k, -1), 0) else (0, counts.get((k, -1), 0), 0)) for k, n in targets}
     while shift > 0:
         step = min(bits, shift)
         shift -= step
-        prefixes = F.broadcast(_frame(spark, sorted({(k, p) for (k, _), (p, _) in state.items()}), f"{key} bigint, _prefix bigint"))
+        prefixes = F.broadcast(_frame(spark, sorted({(k, p) for (k, _), (p, _, _) in state.items()}), f"{key} bigint, _prefix bigint"))
         cell = F.shiftright(F.col(value), shift)
-        counts = df.select(key, cell.alias("_cell"), F.shiftright(cell, step).alias("_prefix")).join(prefixes, [key, "_prefix"]).groupBy(key, "_prefix", "_cell").count()
-        up_to = F.sum("count").over(W.partitionBy(key, "_prefix").orderBy("_cell"))  # at most 2**bits rows of counts each
-        bins = counts.withColumn("_to", up_to).withColumn("_from", F.col("_to") - F.col("count"))
-        open_ = F.broadcast(_frame(spark, [(k, n, p, n - below) for (k, n), (p, below) in state.items()], f"{key} bigint, _rank bigint, _prefix bigint, _left bigint"))
+        counts = df.select(*columns, cell.alias("_cell"), F.shiftright(cell, step).alias("_prefix")).join(prefixes, [key, "_prefix"]).groupBy(key, "_prefix", "_cell").agg(total.alias("_n"))
+        up_to = F.sum("_n").over(W.partitionBy(key, "_prefix").orderBy("_cell"))  # at most 2**bits rows of counts each
+        bins = counts.withColumn("_to", up_to).withColumn("_from", F.col("_to") - F.col("_n"))
+        open_ = F.broadcast(_frame(spark, [(k, n, p, n - below) for (k, n), (p, below, _) in state.items()], f"{key} bigint, _rank bigint, _prefix bigint, _left bigint"))
         hit = bins.join(open_, [key, "_prefix"]).filter((F.col("_from") < F.col("_left")) & (F.col("_left") <= F.col("_to")))
-        found = {(r[0], r[1]): (r[2], r[3]) for r in hit.select(key, "_rank", "_cell", "_from").collect()}  # one row per target
-        state = {t: (found[t][0], below + found[t][1]) for t, (_, below) in state.items()}
-    return {t: v for t, (v, _) in state.items()}
+        found = {(r[0], r[1]): r[2:] for r in hit.select(key, "_rank", "_cell", "_from", "_to").collect()}  # one row per target
+        state = {t: (found[t][0], below + found[t][1], below + found[t][2]) for t, (_, below, _) in state.items()}
+    return state
 
 
 def _frame(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -79,7 +84,7 @@ def key_quantiles(df: DataFrame, key: str, value: str, probabilities: list[float
     rank = lambda n, p: max(1, math.ceil(round(p * n, 9)))
     targets = {(r[0], p): (r[0], rank(r["n"], p)) for r in hot for p in probabilities}
     values = select_ranks(rows, key, value, sorted(set(targets.values())), min((r["lo"] for r in hot), default=0), max((r["hi"] for r in hot), default=0))
-    large = _frame(spark, [(k, float(p), values[t]) for (k, p), t in targets.items()], f"{key} bigint, probability double, {value} bigint")
+    large = _frame(spark, [(k, float(p), values[t][0]) for (k, p), t in targets.items()], f"{key} bigint, probability double, {value} bigint")
     hot_keys = F.broadcast(_frame(spark, [(r[0],) for r in hot], f"{key} bigint"))
     few = rows.join(hot_keys, key, "left_anti")
     group = W.partitionBy(key)
@@ -107,7 +112,7 @@ def split_hot_keys(df: DataFrame, key: str, value: str, shard_rows: int = SHARD_
         shift += 1
     cells = []  # of each hot key the cells of equal width with the cuts below and in them: a bounded table, found by equality
     for r in hot:
-        own = sorted(v for (k, _), v in cuts.items() if k == r[0])
+        own = sorted(v for (k, _), (v, _, _) in cuts.items() if k == r[0])
         at = 0
         for cell in range(r["lo"] >> shift, (r["hi"] >> shift) + 1):
             begin = at
