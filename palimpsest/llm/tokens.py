@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,57 @@ LIST_WORDS = 4_096
 CACHE_WORDS = 500_000
 
 
+#: The pattern of byte-level vocabularies; a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes that byte-level vocabularies write as themselves; the others are written as the letters from U+0100 on, in order.
+PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def _letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte."""
+    others = [b for b in range(256) if b not in set(PLAIN_BYTES)]
+    return {b: chr(b) for b in PLAIN_BYTES} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _cutter(path: str):
+    """A function that cuts a text into pre-tokens as the tokenizer does.
+
+    A quick pattern does it where a text holds only characters assigned since Unicode 3.2, whose classes all libraries agree
+    on; other texts are cut by the tokenizer's own code.
+    """
+    import regex
+
+    loaded = _tokenizer(path)
+    pattern, own = regex.compile(PATTERN), loaded.pre_tokenizer.pre_tokenize_str
+    settled = [chr(c) for c in range(0x10000) if unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cn", "Cs")]
+    unsure = re.compile("[^" + "".join(f"{a}-{b}" for a, b in _ranges(settled)) + "]")
+    usual = json.loads(loaded.pre_tokenizer.__getstate__()) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+    def cut(text: str) -> list[str]:
+        if usual and (text.isascii() or not unsure.search(text)):
+            return pattern.findall(text)
+        return [text[a:b] for _, (a, b) in own(text)]
+
+    return cut
+
+
+def _ranges(chars: list[str]) -> list[tuple[str, str]]:
+    """The runs of neighbouring characters, escaped for a character class."""
+    runs: list[list[int]] = []
+    for c in map(ord, chars):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return [(f"\\U{a:08x}", f"\\U{b:08x}") for a, b in runs]
+
+
+def _encoder(path: str):
+    """A function that encodes a pre-token."""
+    model, letters = _tokenizer(path).model, _letters()
+    return lambda word: [t.id for t in model.tokenize("".join(map(letters.__getitem__, word.encode())))]
+
+
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -42,7 +95,7 @@ def _cut(path: str):
     """Blocks of texts: a row for each text with the slots of its pre-tokens, and rows with the block's pre-tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _tokenizer(path).pre_tokenizer
+        cut = _cutter(path)
         block = TaskContext.get().partitionId() << 32
         slots: dict[str, int] = {}
         docs: list = []
@@ -61,9 +114,9 @@ def _cut(path: str):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                pieces = cutter.pre_tokenize_str(text) if text else []
+                pieces = cut(text)
                 docs.append(doc_id)
-                codes.append(np.fromiter((slots.setdefault(p, len(slots)) for p, _ in pieces), np.int32, len(pieces)).tobytes())
+                codes.append(np.fromiter((slots.setdefault(p, len(slots)) for p in pieces), np.int32, len(pieces)).tobytes())
                 chars += len(text)
                 if chars >= BLOCK_CHARS or len(docs) >= BLOCK_TEXTS:
                     yield flush()
@@ -76,9 +129,9 @@ def _cut(path: str):
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _tokenizer(path).model
+        encode = _encoder(path)
         for batch in batches:
-            ids = [[t.id for t in model.tokenize(w)] for w in batch.column(0).to_pylist()]
+            ids = [encode(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return run
@@ -140,8 +193,7 @@ def encode_corpus(documents: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
 
 def token_bytes(spark: SparkSession, tokenizer: str = BYTE_BPE) -> DataFrame:
     """(id, hex) of every token; as large as the vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    letters = {c: b for b, c in _letters().items()}
     vocabulary = json.load(open(tokenizer))["model"]["vocab"]
     rows = [(i, bytes(letters[c] for c in token).hex()) for token, i in vocabulary.items() if all(c in letters for c in token)]
     return spark.createDataFrame(rows, "id int, hex string")
@@ -161,18 +213,17 @@ def token_sizes(documents: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = _tokenizer(tokenizer)
-        cutter, model, sizes = loaded.pre_tokenizer, loaded.model, {}
+        cut, encode, sizes = _cutter(tokenizer), _encoder(tokenizer), {}
 
         def size(word: str) -> int:
             if word not in sizes:
                 if len(sizes) >= CACHE_WORDS:
                     sizes.clear()
-                sizes[word] = len(model.tokenize(word))
+                sizes[word] = len(encode(word))
             return sizes[word]
 
         for batch in batches:
-            counts = [sum(size(w) for w, _ in cutter.pre_tokenize_str(t.as_py())) if t.as_py() else 0 for t in batch.column(len(names))]
+            counts = [sum(map(size, cut(t.as_py() or ""))) for t in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts, pa.int64())], names=[*names, "n_tokens"])
 
     return documents.select(*names, "text").mapInArrow(run, f"{schema}, n_tokens bigint")
