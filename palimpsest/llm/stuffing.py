@@ -37,17 +37,21 @@ LINK = re.compile(
     rf"|\[\s*{_ADDRESS}[^\[\]\n]*\]|{_ADDRESS}",
     re.I,
 )
+#: A line without any of these holds no link.
+HINTS = ("[", "{", "<", "://", "www", "WWW", "Www", "isit ", "ISIT ")
 REFERENCE = re.compile(r"<ref[^<>]*/>|<ref[^<>]*>(?:(?!</?ref)[\s\S])*</ref>|\{\{cite[^{}]*\}\}", re.I)
 FILED = re.compile(r"\s*\[\[(?:category|file|image)\b", re.I)
 PERSON = re.compile(r"\[\[(?:user|user talk|special|wp):", re.I)
 LABEL = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 WORD = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
-LAYOUT = re.compile(r"^\s*(?:\{\||\|\}|\|-|\||!|\{\{|\}\}|=+[^=])|\|\||\t.*\d|:\s[^)]*,\s\d{3,4}\)|^\s*(?:Page|Day|Opening|Expected|Edits before)\s?:", re.I)
+LAYOUT = re.compile(r"^\s*(?:\{\||\|\}|\|-|\||!|\{\{|\}\}|=+[^=])|\|\||\t[^\t\d]*\d|:\s[^):]{0,200},\s\d{3,4}\)|^\s*(?:Page|Day|Opening|Expected|Edits before)\s?:", re.I)
 PRICE = re.compile(r"[€$£¥₽]\s?\d|\d\s?[€$£¥₽]|\bSKU\b", re.I)
 TAG = re.compile(r"#[^\W_#][^\s#,;|]*|#-[^\s#]*")
 DOTTED = re.compile(r"(?<![^\W_])(?:[^\W_]\.[ .]{0,3}){2,}[^\W_](?![^\W_])\.?")
-BREAK = re.compile(r"\s*(?:\.?[,;|/•·★✔►»:\n،、]|\.(?=\s|$)|<br>|\s[-–]\s)\s*")
-END = re.compile(r"[.!?。؟]+(?![.,;])[\"”»')\]]*(?=\s|$|[^\x00-\x7f]|\[|<)")
+BREAK = re.compile(r"[,;|/•·★✔►»:\n،、]|\.(?=\s|$)|<br>|\s[-–]\s")
+SEPARATOR = re.compile(r"[,;|/•·★✔►»:、]|\s[-–]\s|<br>")
+CAPITAL = re.compile(r"\b(?:[A-ZÀ-ÖØ-ÞА-ЯЁ])")
+END = re.compile(r"(?<![.!?。؟])[.!?。؟]++(?![.,;])[\"”»')\]]*(?=\s|$|[^\x00-\x7f]|\[|<)")
 #: Stands for letters lost in a broken encoding.
 LOST = "ꙮ"
 CJK = re.compile(rf"[぀-ヿ㐀-鿿{LOST}]")
@@ -70,12 +74,15 @@ STRONG = {"the", "a", "an", "was", "were", "is", "are", "of"}
 
 def _plain(line: str) -> str:
     """Broken encodings mended as far as they can be, compatibility forms and look-alikes as ordinary letters, and words written with a dot after every letter as words."""
-    if 8 * len(BROKEN.findall(line)) > len(line):
-        line = b"".join(_byte(c) for c in line).decode("utf-8", "replace").replace("\ufffd", LOST)
-    line = unicodedata.normalize("NFKC", line)
-    other = set(CYRILLIC.findall(line))
-    if other and all(ord(c) in ALIKE for c in other):
-        line = line.translate(ALIKE)
+    if not line.isascii():
+        if 8 * len(BROKEN.findall(line)) > len(line):
+            line = b"".join(_byte(c) for c in line).decode("utf-8", "replace").replace("\ufffd", LOST)
+        line = unicodedata.normalize("NFKC", line)
+        other = set(CYRILLIC.findall(line))
+        if other and all(ord(c) in ALIKE for c in other):
+            line = line.translate(ALIKE)
+    if "." not in line:
+        return line
     return DOTTED.sub(lambda m: re.sub(r"\.(?! )|\. ?$", "", m.group().replace(". .", " ").replace(".", "")), line)
 
 
@@ -93,15 +100,16 @@ def _word(word: str) -> str:
 
 def _is_sentence(text: str) -> bool:
     words = [w.lower() for w in WORD.findall(text)]
+    n = len(words)
     grammar = sum(w in GRAMMAR for w in words)
+    if grammar >= 2 and grammar >= 0.1 * n:
+        return True
+    if grammar >= 1 and (n >= 6 and len(set(words)) >= 0.8 * n or n >= 4 and not STRONG.isdisjoint(words)):
+        return True
     other = sum(w[0].isalpha() and w[0] > "ɏ" for w in words)  # scripts whose grammar isn't listed: some words up to a full stop
-    phrases = sum(1 for p in BREAK.split(text) if WORD.search(p))
-    return (
-        (grammar >= 2 and grammar >= 0.1 * len(words))
-        or (other >= 3 and 2 * other >= sum(w[0].isalpha() for w in words) and len(words) >= 2 * phrases and "., " not in text and (len(words) >= 5 or LONG_NUMBER.search(text)))
-        or (grammar >= 1 and len(words) >= 6 and len(set(words)) >= 0.8 * len(words))
-        or (len(words) >= 4 and not STRONG.isdisjoint(words))
-    )
+    if other < 3 or 2 * other < sum(w[0].isalpha() for w in words) or "., " in text or (n < 5 and not LONG_NUMBER.search(text)):
+        return False
+    return n >= 2 * sum(1 for p in BREAK.split(text) if WORD.search(p))
 
 
 def _in_sentences(text: str) -> int:
@@ -121,8 +129,8 @@ def _scale(n: int) -> int:
 
 
 def _shape(kind: str, line: str, words: int, links: int) -> str:
-    capitals = sum(w[0].isupper() for w in WORD.findall(line))
-    return f"{kind} words={_scale(words)} capitals={_scale(capitals)} separators={_scale(len(BREAK.findall(line)))} links={_scale(links)}"
+    capitals = len(CAPITAL.findall(line))
+    return f"{kind} words={_scale(words)} capitals={_scale(capitals)} separators={_scale(len(SEPARATOR.findall(line)))} links={_scale(links)}"
 
 
 def page_shapes(text: str | None) -> dict[str, list[int]]:
@@ -145,47 +153,48 @@ def page_shapes(text: str | None) -> dict[str, list[int]]:
         if not line.strip():
             continue
         size = len(given) + 1
-        links = LINK.findall(line)
-        rest = LINK.sub(" ", line) if links else line
+        rest, links = LINK.subn(" ", line) if any(x in line for x in HINTS) else (line, 0)
         words = WORD.findall(rest)
         if links and not FILED.match(line) and not PERSON.search(line):
-            if len(links) == 1 and links[0].startswith("[["):
+            if links == 1 and LINK.search(line).group().startswith("[["):
                 if not words:  # a heading of the items below it, or an entry of a list of links
                     below = raw[i + 1].lstrip() if i + 1 < len(raw) else ""
                     add("topic" if below.startswith("**") else "entry", line, size, 0, 1)
                     continue
-            elif len(words) <= len(links):
-                add("links", line, size, len(words), len(links))
+            elif len(words) <= links:
+                add("links", line, size, len(words), links)
                 continue
         if PERSON.search(line):  # signed, or naming an account
-            add("sentence", line, size, len(words), len(links))
+            add("sentence", line, size, len(words), links)
             continue
-        rest = LINK.sub(" ", LABEL.sub(r"\1", line)) if links else line
-        words = WORD.findall(rest)
+        if links and "[[" in line:
+            rest = LINK.sub(" ", LABEL.sub(r"\1", line))
+            words = WORD.findall(rest)
         if LAYOUT.search(line) or FILED.match(line):
             add("layout", line, size, len(words))
             continue
-        fields = line.count("|") + line.count(";")
-        if fields >= 2 and PRICE.search(line):
+        if line.count("|") + line.count(";") >= 2 and PRICE.search(line):
             add("products", line, size, len(words))
             continue
-        if sum(map(len, TAG.findall(line))) > 0.7 * len(line.strip()):
+        if "#" in line and sum(map(len, TAG.findall(line))) > 0.7 * len(line.strip()):
             add("tags", line, size, len(words))
             continue
         if "|" in line and len(NUMBER.findall(line)) >= max(3, 0.15 * len(words)):
             add("layout", line, size, len(words))
             continue
-        low = [_word(w) for w in words]
+        low = [w.lower() if w.isalpha() else _word(w) for w in words]
         grammar = sum(w in GRAMMAR for w in low)
         if 2 * _in_sentences(rest) > len(line.strip()) or (grammar >= 2 and grammar >= 0.12 * len(low)) or (links and grammar and len(low) >= 4):
-            add("sentence", line, size, len(words), len(links))
+            add("sentence", line, size, len(words), links)
             continue
-        open_.append((line, size, len(words), len(links)))
+        open_.append((line, size, len(words), links))
         heard.update(low)
     entries = [k for k in shapes if k.startswith("entry")]
     if sum(shapes[k][0] for k in entries) >= 3:  # else a heading or two
         for k in entries:
-            shapes["links" + k[5:]] = shapes.pop(k)
+            lines, chars = shapes.pop(k)
+            entry = shapes.setdefault("links" + k.removeprefix("entry"), [0, 0])
+            entry[:] = entry[0] + lines, entry[1] + chars
     total = sum(heard.values())
     kind = "phrase"
     beside = by_kind["links"] + by_kind["products"] + by_kind["tags"]
