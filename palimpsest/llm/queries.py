@@ -13,7 +13,7 @@ TOP = 20
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     top = topn.top_per_group(table(spark, d, "burst_days"), "date", "page_id", "editors", TOP)
-    return top.select(F.date_format("date", "yyyy-MM-dd").alias("day"), "page_id")
+    return top.select(F.col("date").cast("string").alias("day"), "page_id")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -138,4 +138,4 @@ def titles_not_known(revisions: DataFrame, titles: DataFrame, forecasts: DataFra
     """``forecasts`` (page_id, page_title, date) shown under another title than the one known before their day: (page_id, day)."""
     events = forecasts.select(F.col("page_id").alias("entity"), F.col("date").alias("at"), "page_title").filter(F.col("page_title").isNotNull())
     found = known_as_of(title_versions(revisions, titles), events)
-    return found.filter(~title_key(F.col("page_title")).eqNullSafe(title_key(F.col("known_value")))).select(F.col("entity").alias("page_id"), F.date_format("at", "yyyy-MM-dd").alias("day")).distinct()
+    return found.filter(~title_key(F.col("page_title")).eqNullSafe(title_key(F.col("known_value")))).select(F.col("entity").alias("page_id"), F.col("at").cast("string").alias("day")).distinct()

@@ -26,14 +26,18 @@ def rolling_totals(daily: DataFrame, asked: DataFrame, measures: list[str], peri
     if span[0] is None:
         return asked.withColumns({f"{m}_{n}d": zero for m in measures for n in periods})
     first, last = F.date_sub(F.lit(span[0]), longest), F.lit(span[1])
-    usable = F.col("entity").isNotNull() & F.col("day").isNotNull()
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the calendar multiplies what a small partition holds
+    pairs = asked.select("entity", "day").dropna().distinct().repartition(parts, "entity")
     days = F.explode(F.sequence(first, last)).alias("day")
-    grid = asked.filter(usable).select("entity").distinct().select("entity", days, *[zero.alias(m) for m in measures], F.lit(True).alias("_grid"))
-    active = daily.filter(F.col("day").between(first, last)).select("entity", "day", *measures, F.lit(False).alias("_grid"))
-    dense = active.unionByName(grid).groupBy("entity", "day").agg(*[F.sum(F.coalesce(F.col(m), zero)).cast("bigint").alias(m) for m in measures], F.max("_grid").alias("_grid")).filter("_grid")
+    grid = pairs.select("entity").distinct().select("entity", days, *[zero.alias(m) for m in measures], F.lit(True).alias("_grid"), F.lit(False).alias("_asked"))
+    wanted = pairs.select("entity", "day", *[zero.alias(m) for m in measures], F.lit(False).alias("_grid"), F.lit(True).alias("_asked"))
+    active = daily.filter(F.col("day").between(first, last) & F.col("entity").isNotNull()).select("entity", "day", *measures, F.lit(False).alias("_grid"), F.lit(False).alias("_asked"))
+    rows = active.repartition(parts, "entity").unionByName(grid).unionByName(wanted)
+    sums = [F.sum(F.coalesce(F.col(m), zero)).cast("bigint").alias(m) for m in measures]
+    dense = rows.groupBy("entity", "day").agg(*sums, F.max("_grid").alias("_grid"), F.max("_asked").alias("_asked")).filter("_grid")
     of = W.partitionBy("entity").orderBy("day")
     totals = {f"{m}_{n}d": F.coalesce(F.sum(m).over(of.rowsBetween(-n, -1)), zero) for m in measures for n in periods}
-    rolled = dense.select("entity", "day", *[c.alias(k) for k, c in totals.items()])
+    rolled = dense.select("entity", "day", "_asked", *[c.alias(k) for k, c in totals.items()]).filter("_asked").drop("_asked")
     joined = asked.join(rolled, ["entity", "day"], "left")
     return joined.select(*[F.col(f"`{c}`") for c in names], *[F.coalesce(F.col(k), zero).alias(k) for k in totals])
 
@@ -52,4 +56,4 @@ def wrong_totals(revisions: DataFrame, bursts: DataFrame, published: DataFrame)
         right = right & F.col(c).eqNullSafe(F.col(f"given_{c}"))
     for n in PERIODS:
         right = right & F.coalesce(F.abs(F.col(f"avg_edits_{n}d") - F.col(f"edits_{n}d") / F.lit(float(n))) <= 0.001, F.lit(False))
-    return found.filter(~right).select(F.col("entity").alias("page_id"), F.date_format("day", "yyyy-MM-dd").alias("day")).distinct()
+    return found.filter(~right).select(F.col("entity").alias("page_id"), F.col("day").cast("string").alias("day")).distinct()
