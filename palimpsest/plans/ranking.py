@@ -211,31 +211,31 @@ def j18_rank_agreement(spark, d):
     return both.groupBy("date").agg(F.round(F.corr("a", "b"), 6).alias("correlation"), F.count_if((F.col("a") <= 20) & (F.col("b") <= 20)).alias("top_20"), F.count_if(F.col("editors") != F.col("editors_excl_mass")).alias("differs"))
 
 
-def p10_hash_sample(spark, d):
+def pred_p10_hash_sample(spark, d):
     return Q.log(spark, d).filter(P.sampled(F.col("page_id"), 0.2)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def p11_day_sample(spark, d):
+def pred_p11_day_sample(spark, d):
     days = Q.log(spark, d).select("page_id", F.to_date("ts").alias("day")).distinct()
     return days.filter(P.day_draw(7) < int(0.1 * P.SPAN))
 
 
-def p8_day_grid(spark, d):
+def pred_p8_day_grid(spark, d):
     return P.day_grid(spark, date(2026, 6, 1), date(2026, 8, 19), 7)
 
 
-def p9_time_splits(spark, d):
+def pred_p9_time_splits(spark, d):
     spans = P.time_splits(date(2026, 8, 19), 20, 15, 20, 5)
     name = F.coalesce(*[F.when(s.holds("date"), n) for n, s in spans.items()])
     return table(spark, d, "burst_days").distinct().withColumn("split", name).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def p18_burst_labels(spark, d):
+def pred_p18_burst_labels(spark, d):
     own = burst_days(spark, d).select("page_id", F.col("day").alias("date"), F.lit(True).alias("hit"))
     return table(spark, d, "forecast_days").join(own, ["page_id", "date"], "left").select("page_id", "date", F.col("hit").isNotNull().alias("y"))
 
 
-def p19_group_masks(spark, d):
+def pred_p19_group_masks(spark, d):
     rows = scored(spark, d)
     groups = F.array_compact(F.array(F.lit("all"), F.when(F.col("score") >= 5, "top"), F.when(F.col("y"), "burst")))
     return rows.select(F.explode(groups).alias("group"), "score").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("editors"))
@@ -296,7 +296,7 @@ def k1_page_order(spark, d):
     return Q.log(spark, d).select("page_id", "revision_id", F.row_number().over(W.partitionBy("page_id").orderBy("ts", "revision_id")).cast("bigint").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (j2_link_targets, j3_redirects, j4_link_graph, j4_link_graph_kept, u2_distinct_edges, a16_degrees, j5_neighbor_bursts, j12_bursting_neighbors, l1_panel, l2_evaluation_days, l4_baselines, w16_lexicographic_rank, w14_ranked, a19_day_metrics, a20_macro_average, a21_paired_difference, a22_precision_table, a35_lift, k2_global_top, k8_top_co_burst_days, k9_newest_day, w18_top_and_others, w17_first_kept, j1_selected_first_kept, j10_day_bounds, j11_neighbor_day_bounds, j13_merged_history, j14_titles_then, j15_changes_by_day, j16_titles_at_revisions, j17_source_differences, j18_rank_agreement, p10_hash_sample, p11_day_sample, p8_day_grid, p9_time_splits, p18_burst_labels, p19_group_masks, a14_strata, a15_stratified_sample, u1_union_all, u4_common_pages, u5_missing_pages, j22_still_to_fetch, s14_missing_days, s18_prune, a28_percentiles, a29_value_counts, k1_page_order)}
+QUERIES = {f.__name__: f for f in (j2_link_targets, j3_redirects, j4_link_graph, j4_link_graph_kept, u2_distinct_edges, a16_degrees, j5_neighbor_bursts, j12_bursting_neighbors, l1_panel, l2_evaluation_days, l4_baselines, w16_lexicographic_rank, w14_ranked, a19_day_metrics, a20_macro_average, a21_paired_difference, a22_precision_table, a35_lift, k2_global_top, k8_top_co_burst_days, k9_newest_day, w18_top_and_others, w17_first_kept, j1_selected_first_kept, j10_day_bounds, j11_neighbor_day_bounds, j13_merged_history, j14_titles_then, j15_changes_by_day, j16_titles_at_revisions, j17_source_differences, j18_rank_agreement, pred_p10_hash_sample, pred_p11_day_sample, pred_p8_day_grid, pred_p9_time_splits, pred_p18_burst_labels, pred_p19_group_masks, a14_strata, a15_stratified_sample, u1_union_all, u4_common_pages, u5_missing_pages, j22_still_to_fetch, s14_missing_days, s18_prune, a28_percentiles, a29_value_counts, k1_page_order)}
 
 H32 = "((({0}) % 4294967296) * 2654435761::HUGEINT % 4294967296)"
 _WIKI = """WITH c AS (SELECT c_custkey AS page_id, c_name AS title, c_custkey % 7 = 0 AS red FROM customer), rd AS (SELECT page_id, 'Customer#' || lpad(CAST(page_id + CASE WHEN page_id % 5 = 0 THEN 0 ELSE page_id % 11 + 3 END AS VARCHAR), 9, '0') AS title FROM c WHERE red),
@@ -350,12 +350,12 @@ SQL = {
     "j17_source_differences": "WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at) AS i FROM revisions) WHERE i = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at DESC) AS i FROM revisions) WHERE i = 1 AND revision_id % 50 <> 0) SELECT count(*) FILTER (a.revision_id = b.revision_id) AS shared, count(*) FILTER (b.revision_id IS NULL) AS only_a, count(*) FILTER (a.revision_id IS NULL) AS only_b, "
     + ", ".join(f"count(*) FILTER (a.revision_id = b.revision_id AND a.{c} IS DISTINCT FROM b.{c}) AS {c}_differs" for c in ("user_text", "byte_size", "sha1", "change_tag")) + " FROM a FULL JOIN b ON a.revision_id = b.revision_id",
     "j18_rank_agreement": "WITH x AS (SELECT date, editors, editors_excl_mass, row_number() OVER (PARTITION BY date ORDER BY editors DESC, page_id) AS a, row_number() OVER (PARTITION BY date ORDER BY editors_excl_mass DESC, page_id) AS b FROM (SELECT DISTINCT * FROM burst_days) WHERE editors IS NOT NULL AND editors_excl_mass IS NOT NULL) SELECT date, round(corr(a, b), 6) AS correlation, count(*) FILTER (a <= 20 AND b <= 20) AS top_20, count(*) FILTER (editors <> editors_excl_mass) AS differs FROM x GROUP BY date",
-    "p10_hash_sample": Q.LOG + f" SELECT page_id, count(*) AS n FROM o WHERE {H32.format('page_id')} < {int(0.2 * P.SPAN)} GROUP BY page_id",
-    "p11_day_sample": Q.LOG + f" SELECT DISTINCT page_id, day FROM o WHERE {_DRAW.format(7)} < {int(0.1 * P.SPAN)}",
-    "p8_day_grid": "SELECT CAST(unnest(generate_series(DATE '2026-06-01', DATE '2026-08-19', INTERVAL 7 DAY)) AS DATE) AS day",
-    "p9_time_splits": "SELECT CASE WHEN date BETWEEN DATE '2026-07-31' AND DATE '2026-08-19' THEN 'test' WHEN date BETWEEN DATE '2026-07-11' AND DATE '2026-07-25' THEN 'validation' WHEN date BETWEEN DATE '2026-06-16' AND DATE '2026-07-05' THEN 'train' END AS split, count(*) AS n FROM (SELECT DISTINCT * FROM burst_days) GROUP BY ALL",
-    "p18_burst_labels": "SELECT page_id, date, (page_id, date) IN (SELECT (page_id, date) FROM burst_days WHERE is_burst) AS y FROM forecast_days",
-    "p19_group_masks": _SCORED + ", g AS (SELECT 'all' AS grp, score FROM sc UNION ALL SELECT 'top', score FROM sc WHERE score >= 5 UNION ALL SELECT 'burst', score FROM sc WHERE y) SELECT grp AS \"group\", count(*) AS n, CAST(sum(score) AS BIGINT) AS editors FROM g GROUP BY grp",
+    "pred_p10_hash_sample": Q.LOG + f" SELECT page_id, count(*) AS n FROM o WHERE {H32.format('page_id')} < {int(0.2 * P.SPAN)} GROUP BY page_id",
+    "pred_p11_day_sample": Q.LOG + f" SELECT DISTINCT page_id, day FROM o WHERE {_DRAW.format(7)} < {int(0.1 * P.SPAN)}",
+    "pred_p8_day_grid": "SELECT CAST(unnest(generate_series(DATE '2026-06-01', DATE '2026-08-19', INTERVAL 7 DAY)) AS DATE) AS day",
+    "pred_p9_time_splits": "SELECT CASE WHEN date BETWEEN DATE '2026-07-31' AND DATE '2026-08-19' THEN 'test' WHEN date BETWEEN DATE '2026-07-11' AND DATE '2026-07-25' THEN 'validation' WHEN date BETWEEN DATE '2026-06-16' AND DATE '2026-07-05' THEN 'train' END AS split, count(*) AS n FROM (SELECT DISTINCT * FROM burst_days) GROUP BY ALL",
+    "pred_p18_burst_labels": "SELECT page_id, date, (page_id, date) IN (SELECT (page_id, date) FROM burst_days WHERE is_burst) AS y FROM forecast_days",
+    "pred_p19_group_masks": _SCORED + ", g AS (SELECT 'all' AS grp, score FROM sc UNION ALL SELECT 'top', score FROM sc WHERE score >= 5 UNION ALL SELECT 'burst', score FROM sc WHERE y) SELECT grp AS \"group\", count(*) AS n, CAST(sum(score) AS BIGINT) AS editors FROM g GROUP BY grp",
     "a14_strata": _STRATA + " SELECT * FROM sa",
     "a15_stratified_sample": _STRATA + f" SELECT page_id, bucket, had_burst FROM (SELECT *, row_number() OVER (PARTITION BY bucket, had_burst ORDER BY {H32.format('page_id')}, page_id) AS i FROM sa) WHERE i <= 25",
     "u1_union_all": "SELECT page_id, date, editors, page_title FROM (SELECT page_id, date, editors, NULL::VARCHAR AS page_title FROM burst_days UNION ALL SELECT page_id, date, NULL, page_title FROM forecast_days)",
