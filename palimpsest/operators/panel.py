@@ -57,7 +57,7 @@ def panel(daily: DataFrame, last: date, rate: float, final: date, seed: int = 0)
     firsts = daily.groupBy("page_id").agg(F.min("day").alias("first_day")).filter(F.col("first_day") < F.lit(last))
     grid = firsts.select("page_id", F.explode(F.sequence(F.date_add("first_day", 1), F.lit(last))).alias("day"))
     negatives = grid.filter(day_draw(seed) < F.lit(int(rate * SPAN)))
-    positives = daily.filter("kept_edits > 0").join(firsts, "page_id").filter((F.col("day") > F.col("first_day")) & (F.col("day") <= F.lit(last))).select("page_id", "day", "kept_edits")
+    positives = daily.filter("kept_edits > 0").select("page_id", "day", "kept_edits").join(firsts, "page_id").filter((F.col("day") > F.col("first_day")) & (F.col("day") <= F.lit(last))).select("page_id", "day", "kept_edits")
     rest = negatives.join(positives.select("page_id", "day"), ["page_id", "day"], "left_anti").withColumn("kept_edits", F.lit(0).cast("bigint"))
     rows = positives.withColumn("sample_weight", F.lit(1.0)).unionByName(rest.withColumn("sample_weight", F.lit(1.0 / rate)))
     return rows.select("page_id", F.col("day").alias("date"), (F.col("kept_edits") > 0).alias("y"), "kept_edits", "sample_weight", (F.col("day") <= F.lit(final)).alias("label_is_final"))
