@@ -111,6 +111,7 @@ def known_as_of(versions: DataFrame, events: DataFrame) -> DataFrame:
     spark, names = events.sparkSession, events.columns
     usable = versions.select("entity", "known", "valid", F.coalesce("tie", F.lit(-(2**62))).alias("tie"), "value").dropna()
     last = usable.groupBy("entity", "known", F.to_date("valid").alias("_day")).agg(F.max(F.struct("valid", "tie", "value")).alias("_v"))
+    asked = events.select(F.col("entity").alias("_entity"), F.col("at").alias("_known"), *[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)])
     n = events.count()
     bound = max(HOT_EVENTS, math.ceil(n / MAX_HOT))
     hot = events.groupBy("entity").count().filter(F.col("count") > bound).filter(F.col("entity").isNotNull()).collect() if n > bound else []  # at most MAX_HOT rows
@@ -118,9 +119,9 @@ def known_as_of(versions: DataFrame, events: DataFrame) -> DataFrame:
     none = [F.lit(None).cast(f.dataType).alias(f"r_{i}") for i, f in enumerate(events.schema)]
     last = last.join(copies, F.col("entity") == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
     trees = last.select(F.col("entity").alias("_entity"), "_copy", F.lit(0).alias("_kind"), F.col("known").alias("_known"), F.col("_v.valid").alias("_valid"), F.col("_v.tie").alias("_tie"), F.col("_v.value").alias("_value"), *none)
-    asked = events.join(copies, F.col("entity") == F.col("_hot"), "left")
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.coalesce("_copies", F.lit(1))).cast("int")
-    asked = asked.select(F.col("entity").alias("_entity"), salt.alias("_copy"), F.lit(1).alias("_kind"), F.col("at").alias("_known"), F.col("at").cast("timestamp_ntz").alias("_valid"), F.lit(0).cast("bigint").alias("_tie"), F.lit(None).cast("string").alias("_value"), *[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)])
+    asked = asked.join(copies, F.col("_entity") == F.col("_hot"), "left")
+    salt = F.pmod(F.xxhash64(*[f"r_{i}" for i in range(len(names))]), F.coalesce("_copies", F.lit(1))).cast("int")
+    asked = asked.select("_entity", salt.alias("_copy"), F.lit(1).alias("_kind"), "_known", F.col("_known").cast("timestamp_ntz").alias("_valid"), F.lit(0).cast("bigint").alias("_tie"), F.lit(None).cast("string").alias("_value"), *[f"r_{i}" for i in range(len(names))])
     ordered = trees.unionByName(asked).withColumn("_known", F.unix_date("_known")).repartition("_entity", "_copy").sortWithinPartitions("_entity", "_copy", "_kind")
     fields = ", ".join(f"r_{i} {f.dataType.simpleString()}" for i, f in enumerate(events.schema))
     out = ordered.mapInArrow(_search, f"{fields}, known_value string")

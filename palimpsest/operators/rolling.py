@@ -37,9 +37,11 @@ def rolling_totals(daily: DataFrame, asked: DataFrame, measures: list[str], peri
     dense = rows.groupBy("entity", "day").agg(*sums, F.max("_grid").alias("_grid"), F.max("_asked").alias("_asked")).filter("_grid")
     of = W.partitionBy("entity").orderBy("day")
     totals = {f"{m}_{n}d": F.coalesce(F.sum(m).over(of.rowsBetween(-n, -1)), zero) for m in measures for n in periods}
-    rolled = dense.select("entity", "day", "_asked", *[c.alias(k) for k, c in totals.items()]).filter("_asked").drop("_asked")
-    joined = asked.join(rolled, ["entity", "day"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], *[F.coalesce(F.col(k), zero).alias(k) for k in totals])
+    rolled = dense.select(F.col("entity").alias("_entity"), F.col("day").alias("_day"), "_asked", *[c.alias(f"_t{i}") for i, c in enumerate(totals.values())]).filter("_asked")
+    given = asked.select(*[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)])
+    entity, day = (f"r_{names.index(c)}" for c in ("entity", "day"))
+    joined = given.join(rolled, (F.col(entity) == F.col("_entity")) & (F.col(day) == F.col("_day")), "left")
+    return joined.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)], *[F.coalesce(F.col(f"_t{i}"), zero).alias(k) for i, k in enumerate(totals)])
 
 
 def wrong_totals(revisions: DataFrame, bursts: DataFrame, published: DataFrame) -> DataFrame:
