@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.panel import hash_share
+from palimpsest.shared import write_shared
 
 PRECISION_AT = (100, 1000)
 RECALL_AT = (1000, 10000)
 
 
+def positions(df: DataFrame, group: str, order: list[Column], totals: dict[str, Column]) -> DataFrame:
+    """Adds ``rank`` of each row in its group by ``order``, and running sums up to it, with no group in one task.
+
+    Rows are range-partitioned by group and order, so a large group lies in several partitions one after the other. Places and
+    sums are counted within a partition and shifted by those of the group's partitions before: one row a group and partition.
+    ``order`` has to leave no ties for the result to be the same in every run.
+    """
+    part = df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    rows = write_shared(part, "positions")
+    sums = {"rank": F.lit(1).cast("bigint"), **totals}
+    each = rows.groupBy(group, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = each.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    local = W.partitionBy(group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.select("*", *[F.sum(c).over(local).alias(n) for n, c in sums.items()])
+    joined = placed.join(shifts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def ranked(scored: DataFrame, seed: int = 0) -> DataFrame:
-    """``scored`` (date, page_id, score, y) with its rank on each date; equal scores in the order of a hash."""
-    order = W.partitionBy("date").orderBy(F.desc_nulls_last("score"), hash_share(F.col("page_id") + F.lit(seed)), "page_id")
-    return scored.withColumn("rank", F.row_number().over(order)).withColumn("hits", F.sum(F.col("y").cast("bigint")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """``scored`` (date, page_id, score, y) with its rank and the hits up to it on each date; equal scores in the order of a hash."""
+    order = [F.desc_nulls_last("score"), hash_share(F.col("page_id") + F.lit(seed)).asc(), F.col("page_id").asc()]
+    return positions(scored, "date", order, {"hits": F.col("y").cast("bigint")})
 
 
 def day_metrics(scored: DataFrame, precision_at: tuple = PRECISION_AT, recall_at: tuple = RECALL_AT, seed: int = 0) -> DataFrame:

@@ -38,8 +38,7 @@ def select_ranks(df: DataFrame, key: str, value: str, targets: list[tuple[int, i
     total = F.sum(weight) if weight else F.count(F.lit(1))
     columns = [key, *([weight] if weight else [])]
     width = 64 if (low < 0) != (high < 0) else (low ^ high).bit_length()
-    shift = math.ceil(width / bits) * bits
-    shift = min(shift, 63)
+    shift = max(1, min(width, 63))
     state = {t: (low >> shift, 0, 0) for t in targets}
     if shift == 63:  # both signs, or the full width: the sign is the first prefix
         counts = {(r[0], r[1]): r[2] for r in df.groupBy(key, F.shiftright(F.col(value), 63)).agg(total).join(F.broadcast(_frame(spark, [(k,) for k in {k for k, _ in targets}], f"{key} bigint")), key).collect()}
@@ -110,9 +109,12 @@ def split_hot_keys(df: DataFrame, key: str, value: str, shard_rows: int = SHARD_
     shift, most = 0, 8 * sum(shards.values())
     while sum((r["hi"] >> shift) - (r["lo"] >> shift) + 1 for r in hot) > most:
         shift += 1
+    by_key: dict[int, list[int]] = {}
+    for (k, _), (v, _, _) in cuts.items():
+        by_key.setdefault(k, []).append(v)
     cells = []  # of each hot key the cells of equal width with the cuts below and in them: a bounded table, found by equality
     for r in hot:
-        own = sorted(v for (k, _), (v, _, _) in cuts.items() if k == r[0])
+        own = sorted(by_key.get(r[0], []))
         at = 0
         for cell in range(r["lo"] >> shift, (r["hi"] >> shift) + 1):
             begin = at

@@ -293,7 +293,8 @@ def a29_value_counts(spark, d):
 
 def k1_page_order(spark, d):
     """The place of each revision in its page by time, then id."""
-    return Q.log(spark, d).select("page_id", "revision_id", F.row_number().over(W.partitionBy("page_id").orderBy("ts", "revision_id")).cast("bigint").alias("n"))
+    own = Q.log(spark, d).select("page_id", "revision_id", "ts")
+    return R.positions(own, "page_id", [F.col("ts").asc(), F.col("revision_id").asc()], {}).select("page_id", "revision_id", F.col("rank").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (j2_link_targets, j3_redirects, j4_link_graph, j4_link_graph_kept, u2_distinct_edges, a16_degrees, j5_neighbor_bursts, j12_bursting_neighbors, l1_panel, l2_evaluation_days, l4_baselines, w16_lexicographic_rank, w14_ranked, a19_day_metrics, a20_macro_average, a21_paired_difference, a22_precision_table, a35_lift, k2_global_top, k8_top_co_burst_days, k9_newest_day, w18_top_and_others, w17_first_kept, j1_selected_first_kept, j10_day_bounds, j11_neighbor_day_bounds, j13_merged_history, j14_titles_then, j15_changes_by_day, j16_titles_at_revisions, j17_source_differences, j18_rank_agreement, pred_p10_hash_sample, pred_p11_day_sample, pred_p8_day_grid, pred_p9_time_splits, pred_p18_burst_labels, pred_p19_group_masks, a14_strata, a15_stratified_sample, u1_union_all, u4_common_pages, u5_missing_pages, j22_still_to_fetch, s14_missing_days, s18_prune, a28_percentiles, a29_value_counts, k1_page_order)}

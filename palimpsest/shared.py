@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,14 +40,22 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and return it as a scan.
 
     Cuts the lineage: a lost executor re-reads files instead of re-running the stages before. The files are removed when
-    the driver's Python ends.
+    the driver's Python ends, or by ``clear``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
+    if not _WRITTEN:
+        atexit.register(clear, spark)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables written so far; only when no result that reads them is still to be computed."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
