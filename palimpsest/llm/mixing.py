@@ -15,6 +15,8 @@ from palimpsest.shared import write_shared
 #: The groups of documents with the same sources are sent to the driver; more than this many are refused.
 MAX_PATTERNS = 10_000
 MAX_SOURCES = 1_000
+#: Bits of the seeded hash that orders documents; documents of equal hash are drawn together.
+HASH_BITS = 48
 
 
 @dataclass
@@ -124,9 +126,9 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: int | None = None,
     _, flows = route(patterns, wanted, largest_total(patterns, wanted) if total is None else total)
     edges = [(i, list(p), s, f // patterns[p], f % patterns[p]) for i, ((p, s), f) in enumerate(sorted(flows.items()))]
     plan = F.broadcast(spark.createDataFrame([e[:4] for e in edges], "edge bigint, pattern array<string>, source string, whole bigint"))
-    hashed = F.shiftright(F.xxhash64("doc_id", "source", F.lit(seed)), 1).bitwiseAND(F.lit((1 << 62) - 1)).alias("u")
+    hashed = F.xxhash64("doc_id", "source", F.lit(seed)).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("u")
     drawn = own.join(plan, "pattern").select("doc_id", "source", "n_tokens", "edge", "whole", hashed)
-    cuts = select_ranks(drawn, "edge", "u", [(e[0], e[4]) for e in edges if e[4]], 0, (1 << 62) - 1, weight="n_tokens")
+    cuts = select_ranks(drawn, "edge", "u", [(e[0], e[4]) for e in edges if e[4]], 0, (1 << HASH_BITS) - 1, weight="n_tokens")
     nearest = {e: u if to - n <= n - below else u - 1 for (e, n), (u, below, to) in cuts.items()}
     limits = F.broadcast(spark.createDataFrame(list(nearest.items()), "edge bigint, most bigint"))
     repeats = F.col("whole") + F.when(F.col("u") <= F.col("most"), 1).otherwise(0)
