@@ -62,6 +62,28 @@ def mark_dates(text: pd.Series, day: pd.Series) -> pd.Series:
     return pd.Series([dates.mark(_text(t), d) if d is not None else _text(t) for t, d in zip(text, day)], dtype=object)
 
 
+@F.pandas_udf(TEXTS)
+def dated_lines(text: pd.Series, day: pd.Series) -> pd.Series:
+    return pd.Series([dates.dated_lines(_text(t), d) if d is not None else [] for t, d in zip(text, day)], dtype=object)
+
+
+@F.pandas_udf(TEXT)
+def fix_weekdays(text: pd.Series, day: pd.Series) -> pd.Series:
+    return pd.Series([dates.fix_weekdays(_text(t), d) if d is not None else _text(t) for t, d in zip(text, day)], dtype=object)
+
+
+@F.pandas_udf(TEXT)
+def snippet(text: pd.Series) -> pd.Series:
+    """The longest piece of prose, shortened."""
+    return text.map(lambda x: changes.snippet([_text(x) or ""]))
+
+
+@F.pandas_udf(TEXTS)
+def kinds_of(span: pd.Series) -> pd.Series:
+    """The kinds of change a span makes to an empty page."""
+    return span.map(lambda x: [k for k in changes.KINDS if k in changes.kinds_of(_text(x) or "", set())])
+
+
 @F.pandas_udf(TEXT)
 def sha1_base36(digest: pd.Series) -> pd.Series:
     """A hexadecimal SHA-1 in base 36, 31 digits; null and what isn't hexadecimal is null."""
@@ -80,5 +102,5 @@ def sha1_base36(digest: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
-    for name in ("plain_text", "prose", "lead", "word_diff", "line_diff", "day_change", "mark_dates", "sha1_base36"):
+    for name in ("plain_text", "prose", "lead", "word_diff", "line_diff", "day_change", "mark_dates", "dated_lines", "fix_weekdays", "snippet", "kinds_of", "sha1_base36"):
         spark.udf.register(name, globals()[name])
