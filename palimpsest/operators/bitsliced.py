@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ranking import positions
 from palimpsest.operators.revisions import first_delivery, tag_key
 from palimpsest.shared import write_shared
 
@@ -121,7 +122,7 @@ def _decoder(measures: list[str]):
     return run
 
 
-def features_as_of(events: DataFrame, asked: DataFrame) -> DataFrame:
+def features_as_of(events: DataFrame, asked: DataFrame, dense: bool = True) -> DataFrame:
     """Counts, distinct actors and the latest time of every asked (entity, type) as of its day.
 
     ``events``: entity bigint, type string, at timestamp_ntz, actor string, flag boolean. ``asked``: entity bigint, type
@@ -130,6 +131,9 @@ def features_as_of(events: DataFrame, asked: DataFrame) -> DataFrame:
     belong to no row; a null actor is an event without actor, a null flag is false. Asked rows without ``as_of``, entity or
     type get 0 and null. Repeated asked rows come out repeatedly.
 
+    An entity's id is its ordinal if ``dense``: right for ids that are mostly used up, as page ids are. Otherwise ids of any kind
+    get ordinals in their order among the asked entities, counted over range partitions.
+
     Events are summed map-side by entity, type and day before they move, so no entity or type is a hot key: a chunk of a type
     has at most 2**16 rows a day. ``events`` is read twice; hand over a written table where it is costly.
     """
@@ -144,8 +148,14 @@ def features_as_of(events: DataFrame, asked: DataFrame) -> DataFrame:
     measures = ["n_events", "n_flagged", "n_actors"]
     adds = counts.unionByName(actors).select("entity", "type", "_date", *measures, "_last")
     carried = [F.lit(None).cast(f.dataType).alias(f"r_{i}") for i, f in enumerate(asked.schema)]
+    given = asked.select(*[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)], F.col("entity"), F.col("type"), F.col("as_of"))
+    if not dense:
+        ids = given.select("entity").dropna().distinct().withColumn("_all", F.lit(0))
+        ordinals = positions(ids, "_all", [F.col("entity").asc()], {}).select("entity", (F.col("rank") - 1).alias("_ordinal"))
+        adds = adds.join(ordinals, "entity").drop("entity").withColumnRenamed("_ordinal", "entity")
+        given = given.join(ordinals, "entity", "left").drop("entity").withColumnRenamed("_ordinal", "entity")
     adds = adds.select(*_place("entity", "type", "_date"), F.lit(1).alias("_kind"), *[F.col(m).alias(f"_{m}") for m in measures], "_last", *carried)
-    wanted = asked.select(*_place("entity", "type", "as_of"), F.lit(0).alias("_kind"), *[zero.alias(f"_{m}") for m in measures], F.lit(None).cast("timestamp_ntz").alias("_last"), *[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)])
+    wanted = given.select(*_place("entity", "type", "as_of"), F.lit(0).alias("_kind"), *[zero.alias(f"_{m}") for m in measures], F.lit(None).cast("timestamp_ntz").alias("_last"), *[f"r_{i}" for i in range(len(names))])
     ordered = adds.unionByName(wanted).repartition("_type", "_chunk").sortWithinPartitions("_type", "_chunk", "_day", "_kind")
     fields = ", ".join(f"r_{i} {f.dataType.simpleString()}" for i, f in enumerate(asked.schema))
     out = ordered.mapInArrow(_decoder(measures), f"{fields}, n_events bigint, n_flagged bigint, n_actors bigint, last_at timestamp_ntz")

@@ -47,6 +47,45 @@ def pred_p7_window(spark, d):
     return table(spark, d, "burst_days").filter(F.col("date").between("2026-07-01", "2026-07-14")).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pred_p13_filed_under(spark, d):
+    """Texts in a category whose name ends in a place's ending."""
+    return X_.docs(spark, d).filter(F.col("text").rlike(r"(?i)\[\[\s*category\s*:[^\]]*ey\s*\]\]")).select("doc_id")
+
+
+def pred_p20_page_lines(spark, d):
+    return X_.docs(spark, d).filter(F.startswith("text", F.lit("Page: "))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pred_p21_cut_off(spark, d):
+    """Texts that end within a word or a construct."""
+    return X_.docs(spark, d).select("doc_id", F.col("text").rlike(r"[a-z,]\z").alias("within"), (F.size(F.regexp_extract_all("text", F.lit(r"\{\{"), F.lit(0))) > F.size(F.regexp_extract_all("text", F.lit(r"\}\}"), F.lit(0)))).alias("open"))
+
+
+def j8_mass_membership(spark, d):
+    own = Q.kept_labels(spark, d)
+    from palimpsest.operators import activity as A
+
+    mass = A.mass_editor_days(own, Q.MASS).select("user_text", "day", F.lit(True).alias("mass"))
+    rows = own.withColumn("day", F.to_date("ts")).join(mass, ["user_text", "day"], "left")
+    return rows.groupBy("day").agg(F.count_if("mass").alias("mass"), F.count(F.lit(1)).alias("n"))
+
+
+def j20_agreement(spark, d):
+    """Two published counts of the same page-days."""
+    a = table(spark, d, "burst_days").distinct()
+    b = a.select("page_id", "date", F.col("editors_excl_mass").alias("other"))
+    return a.join(b, ["page_id", "date"]).groupBy("date").agg(F.round(F.avg(F.col("editors").eqNullSafe(F.col("other")).cast("double")), 6).alias("same"))
+
+
+def t13_span_sections(spark, d):
+    change = U.day_change("old", "new")
+    return X_.pairs(spark, d).select("page_id", "day", change.alias("c")).select("page_id", "day", F.size("c.sections").alias("sections"), F.size("c.kinds").alias("kinds"), "c.inserted_chars", "c.removed_chars")
+
+
+def t22_roles(spark, d):
+    return X_.docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(maker|volunteers|residents|council) (?:of|from) "), F.lit(1)))).alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pred_p22_all_reasons(spark, d):
     """Texts all of whose named sections belong to a list; a text that names none does."""
     own = X_._forecasts(spark, d)
@@ -233,7 +272,7 @@ def r9_kinds_by_threshold(spark, d):
     return X_._marginals(spark, d).filter("p >= 0.5").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("kind")), lambda k: k.cast("string")), ",").alias("kinds"))
 
 
-_NAMES = (pred_p1_mainspace, pred_p2_timestamps, pred_p3_bots, pred_p4_anonymous, pred_p6_days, pred_p7_window, pred_p22_all_reasons, w4_window_sums, w5_last_active_day, w9_neighbor_burst_days, w11_size_before, w13_weekday_lags, w15_cumulative_hits, w20_without_repeats, k4_top_neighbors, k6_longest_sentence, k7_daily_selection, a8_totals_again, a30_invented_sections, d5_dated_lines, d6_nearest_mark, d7_weekdays, d9_weekday, s4_integer_dump, s9_page_as_known, s11_pruned_scan, s12_atomic_write, j19_attached, j21_evidence, t12_kinds, t16_snippet, t17_context, t19_trigger_text, t23_listed_names, t24_new_numbers, t26_kept_names, t27_title_in_text, t29_verdicts, t30_split_items, m5_kind_sets, r9_kinds_by_threshold)
+_NAMES = (pred_p1_mainspace, pred_p2_timestamps, pred_p3_bots, pred_p4_anonymous, pred_p6_days, pred_p7_window, pred_p13_filed_under, pred_p20_page_lines, pred_p21_cut_off, j8_mass_membership, j20_agreement, t13_span_sections, t22_roles, pred_p22_all_reasons, w4_window_sums, w5_last_active_day, w9_neighbor_burst_days, w11_size_before, w13_weekday_lags, w15_cumulative_hits, w20_without_repeats, k4_top_neighbors, k6_longest_sentence, k7_daily_selection, a8_totals_again, a30_invented_sections, d5_dated_lines, d6_nearest_mark, d7_weekdays, d9_weekday, s4_integer_dump, s9_page_as_known, s11_pruned_scan, s12_atomic_write, j19_attached, j21_evidence, t12_kinds, t16_snippet, t17_context, t19_trigger_text, t23_listed_names, t24_new_numbers, t26_kept_names, t27_title_in_text, t29_verdicts, t30_split_items, m5_kind_sets, r9_kinds_by_threshold)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _L, _F, _N, _P = Q.LOG, Q.FEATURES, X_._NEWS, X_._PAIRS
@@ -244,6 +283,12 @@ SQL = {
     "pred_p4_anonymous": _L + " SELECT is_anon OR coalesce(regexp_matches(user_text, '^~2[0-9]{3}-'), false) AS anonymous, count(*) AS n FROM o GROUP BY ALL",
     "pred_p6_days": _L + " SELECT day, count(*) AS n FROM o GROUP BY day",
     "pred_p7_window": "SELECT date, count(*) AS n FROM burst_days WHERE date BETWEEN DATE '2026-07-01' AND DATE '2026-07-14' GROUP BY date",
+    "pred_p13_filed_under": X_._D + " SELECT doc_id FROM t WHERE regexp_matches(text, '(?i)\\[\\[\\s*category\\s*:[^\\]]*ey\\s*\\]\\]')",
+    "pred_p20_page_lines": X_._D + " SELECT source, count(*) AS n FROM t WHERE starts_with(text, 'Page: ') GROUP BY source",
+    "pred_p21_cut_off": X_._D + " SELECT doc_id, regexp_matches(text, '[a-z,]\\z') AS within, len(regexp_extract_all(text, '\\{\\{')) > len(regexp_extract_all(text, '\\}\\}')) AS open FROM t",
+    "j8_mass_membership": Q.LABELS + f", {Q._MASS} SELECT l.day, count(*) FILTER (mass.pages IS NOT NULL) AS mass, count(*) AS n FROM l LEFT JOIN mass ON mass.user_text = l.user_text AND mass.day = l.day GROUP BY l.day",
+    "j20_agreement": "SELECT a.date, round(avg((a.editors IS NOT DISTINCT FROM b.editors_excl_mass)::INT), 6) AS same FROM (SELECT DISTINCT * FROM burst_days) a JOIN (SELECT DISTINCT * FROM burst_days) b USING (page_id, date) GROUP BY a.date",
+    "t22_roles": X_._D + ", r AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b(maker|volunteers|residents|council) (?:of|from) ', 1))) AS role FROM t) SELECT role, count(*) AS n FROM r GROUP BY role",
     "pred_p22_all_reasons": X_._D + X_._FC + " SELECT id, len(list_filter(named, lambda s: s NOT IN ('History', 'Legacy', 'Reception', 'Results', 'Notes', 'Career'))) = 0 AS holds FROM fc",
     "w4_window_sums": _F + " SELECT page_id, date, edits_7d, edits_30d, edits_365d FROM ft",
     "w5_last_active_day": _F + " SELECT page_id, date, days_since_last_edit FROM ft",

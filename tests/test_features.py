@@ -36,6 +36,7 @@ def test_features_as_of(spark):
         want.append((e, t, d, i, k, len(own), sum(x[4] is True for x in own), len({x[3] for x in own} - {None}), max((x[2] for x in own), default=None)))
     key = lambda x: tuple(str(v) for v in x)
     assert sorted(map(tuple, bitsliced.features_as_of(a, b).collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, bitsliced.features_as_of(a, b, dense=False).collect()), key=key) == sorted(want, key=key)
     assert bitsliced.features_as_of(a.limit(0), b.limit(0)).count() == 0
     assert {x[5] for x in bitsliced.features_as_of(a.limit(0), b).collect()} == {0}
 

@@ -109,3 +109,41 @@ def test_append_missing_twice(spark, tmp_path):
     for _ in range(2):
         sinks.append_missing(rows, str(tmp_path / "t"), ["k"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_length_batches():
+    from palimpsest.functions.batches import length_batches
+
+    assert length_batches([5, 1, 9, 2, 2], 2, 10) == [[1, 3], [4, 0], [2]]
+    assert length_batches([], 2, 10) == []
+
+
+def test_without_repeats(spark):
+    from palimpsest.functions.batches import without_repeats
+
+    rows = [("d", 1, "a b c d e"), ("d", 2, "a b c d e"), ("d", 3, "x y"), ("e", 1, "a b c d e"), ("d", 4, None), ("d", 5, "")]
+    got = {(r.grp, r.n): r.kept for r in without_repeats(spark.createDataFrame(rows, "grp string, n bigint, text string")).collect()}
+    assert got == {("d", 1): True, ("d", 2): False, ("d", 3): True, ("e", 1): True, ("d", 4): True, ("d", 5): False}
+
+
+def test_dated_lines():
+    text = "played on 24 September 2026\nnothing\n24–26 September 2026 final\nplayed on 24 September 2026\non 24 October 2026"
+    assert dates.dated_lines(text, date(2026, 9, 24)) == ["played on 24 September 2026", "24–26 September 2026 final"]
+    assert dates.dated_lines(None, date(2026, 9, 24)) == []
+
+
+def test_budget_and_cut(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import text as X
+
+    row = spark.createDataFrame([(["aaaa", "bbbbbbbb", "cc"], "one  two three")], "a array<string>, t string").select(X.within_budget(F.col("a"), 6).alias("a"), X.cut(F.col("t"), 9).alias("t")).first()
+    assert row.a == ["aaaa", "cc"] and row.t == "one two …"
+
+
+def test_empty_texts_everywhere(spark):
+    from palimpsest.functions import arrow as U
+
+    rows = spark.createDataFrame([(None, None, None), ("", "x", date(2026, 1, 1))], "a string, b string, d date")
+    out = rows.select(U.plain_text("a"), U.prose("a"), U.lead("a"), U.word_diff("a", "b"), U.line_diff("a", "b"), U.day_change("a", "b"), U.mark_dates("a", "d"), U.dated_lines("a", "d"), U.fix_weekdays("a", "d"), U.snippet("a"), U.kinds_of("a")).collect()
+    assert len(out) == 2
