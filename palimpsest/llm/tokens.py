@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.shared import write_shared
@@ -191,20 +191,28 @@ def encode_corpus(documents: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     return ordered.mapInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
-def token_bytes(spark: SparkSession, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """(id, hex) of every token; as large as the vocabulary."""
+def token_bytes(tokenizer: str = BYTE_BPE) -> dict[int, bytes]:
+    """The bytes of every token by id; as large as the vocabulary."""
     letters = {c: b for b, c in _letters().items()}
     vocabulary = json.load(open(tokenizer))["model"]["vocab"]
-    rows = [(i, bytes(letters[c] for c in token).hex()) for token, i in vocabulary.items() if all(c in letters for c in token)]
-    return spark.createDataFrame(rows, "id int, hex string")
+    return {i: bytes(map(letters.__getitem__, token)) for token, i in vocabulary.items() if all(c in letters for c in token)}
+
+
+def _decode(path: str):
+    """Each list joined with the token-byte table, in its order; the table is held by every task, so no row moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for batch in batches:
+            texts = [b"".join([table.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return run
 
 
 def decode_corpus(encoded: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids) with unique doc_id; ids that are in no vocabulary are left out, an empty list is an empty text."""
-    places = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id"))
-    known = places.join(F.broadcast(token_bytes(encoded.sparkSession, tokenizer)), "id", "left")
-    pieces = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "hex"))).alias("pieces"))
-    return pieces.select("doc_id", F.decode(F.unhex(F.array_join("pieces.hex", "")), "UTF-8").alias("text"))
+    """(doc_id, text) of each (doc_id, ids); ids that are in no vocabulary are left out, empty and null lists are empty texts."""
+    return encoded.select(F.col("doc_id").cast("bigint"), F.col("ids").cast("array<int>")).mapInArrow(_decode(tokenizer), "doc_id bigint, text string")
 
 
 def token_sizes(documents: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:

@@ -43,6 +43,8 @@ def test_repeated_and_null_ids(spark, whole):
 def test_round_trip(spark):
     back = {x.doc_id: x.text for x in tokens.decode_corpus(tokens.encode_corpus(docs(spark, ODD))).collect()}
     assert back == {i: t or "" for i, t in enumerate(ODD)}
+    rows = spark.createDataFrame([(1, None), (2, [-5, 10**6]), (None, [32])], "doc_id bigint, ids array<int>")
+    assert sorted((str(x.doc_id), x.text) for x in tokens.decode_corpus(rows).collect()) == [("1", ""), ("2", ""), ("None", "A")]
 
 
 def test_sizes(spark, whole):
