@@ -309,7 +309,7 @@ _DEG = "dg AS (SELECT page_id, CAST(sum(i) AS BIGINT) AS in_links, CAST(sum(o) A
 _NEAR = _LINKS + f""", {_DEG}, f AS (SELECT DISTINCT page_id, date FROM burst_days), i AS (SELECT dst AS page_id, day, count(*) AS n, count(*) FILTER (editors >= 2) AS m FROM bd JOIN e ON e.src = bd.page_id GROUP BY ALL), o AS (SELECT src AS page_id, day, count(*) AS n, count(*) FILTER (editors >= 2) AS m FROM bd JOIN e ON e.dst = bd.page_id GROUP BY ALL),
     n AS (SELECT f.page_id, f.date, {', '.join(f"coalesce((SELECT CAST(sum({m}) AS BIGINT) FROM {t} WHERE {t}.page_id = f.page_id AND {t}.day BETWEEN f.date - {k} AND f.date - 1), 0) AS {a}" for t, m, k, a in (("i", "n", 1, "in_bursting_1d"), ("o", "n", 1, "out_bursting_1d"), ("i", "n", 7, "in_bursting_7d"), ("o", "n", 7, "out_bursting_7d"), ("i", "m", 1, "in_multi_1d"), ("o", "m", 1, "out_multi_1d")))},
     coalesce(in_links, 0) AS in_links, coalesce(out_links, 0) AS out_links FROM f LEFT JOIN dg USING (page_id))"""
-_SC = "sc AS (SELECT date, page_id, max({0}) AS score, bool_or(is_burst) AS y FROM burst_days GROUP BY ALL), rk AS (SELECT *, row_number() OVER w AS rank, CAST(sum(y::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hits FROM sc WINDOW w AS (PARTITION BY date ORDER BY score DESC NULLS LAST, " + H32.format("page_id") + ", page_id))"
+_SC = "sc AS (SELECT date, page_id, CAST(max({0}) AS BIGINT) AS score, bool_or(is_burst) AS y FROM burst_days GROUP BY ALL), rk AS (SELECT *, row_number() OVER w AS rank, CAST(sum(y::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hits FROM sc WINDOW w AS (PARTITION BY date ORDER BY score DESC NULLS LAST, " + H32.format("page_id") + ", page_id))"
 _MET = lambda ps, rs: "dm AS (SELECT date, " + ", ".join([f"round(count(*) FILTER (y AND rank <= {k}) / {k}::DOUBLE, 6) AS precision_{k}" for k in ps] + [f"round(CASE WHEN count(*) FILTER (y) > 0 THEN count(*) FILTER (y AND rank <= {k}) / (count(*) FILTER (y))::DOUBLE END, 6) AS recall_{k}" for k in rs]) + ", round(avg(CASE WHEN y THEN hits / rank::DOUBLE END), 6) AS average_precision FROM rk GROUP BY date)"
 _SCORED = "WITH " + _SC.format("editors")
 _DRAW = H32.format(H32.format("page_id") + " + (day - DATE '1970-01-01') * 40503 + {0}")

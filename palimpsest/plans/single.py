@@ -301,7 +301,7 @@ SQL = {
     "k7_daily_selection": G._SCORED + ", b AS (SELECT *, row_number() OVER (PARTITION BY date, y ORDER BY score DESC, page_id) AS i FROM sc WHERE score IS NOT NULL), c AS (SELECT *, count(*) FILTER (NOT y) OVER (PARTITION BY date) AS f FROM b WHERE i <= 10) SELECT date, page_id, score, y FROM c WHERE NOT y OR i <= least(3, 10 - f)",
     "a8_totals_again": Q.BURSTS + " SELECT day, count(*) AS pages, count(*) FILTER (editors >= 2) AS multi_editor FROM bu WHERE is_burst GROUP BY day",
     "a30_invented_sections": X_._SCORE + " SELECT section, count(*) AS n FROM (SELECT unnest(list_filter(named, lambda s: NOT list_contains(changed, s))) AS section FROM fc JOIN ch USING (page_id)) GROUP BY section ORDER BY n DESC, section LIMIT 40",
-    "d6_nearest_mark": "SELECT page_id, date, CASE WHEN g <= 1 THEN 1 WHEN g = 2 THEN 3 WHEN g <= 4 THEN 3 ELSE 7 END AS mark FROM (SELECT DISTINCT *, editors % 9 AS g FROM burst_days) WHERE editors IS NOT NULL",
+    "d6_nearest_mark": "SELECT page_id, date, CAST(CASE WHEN g <= 1 THEN 1 WHEN g <= 4 THEN 3 ELSE 7 END AS BIGINT) AS mark FROM (SELECT DISTINCT *, editors % 9 AS g FROM burst_days) WHERE editors IS NOT NULL",
     "d9_weekday": "SELECT isodow(date) - 1 AS weekday, count(*) AS n FROM burst_days GROUP BY ALL",
     "s4_integer_dump": "SELECT l_partkey AS p, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders FROM lineitem GROUP BY ALL",
     "s9_page_as_known": Q.REVISION + " SELECT page_id, arg_max(revision_id, (timestamp, revision_id)) AS revision_id FROM r WHERE page_id IS NOT NULL AND user_text IS NOT NULL AND timestamp <= TIMESTAMP '2026-07-20 23:59:59' GROUP BY page_id",
