@@ -8,6 +8,7 @@ Days are taken in order: the state before a day is the table as of that day.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ CHUNK_BITS = 16
 WORDS = (1 << CHUNK_BITS) // 64
 NEVER = np.iinfo(np.int64).min
 ONE = np.uint64(1)
+#: Rows of a batch of the wide table.
+WIDE_ROWS = 512
 
 
 class BitSlicedCounter:
@@ -173,28 +176,76 @@ def _place(entity: str, kind: str, date: str) -> list:
     ]
 
 
-def revision_events(revisions: DataFrame) -> DataFrame:
-    """Revisions as events of their page, by type of change; written once, narrow."""
+def revision_events(revisions: DataFrame, untyped: bool = False) -> DataFrame:
+    """Revisions as events of their page, by type of change; written once, narrow. ``untyped``: with those that have no type."""
     log = first_delivery(revisions, ["page_id", "change_tag", "timestamp", "user_text", "is_anon"])
     events = log.select(F.col("page_id").alias("entity"), tag_key(F.col("change_tag")).alias("type"), F.col("timestamp").alias("at"), F.col("user_text").alias("actor"), F.col("is_anon").alias("flag"))
-    return write_shared(events.filter("entity IS NOT NULL AND type IS NOT NULL AND at IS NOT NULL"), "events")
+    return write_shared(events.filter("entity IS NOT NULL AND at IS NOT NULL" + ("" if untyped else " AND type IS NOT NULL")), "events")
 
 
-def wide_features(revisions: DataFrame, as_of: str, types: list[str]) -> DataFrame:
+def column_names(types: list[str]) -> list[str]:
+    """Of each type the start of its columns: with underscores for spaces, unless two types would then be the same."""
+    shown = Counter(t.replace(" ", "_") for t in types)
+    return [n if shown[n := t.replace(" ", "_")] == 1 else t for t in types]
+
+
+def _widener(types: list[str], names: list[str]):
+    """For rows (entity, type, n_events, n_flagged, n_actors, last_at) sorted by entity: a row of all columns for each entity."""
+    place = {t: i for i, t in enumerate(types)}
+
+    def wide(ids: list, rows: list, kinds: list, columns: list) -> pa.RecordBatch:
+        at = np.array(rows, np.int64), np.array(kinds, np.int64)
+        out = [pa.array(ids, pa.int64())]
+        cells = [np.full((len(types), len(ids)), NEVER if i == 3 else 0) for i in range(4)]
+        for cell, values in zip(cells, columns):
+            cell[at[1], at[0]] = values
+        for k in range(len(types)):
+            out += [pa.array(cell[k]) for cell in cells[:3]]
+            out.append(pa.array(cells[3][k], mask=cells[3][k] == NEVER).cast(pa.timestamp("us")))
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        rows: list = []
+        kinds: list = []
+        columns: list[list] = [[], [], [], []]
+        for batch in batches:
+            entity, type_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            values = [_ints(batch.column(i)).tolist() for i in (2, 3, 4)] + [_ints(batch.column(5), NEVER).tolist()]
+            for i, (e, t) in enumerate(zip(entity, type_)):
+                if not ids or ids[-1] != e:
+                    if len(ids) == WIDE_ROWS:
+                        yield wide(ids, rows, kinds, columns)
+                        ids, rows, kinds, columns = [], [], [], [[], [], [], []]
+                    ids.append(e)
+                if t is not None:
+                    rows.append(len(ids) - 1)
+                    kinds.append(place[t])
+                    for own, v in zip(columns, values):
+                        own.append(v[i])
+        if ids:
+            yield wide(ids, rows, kinds, columns)
+
+    return run
+
+
+def wide_features(revisions: DataFrame, as_of: str, types: list[str] | None = None) -> DataFrame:
     """One row per page with activity before ``as_of``: page_id, and of every type ``{type}_n_edits``, ``_n_anon``, ``_n_editors``, ``_last_edit_at``.
 
-    ``types`` is the bounded list of columns; counts of types without events are 0, their times null.
+    ``types`` are all of the log, some hundreds, unless given. Counts of types without events are 0, their times null; a page
+    whose events have other types or none has such a row too.
     """
-    events = revision_events(revisions)
+    events = revision_events(revisions, untyped=True)
+    if types is None:
+        types = sorted(r["type"] for r in events.select("type").dropna().distinct().collect())
     day = F.lit(as_of).cast("date")
-    asked = events.filter((F.col("at") < day.cast("timestamp_ntz")) & F.col("type").isin(types)).select("entity", "type").distinct().withColumn("as_of", day)
-    long = features_as_of(events, asked)
-    columns = []
-    for t in types:
-        name, own = t.replace(" ", "_"), F.col("type") == t
-        columns += [F.coalesce(F.max(F.when(own, F.col(c))), F.lit(0)).alias(f"{name}_{o}") for c, o in (("n_events", "n_edits"), ("n_flagged", "n_anon"), ("n_actors", "n_editors"))]
-        columns.append(F.max(F.when(own, F.col("last_at"))).alias(f"{name}_last_edit_at"))
-    return long.groupBy(F.col("entity").alias("page_id")).agg(*columns)
+    own = F.when(F.col("type").isin(types), F.col("type"))
+    asked = events.filter(F.col("at") < day.cast("timestamp_ntz")).select("entity", own.alias("type")).distinct().withColumn("as_of", day)
+    long = features_as_of(events, asked).select("entity", "type", "n_events", "n_flagged", "n_actors", "last_at")
+    outputs = ("n_edits bigint", "n_anon bigint", "n_editors bigint", "last_edit_at timestamp_ntz")
+    fields = [("page_id", "bigint"), *((f"{n}_{o.split()[0]}", o.split()[1]) for n in column_names(types) for o in outputs)]
+    schema = ", ".join(f"`{n.replace('`', '``')}` {kind}" for n, kind in fields)
+    return long.repartition("entity").sortWithinPartitions("entity").mapInArrow(_widener(types, [n for n, _ in fields]), schema)
 
 
 def wrong_features(revisions: DataFrame, published: DataFrame) -> DataFrame:
