@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import arrow as U
+from palimpsest.functions import names as N
 from palimpsest.functions import text as X
 from palimpsest.operators.revisions import first_delivery
 from palimpsest.plans import activity as Q
@@ -66,10 +67,11 @@ def u7_shown_words(spark, d):
 
 
 def t8_names_page(spark, d):
-    title = F.translate(F.regexp_replace("title", r"\s*\([^)]*\)$", ""), "_", " ")
-    names = table(spark, d, "titles").filter("title IS NOT NULL").select(title.alias("name")).distinct().filter(F.length("name") >= 4)
-    spots = X.lines(docs(spark, d)).select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(r"\[\[([^\[\]|]*)"), F.lit(1))).alias("name"))
-    return spots.join(names, "name").groupBy("doc_id").agg(F.count_distinct("name").alias("names"))
+    """How many of the names of the pages' titles each text holds as whole words, linked or not. The SQL has only targets of links."""
+    titles = table(spark, d, "titles").filter("title IS NOT NULL").select("title").distinct()
+    names = write_shared(N.titles_names(titles).drop("title").distinct(), "names")
+    spots = N.spots(docs(spark, d).select("doc_id", "text"), names)
+    return spots.join(names.drop("hashes"), "key").filter(N.fits()).groupBy("doc_id").agg(F.count_distinct("name").alias("names"))
 
 
 def _headings(spark, d):

@@ -1,7 +1,9 @@
 """That queries do the whole of their job: small cases that shorter ones get wrong."""
 
+import re
 from datetime import date, datetime
 
+from palimpsest.functions import names as N
 from palimpsest.operators import bitsliced
 
 
@@ -19,3 +21,13 @@ def test_wide_features_has_all_types_and_pages(spark, monkeypatch):
     assert filled[2] == {"rare_tag_n_edits": 2, "rare_tag_n_editors": 2, "rare_tag_last_edit_at": datetime(2026, 7, 2), "a b_n_edits": 1, "a b_n_anon": 1, "a b_last_edit_at": at}
     assert filled[3] == {"a_b_n_edits": 1, "a_b_n_editors": 1, "a_b_last_edit_at": at} and filled[4] == {}
     assert got[4]["later_tag_n_edits"] == 0 and got[4]["later_tag_last_edit_at"] is None
+
+
+def test_names_stand_in_texts_as_whole_words(spark):
+    titles = ["Noreth_Glacier", "Mercury_(planet)", "(Sic)_transit", "Ünalur", "abc", "?!?!?", "Geography_of_Renduna_(series_300)", "Noreth", "St. Noreth–Glacier", None]
+    texts = ["At Noreth Glacier.", "Noreth_Glacier", "Mercury (planet)", "Mercury (planet)s", "mercury; [[Mercury|x]]", "Mercurys Mercury", "so (Sic) transit", "so(Sic) transit", "(Sic) transit", "xÜnalur", "Ünalur", "abc abc", "a ?!?!? b", "?!?!?", "a?!?!?b", "a?!?!?", "no Geography of Renduna", "Geography of  Renduna", "St. Noreth–Glacier", "", "St. Noreth-Glacier Noreth GlacierX Noreth Glacier"]
+    names = N.titles_names(spark.createDataFrame([(t,) for t in titles], "title string")).drop("title").distinct()
+    rows = N.spots(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), names)
+    got = {(r["id"], r["name"]) for r in rows.join(names.drop("hashes"), "key").filter(N.fits()).collect()}
+    want = {(i, n) for i, text in enumerate(texts) for t in titles for n in N.names_of(t) if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", text)}
+    assert got == want and len(want) > 15
