@@ -27,10 +27,11 @@ def matrix(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="vector").transform(ready).drop(*names)
 
 
-def fit(rows: DataFrame, validation: str, rounds: int = 20, seed: int = 0):
-    """Boosted trees on ``rows`` with y; those with the boolean column ``validation`` decide when to stop."""
+def fit(rows: DataFrame, validation: str, rounds: int = 20, seed: int = 0, weight: str | None = None):
+    """Boosted trees on ``rows`` with y; those with the boolean column ``validation`` decide when to stop. ``weight``: a column of the rows' weights."""
     ready = matrix(rows).withColumn("label", F.col("y").cast("double"))
-    return GBTClassifier(featuresCol="vector", labelCol="label", validationIndicatorCol=validation, maxIter=rounds, maxDepth=4, seed=seed).fit(ready)
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", validationIndicatorCol=validation, maxIter=rounds, maxDepth=4, seed=seed)
+    return (trees.setWeightCol(weight) if weight else trees).fit(ready)
 
 
 def score(model, rows: DataFrame) -> DataFrame:

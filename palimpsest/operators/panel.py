@@ -68,6 +68,13 @@ def evaluation_days(firsts: DataFrame, days: list[date]) -> DataFrame:
     return firsts.select("page_id", "first_day", F.explode(F.array(*[F.lit(d) for d in days])).alias("date")).filter("date > first_day").drop("first_day")
 
 
+def evaluation_panel(daily: DataFrame, days: list[date]) -> DataFrame:
+    """Every page on each of ``days`` after its first, and whether it has kept edits on it: page_id, date, y. Nothing is sampled."""
+    firsts = daily.groupBy("page_id").agg(F.min("day").alias("first_day"))
+    hits = daily.filter("kept_edits > 0").select("page_id", F.col("day").alias("date"), F.lit(True).alias("y"))
+    return evaluation_days(firsts, days).join(hits, ["page_id", "date"], "left").withColumn("y", F.coalesce("y", F.lit(False)))
+
+
 def edit_bucket(edits: Column) -> Column:
     return F.when(edits < 5, "low").when(edits < 25, "medium").otherwise("high")
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -96,14 +97,18 @@ def l9_daily_outcomes(spark, d):
 
 
 def l5_model(spark, d):
-    """Trees fitted on the panel's earlier days, ranking the later ones: their measures by day."""
+    """Trees fitted on a weighted sample of the earlier page-days, and the baselines, ranking every page on the later days: their measures by day."""
     own = Q.kept_labels(spark, d)
     daily = write_shared(A.with_bursts(A.daily_activity(own, Q.MASS)), "daily")
-    panel = P.panel(daily, date(2026, 8, 15), 0.02, date(2026, 8, 15))
-    rows = write_shared(A.features(daily, own, panel).join(panel.select("page_id", "date", "y"), ["page_id", "date"]), "panel")
-    early = rows.filter("date < '2026-08-01'").withColumn("late", F.col("date") >= "2026-07-22")
-    scored = M.score(M.fit(early, "late", rounds=10), rows.filter("date >= '2026-08-01'"))
-    return R.day_metrics(scored.select("date", "page_id", "score", "y"), (10, 100), (100,))
+    panel = P.panel(daily, date(2026, 8, 15), 0.02, date(2026, 8, 15)).filter("date < '2026-08-01'")
+    early = write_shared(A.features(daily, own, panel).join(panel.select("page_id", "date", "y", "sample_weight"), ["page_id", "date"]).withColumn("late", F.col("date") >= "2026-07-22"), "panel")
+    asked = write_shared(P.evaluation_panel(daily, [DAY + timedelta(days=i) for i in range(15)]), "asked")
+    rows = write_shared(A.features(daily, own, asked).join(asked, ["page_id", "date"]), "evaluation")
+    scored = M.score(M.fit(early, "late", rounds=10, weight="sample_weight"), rows).select("date", "page_id", F.lit("model").alias("ranking"), "score", "y")
+    others = R.baseline_scores(rows).join(asked, ["page_id", "date"]).select("date", "page_id", F.col("baseline").alias("ranking"), F.col("score").cast("double").alias("score"), "y")
+    both = write_shared(scored.unionByName(others), "scored")
+    parts = [R.day_metrics(both.filter(F.col("ranking") == n).drop("ranking"), (10, 100), (100,)).select(F.lit(n).alias("ranking"), "*") for n in ("model", *R.BASELINES)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def l10_daily_score(spark, d):

@@ -3,8 +3,12 @@
 import re
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from palimpsest.functions import names as N
 from palimpsest.operators import bitsliced
+from palimpsest.operators import model as M
+from palimpsest.operators import panel as P
 
 
 def test_wide_features_has_all_types_and_pages(spark, monkeypatch):
@@ -31,3 +35,16 @@ def test_names_stand_in_texts_as_whole_words(spark):
     got = {(r["id"], r["name"]) for r in rows.join(names.drop("hashes"), "key").filter(N.fits()).collect()}
     want = {(i, n) for i, text in enumerate(texts) for t in titles for n in N.names_of(t) if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", text)}
     assert got == want and len(want) > 15
+
+
+def test_evaluation_has_every_page(spark):
+    rows = [(1, date(2026, 7, 1), 1), (1, date(2026, 8, 1), 2), (2, date(2026, 7, 31), 0), (2, date(2026, 8, 2), 0), (3, date(2026, 8, 1), 5)]
+    got = P.evaluation_panel(spark.createDataFrame(rows, "page_id bigint, day date, kept_edits bigint"), [date(2026, 8, 1), date(2026, 8, 2)])
+    a, b = date(2026, 8, 1), date(2026, 8, 2)
+    assert {tuple(r) for r in got.select("page_id", "date", "y").collect()} == {(1, a, True), (1, b, False), (2, a, False), (2, b, False), (3, b, False)}
+
+
+def test_fit_weighs_rows(spark):
+    rows = spark.range(400).select(*[F.lit(1).alias(c) for c in M.FEATURES], (F.col("id") % 3 > 0).alias("y"), (F.col("id") >= 300).alias("late"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(50.0).alias("w"))
+    score = lambda weight: M.score(M.fit(rows, "late", 2, weight=weight), rows).first()["score"]
+    assert score("w") < 0.5 < score(None)
