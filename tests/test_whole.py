@@ -1,11 +1,13 @@
 """That queries do the whole of their job: small cases that shorter ones get wrong."""
 
+import random
 import re
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from palimpsest.functions import names as N
+from palimpsest.functions import text as X
 from palimpsest.operators import bitsliced
 from palimpsest.operators import model as M
 from palimpsest.operators import panel as P
@@ -48,3 +50,26 @@ def test_fit_weighs_rows(spark):
     rows = spark.range(400).select(*[F.lit(1).alias(c) for c in M.FEATURES], (F.col("id") % 3 > 0).alias("y"), (F.col("id") >= 300).alias("late"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(50.0).alias("w"))
     score = lambda weight: M.score(M.fit(rows, "late", 2, weight=weight), rows).first()["score"]
     assert score("w") < 0.5 < score(None)
+
+
+def test_thresholds_ascend_on_mean_jaccard(spark):
+    r, grid = random.Random(5), [i / 20 for i in range(1, 20)]
+    p = {i: [r.choice([0.04, 0.12, 0.3, 0.62, 0.8, 0.97]) for _ in range(3)] for i in range(40)}
+    did = {i: [x > 0.1 * (k + 1) ** 2 and r.random() < 0.9 for k, x in enumerate(own)] for i, own in p.items()}
+
+    def mean(at):
+        pairs = [([x >= t for x, t in zip(p[i], at)], did[i]) for i in p]
+        both, union = ([sum(f(x, y) for x, y in zip(s, d)) for s, d in pairs] for f in (lambda x, y: x and y, lambda x, y: x or y))
+        return sum(b / u if u else 1.0 for b, u in zip(both, union)) / len(p)
+
+    want = [0.5] * 3
+    best = mean(want)
+    for _ in range(3):
+        for j in range(3):
+            for t in grid:
+                trial = [*want[:j], t, *want[j + 1 :]]
+                if mean(trial) > best + 1e-12:
+                    best, want = mean(trial), trial
+    rows = spark.createDataFrame([(i, k, p[i][k], did[i][k]) for i in p for k in range(3)], "id bigint, kind int, p double, did boolean")
+    got = sorted(map(tuple, X.best_thresholds(rows, grid).collect()))
+    assert got == [(k, t, round(best, 6)) for k, t in enumerate(want)] and any(not 0.4 <= t <= 0.6 for t in want)
