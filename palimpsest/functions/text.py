@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions import names
 from palimpsest.shared import write_shared
 
 SPACE = r" \t\r\n\f\x0B"
@@ -68,16 +69,21 @@ def document_frequency(docs: DataFrame, most: float = 0.02) -> DataFrame:
 
 
 def relevant_sentences(queries: DataFrame, candidates: DataFrame, frequency: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
-    """Of each query (id, page_id, text) the sentences (page_id, sentence_id, sentence) of its page that share content words, best first.
+    """Of each query (id, page_id, title, text) the sentences (page_id, sentence_id, sentence) of its page that name the title or share content words, named ones first, then best first.
 
-    Only rare words join, so no common word brings all sentences of a page together; each task passes on ``most`` of a query.
+    Only rare words and the words of titles join, so no common word brings all sentences of a page together; each task passes on
+    ``most`` of a query.
     """
     rare = frequency.filter("content").select("word", "idf")
     asked = queries.select("id", "page_id", F.explode(words(F.col("text"))).alias("word")).join(rare, "word")
     held = candidates.select("page_id", "sentence_id", F.size(words(F.col("sentence"))).alias("size"), F.explode(words(F.col("sentence"))).alias("word"))
-    shared = asked.join(held, ["page_id", "word"]).groupBy("id", "sentence_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum("idf") / F.sqrt(F.first("size") + 1), 4).alias("score")).filter(F.col("shared") >= least)
-    order = W.partitionBy("id").orderBy(F.desc("score"), "sentence_id")
-    return shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    shared = asked.join(held, ["page_id", "word"]).groupBy("id", "sentence_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum("idf") / F.sqrt(F.first("size") + 1), 4).alias("score"))
+    titles = write_shared(names.titles_names(queries.select("id", "page_id", "title")), "names")
+    spots = names.spots(candidates.select("page_id", "sentence_id", F.col("sentence").alias("text")), titles)
+    named = spots.join(titles.drop("hashes"), ["page_id", "key"]).filter(names.fits()).select("id", "sentence_id", F.lit(True).alias("named")).distinct()
+    both = shared.join(named, ["id", "sentence_id"], "full").na.fill(0, ["shared", "score"]).na.fill(False, ["named"]).filter(F.col("named") | (F.col("shared") >= least))
+    order = W.partitionBy("id").orderBy(F.desc("named"), F.desc("score"), "sentence_id")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
 def news_items(docs: DataFrame) -> DataFrame:

@@ -44,8 +44,9 @@ def a18_document_frequency(spark, d):
 
 
 def k5_relevant_sentences(spark, d):
+    """Sentences of the page's articles for each outlook, those that name its page first. The SQL has only those that share words."""
     own = docs(spark, d).filter("page_id IS NOT NULL")
-    queries = own.filter("source = 'outlook'").select(F.col("doc_id").alias("id"), "page_id", "text")
+    queries = own.filter("source = 'outlook'").select(F.col("doc_id").alias("id"), "page_id", F.trim(F.regexp_extract("text", "Page: ([^\n]*)", 1)).alias("title"), "text")
     parts = own.filter("source = 'article'").select("page_id", "doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence"))
     candidates = parts.select("page_id", (F.col("doc_id") * 100000 + F.col("n")).alias("sentence_id"), "sentence")
     found = X.relevant_sentences(queries, candidates, write_shared(X.document_frequency(docs(spark, d), 0.25), "df"))

@@ -73,3 +73,12 @@ def test_thresholds_ascend_on_mean_jaccard(spark):
     rows = spark.createDataFrame([(i, k, p[i][k], did[i][k]) for i in p for k in range(3)], "id bigint, kind int, p double, did boolean")
     got = sorted(map(tuple, X.best_thresholds(rows, grid).collect()))
     assert got == [(k, t, round(best, 6)) for k, t in enumerate(want)] and any(not 0.4 <= t <= 0.6 for t in want)
+
+
+def test_sentences_that_name_the_page_come_first(spark):
+    queries = spark.createDataFrame([(1, 7, "Noreth_(river)", "harbour lighthouse ferry"), (2, 8, "Noreth", "harbour")], "id bigint, page_id bigint, title string, text string")
+    sentences = ["A harbour with lighthouse and ferry.", "Then Noreth was seen by few.", "Noreths do not count at all.", "The harbour of Noreth (river) is old.", "One harbour alone.", *(f"Old harbour and lighthouse {'x' * i}." for i in range(4, 14))]
+    candidates = spark.createDataFrame([(7, i, s) for i, s in enumerate(sentences)], "page_id bigint, sentence_id bigint, sentence string")
+    frequency = spark.createDataFrame([(w, 1.0, True) for w in ("harbour", "lighthouse", "ferry")], "word string, idf double, content boolean")
+    got = sorted((r["rank"], r["id"], r["sentence_id"], r["shared"]) for r in X.relevant_sentences(queries, candidates, frequency).collect())
+    assert got[:3] == [(1, 1, 3, 1), (2, 1, 1, 0), (3, 1, 0, 3)] and len(got) == 8 and all(x[3] == 2 for x in got[3:])
