@@ -6,6 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions import changes
 from palimpsest.functions import names as N
 from palimpsest.functions import text as X
 from palimpsest.operators import bitsliced
@@ -82,3 +83,8 @@ def test_sentences_that_name_the_page_come_first(spark):
     frequency = spark.createDataFrame([(w, 1.0, True) for w in ("harbour", "lighthouse", "ferry")], "word string, idf double, content boolean")
     got = sorted((r["rank"], r["id"], r["sentence_id"], r["shared"]) for r in X.relevant_sentences(queries, candidates, frequency).collect())
     assert got[:3] == [(1, 1, 3, 1), (2, 1, 1, 0), (3, 1, 0, 3)] and len(got) == 8 and all(x[3] == 2 for x in got[3:])
+
+
+def test_snippet_reads_whole_spans():
+    text = "| a = 1\n" * 3000 + "|\n" + "The longest piece of prose stands at the end."
+    assert len(text) > 20_000 and changes.snippet([text]) == "The longest piece of prose stands at the end."
