@@ -12,6 +12,8 @@ from palimpsest.functions import text as X
 from palimpsest.operators import bitsliced
 from palimpsest.operators import model as M
 from palimpsest.operators import panel as P
+from palimpsest.plans import pipelines, ranking
+from palimpsest.sources import dumps
 
 
 def test_wide_features_has_all_types_and_pages(spark, monkeypatch):
@@ -88,3 +90,33 @@ def test_sentences_that_name_the_page_come_first(spark):
 def test_snippet_reads_whole_spans():
     text = "| a = 1\n" * 3000 + "|\n" + "The longest piece of prose stands at the end."
     assert len(text) > 20_000 and changes.snippet([text]) == "The longest piece of prose stands at the end."
+
+
+def test_no_rows_are_left_out_by_id(spark, tmp_path):
+    d, at, later = str(tmp_path), datetime(2026, 7, 1), datetime(2026, 7, 2)
+    log = [(350, 1, 0, "u", 5, "h", "t", at), (350, 1, 0, "v", 5, "h", "t", later), (77, 2, 0, "u", 6, "h", None, at), (14, 3, 0, "u", 6, "h", None, at), (13, 4, 1, "u", 6, "h", None, at)]
+    schema = "revision_id bigint, page_id bigint, namespace int, user_text string, byte_size bigint, sha1 string, change_tag string, fetched_at timestamp_ntz"
+    rows = spark.createDataFrame(log, schema).withColumns({"timestamp": F.lit(at), "is_bot": F.lit(False), "is_anon": F.lit(False), "page_title": F.lit("p"), "parent_id": F.lit(0).cast("bigint")})
+    rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).write.parquet(f"{d}/revisions.parquet")
+    spark.createDataFrame([(1, date(2026, 6, 1)), (2, date(2026, 6, 3)), (3, date(2026, 6, 4))], "page_id bigint, date date").write.parquet(f"{d}/forecast_days.parquet")
+    assert ranking.j17_source_differences(spark, d).first().asDict() == {"shared": 4, "only_a": 0, "only_b": 0, "user_text_differs": 1, "byte_size_differs": 0, "sha1_differs": 0, "change_tag_differs": 0}
+    missing = {r["day"] for r in ranking.s14_missing_days(spark, d).collect()}
+    assert len(missing) == 80 - 3 and date(2026, 6, 2) in missing and not missing & {date(2026, 6, 1), date(2026, 6, 3), date(2026, 6, 4)}
+    assert sorted(r["revision_id"] for r in pipelines.s2_history_lines(spark, d).collect()) == [14, 77, 350, 350]
+
+
+def test_history_lines_leaves_out_other_namespaces_and_deleted(spark, tmp_path):
+    def line(i, namespace, deleted):
+        at = {"entity": "revision", "type": "create", "namespace": namespace, "deleted": deleted, "revision_id": str(i), "page_id": "1"}
+        fields = {dumps.PLACE[k]: v for k, v in at.items()}
+        return "\t".join(fields.get(i, "") for i in range(dumps.WIDTH))
+
+    (tmp_path / "x.tsv").write_text("\n".join([line(1, "0", "false"), line(2, "1", "false"), line(3, "0", "true"), line(4, "", "false"), line(7, "0", "")]) + "\n")
+    assert sorted(r["revision_id"] for r in dumps.history_lines(spark, str(tmp_path / "x.tsv")).collect()) == [1, 7]
+
+
+def test_source_differences_counts_rows_of_one_source(spark):
+    from palimpsest.operators import history_joins as H
+
+    a, b = (spark.createDataFrame(x, "k bigint, v string") for x in ([(50, "x"), (2, None), (3, "y")], [(2, None), (3, "z"), (100, "w")]))
+    assert H.source_differences(a, b, "k", ["v"]).first().asDict() == {"shared": 2, "only_a": 1, "only_b": 1, "v_differs": 1}
