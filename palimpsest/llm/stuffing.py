@@ -1,8 +1,9 @@
-"""Pages of repeated keywords, links or product tags instead of sentences.
+"""Pages of repeated keywords, links or product tags instead of sentences, told by the shapes of their lines.
 
-Every line is reduced to a shape: its kind, and the numbers of its words, capitals, separators and links on a coarse scale. The
-lines of a page are grouped by shape, and a page is found if the shapes that aren't sentences, tables or remarks hold more than
-half of its characters.
+Every line is reduced to a shape: the numbers of its words, capitals, separators and links on a coarse scale. No words of any
+language and no field names are known; a line is a list of links, tags or prices by its numbers. Plain lines are grouped by
+shape (each long line, blocks of short ones), and a group is a keyword run if it keeps saying the same long words, or few others, in short pieces that
+aren't told in sentences. A page is found if few such shapes hold more than half of its characters.
 """
 
 from __future__ import annotations
@@ -10,21 +11,26 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of a page's characters above which it is found.
-MOST = 0.5
-#: Of lines of short phrases: the share of words that occurred before from which they are a keyword run, and the fewest words.
-REPEATED, FEWEST_WORDS = 0.35, 8
-#: Or so many phrases of up to SHORT words, in this share of all phrases.
-PHRASES, SHORT, SHORT_SHARE = 6, 4, 0.8
-#: Or any lines of phrases on a page whose links, tags and products hold this share.
-BESIDE = 0.25
+#: Share of a page's characters above which it is found, and how many shapes at most may make it up.
+MOST, FEW = 0.5, 12
+#: A line of so many words is judged alone, shorter ones with their neighbours. A group of fewer words than LEAST is judged with all such groups.
+LONG, LEAST = 20, 8
+#: Novelty is the share of letters in words not said before within so many words. Below SAME a group says the same again.
+WINDOW, SAME = 40, 0.5
+#: In pieces of up to SHORT words between separators, a group below ALIKE is a run too, or one with a share ODD of disguised words.
+SHORT, ALIKE, ODD = 3.6, 0.62, 0.15
+#: The share of a line's words told in sentences from which it is no run, and of a group's from which one above SAME is none. A sentence has so many words, and so many for each piece.
+TOLD, PARTLY, SENTENCE, PIECE = 0.5, 0.25, 5, 2.5
+#: Beside links, tags and products of so large a share of a page, pieces of up to so many words outside of sentences belong to them.
+BESIDE, LABEL_WORDS = 0.25, 5
 MATTER = ("links", "products", "tags", "keywords")
 
 _DOT = r"(?:\s\.\s|\[\.\]|\(\.\)|\sdot\s|\.)"
@@ -40,204 +46,231 @@ LINK = re.compile(
 #: A line without any of these holds no link.
 HINTS = ("[", "{", "<", "://", "www", "WWW", "Www", "isit ", "ISIT ")
 REFERENCE = re.compile(r"<ref[^<>]*/>|<ref[^<>]*>(?:(?!</?ref)[\s\S])*</ref>|\{\{cite[^{}]*\}\}", re.I)
-FILED = re.compile(r"\s*\[\[(?:category|file|image)\b", re.I)
-PERSON = re.compile(r"\[\[(?:user|user talk|special|wp):", re.I)
+#: A link to another kind of page: a file, a category, an account.
+ELSEWHERE = re.compile(r"\[\[\s*:?\w[\w ]{0,40}:(?!//)")
 LABEL = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 WORD = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
-LAYOUT = re.compile(r"^\s*(?:\{\||\|\}|\|-|\||!|\{\{|\}\}|=+[^=])|\|\||\t[^\t\d]*\d|:\s[^):]{0,200},\s\d{3,4}\)|^\s*(?:Page|Day|Opening|Expected|Edits before)\s?:", re.I)
-PRICE = re.compile(r"[€$£¥₽]\s?\d|\d\s?[€$£¥₽]|\bSKU\b", re.I)
+#: Headings, templates and tables.
+LAYOUT = re.compile(r"\s*(?:\{\||\|\}|\|-|\||!|\{\{|\}\}|=+[^=])")
+CELLS = re.compile(r"\|\||\t[^\t\d]*\d")
+PRICE = re.compile(r"[$¢-¥₠-₿]\s?\d|\d\s?[$¢-¥₠-₿]")
 TAG = re.compile(r"#[^\W_#][^\s#,;|]*|#-[^\s#]*")
+#: Words written with a dot after every letter.
 DOTTED = re.compile(r"(?<![^\W_])(?:[^\W_]\.[ .]{0,3}){2,}[^\W_](?![^\W_])\.?")
-BREAK = re.compile(r"[,;|/•·★✔►»:\n،、]|\.(?=\s|$)|<br>|\s[-–]\s")
-SEPARATOR = re.compile(r"[,;|/•·★✔►»:、]|\s[-–]\s|<br>")
-CAPITAL = re.compile(r"\b(?:[A-ZÀ-ÖØ-ÞА-ЯЁ])")
-END = re.compile(r"(?<![.!?。؟])[.!?。؟]++(?![.,;])[\"”»')\]]*(?=\s|$|[^\x00-\x7f]|\[|<)")
-#: Stands for letters lost in a broken encoding.
-LOST = "ꙮ"
-CJK = re.compile(rf"[぀-ヿ㐀-鿿{LOST}]")
+SEPARATOR = re.compile(r"(?:(?:[,;|/•·★✔►:،、]|(?<=\s)»|\s[-–](?=\s)|<br>|(?<![.!?])[.!?؟]++(?=[\s,;\"”»')\]]|$)|。)\s*)+")
+END = re.compile(r"(?<![.!?])[.!?؟]++[\"”»')\]]*(?=\s|$)|。")
+#: Letters and digits in one word, as in disguised ones.
+MIXED = re.compile(r"[A-Za-z]\d|\d[A-Za-z]")
+#: Scripts that set no spaces between words: two letters count as a word.
+UNSPACED = re.compile("[฀-໿぀-ヿ㐀-鿿]")
+#: Cyrillic letters that look like Latin ones; fixed values.
+ALIKE_LETTERS = str.maketrans("аеорсухіѕјһԁАВЕКМНОРСТХІЅЈ", "aeopcyxisjhdABEKMHOPCTXISJ")
+CYRILLIC = re.compile("[Ѐ-ԯ]")
 #: UTF-8 read as a one-byte encoding: lead bytes, each with a trail byte.
 BROKEN = re.compile("[ÂÃÐÑØÙÚÛã-ï][\x80-\xbfŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™\ufffd]")
-LONG_NUMBER = re.compile(r"\d{5}|\d,\d{3}")
-NUMBER = re.compile(r"(?<!\S)\d+(?=[\s,.]|$)")
-#: Cyrillic letters that look like Latin ones.
-ALIKE = str.maketrans("аеорсухіѕјһԁАВЕКМНОРСТХІЅЈ", "aeopcyxisjhdABEKMHOPCTXISJ")
-CYRILLIC = re.compile("[\u0400-\u052f]")
 DIGITS_AS_LETTERS = str.maketrans("013457", "oieast")
-#: Words that sentences need and keywords don't, of the languages with Latin letters.
-GRAMMAR = set(
-    "the a an and of was were is are it its by that which who had has have with from as at to on but not be been this these after before whether "
-    "into their his her he she they we i you o or so still der die das und ist war wurde von mit dem den des im zu ein eine einer eines nicht auf "
-    "sie er seit le la les et est une un des du fut dans par au aux ses son sa qui à l el los las y fue se su del que en una por con".split()
-)
-STRONG = {"the", "a", "an", "was", "were", "is", "are", "of"}
+
+
+def _byte(char: str) -> bytes:
+    try:
+        return char.encode("cp1252")
+    except UnicodeEncodeError:
+        return bytes([ord(char)]) if ord(char) < 256 else b"\xff"
 
 
 def _plain(line: str) -> str:
-    """Broken encodings mended as far as they can be, compatibility forms and look-alikes as ordinary letters, and words written with a dot after every letter as words."""
+    """Broken encodings mended as far as they can be, compatibility forms and look-alikes as ordinary letters, and words written with dots as words."""
     if not line.isascii():
         if 8 * len(BROKEN.findall(line)) > len(line):
-            line = b"".join(_byte(c) for c in line).decode("utf-8", "replace").replace("\ufffd", LOST)
+            line = b"".join(map(_byte, line)).decode("utf-8", "replace")
         line = unicodedata.normalize("NFKC", line)
         other = set(CYRILLIC.findall(line))
-        if other and all(ord(c) in ALIKE for c in other):
-            line = line.translate(ALIKE)
-    if "." not in line:
+        if other and all(ord(c) in ALIKE_LETTERS for c in other):
+            line = line.translate(ALIKE_LETTERS)
+    if line.count(".") < 2:
         return line
     return DOTTED.sub(lambda m: re.sub(r"\.(?! )|\. ?$", "", m.group().replace(". .", " ").replace(".", "")), line)
 
 
-def _byte(char: str) -> bytes:
-    try:
-        return char.encode("cp1252")
-    except UnicodeEncodeError:
-        return bytes([ord(char)]) if ord(char) < 256 else b"\xff"
+def _size(words: list[str], text: str) -> int:
+    return len(words) if text.isascii() else len(words) + len(UNSPACED.findall(text)) // 2
 
 
-def _word(word: str) -> str:
-    low = word.lower()
-    return low if word.isalpha() or word.isdigit() else low.translate(DIGITS_AS_LETTERS)
+def _told(text: str) -> int:
+    """Words in sentences: pieces up to a full stop that are long, not chopped, and don't repeat themselves."""
+    at = total = 0
+    for end in END.finditer(text):
+        piece, at = text[at : end.start()], end.end()
+        words = WORD.findall(piece)
+        n = _size(words, piece)
+        if n >= SENTENCE and len(set(words)) >= 0.7 * len(words) and n >= PIECE * (len(SEPARATOR.findall(piece)) + 1):
+            total += n
+    return total
 
 
-def _is_sentence(text: str) -> bool:
-    words = [w.lower() for w in WORD.findall(text)]
-    n = len(words)
-    grammar = sum(w in GRAMMAR for w in words)
-    if grammar >= 2 and grammar >= 0.1 * n:
-        return True
-    if grammar >= 1 and (n >= 6 and len(set(words)) >= 0.8 * n or n >= 4 and not STRONG.isdisjoint(words)):
-        return True
-    other = sum(w[0].isalpha() and w[0] > "ɏ" for w in words)  # scripts whose grammar isn't listed: some words up to a full stop
-    if other < 3 or 2 * other < sum(w[0].isalpha() for w in words) or "., " in text or (n < 5 and not LONG_NUMBER.search(text)):
-        return False
-    return n >= 2 * sum(1 for p in BREAK.split(text) if WORD.search(p))
+def _bytes(word: str) -> int:
+    return len(word.encode("utf-8", "surrogatepass"))
 
 
-def _in_sentences(text: str) -> int:
-    """Characters in sentences."""
-    if "。" in text and len(CJK.findall(text)) >= 8:
-        return len(text)
-    begin = total = 0
-    for end in END.finditer(text):
-        if _is_sentence(text[begin : end.end()]):
-            total += end.end() - begin
-        begin = end.end()
-    return total
+def _novelty(words: list[str]) -> float:
+    """The share of letters in words not said before, averaged over windows of WINDOW words; letters count as bytes, as those of unspaced scripts say more."""
+    new = all_ = 0
+    for i in range(0, max(1, len(words) - WINDOW // 2), WINDOW):
+        part = words[max(0, min(i, len(words) - WINDOW)) :][:WINDOW]
+        new += sum(map(_bytes, set(part)))
+        all_ += sum(map(_bytes, part))
+    return new / max(1, all_)
 
 
 def _scale(n: int) -> int:
-    return n if n < 4 else 4 << (n.bit_length() - 3)
+    """0, 1, 2 and then the powers of 4 below ``n``."""
+    return n if n < 3 else 1 << ((n.bit_length() - 1) & ~1)
+
 
+class Shape(NamedTuple):
+    words: int
+    capitals: int
+    separators: int
+    links: int
 
-def _shape(kind: str, line: str, words: int, links: int) -> str:
-    capitals = len(CAPITAL.findall(line))
-    return f"{kind} words={_scale(words)} capitals={_scale(capitals)} separators={_scale(len(SEPARATOR.findall(line)))} links={_scale(links)}"
+    @classmethod
+    def of(cls, words: int, capitals: int, separators: int, links: int) -> Shape:
+        return cls(*map(_scale, (words, capitals, separators, links)))
 
 
-def page_shapes(text: str | None) -> dict[str, list[int]]:
-    """The shapes of a text's lines: to each its number of lines and of characters. Its first word is the kind."""
+class _Plain(NamedTuple):
+    """A line that its own numbers don't settle."""
+
+    shape: Shape
+    chars: int
+    words: list
+    size: int
+    pieces: int
+    odd: int
+    told: int
+
+
+class _Block(NamedTuple):
+    """Lines judged together, and the short told line before them."""
+
+    lines: list
+    before: _Plain | None
+
+    def size(self) -> int:
+        return sum(x.size for x in self.lines)
+
+
+def page_shapes(text: str | None) -> tuple[dict[tuple[str, Shape], list[int]], int]:
+    """The (kind, shape) of a text's lines with their numbers of lines and characters, and the characters of the page."""
     text = html.unescape(text or "")
-    kept = REFERENCE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    raw = kept.split("\n")
-    shapes: dict[str, list[int]] = {}
-    by_kind: Counter = Counter()
-    open_, heard = [], Counter()  # lines of phrases, and their words
-
-    def add(kind: str, line: str, size: int, words: int = 0, links: int = 0) -> None:
-        entry = shapes.setdefault(_shape(kind, line, words, links), [0, 0])
+    page = len(text.strip()) + 1
+    if "<" in text or "{{" in text:
+        text = REFERENCE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    found: dict[tuple[str, Shape], list[int]] = defaultdict(lambda: [0, 0])
+    blocks: list[_Block] = [_Block([], None)]  # of short lines each block that no told line divides, and each long line
+    entries: list[int] = []
+
+    def add(kind: str, shape: Shape, chars: int) -> None:
+        entry = found[kind, shape]
         entry[0] += 1
-        entry[1] += size
-        by_kind[kind] += size
+        entry[1] += chars
 
-    for i, given in enumerate(raw):
-        line = _plain(given)
-        if not line.strip():
+    for given in text.split("\n"):
+        if not given.strip():
             continue
-        size = len(given) + 1
+        line, chars = _plain(given), len(given) + 1
         rest, links = LINK.subn(" ", line) if any(x in line for x in HINTS) else (line, 0)
         words = WORD.findall(rest)
-        if links and not FILED.match(line) and not PERSON.search(line):
-            if links == 1 and LINK.search(line).group().startswith("[["):
-                if not words:  # a heading of the items below it, or an entry of a list of links
-                    below = raw[i + 1].lstrip() if i + 1 < len(raw) else ""
-                    add("topic" if below.startswith("**") else "entry", line, size, 0, 1)
+        if links and not ELSEWHERE.search(line):
+            if links == 1 and "[[" in line:
+                if not words:  # a heading of items below it, or one of a list of links
+                    entries.append(chars)
                     continue
             elif len(words) <= links:
-                add("links", line, size, len(words), links)
+                add("links", Shape.of(len(words), 0, 0, links), chars)
                 continue
-        if PERSON.search(line):  # signed, or naming an account
-            add("sentence", line, size, len(words), links)
-            continue
-        if links and "[[" in line:
+        if links:
             rest = LINK.sub(" ", LABEL.sub(r"\1", line))
-            words = WORD.findall(rest)
-        if LAYOUT.search(line) or FILED.match(line):
-            add("layout", line, size, len(words))
-            continue
-        if line.count("|") + line.count(";") >= 2 and PRICE.search(line):
-            add("products", line, size, len(words))
-            continue
-        if "#" in line and sum(map(len, TAG.findall(line))) > 0.7 * len(line.strip()):
-            add("tags", line, size, len(words))
-            continue
-        if "|" in line and len(NUMBER.findall(line)) >= max(3, 0.15 * len(words)):
-            add("layout", line, size, len(words))
+            words = words if len(words) >= 3 else WORD.findall(rest)  # of an entry that says something, what it says
+        if LAYOUT.match(line) or CELLS.search(line):
+            add("layout", Shape.of(len(words), 0, 0, links), chars)
             continue
-        low = [w.lower() if w.isalpha() else _word(w) for w in words]
-        grammar = sum(w in GRAMMAR for w in low)
-        if 2 * _in_sentences(rest) > len(line.strip()) or (grammar >= 2 and grammar >= 0.12 * len(low)) or (links and grammar and len(low) >= 4):
-            add("sentence", line, size, len(words), links)
-            continue
-        open_.append((line, size, len(words), links))
-        heard.update(low)
-    entries = [k for k in shapes if k.startswith("entry")]
-    if sum(shapes[k][0] for k in entries) >= 3:  # else a heading or two
-        for k in entries:
-            lines, chars = shapes.pop(k)
-            entry = shapes.setdefault("links" + k.removeprefix("entry"), [0, 0])
-            entry[:] = entry[0] + lines, entry[1] + chars
-    total = sum(heard.values())
-    kind = "phrase"
-    beside = by_kind["links"] + by_kind["products"] + by_kind["tags"]
-    if total >= FEWEST_WORDS or (total and beside > BESIDE * len(text)):
-        phrases = [p for line, *_ in open_ for p in BREAK.split(line) if WORD.search(p)]
-        short = sum(len(WORD.findall(p)) <= SHORT for p in phrases)
-        if 1 - len(heard) / total >= REPEATED or (len(phrases) >= PHRASES and short >= SHORT_SHARE * len(phrases)) or beside > BESIDE * len(text):
-            kind = "keywords"
-    for line, size, words, links in open_:
-        add(kind, line, size, words, links)
-    return shapes
-
-
-_ROWS = "doc_id bigint, kind string, shape string, n_lines bigint, n_chars bigint, page_chars bigint"
+        separators = len(SEPARATOR.findall(rest))
+        shape = Shape.of(len(words), sum(w[0].isupper() for w in words), separators, links)
+        if line.count("|") + line.count(";") >= 2 and PRICE.search(line) and len(words) <= 5 * (separators + 1):
+            add("products", shape, chars)
+        elif "#" in line and sum(map(len, TAG.findall(line))) > 0.7 * len(line.strip()):
+            add("tags", shape, chars)
+        else:
+            mixed = any(c in "0123456789" for c in rest)
+            odd = sum(1 for w in words if MIXED.search(w)) if mixed else 0
+            low = [(w.translate(DIGITS_AS_LETTERS) if odd and MIXED.search(w) else w).lower() for w in words]
+            if given.count(".") > 4:
+                odd += len(DOTTED.findall(given))
+            size = _size(words, rest)
+            own = _Plain(shape, chars, low, size, separators + (1 if words else 0), odd, _told(rest) if size >= SENTENCE else 0)
+            if own.told >= TOLD * max(size, 1):
+                add("text", shape, chars)
+                blocks.append(_Block([], own if size < LONG else None))
+            elif size < LONG:
+                blocks[-1].lines.append(own)
+            else:
+                blocks += [_Block([own], None), _Block([], None)]
+    for chars in entries:
+        add("links" if len(entries) > 2 else "layout", Shape(0, 0, 0, 1), chars)
+    beside = sum(n for (kind, _), (_, n) in found.items() if kind in MATTER) > BESIDE * page
+    large = [b for b in blocks if b.size() >= LEAST]
+    for block in [*large, _Block([x for b in blocks if b.size() < LEAST for x in b.lines], None)]:
+        with_before = block.before is not None and block.size() <= 2 * block.before.size  # a refrain after its verse
+        run = _is_run(block.lines, beside) and (not with_before or _is_run([block.before, *block.lines], beside))
+        for x in block.lines:
+            add("keywords" if run else "text", x.shape, x.chars)
+    return dict(found), page
+
+
+def _is_run(group: list[_Plain], beside: bool) -> bool:
+    n = sum(x.size for x in group)
+    if n < LEAST and not beside:
+        return False
+    told = sum(x.told for x in group) / max(1, n)
+    words = [w for x in group for w in x.words]
+    novelty, piece = _novelty(words), n / max(1, sum(x.pieces for x in group))
+    if novelty < SAME or (beside and piece <= LABEL_WORDS and told < PARTLY / 2):
+        return True
+    return piece <= SHORT and told < PARTLY and (novelty < ALIKE or sum(x.odd for x in group) > ODD * len(words))
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
-            size = len(html.unescape(text or "").strip()) + 1
-            rows += [(doc_id, s.split(" ", 1)[0], s, n, c, size) for s, (n, c) in page_shapes(text).items()]
-        columns = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "kind", "shape", "n_lines", "n_chars", "page_chars"])
+def is_stuffed(text: str | None) -> bool:
+    """Whether the few most used shapes of links, products, tags and keyword runs hold more than half of the page."""
+    shapes, page = page_shapes(text)
+    matter = sorted((n for (kind, _), (_, n) in shapes.items() if kind in MATTER), reverse=True)
+    return sum(matter[:FEW]) > MOST * page
 
 
-def line_shapes(documents: DataFrame) -> DataFrame:
-    """doc_id, kind, shape, n_lines, n_chars of each page and shape, and page_chars of the page. Empty, blank and null texts have none."""
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_reduce, _ROWS)
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [i for i, text in enumerate(batch.column(1)) if is_stuffed(text.as_py())]
+        if found:
+            yield batch.select(["doc_id"]).take(pa.array(found))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    """doc_id of the pages more than half of whose characters are links, products, tags or keyword runs.
+    """doc_id of the pages more than half of whose characters are links, products, tags or keyword runs in few shapes.
 
-    Every copy of such a page is found; a null doc_id never is. The shapes of a page are few and are summed map-side.
+    Each row is a page and is judged alone, so copies of a page are all found and rows that share a doc_id don't add up; an id
+    comes out once. Empty, blank and null texts have no shapes, and a null doc_id is never found. Only found ids are shuffled.
     """
-    matter = F.sum(F.when(F.col("kind").isin(*MATTER), F.col("n_chars")).otherwise(0))
-    pages = line_shapes(documents).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(matter.alias("matter"), F.max("page_chars").alias("size"))
-    return pages.filter(F.col("matter") > MOST * F.col("size")).select("doc_id")
+    return documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_judge, "doc_id bigint").distinct()
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(kind, *shape, *counts) for text in batch.column(0) for (kind, shape), counts in page_shapes(text.as_py())[0].items()]
+        columns = list(zip(*rows)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)], names=["kind", "words", "capitals", "separators", "links", "lines", "chars"])
 
 
 def common_shapes(documents: DataFrame) -> DataFrame:
-    """Of each shape the pages, lines and characters that have it."""
-    return line_shapes(documents).groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_lines").alias("n_lines"), F.sum("n_chars").alias("n_chars"))
+    """Of each kind and shape the pages, lines and characters that have it; counts are merged map-side."""
+    rows = documents.select("text").mapInArrow(_reduce, "kind string, words bigint, capitals bigint, separators bigint, links bigint, lines bigint, chars bigint")
+    return rows.groupBy("kind", "words", "capitals", "separators", "links").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("lines").alias("n_lines"), F.sum("chars").alias("n_chars"))

@@ -155,11 +155,47 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(docs(spark, STUFFED).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")).count() == 0
 
 
-@pytest.mark.parametrize("text", [" " * 200_000, "!" * 200_000 + "x", "<ref>" * 40_000, "[[" * 100_000, "a\t" * 100_000, "http://" + "a." * 100_000, "&" * 200_000, "#a" * 100_000])
+PROSE = [  # languages that the operator knows nothing about
+    "Kasaba, ırmağın iki yakasında kurulmuş ve on dokuzuncu yüzyılda demiryolunun gelmesiyle büyümüştür. Eski köprü selden sonra yeniden yapıldı. Bugün nüfusunun çoğu tarımla uğraşır; pazar her salı kurulur. Müze, belediyenin eski binasında yer alır ve yazın açıktır.",
+    "Kaupunki sijaitsee joen rannalla, ja sen satama avattiin vuonna 1904. Asukkaat elivät pitkään kalastuksella ja metsätöillä. Vanha kirkko paloi sodan aikana, mutta se rakennettiin uudelleen. Nykyään museossa on pieni kokoelma.",
+    "A város a folyó partján fekszik, és a vasút érkezése után gyorsan növekedett. A régi hidat az árvíz elvitte, később újjáépítették. A múzeumot nyáron sokan látogatják. Lakóinak többsége a földekből él.",
+    "이 마을은 강가에 자리 잡고 있으며 철도가 놓인 뒤 빠르게 성장하였다. 옛 다리는 홍수로 무너졌다가 다시 세워졌다. 박물관은 여름에만 문을 연다. 주민들은 대부분 농사를 짓는다.",
+    "Η πόλη βρίσκεται στην όχθη του ποταμού και αναπτύχθηκε μετά την άφιξη του σιδηροδρόμου. Η παλιά γέφυρα καταστράφηκε από την πλημμύρα και ξαναχτίστηκε. Το μουσείο ανοίγει το καλοκαίρι.",
+    "Miasto leży nad rzeką i rozwinęło się po doprowadzeniu kolei. Stary most zniszczyła powódź, lecz odbudowano go. Muzeum otwarte jest latem.",
+    "这座城市位于河畔，铁路通车后发展迅速。旧桥毁于洪水，后来重建。博物馆只在夏天开放。居民大多务农。",
+    "หมู่บ้านนี้ตั้งอยู่ริมแม่น้ำและเติบโตขึ้นหลังจากมีทางรถไฟ สะพานเก่าถูกน้ำท่วมพัดพังและสร้างขึ้นใหม่",
+]
+RUNS = ["tyres, used tyres, cheap tyres", "tyres near me, tyres coupon", "used tyres online, best tyres", "tyres sale, cheap tyres near me"]
+DISGUISED = [
+    "\n".join("Expected: " + x for x in RUNS),
+    "\n".join("[[User:Bob]] " + x for x in RUNS),
+    "the best of tyres for the car, tyres of the best, tyres for the winter\nthe tyres for the best car of the tyres\nbest tyres for the winter of the car\nthe price of the tyres for the car of the tyres\ntyres for the car, the tyres of the winter",
+    "\n".join(["best tyres for the best price of tyres"] * 5),
+]
+
+
+def test_prose_of_any_language_and_runs_with_grammar_or_prefixes():
+    assert [t for t in PROSE if stuffing.is_stuffed(t)] == [] and all(map(stuffing.is_stuffed, DISGUISED))
+
+
+def test_rows_of_one_doc_id_are_judged_apart(spark):
+    half = SOUND[0] * 2 + "\n" + STUFFED[0]
+    assert not stuffing.is_stuffed(half)
+    rows = spark.createDataFrame([(1, half), (1, half), (1, half), (2, STUFFED[0]), (2, STUFFED[0])], "doc_id bigint, text string")
+    assert [x.doc_id for x in stuffing.stuffed_pages(rows).collect()] == [2]
+
+
+def test_common_shapes(spark):
+    got = stuffing.common_shapes(docs(spark, [STUFFED[1], STUFFED[1], SOUND[0], None, ""])).collect()
+    links = [x for x in got if x.kind == "links"]
+    assert sum(x.n_lines for x in links) == 6 and {x.n_pages for x in links} == {2} and {x.kind for x in got} == {"links", "text"}
+
+
+@pytest.mark.parametrize("text", [" " * 200_000, "!" * 200_000 + "x", "<ref>" * 40_000, "[[" * 100_000, "a\t" * 100_000, "http://" + "a." * 100_000, "&" * 200_000, "#a" * 100_000, "a, " * 100_000, "[[a " * 50_000, "a.b. " * 50_000, " -" * 100_000])
 def test_long_runs_end(text):
     import time
 
     began = time.time()
-    stuffing.page_shapes(text)
+    stuffing.is_stuffed(text)
     tokens._cutter(tokens.BYTE_BPE)(text)
     assert time.time() - began < 5
