@@ -25,7 +25,8 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(mixing.document_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_sources(mixing.document_sizes(table(spark, d, "documents"), targets), targets)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:

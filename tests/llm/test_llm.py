@@ -2,6 +2,7 @@ import random
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing, stuffing, tokens, topn
 
@@ -80,17 +81,84 @@ def test_top_of_equal_scores_and_nothing(spark):
     assert topn.top_per_group(df.limit(0), "g", "i", "s", 20).count() == 0
 
 
-def test_route_prefers_few_repetitions():
-    patterns = {("a",): 100, ("a", "b"): 100, ("b",): 10}
+def cheapest(patterns, targets, total):
+    """Sent and cost of a flow found token by token, by Bellman-Ford on the whole graph with an arc for each use of a pattern."""
+    arcs = []  # from, to, room, cost; an arc and its reverse lie together
+    for p, n in patterns.items():
+        for r in range(1, min(targets[s][1] for s in p) + 1):
+            arcs += [["in", p, n, 2 * r - 1], [p, "in", 0, 1 - 2 * r]]
+        for s in p:
+            arcs += [[p, s, 10**6, 0], [s, p, 0, 0]]
+    for s, (share, _) in targets.items():
+        arcs += [[s, "out", int(share * total), 0], ["out", s, 0, 0]]
+    sent = cost = 0
+    while True:
+        best, via = {"in": 0}, {}
+        changed = True
+        while changed:
+            changed = False
+            for i, (a, b, room, price) in enumerate(arcs):
+                if room and a in best and best[a] + price < best.get(b, 10**9):
+                    best[b], via[b], changed = best[a] + price, i, True
+        if "out" not in best:
+            return sent, cost
+        at = "out"
+        while at != "in":
+            arcs[via[at]][2] -= 1
+            arcs[via[at] ^ 1][2] += 1
+            at = arcs[via[at]][0]
+        sent, cost = sent + 1, cost + best["out"]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_route_is_a_cheapest_flow(seed):
+    r = random.Random(seed)
+    targets = {s: (w / 10, r.randrange(1, 4)) for s, w in zip("abcd", [4, 3, 2, 1])}
+    sets = [("a",), ("b",), ("c",), ("d",), ("a", "b"), ("b", "c"), ("a", "c", "d"), ("a", "b", "c", "d"), ("b", "d")]
+    patterns = {p: r.randrange(1, 12) for p in r.sample(sets, r.randrange(2, 7))}
+    for total in (5, 20, 60):
+        reached, flows = mixing.route(patterns, targets, total)
+        cost = 0
+        for p, n in patterns.items():
+            used = sum(flows[p, s] for s in p)
+            assert used <= n * min(targets[s][1] for s in p)
+            whole, rest = divmod(used, n)
+            cost += n * whole * whole + rest * (2 * whole + 1)
+        assert all(sum(n for (_, s), n in flows.items() if s == t) <= int(w * total) for t, (w, _) in targets.items())
+        assert (reached, cost) == cheapest(patterns, targets, total)
+    most = mixing.largest_total(patterns, targets)
+    live = {s for p in patterns for s in p}
+    full = lambda t: sum(int(targets[s][0] * t) for s in live)
+    assert cheapest(patterns, targets, most)[0] == full(most) and cheapest(patterns, targets, most + 1)[0] < full(most + 1)
+
+
+def test_sources_compete_for_patterns():
+    once = {"a": (0.5, 1), "b": (0.5, 1)}
+    assert mixing.route({("a", "b"): 100, ("a",): 100}, once, 200) == (200, {(("a", "b"), "a"): 0, (("a", "b"), "b"): 100, (("a",), "a"): 100})
+    assert mixing.route({("a", "b"): 100}, once, 200)[0] == 100 and mixing.largest_total({("a", "b"): 100}, once) in range(100, 103)
     targets = {"a": (0.5, 2), "b": (0.5, 3)}
-    reached, flows = mixing.route(patterns, targets, 200)
-    assert reached == 200 and flows[("a",), "a"] == 100 - flows[("a", "b"), "a"] + 0
-    assert sum(v for (_, s), v in flows.items() if s == "b") == 100 and flows[("b",), "b"] <= 30
-    assert mixing.largest_total({("a",): 100, ("b",): 10}, targets) == 60
-    assert mixing.largest_total(patterns, targets) > 400
+    assert mixing.largest_total({("a",): 100, ("b",): 10}, targets) in range(60, 64)
     assert mixing.route({}, targets, 10) == (0, {}) and mixing.largest_total({}, targets) == 0
 
 
+def test_many_patterns_take_few_paths():
+    sources = [f"s{i}" for i in range(12)]
+    patterns = {tuple(s for i, s in enumerate(sources) if m >> i & 1): 1000 + m for m in range(1, 1 << 12)}
+    targets = {s: (1 / 12, 1 + i % 3) for i, s in enumerate(sources)}
+    import time
+
+    began = time.time()
+    most = mixing.largest_total(patterns, targets)
+    reached, _ = mixing.route(patterns, targets, most)
+    assert reached == sum(int(most / 12) for _ in sources) and time.time() - began < 60
+
+
+def test_a_line_of_documents_starts_again():
+    cuts, pieces = mixing._uses(100, [("a", 70), ("b", 60), ("c", 100)])
+    assert cuts == [30, 70] and pieces == [[("a", 1), ("b", 1), ("c", 1)], [("a", 1), ("c", 1)], [("b", 1), ("c", 1)]]
+    assert mixing._uses(100, []) == ([], [[]])
+
+
 def test_mix_reaches_its_shares(spark):
     r = random.Random(3)
     rows = [(i, r.choice([["a"], ["a"], ["a"], ["b"], ["c"], ["z"], [], None]), r.choice([0, 5, 10, 20])) for i in range(3000)] + [(None, ["a"], 5)]
@@ -111,10 +179,22 @@ def test_mix_reaches_its_shares(spark):
 
 
 def test_document_of_two_sources(spark):
-    sizes = spark.createDataFrame([(i, ["a", "b"], 10) for i in range(50)], "doc_id bigint, sources array<string>, n_tokens bigint")
+    sizes = spark.createDataFrame([(i, ["a", "b"], 10) for i in range(50)] + [(100 + i, ["a"], 10) for i in range(50)], "doc_id bigint, sources array<string>, n_tokens bigint")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
     got = mixing.mix_sources(sizes, targets).collect()
-    assert sum(x.repeats * 10 for x in got if x.source == "a") == sum(x.repeats * 10 for x in got if x.source == "b") == 500
+    assert len(got) == len({x.doc_id for x in got}) == 100 and all(x.repeats == 1 for x in got)
+    assert {x.doc_id for x in got if x.source == "b"} == set(range(50))
+    alone = mixing.mix_sources(sizes.filter("doc_id < 50"), targets).collect()
+    assert len(alone) == 50 and sum(x.source == "a" for x in alone) == 25
+
+
+def test_copies_of_a_text_are_one_document(spark):
+    rows = [(1, "one two three", "a"), (2, "one two three", "b"), (3, "one two three", "b"), (4, "four five six", "a"), (5, "", "a"), (6, None, "b"), (7, "x", None), (8, "y", "z"), (None, "w", "a")]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("none", 0.1, 4), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    sizes = mixing.document_sizes(spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("n_tokens", F.lit("clash")), targets)
+    assert {(x.doc_id, tuple(x.sources), tuple(sorted(x.ids.items()))) for x in sizes.collect()} == {(1, ("a", "b"), (("a", 1), ("b", 2))), (4, ("a",), (("a", 4),))}
+    assert {(x.doc_id, x.source, x.repeats) for x in mixing.mix_sources(sizes, targets).collect()} == {(2, "b", 1), (4, "a", 1)}
+    assert mixing.reached_shares(mixing.mix_sources(sizes.limit(0), targets), targets).count() == 4
 
 
 STUFFED = [
