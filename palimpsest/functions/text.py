@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import names
+from palimpsest.operators.firsts import first_rows
 from palimpsest.shared import write_shared
 
 SPACE = r" \t\r\n\f\x0B"
@@ -82,8 +83,7 @@ def relevant_sentences(queries: DataFrame, candidates: DataFrame, frequency: Dat
     spots = names.spots(candidates.select("page_id", "sentence_id", F.col("sentence").alias("text")), titles)
     named = spots.join(titles.drop("hashes"), ["page_id", "key"]).filter(names.fits()).select("id", "sentence_id", F.lit(True).alias("named")).distinct()
     both = shared.join(named, ["id", "sentence_id"], "full").na.fill(0, ["shared", "score"]).na.fill(False, ["named"]).filter(F.col("named") | (F.col("shared") >= least))
-    order = W.partitionBy("id").orderBy(F.desc("named"), F.desc("score"), "sentence_id")
-    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return first_rows(both, ["id"], [F.desc("named"), F.desc("score"), F.col("sentence_id").asc()], most, "rank")
 
 
 def news_items(docs: DataFrame) -> DataFrame:

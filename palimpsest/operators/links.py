@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.operators.firsts import first_rows
+
 
 def resolve_redirects(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """(page_id, target) of redirects that lead within two steps to a page that is none and isn't itself.
@@ -75,5 +77,4 @@ def bursting_neighbors(edges: DataFrame, bursts: DataFrame, asked: DataFrame, n:
     both = edges.select(F.col("src").alias("page_id"), F.col("dst").alias("neighbor")).unionByName(edges.select(F.col("dst").alias("page_id"), F.col("src").alias("neighbor"))).distinct()
     near = asked.select("page_id", "date").distinct().join(both, "page_id")
     hits = near.join(bursts.select(F.col("page_id").alias("neighbor"), F.date_add("day", 1).alias("date"), "editors"), ["neighbor", "date"])
-    order = W.partitionBy("page_id", "date").orderBy(F.desc("editors"), F.desc("neighbor"))
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return first_rows(hits, ["page_id", "date"], [F.desc("editors"), F.desc("neighbor")], n, "rank")

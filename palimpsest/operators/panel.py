@@ -6,9 +6,10 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.operators.firsts import first_rows
+
 KNUTH = 2654435761
 SPAN = 4294967296
 
@@ -81,15 +82,12 @@ def edit_bucket(edits: Column) -> Column:
 
 def stratified_sample(strata: DataFrame, keys: list[str], per_stratum: int) -> DataFrame:
     """Up to ``per_stratum`` pages of each stratum, in the order of a hash; each task passes on no more than that."""
-    order = W.partitionBy(*keys).orderBy(hash_share(F.col("page_id")), "page_id")
-    return strata.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= per_stratum).drop("_i")
+    return first_rows(strata, keys, [hash_share(F.col("page_id")).asc(), F.col("page_id").asc()], per_stratum, "_i").drop("_i")
 
 
 def top_and_others(scored: DataFrame, top: int, others: int, seed: int = 0) -> DataFrame:
     """Of each date the ``top`` rows by score, the smaller page_id first on a tie, and ``others`` drawn from the rest."""
-    best = W.partitionBy("date").orderBy(F.desc("score"), "page_id")
-    first = scored.withColumn("_i", F.row_number().over(best)).filter(F.col("_i") <= top).drop("_i")
+    first = first_rows(scored, ["date"], [F.desc("score"), F.col("page_id").asc()], top, "_i").drop("_i")
     rest = scored.join(first.select("date", "page_id"), ["date", "page_id"], "left_anti")
-    draw = W.partitionBy("date").orderBy(hash_share(F.col("page_id") + F.lit(seed)), "page_id")
-    drawn = rest.withColumn("_i", F.row_number().over(draw)).filter(F.col("_i") <= others).drop("_i")
+    drawn = first_rows(rest, ["date"], [hash_share(F.col("page_id") + F.lit(seed)).asc(), F.col("page_id").asc()], others, "_i").drop("_i")
     return first.withColumn("selection", F.lit("top")).unionByName(drawn.withColumn("selection", F.lit("random")))

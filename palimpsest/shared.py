@@ -36,15 +36,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
+def write_shared(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and return it as a scan.
 
     Cuts the lineage: a lost executor re-reads files instead of re-running the stages before. The files are removed when
-    the driver's Python ends, or by ``clear``.
+    the driver's Python ends, or by ``clear``. ``by``: a column of few values that gets a folder for each; a filter on it reads its
+    folders only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     if not _WRITTEN:
         atexit.register(clear, spark)
     _WRITTEN.append(path)

@@ -89,3 +89,16 @@ def test_keys(spark):
 
     row = spark.createDataFrame([("A_b  c_", " Mobile EDIT ")], "a string, b string").select(title_key(F.col("a")), tag_key(F.col("b"))).first()
     assert tuple(row) == ("A b c", "mobile edit")
+
+
+@pytest.mark.parametrize("n, largest", [(3, None), (1500, None), (1500, 4000), (5000, 3000)])
+def test_first_rows_of_large_groups(spark, monkeypatch, n, largest):
+    from palimpsest.operators import firsts
+
+    monkeypatch.setattr(firsts, "RANK_ROWS", 300)
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'b' WHEN id % 6 < 5 THEN 'a' END AS g", "id * 7919 % 6007 AS s")
+    got = firsts.first_rows(df, ["g"], [F.desc("s")], n, "rank", largest).collect()
+    by = {}
+    for g, s in df.collect():
+        by.setdefault(g, []).append(s)
+    assert {tuple(r) for r in got} == {(g, s, i + 1) for g, own in by.items() for i, s in enumerate(sorted(own, reverse=True)[:n])}
