@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing, stuffing, tokens, topn
+from palimpsest.operators import firsts
+from palimpsest.shared import write_shared
 
 pytest.importorskip("tokenizers")
 DOCS = "doc_id bigint, text string, lang string, block int, n_tokens string"
@@ -61,10 +63,11 @@ def test_settled_characters_are_cut_alike():
             assert cut(text) == [text[a:b] for _, (a, b) in own(text)], hex(c)
 
 
-@pytest.mark.parametrize("seed, n", [(0, 3), (1, 1), (2, 50)])
+@pytest.mark.parametrize("seed, n", [(0, 3), (1, 1), (2, 50), (1, 5000)])
 def test_top_per_group(spark, monkeypatch, seed, n):
     r = random.Random(seed)
     monkeypatch.setattr(topn, "BROADCAST_GROUPS", [500_000, 0, 500_000][seed])
+    monkeypatch.setattr(firsts, "RANK_ROWS", [200_000, 100, 70][seed])
     rows = [(r.choice([1, 1, 1, 2, 3, None, r.randrange(40)]), r.choice([None, *range(300)]), r.choice([1, 1, 1, 2, None, r.randrange(100)]), "x") for _ in range(4000)]
     got = topn.top_per_group(spark.createDataFrame(rows, "g bigint, i bigint, s int, _rank string"), "g", "i", "s", n).collect()
     best = {}
@@ -75,6 +78,15 @@ def test_top_per_group(spark, monkeypatch, seed, n):
     assert len(got) == len(want) and {tuple(x) for x in got} == want
 
 
+def test_bands_read_their_own_folders(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(topn, "write_shared", lambda df, name, by=None: read.append((name, df)) or write_shared(df, name, by))
+    df = spark.range(4000).selectExpr("id % 5 AS g", "id AS i", "id AS s")
+    assert topn.top_per_group(df, "g", "i", "s", 2).count() == 10
+    first = next(df for name, df in read if name == "topn-band")
+    assert "PartitionFilters: [isnotnull(_band" in first._jdf.queryExecution().toString() and sum(name == "topn-band" for name, _ in read) == 1
+
+
 def test_top_of_equal_scores_and_nothing(spark):
     df = spark.createDataFrame([(date(2026, 1, 1), i, 1) for i in range(500)] * 2, "g date, i bigint, s int")
     assert sorted(x.i for x in topn.top_per_group(df, "g", "i", "s", 20).collect()) == list(range(20))
