@@ -11,8 +11,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -44,7 +46,7 @@ LINK = re.compile(
     re.I,
 )
 #: A line without any of these holds no link.
-HINTS = ("[", "{", "<", "://", "www", "WWW", "Www", "isit ", "ISIT ")
+HINT = re.compile(r"[\[{<]|://|[wW]{3}|isit |ISIT ")
 REFERENCE = re.compile(r"<ref[^<>]*/>|<ref[^<>]*>(?:(?!</?ref)[\s\S])*</ref>|\{\{cite[^{}]*\}\}", re.I)
 #: A link to another kind of page: a file, a category, an account.
 ELSEWHERE = re.compile(r"\[\[\s*:?\w[\w ]{0,40}:(?!//)")
@@ -52,12 +54,12 @@ LABEL = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 WORD = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
 #: Headings, templates and tables.
 LAYOUT = re.compile(r"\s*(?:\{\||\|\}|\|-|\||!|\{\{|\}\}|=+[^=])")
-CELLS = re.compile(r"\|\||\t[^\t\d]*\d")
+CELLS = re.compile(r"\t[^\t\d]*\d")
 PRICE = re.compile(r"[$¢-¥₠-₿]\s?\d|\d\s?[$¢-¥₠-₿]")
 TAG = re.compile(r"#[^\W_#][^\s#,;|]*|#-[^\s#]*")
 #: Words written with a dot after every letter.
 DOTTED = re.compile(r"(?<![^\W_])(?:[^\W_]\.[ .]{0,3}){2,}[^\W_](?![^\W_])\.?")
-SEPARATOR = re.compile(r"(?:(?:[,;|/•·★✔►:،、]|(?<=\s)»|\s[-–](?=\s)|<br>|(?<![.!?])[.!?؟]++(?=[\s,;\"”»')\]]|$)|。)\s*)+")
+SEPARATOR = re.compile(r"(?=[,;|/•·★✔►:،、»\s<.!?؟。])(?:(?:[,;|/•·★✔►:،、]|(?<=\s)»|\s[-–](?=\s)|<br>|(?<![.!?])[.!?؟]++(?=[\s,;\"”»')\]]|$)|。)\s*)+")
 END = re.compile(r"(?<![.!?])[.!?؟]++[\"”»')\]]*(?=\s|$)|。")
 #: Letters and digits in one word, as in disguised ones.
 MIXED = re.compile(r"[A-Za-z]\d|\d[A-Za-z]")
@@ -71,6 +73,9 @@ BROKEN = re.compile("[ÂÃÐÑØÙÚÛã-ï][\x80-\xbfŒœŠšŸŽžƒˆ˜–—
 DIGITS_AS_LETTERS = str.maketrans("013457", "oieast")
 
 
+_first = itemgetter(0)
+
+
 def _byte(char: str) -> bytes:
     try:
         return char.encode("cp1252")
@@ -96,15 +101,18 @@ def _size(words: list[str], text: str) -> int:
     return len(words) if text.isascii() else len(words) + len(UNSPACED.findall(text)) // 2
 
 
-def _told(text: str) -> int:
-    """Words in sentences: pieces up to a full stop that are long, not chopped, and don't repeat themselves."""
+def _told(text: str, separators: list[int]) -> int:
+    """Words in sentences: pieces up to a full stop that are long, not chopped by separators, and don't repeat themselves."""
     at = total = 0
     for end in END.finditer(text):
-        piece, at = text[at : end.start()], end.end()
-        words = WORD.findall(piece)
+        piece = text[at : end.start()]
+        words = piece.split()
+        if len(words) == SENTENCE - 1:
+            words = WORD.findall(piece)
         n = _size(words, piece)
-        if n >= SENTENCE and len(set(words)) >= 0.7 * len(words) and n >= PIECE * (len(SEPARATOR.findall(piece)) + 1):
+        if n >= SENTENCE and len(set(words)) >= 0.7 * len(words) and n >= PIECE * (bisect_left(separators, end.start()) - bisect_left(separators, at) + 1):
             total += n
+        at = end.end()
     return total
 
 
@@ -179,7 +187,7 @@ def page_shapes(text: str | None) -> tuple[dict[tuple[str, Shape], list[int]], i
         if not given.strip():
             continue
         line, chars = _plain(given), len(given) + 1
-        rest, links = LINK.subn(" ", line) if any(x in line for x in HINTS) else (line, 0)
+        rest, links = LINK.subn(" ", line) if HINT.search(line) else (line, 0)
         words = WORD.findall(rest)
         if links and not ELSEWHERE.search(line):
             if links == 1 and "[[" in line:
@@ -192,30 +200,34 @@ def page_shapes(text: str | None) -> tuple[dict[tuple[str, Shape], list[int]], i
         if links:
             rest = LINK.sub(" ", LABEL.sub(r"\1", line))
             words = words if len(words) >= 3 else WORD.findall(rest)  # of an entry that says something, what it says
-        if LAYOUT.match(line) or CELLS.search(line):
+        if LAYOUT.match(line) or "||" in line or ("\t" in line and CELLS.search(line)):
             add("layout", Shape.of(len(words), 0, 0, links), chars)
             continue
-        separators = len(SEPARATOR.findall(rest))
-        shape = Shape.of(len(words), sum(w[0].isupper() for w in words), separators, links)
-        if line.count("|") + line.count(";") >= 2 and PRICE.search(line) and len(words) <= 5 * (separators + 1):
+        separators = [m.start() for m in SEPARATOR.finditer(rest)]
+        size = _size(words, rest)
+        shape = Shape.of(len(words), sum(map(str.isupper, map(_first, words))), len(separators), links)
+        told = _told(rest, separators) if size >= SENTENCE else 0
+        if line.count("|") + line.count(";") >= 2 and PRICE.search(line) and len(words) <= 5 * (len(separators) + 1):
             add("products", shape, chars)
-        elif "#" in line and sum(map(len, TAG.findall(line))) > 0.7 * len(line.strip()):
+            continue
+        if "#" in line and sum(map(len, TAG.findall(line))) > 0.7 * len(line.strip()):
             add("tags", shape, chars)
+            continue
+        if told >= TOLD * max(size, 1):
+            add("text", shape, chars)
+            blocks.append(_Block([], _Plain(shape, chars, words, size, len(separators) + 1, 0, told) if size < LONG else None))
+            continue
+        odd = 0
+        if MIXED.search(rest):
+            odd = sum(1 for w in words if MIXED.search(w))
+            words = [w.translate(DIGITS_AS_LETTERS) if MIXED.search(w) else w for w in words]
+        if given.count(".") > 4:
+            odd += len(DOTTED.findall(given))
+        own = _Plain(shape, chars, words, size, len(separators) + (1 if words else 0), odd, told)
+        if size < LONG:
+            blocks[-1].lines.append(own)
         else:
-            mixed = any(c in "0123456789" for c in rest)
-            odd = sum(1 for w in words if MIXED.search(w)) if mixed else 0
-            low = [(w.translate(DIGITS_AS_LETTERS) if odd and MIXED.search(w) else w).lower() for w in words]
-            if given.count(".") > 4:
-                odd += len(DOTTED.findall(given))
-            size = _size(words, rest)
-            own = _Plain(shape, chars, low, size, separators + (1 if words else 0), odd, _told(rest) if size >= SENTENCE else 0)
-            if own.told >= TOLD * max(size, 1):
-                add("text", shape, chars)
-                blocks.append(_Block([], own if size < LONG else None))
-            elif size < LONG:
-                blocks[-1].lines.append(own)
-            else:
-                blocks += [_Block([own], None), _Block([], None)]
+            blocks += [_Block([own], None), _Block([], None)]
     for chars in entries:
         add("links" if len(entries) > 2 else "layout", Shape(0, 0, 0, 1), chars)
     beside = sum(n for (kind, _), (_, n) in found.items() if kind in MATTER) > BESIDE * page
@@ -233,7 +245,7 @@ def _is_run(group: list[_Plain], beside: bool) -> bool:
     if n < LEAST and not beside:
         return False
     told = sum(x.told for x in group) / max(1, n)
-    words = [w for x in group for w in x.words]
+    words = [w.lower() for x in group for w in x.words]
     novelty, piece = _novelty(words), n / max(1, sum(x.pieces for x in group))
     if novelty < SAME or (beside and piece <= LABEL_WORDS and told < PARTLY / 2):
         return True
