@@ -41,7 +41,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_history(spark: SparkSession, d: str) -> DataFrame:
-    h = history.attribute_history(history.title_updates(table(spark, d, "revisions")))
+    h = history.title_history(table(spark, d, "revisions"))
     return h.select(F.col("entity").alias("page_id"), F.col("payload").alias("title"), "valid_from", "valid_to", F.col("first_tie").alias("first_revision_id"), F.col("last_tie").alias("last_revision_id"), F.col("n_updates").alias("n_revisions"))
 
 

@@ -47,10 +47,16 @@ def write_shared(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
+    keep(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(spark: SparkSession, path: str) -> str:
+    """Remember a path to be removed by ``clear`` or at the end."""
     if not _WRITTEN:
         atexit.register(clear, spark)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def clear(spark: SparkSession) -> None:

@@ -1,9 +1,12 @@
+import glob
+import os
 import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.operators import asof, bitsliced, history, rolling
 from palimpsest.operators.asof import PersistentTree
@@ -104,7 +107,16 @@ def test_attribute_history(spark):
                 runs.append([x])
         for i, run in enumerate(runs):
             want.add((e, run[0][3], run[0][1], run[0][2], run[-1][1], run[-1][2], runs[i + 1][0][1] if i + 1 < len(runs) else None, len(run), len(runs) > 1))
-    for partitions in (1, 3, 50, 700):
-        got = [tuple(x) for x in history.attribute_history(df, partitions).collect()]
+    for partitions, merge_rows in ((1, 10**6), (3, 10**6), (7, 100), (50, 20), (None, 3)):
+        got = [tuple(x) for x in history.attribute_history(df, partitions, merge_rows=merge_rows).collect()]
         assert len(got) == len(want) and set(got) == want, partitions
+    store = history.Snapshots.like(df.filter("tie % 2 = 0"), 4, merge_rows=50)
+    assert 1 in store.cuts and len(store.cuts[1]) > 2
+    for i in range(3):  # snapshots that come one after the other
+        store.add(df.filter(F.coalesce("tie", F.lit(0)) % 3 == i))
+    before = [os.stat(f).st_mtime_ns for f in glob.glob(store.path.removeprefix("file://") + "/**/*.parquet", recursive=True)]
+    assert {tuple(x) for x in store.history().collect()} == want and len(store.folders) == 3
+    store.add(spark.createDataFrame([(77, T0, 1, "late")], df.schema))
+    assert len(store.history().filter("entity = 77").collect()) == 1 and store.history().count() == len(want) + 1
+    assert before and {os.stat(f).st_mtime_ns for f in glob.glob(store.path.removeprefix("file://") + "/**/*.parquet", recursive=True)} >= set(before)
     assert history.attribute_history(df.limit(0)).count() == 0
