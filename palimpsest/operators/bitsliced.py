@@ -1,9 +1,9 @@
 """Feature tables over hundreds of event types from bit-sliced counters.
 
-Entities are ordinals; a chunk is 2**16 neighbouring ordinals, as in compressed bitmaps: only chunks that occur, and only
-slices that hold a bit, exist. Slice k of a counter is the bitmap of the entities whose count has bit k, so adding a day's
-events to all entities of a chunk is a carry addition of bitmaps. The latest times lie in arrays aligned with the ordinals.
-Days are taken in order: the state before a day is the table as of that day.
+Entities are ordinals; a chunk is 2**12 neighbouring ordinals. Slice k of a counter is the set of the entities whose count has
+bit k, held as in compressed bitmaps: a sorted array while few are in it, a bitmap beyond, and nothing for chunks, types and slices
+without a bit. Adding events to all entities of a chunk is a carry addition of such sets. The latest times lie in arrays
+aligned with the ordinals that have one. Days are taken in order: the state before a day is the table as of that day.
 """
 
 from __future__ import annotations
@@ -20,59 +20,126 @@ from palimpsest.operators.ranking import positions
 from palimpsest.operators.revisions import first_delivery, tag_key
 from palimpsest.shared import write_shared
 
-CHUNK_BITS = 16
+#: A type's chunk is one group of a shuffle: 4,096 entities and a row for each of their days with events at most, however many events.
+CHUNK_BITS = 12
 WORDS = (1 << CHUNK_BITS) // 64
+#: Ordinals in an array from which a bitmap is smaller.
+FEW = (1 << CHUNK_BITS) // 16
 NEVER = np.iinfo(np.int64).min
 ONE = np.uint64(1)
 #: Rows of a batch of the wide table.
 WIDE_ROWS = 512
 
 
+class OrdinalSet:
+    """A set of ordinals of one chunk, as a sorted array or as a bitmap, whichever is smaller."""
+
+    __slots__ = ("array", "words", "size")
+
+    def __init__(self) -> None:
+        self.array: np.ndarray | None = np.zeros(0, np.uint16)
+        self.words: np.ndarray | None = None
+        self.size = 0
+
+    def has(self, ordinals: np.ndarray) -> np.ndarray:
+        if self.array is None:
+            return (self.words[ordinals >> 6] >> (ordinals & 63).astype(np.uint64)) & ONE == 1
+        at = np.searchsorted(self.array, ordinals)
+        found = at < self.size
+        found[found] = self.array[at[found]] == ordinals[found]
+        return found
+
+    def flip(self, ordinals: np.ndarray) -> np.ndarray:
+        """Exclusive or with sorted, distinct ``ordinals``. Returned are those that were in the set: what they carry over."""
+        held = self.has(ordinals)
+        both, new = ordinals[held], ordinals[~held]
+        self.size += len(new) - len(both)
+        if self.array is not None and self.size <= FEW:
+            left = np.delete(self.array, np.searchsorted(self.array, both)) if len(both) else self.array
+            self.array = np.insert(left, np.searchsorted(left, new), new) if len(new) else left
+            return both
+        if self.array is not None:
+            self.words = np.zeros(WORDS, np.uint64)
+            np.bitwise_or.at(self.words, self.array >> 6, ONE << (self.array & 63).astype(np.uint64))
+            self.array = None
+        np.bitwise_xor.at(self.words, ordinals >> 6, ONE << (ordinals & 63).astype(np.uint64))
+        if self.size <= FEW // 2:
+            bits = np.unpackbits(self.words.view(np.uint8), bitorder="little")
+            self.array, self.words = np.flatnonzero(bits).astype(np.uint16), None
+        return both
+
+
 class BitSlicedCounter:
-    """Counters of the entities of one chunk; ``slices[k]`` is the bitmap of bit k."""
+    """Counters of the entities of one chunk; ``slices[k]`` has the entities whose count has bit k."""
+
+    __slots__ = ("slices",)
 
     def __init__(self) -> None:
-        self.slices = np.zeros((2, WORDS), np.uint64)
-        self.used = 0
+        self.slices: list[OrdinalSet] = []
 
     def add(self, ordinals: np.ndarray, amounts: np.ndarray) -> None:
-        """Add a non-negative amount to each of the distinct ordinals, by one carry addition a bit of the amounts."""
-        words, bits = ordinals >> 6, ONE << (ordinals & 63).astype(np.uint64)
-        bit = 0
-        while True:
-            has = (amounts >> bit) & 1 == 1
-            if has.any():
-                touched, at = np.unique(words[has], return_inverse=True)  # only words that hold a bit are added
-                addend = np.zeros(len(touched), np.uint64)
-                np.bitwise_or.at(addend, at, bits[has])
-                self._carry(bit, touched, addend)
-            bit += 1
-            if not (amounts >> bit).any():
-                return
-
-    def _carry(self, k: int, touched: np.ndarray, carry: np.ndarray) -> None:
-        while carry.any():
-            if k >= len(self.slices):
-                self.slices = np.vstack([self.slices, np.zeros((max(1, k + 1 - len(self.slices)), WORDS), np.uint64)])
-            self.used = max(self.used, k + 1)
-            old = self.slices[k, touched]
-            self.slices[k, touched] = old ^ carry
-            carry = old & carry
-            k += 1
+        """Add a non-negative amount to each of the sorted, distinct ordinals, by one carry addition a bit of the amounts."""
+        for bit in range(int(amounts.max(initial=0)).bit_length()):
+            carry, k = ordinals[(amounts >> bit) & 1 == 1], bit
+            while len(carry):
+                while k >= len(self.slices):
+                    self.slices.append(OrdinalSet())
+                carry, k = self.slices[k].flip(carry), k + 1
+
+    def decode(self, ordinals: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ordinals), np.int64)
+        for k, own in enumerate(self.slices):
+            if own.size:
+                out += own.has(ordinals).astype(np.int64) << k
+        return out
+
+
+class LatestTimes:
+    """The latest time of each ordinal that has one, in an array aligned with them."""
+
+    __slots__ = ("ordinals", "times")
+
+    def __init__(self) -> None:
+        self.ordinals, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def update(self, ordinals: np.ndarray, times: np.ndarray) -> None:
+        both = np.concatenate([self.ordinals, ordinals])
+        self.ordinals, at = np.unique(both, return_inverse=True)
+        merged = np.full(len(self.ordinals), NEVER)
+        np.maximum.at(merged, at, np.concatenate([self.times, times]))
+        self.times = merged
 
     def decode(self, ordinals: np.ndarray) -> np.ndarray:
-        if not self.used:
-            return np.zeros(len(ordinals), np.int64)
-        bits = (self.slices[: self.used, ordinals >> 6] >> (ordinals & 63).astype(np.uint64)) & ONE
-        return (bits.astype(np.int64) << np.arange(self.used)[:, None]).sum(0)
+        at = np.searchsorted(self.ordinals, ordinals)
+        found = at < len(self.ordinals)
+        found[found] = self.ordinals[at[found]] == ordinals[found]
+        out = np.full(len(ordinals), NEVER)
+        out[found] = self.times[at[found]]
+        return out
 
 
 class _Chunk:
-    """The state of one type and chunk."""
+    """The state of one type and chunk, and events not added to it yet: they are added when the state is asked for."""
 
     def __init__(self, measures: int) -> None:
         self.counters = [BitSlicedCounter() for _ in range(measures)]
-        self.latest = np.full(1 << CHUNK_BITS, NEVER)
+        self.latest = LatestTimes()
+        self.waiting: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        lows, amounts, last = zip(*self.waiting)
+        self.waiting = []
+        ordinals, at = np.unique(np.concatenate(lows), return_inverse=True)
+        for i, counter in enumerate(self.counters):
+            total = np.bincount(at, np.concatenate([a[i] for a in amounts]), len(ordinals)).astype(np.int64)  # exact below 2**53
+            some = total > 0
+            counter.add(ordinals[some], total[some])
+        times = np.full(len(ordinals), NEVER)
+        np.maximum.at(times, at, np.concatenate(last))
+        seen = times != NEVER
+        self.latest.update(ordinals[seen], times[seen])
 
 
 def _ints(column: pa.ChunkedArray | pa.Array, null: int = 0) -> np.ndarray:
@@ -95,7 +162,7 @@ def _decoder(measures: list[str]):
             names, codes = types.dictionary, types.indices.to_numpy()
             chunk, day, kind, low = (_ints(column(c)) for c in ("_chunk", "_day", "_kind", "_low"))
             amounts, last = [_ints(column(f"_{m}")) for m in measures], _ints(column("_last"), NEVER)
-            new = (np.diff(codes) != 0) | (np.diff(chunk) != 0) | (np.diff(day) != 0) | (np.diff(kind) != 0)
+            new = (np.diff(codes) != 0) | (np.diff(chunk) != 0) | (np.diff(kind) != 0) | ((np.diff(day) != 0) & (kind[1:] == 0))
             edges = [0, *(np.flatnonzero(new) + 1).tolist(), n]
             values = [np.zeros(n, np.int64) for _ in measures]
             latest = np.full(n, NEVER)
@@ -104,16 +171,13 @@ def _decoder(measures: list[str]):
                 if key != of:
                     state, of = _Chunk(len(measures)), key
                 at = low[a:b]
-                if kind[a] == 0:
-                    for counter, value in zip(state.counters, values):
-                        value[a:b] = counter.decode(at)
-                    latest[a:b] = state.latest[at]
+                if kind[a]:
+                    state.waiting.append((at, [amount[a:b] for amount in amounts], last[a:b]))
                     continue
-                for counter, amount in zip(state.counters, amounts):
-                    more = amount[a:b] > 0
-                    if more.any():
-                        counter.add(at[more], amount[a:b][more])
-                np.maximum.at(state.latest, at, last[a:b])
+                state.settle()
+                for counter, value in zip(state.counters, values):
+                    value[a:b] = counter.decode(at)
+                latest[a:b] = state.latest.decode(at)
             asked = np.flatnonzero(kind == 0)
             if len(asked):
                 rows = batch.take(pa.array(asked))
@@ -132,13 +196,14 @@ def features_as_of(events: DataFrame, asked: DataFrame, dense: bool = True) -> D
     string, as_of date and any other columns, which come out again. Added: n_events, n_flagged, n_actors bigint and last_at
     timestamp_ntz over the events before ``as_of`` 00:00; 0 and null if there are none. Events without entity, type or time
     belong to no row; a null actor is an event without actor, a null flag is false. Asked rows without ``as_of``, entity or
-    type get 0 and null. Repeated asked rows come out repeatedly.
+    type get 0 and null, and don't move. Repeated asked rows come out repeatedly.
 
-    An entity's id is its ordinal if ``dense``: right for ids that are mostly used up, as page ids are. Otherwise ids of any kind
-    get ordinals in their order among the asked entities, counted over range partitions.
+    An entity's id is its ordinal if ``dense``: best for ids that are mostly used up, as page ids are; for others the chunks hold
+    few entities each, and cost as much as these. Otherwise ids get ordinals in their order among the asked entities, counted
+    over range partitions.
 
     Events are summed map-side by entity, type and day before they move, so no entity or type is a hot key: a chunk of a type
-    has at most 2**16 rows a day. ``events`` is read twice; hand over a written table where it is costly.
+    has at most 2**12 rows a day. ``events`` is read twice; hand over a written table where it is costly.
     """
     names = asked.columns
     known = events.select("entity", "type", F.to_date("at").alias("_date"), "at", "actor", "flag").filter(F.col("entity").isNotNull() & F.col("type").isNotNull() & F.col("at").isNotNull())
@@ -152,27 +217,28 @@ def features_as_of(events: DataFrame, asked: DataFrame, dense: bool = True) -> D
     adds = counts.unionByName(actors).select("entity", "type", "_date", *measures, "_last")
     carried = [F.lit(None).cast(f.dataType).alias(f"r_{i}") for i, f in enumerate(asked.schema)]
     given = asked.select(*[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)], F.col("entity"), F.col("type"), F.col("as_of"))
+    whole = F.col("entity").isNotNull() & F.col("type").isNotNull() & F.col("as_of").isNotNull()
+    empty = given.filter(~whole).select(*[f"r_{i}" for i in range(len(names))], *[zero.alias(m) for m in measures], F.lit(None).cast("timestamp_ntz").alias("last_at"))
+    given = given.filter(whole)
     if not dense:
         ids = given.select("entity").dropna().distinct().withColumn("_all", F.lit(0))
         ordinals = positions(ids, "_all", [F.col("entity").asc()], {}).select("entity", (F.col("rank") - 1).alias("_ordinal"))
         adds = adds.join(ordinals, "entity").drop("entity").withColumnRenamed("_ordinal", "entity")
-        given = given.join(ordinals, "entity", "left").drop("entity").withColumnRenamed("_ordinal", "entity")
+        given = given.join(ordinals, "entity").drop("entity").withColumnRenamed("_ordinal", "entity")
     adds = adds.select(*_place("entity", "type", "_date"), F.lit(1).alias("_kind"), *[F.col(m).alias(f"_{m}") for m in measures], "_last", *carried)
     wanted = given.select(*_place("entity", "type", "as_of"), F.lit(0).alias("_kind"), *[zero.alias(f"_{m}") for m in measures], F.lit(None).cast("timestamp_ntz").alias("_last"), *[f"r_{i}" for i in range(len(names))])
     ordered = adds.unionByName(wanted).repartition("_type", "_chunk").sortWithinPartitions("_type", "_chunk", "_day", "_kind")
     fields = ", ".join(f"r_{i} {f.dataType.simpleString()}" for i, f in enumerate(asked.schema))
-    out = ordered.mapInArrow(_decoder(measures), f"{fields}, n_events bigint, n_flagged bigint, n_actors bigint, last_at timestamp_ntz")
+    out = ordered.mapInArrow(_decoder(measures), f"{fields}, n_events bigint, n_flagged bigint, n_actors bigint, last_at timestamp_ntz").unionByName(empty)
     return out.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)], *measures, "last_at")
 
 
 def _place(entity: str, kind: str, date: str) -> list:
-    """A row without entity, type or day sorts before all events of its group, and so gets an empty state."""
-    known = F.col(entity).isNotNull() & F.col(kind).isNotNull() & F.col(date).isNotNull()
     return [
-        F.coalesce(F.col(kind), F.lit("")).alias("_type"),
-        F.coalesce(F.shiftright(F.col(entity), CHUNK_BITS), F.lit(0)).cast("bigint").alias("_chunk"),
-        F.when(known, F.unix_date(F.col(date))).otherwise(F.lit(-(2**31))).alias("_day"),
-        F.coalesce(F.col(entity).bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)), F.lit(0)).cast("int").alias("_low"),
+        F.col(kind).alias("_type"),
+        F.shiftright(F.col(entity), CHUNK_BITS).alias("_chunk"),
+        F.unix_date(F.col(date)).alias("_day"),
+        F.col(entity).bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("int").alias("_low"),
     ]
 
 
@@ -241,7 +307,7 @@ def wide_features(revisions: DataFrame, as_of: str, types: list[str] | None = No
     day = F.lit(as_of).cast("date")
     own = F.when(F.col("type").isin(types), F.col("type"))
     asked = events.filter(F.col("at") < day.cast("timestamp_ntz")).select("entity", own.alias("type")).distinct().withColumn("as_of", day)
-    long = features_as_of(events, asked).select("entity", "type", "n_events", "n_flagged", "n_actors", "last_at")
+    long = features_as_of(events.filter(own.isNotNull()), asked).select("entity", "type", "n_events", "n_flagged", "n_actors", "last_at")
     outputs = ("n_edits bigint", "n_anon bigint", "n_editors bigint", "last_edit_at timestamp_ntz")
     fields = [("page_id", "bigint"), *((f"{n}_{o.split()[0]}", o.split()[1]) for n in column_names(types) for o in outputs)]
     schema = ", ".join(f"`{n.replace('`', '``')}` {kind}" for n, kind in fields)

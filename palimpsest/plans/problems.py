@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_features(spark: SparkSession, d: str) -> DataFrame:
-    """One row per page as of a day with the features of every type of the log. The SQL has five of the types, and only their pages."""
+    """One row per page as of a day with the features of every type of the log."""
     return bitsliced.wide_features(table(spark, d, "revisions"), "2026-07-15")
 
 
@@ -63,9 +63,11 @@ SQL = {
             coalesce(sum(CASE WHEN e.is_anon THEN 1 ELSE 0 END), 0) AS n_anon, count(DISTINCT e.user_text) AS n_editors, max(e.timestamp) AS last_edit_at
             FROM page_features p LEFT JOIN e ON e.page_id = p.page_id AND e.tag = lower(trim(p.change_tag)) AND e.timestamp < CAST(p.as_of AS TIMESTAMP) GROUP BY p.page_id, p.change_tag)
         SELECT page_id, change_tag FROM f WHERE ge IS DISTINCT FROM n_edits OR ga IS DISTINCT FROM n_anon OR gu IS DISTINCT FROM n_editors OR gl IS DISTINCT FROM last_edit_at""",
-    "p2_features": REVISION + ", e AS (SELECT page_id, lower(trim(change_tag)) AS tag, timestamp, user_text, is_anon FROM r WHERE page_id IS NOT NULL AND timestamp < TIMESTAMP '2026-07-15' AND lower(trim(change_tag)) IN ('mobile edit', 'visual repair', 'link tagging', 'reference review', 'number move')) SELECT page_id, "
-    + ", ".join(f"count(*) FILTER (tag = '{t}') AS {n}_n_edits, count(*) FILTER (tag = '{t}' AND is_anon) AS {n}_n_anon, count(DISTINCT user_text) FILTER (tag = '{t}') AS {n}_n_editors, max(timestamp) FILTER (tag = '{t}') AS {n}_last_edit_at" for t in ("mobile edit", "visual repair", "link tagging", "reference review", "number move") for n in [t.replace(" ", "_")])
-    + " FROM e GROUP BY page_id",
+    "p2_features": "SELECT * FROM (PIVOT (" + REVISION + """, e AS (SELECT page_id, lower(trim(change_tag)) AS tag, timestamp, user_text, is_anon FROM r),
+        t AS (SELECT tag, replace(tag, ' ', '_') AS short, count(*) OVER (PARTITION BY replace(tag, ' ', '_')) AS n FROM (SELECT DISTINCT tag FROM e WHERE page_id IS NOT NULL AND timestamp IS NOT NULL AND tag IS NOT NULL)),
+        p AS (SELECT DISTINCT page_id FROM e WHERE page_id IS NOT NULL AND timestamp < TIMESTAMP '2026-07-15')
+        SELECT p.page_id, CASE WHEN t.n = 1 THEN t.short ELSE t.tag END AS tag, e.timestamp, e.user_text, e.is_anon FROM p CROSS JOIN t LEFT JOIN e ON e.page_id = p.page_id AND e.tag = t.tag AND e.timestamp < TIMESTAMP '2026-07-15')
+        ON tag USING count(timestamp) AS n_edits, count(*) FILTER (is_anon) AS n_anon, count(DISTINCT user_text) AS n_editors, max(timestamp) AS last_edit_at GROUP BY page_id)""",
     "p3_found": REVISION + f""", v AS (SELECT DISTINCT r.page_id, t.date AS known, r.timestamp AS valid, t.revision_id, t.title_then FROM titles t JOIN r USING (revision_id) WHERE t.title_then IS NOT NULL AND r.page_id IS NOT NULL),
         k AS (SELECT f.page_id, f.date, f.page_title, v.title_then, row_number() OVER (PARTITION BY f.page_id, f.date ORDER BY v.valid DESC NULLS LAST, v.revision_id DESC) AS i
             FROM forecast_days f LEFT JOIN v ON v.page_id = f.page_id AND v.known < f.date AND v.valid < CAST(f.date AS TIMESTAMP) WHERE f.page_title IS NOT NULL)

@@ -15,16 +15,25 @@ T0 = datetime(2026, 6, 1)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.dictionaries(st.integers(0, 65535), st.integers(0, 70_000), max_size=20), max_size=12))
+@given(st.lists(st.one_of(st.dictionaries(st.integers(0, 4095), st.integers(0, 70_000), max_size=20), st.builds(lambda a, b, n: {i: n for i in range(a, b)}, st.integers(0, 4000), st.integers(0, 4096), st.integers(0, 9))), max_size=12))
 def test_counter_adds(days):
     counter, want = bitsliced.BitSlicedCounter(), {}
     for day in days:
         if day:
-            counter.add(np.array(list(day)), np.array(list(day.values())))
+            counter.add(np.array(sorted(day)), np.array([day[k] for k in sorted(day)]))
         for k, v in day.items():
             want[k] = want.get(k, 0) + v
-    asked = np.array([*want, 1, 65535])
+    asked = np.array([*want, 1, 4095])
     assert counter.decode(asked).tolist() == [want.get(k, 0) for k in asked.tolist()]
+    for own in counter.slices:
+        assert own.size == own.has(np.arange(4096)).sum() and (own.array is None or len(own.array) == own.size <= bitsliced.FEW)
+
+
+def test_null_rows_are_not_shuffled(spark):
+    events = spark.createDataFrame([(1, "x", T0, "u", True)], "entity bigint, type string, at timestamp_ntz, actor string, flag boolean")
+    asked = spark.range(1000).selectExpr("CAST(NULL AS BIGINT) AS entity", "'x' AS type", "DATE'2026-07-01' AS as_of", "id")
+    out = bitsliced.features_as_of(events, asked)
+    assert out.filter("n_events = 0 AND last_at IS NULL").count() == 1000 and out.rdd.getNumPartitions() > 1
 
 
 def test_features_as_of(spark):
