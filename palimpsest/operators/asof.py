@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import bisect
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.revisions import first_delivery, title_key
+from palimpsest.shared import write_shared
 
 #: Entities with more events than this are spread over several tasks, each with its own copy of the entity's tree.
 HOT_EVENTS = 200_000
 MAX_HOT = 1_000
+#: Entities with more versions than this have several trees, by ranges of the valid day.
+HOT_VERSIONS = 50_000
 
 
 class PersistentTree:
@@ -27,8 +31,9 @@ class PersistentTree:
 
     def __init__(self, keys: list) -> None:
         self.keys = keys
-        self.left, self.right, self.least, self.most, self.value = [0], [0], [len(keys)], [-1], [None]
-        self.roots = [0]
+        self.left, self.right, self.least, self.most = array("i", [0]), array("i", [0]), array("i", [len(keys)]), array("i", [-1])
+        self.value: list = [None]
+        self.roots = array("i", [0])
         self.known: list = []
 
     def insert(self, known, rank: int, value) -> None:
@@ -72,29 +77,97 @@ def _build(versions: list[tuple]) -> PersistentTree:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by entity, copy and kind (0: versions, 1: events); an entity's events follow its versions and stream by."""
-    of, versions, tree = None, [], None
+    """Rows sorted by entity, shard, copy and kind (0: versions, 1: events); the events of a tree follow its versions and stream by."""
+    of, versions, tree, answers = None, [], None, {}
     for batch in batches:
         column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
         known, valid = column("_known").cast(pa.int64()).to_pylist(), column("_valid").cast(pa.int64()).to_pylist()
         rows, values = [], []
-        for i, (entity, copy, kind, tie, value) in enumerate(zip(*(column(c).to_pylist() for c in ("_entity", "_copy", "_kind", "_tie", "_value")))):
-            if (entity, copy) != of:
-                of, versions, tree = (entity, copy), [], None
+        for i, (entity, shard, copy, kind, tie, value) in enumerate(zip(*(column(c).to_pylist() for c in ("_entity", "_shard", "_copy", "_kind", "_tie", "_value")))):
+            if (entity, shard, copy) != of:
+                of, versions, tree, answers = (entity, shard, copy), [], None, {}
             if kind == 0:
                 versions.append((known[i], (valid[i], tie), value))
                 continue
             if tree is None:
-                tree = _build(versions)
+                tree, versions = _build(versions), []
             rows.append(i)
-            usable = entity is not None and known[i] is not None and valid[i] is not None
-            values.append(tree.last_below(known[i], (valid[i], -(2**63))) if usable else None)
+            at = known[i], valid[i]
+            if at not in answers:
+                answers[at] = tree.last_below(known[i], (valid[i], -(2**63)))
+            values.append(answers[at])
         if rows:
             own = batch.take(pa.array(rows))
             names = [f.name for f in own.schema if f.name.startswith("r_")]
             yield pa.RecordBatch.from_arrays([*[own.column(own.schema.get_field_index(c)) for c in names], pa.array(values, pa.string())], names=[*names, "known_value"])
 
 
+_VERSION = "entity bigint, shard int, known int, valid timestamp_ntz, tie bigint, value string"
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each shard of an entity, of all earlier shards, the latest versions as they became known.
+
+    Rows are the latest version of each shard and known day, sorted by entity, shard and known day. Of those before a shard only
+    such count as are later than all known before them: one for each known day at most.
+    """
+    of, shard = None, None
+    records: list[tuple] = []  # (known, valid, tie, value), later both ways
+    own: list[tuple] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for entity, number, known, valid, tie, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.int64()).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            if (entity, number) != (of, shard):
+                if entity != of:
+                    records, own, shard = [], [], None
+                records = _records(records, own)
+                out += [(entity, number, *r) for r in records]
+                of, shard, own = entity, number, []
+            own.append((known, valid, tie, value))
+        if out:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+            columns[3] = columns[3].cast(pa.timestamp("us"))
+            yield pa.RecordBatch.from_arrays(columns, names=["entity", "shard", "known", "valid", "tie", "value"])
+
+
+def _records(before: list[tuple], own: list[tuple]) -> list[tuple]:
+    out: list[tuple] = []
+    for r in sorted([*before, *own], key=lambda r: (r[0], r[1], r[2])):
+        if not out or r[1:3] > out[-1][1:3]:
+            out.append(r)
+    return out
+
+
+def _shards(versions: DataFrame, bound: int) -> tuple[DataFrame, DataFrame | None]:
+    """``versions`` (entity, known, valid, tie, value) with the ``shard`` of their valid day, and the days at which the shards of large entities begin.
+
+    Each shard but the first also gets the versions of earlier ones that may be the answer of one of its events, so that an
+    event needs one shard only. An entity without ``bound`` versions has one shard.
+    """
+    spark = versions.sparkSession
+    total = versions.count()
+    large = {r[0]: math.ceil(r[1] / bound) for r in versions.groupBy("entity").count().filter(F.col("count") > bound).collect()} if total > bound else {}
+    if not large:
+        return versions.withColumn("shard", F.lit(0)), None
+    most = max(large.values())
+    wanted = F.broadcast(spark.createDataFrame([(e,) for e in large], "entity bigint"))
+    day = F.unix_date(F.to_date("valid"))
+    found = versions.join(wanted, "entity").groupBy("entity").agg(F.percentile_approx(day, [i / most for i in range(1, most)], 10_000).alias("q")).collect()
+    cuts = {e: sorted({q[math.ceil(i * most / large[e]) - 1] for i in range(1, large[e])}) for e, q in found}
+    table = F.broadcast(spark.createDataFrame(list(cuts.items()), "_large bigint, _cuts array<int>"))  # total / bound days at most
+    placed = versions.join(table, F.col("entity") == F.col("_large"), "left").withColumn("shard", _shard(day))
+    latest = placed.filter("_large IS NOT NULL").groupBy("entity", "shard", "known").agg(F.max(F.struct("valid", "tie", "value")).alias("v"))
+    ordered = latest.select("entity", "shard", F.unix_date("known").alias("known"), "v.valid", "v.tie", "v.value").repartition("entity").sortWithinPartitions("entity", "shard", "known")
+    carried = ordered.mapInArrow(_carried, _VERSION).withColumn("known", F.date_from_unix_date("known"))
+    names = ["entity", "known", "valid", "tie", "value", "shard"]
+    return placed.select(*names).unionByName(carried.select(*names)), table
+
+
+def _shard(day: Column) -> Column:
+    return F.coalesce(F.size(F.filter("_cuts", lambda c: c <= day)), F.lit(0))
+
+
 def known_as_of(versions: DataFrame, events: DataFrame) -> DataFrame:
     """Each event with the attribute value that was known and valid before it.
 
@@ -102,29 +175,41 @@ def known_as_of(versions: DataFrame, events: DataFrame) -> DataFrame:
     and any other columns, which come out again with ``known_value``: of the versions with ``known`` < at and ``valid`` < at
     00:00 the value with the latest (valid, tie), null if there is none. Versions with a null entity, time or value don't count;
     a null tie is below all others; of versions equal in valid and tie the greatest value of the latest known day counts. Events
-    with a null entity or day get null. Repeated events come out repeatedly.
+    with a null entity or day get null and aren't shuffled. Repeated events come out repeatedly.
 
     Versions of one entity that became known on a day and are valid from the same day are reduced, map-side first, to the last
-    of them: none but it can be found by an event of a later day. So an entity has at most one version for each two days,
-    however many rows it has. Entities with very many events are spread over copies of their tree.
+    of them: none but it can be found by an event of a later day. What is left, up to one version for each pair of days, lies in
+    trees of HOT_VERSIONS about, by ranges of the valid day; an event asks the tree of its own range, which also has what may be
+    the answer of the ranges before. Entities with very many events are spread over copies of their trees.
     """
     spark, names = events.sparkSession, events.columns
     usable = versions.select("entity", "known", "valid", F.coalesce("tie", F.lit(-(2**62))).alias("tie"), "value").dropna()
-    last = usable.groupBy("entity", "known", F.to_date("valid").alias("_day")).agg(F.max(F.struct("valid", "tie", "value")).alias("_v"))
-    asked = events.select(F.col("entity").alias("_entity"), F.col("at").alias("_known"), *[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)])
+    reduced = usable.groupBy("entity", "known", F.to_date("valid").alias("_day")).agg(F.max(F.struct("valid", "tie", "value")).alias("v"))
+    last, cuts = _shards(write_shared(reduced.select("entity", "known", "v.valid", "v.tie", "v.value"), "versions"), HOT_VERSIONS)
+    all_ = events.select(F.col("entity").alias("_entity"), F.col("at").alias("_known"), *[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)])
+    given = [f"r_{i}" for i in range(len(names))]
+    asked = all_.filter("_entity IS NOT NULL AND _known IS NOT NULL")
+    without = all_.filter("_entity IS NULL OR _known IS NULL").select(*given, F.lit(None).cast("string").alias("known_value"))
     n = events.count()
     bound = max(HOT_EVENTS, math.ceil(n / MAX_HOT))
     hot = events.groupBy("entity").count().filter(F.col("count") > bound).filter(F.col("entity").isNotNull()).collect() if n > bound else []  # at most MAX_HOT rows
-    copies = F.broadcast(spark.createDataFrame([(r[0], math.ceil(r[1] / bound)) for r in hot], "_hot bigint, _copies int"))
+    if hot:
+        copies = F.broadcast(spark.createDataFrame([(r[0], math.ceil(r[1] / bound)) for r in hot], "_hot bigint, _copies int"))
+        last = last.join(copies, F.col("entity") == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
+        asked = asked.join(copies, F.col("_entity") == F.col("_hot"), "left").withColumn("_copy", F.pmod(F.xxhash64(*given), F.coalesce("_copies", F.lit(1))).cast("int"))
+    else:
+        last, asked = last.withColumn("_copy", F.lit(0)), asked.withColumn("_copy", F.lit(0))
+    if cuts is not None:
+        asked = asked.join(cuts, F.col("_entity") == F.col("_large"), "left").withColumn("_shard", _shard(F.unix_date("_known") - 1))
+    else:
+        asked = asked.withColumn("_shard", F.lit(0))
     none = [F.lit(None).cast(f.dataType).alias(f"r_{i}") for i, f in enumerate(events.schema)]
-    last = last.join(copies, F.col("entity") == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
-    trees = last.select(F.col("entity").alias("_entity"), "_copy", F.lit(0).alias("_kind"), F.col("known").alias("_known"), F.col("_v.valid").alias("_valid"), F.col("_v.tie").alias("_tie"), F.col("_v.value").alias("_value"), *none)
-    asked = asked.join(copies, F.col("_entity") == F.col("_hot"), "left")
-    salt = F.pmod(F.xxhash64(*[f"r_{i}" for i in range(len(names))]), F.coalesce("_copies", F.lit(1))).cast("int")
-    asked = asked.select("_entity", salt.alias("_copy"), F.lit(1).alias("_kind"), "_known", F.col("_known").cast("timestamp_ntz").alias("_valid"), F.lit(0).cast("bigint").alias("_tie"), F.lit(None).cast("string").alias("_value"), *[f"r_{i}" for i in range(len(names))])
-    ordered = trees.unionByName(asked).withColumn("_known", F.unix_date("_known")).repartition("_entity", "_copy").sortWithinPartitions("_entity", "_copy", "_kind")
+    trees = last.select(F.col("entity").alias("_entity"), F.col("shard").alias("_shard"), "_copy", F.lit(0).alias("_kind"), F.col("known").alias("_known"), F.col("valid").alias("_valid"), F.col("tie").alias("_tie"), F.col("value").alias("_value"), *none)
+    asked = asked.select("_entity", "_shard", "_copy", F.lit(1).alias("_kind"), "_known", F.col("_known").cast("timestamp_ntz").alias("_valid"), F.lit(0).cast("bigint").alias("_tie"), F.lit(None).cast("string").alias("_value"), *given)
+    key = ["_entity", "_shard", "_copy"]
+    ordered = trees.unionByName(asked).withColumn("_known", F.unix_date("_known")).repartition(*key).sortWithinPartitions(*key, "_kind")
     fields = ", ".join(f"r_{i} {f.dataType.simpleString()}" for i, f in enumerate(events.schema))
-    out = ordered.mapInArrow(_search, f"{fields}, known_value string")
+    out = ordered.mapInArrow(_search, f"{fields}, known_value string").unionByName(without)
     return out.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)], "known_value")
 
 

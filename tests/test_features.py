@@ -4,6 +4,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -65,9 +66,11 @@ def test_persistent_tree(versions, questions):
         assert tree.last_below(known, key) == (max(own)[2] if own else None)
 
 
-def test_known_as_of_with_hot_entity(spark, monkeypatch):
-    monkeypatch.setattr(asof, "HOT_EVENTS", 20)
-    r = random.Random(2)
+@pytest.mark.parametrize("seed, hot_events, hot_versions", [(2, 20, 10**6), (3, 10**6, 30), (4, 20, 7)])
+def test_known_as_of_with_hot_entity(spark, monkeypatch, seed, hot_events, hot_versions):
+    monkeypatch.setattr(asof, "HOT_EVENTS", hot_events)
+    monkeypatch.setattr(asof, "HOT_VERSIONS", hot_versions)
+    r = random.Random(seed)
     versions = [(r.choice([1, 1, 2, None]), T0.date() + timedelta(days=r.randrange(30)), T0 + timedelta(minutes=r.randrange(45_000)), r.choice([r.randrange(99), None]), r.choice(["a", "b", "c", None])) for _ in range(500)]
     events = [(r.choice([1, 1, 1, 2, 3]), T0.date() + timedelta(days=r.randrange(40)), i, True) for i in range(300)] + [(None, T0.date(), 1, False), (1, None, 2, False)]
     a = spark.createDataFrame(versions, "entity bigint, known date, valid timestamp_ntz, tie bigint, value string")
@@ -88,6 +91,17 @@ def test_known_as_of_with_hot_entity(spark, monkeypatch):
     assert asof.known_as_of(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_large_entities_are_split(spark):
+    rows = [(1, T0.date() + timedelta(days=k), T0 + timedelta(days=v), 0, f"{k}-{v}") for k in range(40) for v in range(40)]
+    versions = spark.createDataFrame(rows, "entity bigint, known date, valid timestamp_ntz, tie bigint, value string")
+    placed, cuts = asof._shards(versions, 200)
+    sizes = {x["shard"]: x["count"] for x in placed.groupBy("shard").count().collect()}
+    assert len(sizes) == 8 and max(sizes.values()) <= 200 + 40 + 40 and cuts is not None  # a cut between days, and one carried a known day
+    none = spark.range(500).selectExpr("CAST(NULL AS BIGINT) AS entity", "DATE'2026-07-01' AS at")
+    out = asof.known_as_of(versions, none)
+    assert out.filter("known_value IS NULL").count() == 500 and max(x.n for x in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 500
+
+
 def test_rolling_totals(spark):
     r = random.Random(3)
     d0 = T0.date()
