@@ -8,6 +8,7 @@ ids go back to the blocks' slots, and the texts are put together again by positi
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import unicodedata
@@ -29,10 +30,14 @@ BLOCK_TEXTS = 20_000
 #: Distinct pre-tokens in one row of a block's list, and in a task's cache of lengths.
 LIST_WORDS = 4_096
 CACHE_WORDS = 500_000
+#: Words that more blocks hold than a COMMON-th of all words in lists, and than LEAST_COMMON, are joined by broadcast.
+COMMON, LEAST_COMMON = 10_000, 1_000
 
 
-#: The pattern of byte-level vocabularies; a fixed value.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pattern of byte-level vocabularies, with classes for letters, numbers and white space; a fixed value but for the order of its first parts, which exclude each other.
+PATTERN = " ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
+#: Characters of the property White_Space; fixed values.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Bytes that byte-level vocabularies write as themselves; the others are written as the letters from U+0100 on, in order.
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -46,15 +51,15 @@ def _letters() -> dict[int, str]:
 def _cutter(path: str):
     """A function that cuts a text into pre-tokens as the tokenizer does.
 
-    A quick pattern does it where a text holds only characters assigned since Unicode 3.2, whose classes all libraries agree
-    on; other texts are cut by the tokenizer's own code.
+    A pattern of plain classes does it where a text holds only characters assigned since Unicode 3.2, whose classes all libraries
+    agree on (checked for each of them by a test); other texts are cut by the tokenizer's own code.
     """
-    import regex
-
     loaded = _tokenizer(path)
-    pattern, own = regex.compile(PATTERN), loaded.pre_tokenizer.pre_tokenize_str
+    own = loaded.pre_tokenizer.pre_tokenize_str
     settled = [chr(c) for c in range(0x10000) if unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cn", "Cs")]
-    unsure = re.compile("[^" + "".join(f"{a}-{b}" for a, b in _ranges(settled)) + "]")
+    classes = {name: _class([c for c in settled if unicodedata.category(c)[0] == kind]) for name, kind in (("letters", "L"), ("numbers", "N"))}
+    pattern = re.compile(PATTERN.format(space=SPACE, **classes))
+    unsure = re.compile(f"[^{_class(settled)}]")
     usual = json.loads(loaded.pre_tokenizer.__getstate__()) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
     def cut(text: str) -> list[str]:
@@ -65,6 +70,10 @@ def _cutter(path: str):
     return cut
 
 
+def _class(chars: list[str]) -> str:
+    return "".join(f"{a}-{b}" for a, b in _ranges(chars))
+
+
 def _ranges(chars: list[str]) -> list[tuple[str, str]]:
     """The runs of neighbouring characters, escaped for a character class."""
     runs: list[list[int]] = []
@@ -132,7 +141,7 @@ def _encode(path: str):
         encode = _encoder(path)
         for batch in batches:
             ids = [encode(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     return run
 
@@ -179,13 +188,23 @@ def _table(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def encode_corpus(documents: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     """(doc_id, ids): the token ids of every ``text``, without special tokens.
 
-    Empty and null texts have an empty list. Strings of special tokens are ordinary text. Rows with a repeated or null doc_id
+    Empty and null texts have an empty list. A word that very many blocks hold is no hot key: such words, COMMON at most, are joined
+    by broadcast. Strings of special tokens are ordinary text. Rows with a repeated or null doc_id
     come out once each. ``tokenizer`` is a byte-level BPE file of the tokenizers library that every executor can read.
     """
     cut = write_shared(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_cut(tokenizer), "block bigint, doc_id bigint, codes binary, first_slot int, words array<string>"), "pretokens")
     listed = cut.filter(F.col("words").isNotNull()).select("block", "first_slot", F.posexplode("words").alias("at", "word")).select("block", (F.col("first_slot") + F.col("at")).alias("slot"), "word")
-    encoded = listed.select("word").distinct().mapInArrow(_encode(tokenizer), "word string, ids array<int>")
-    back = listed.join(encoded, "word").select("block", "slot", "ids", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("codes"))
+    counted = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    encoded = write_shared(counted.mapInArrow(_encode(tokenizer), "word string, n bigint, ids array<int>"), "encoded")
+    total, most = encoded.agg(F.sum("n"), F.max("n")).first()
+    bound = max(LEAST_COMMON, math.ceil((total or 0) / COMMON))
+    if (most or 0) > bound:
+        common = encoded.filter(F.col("n") > bound).drop("n")  # COMMON words at most
+        rest = listed.join(F.broadcast(common.select("word")), "word", "left_anti").join(encoded.filter(F.col("n") <= bound), "word")
+        joined = rest.select("block", "slot", "ids").unionByName(listed.join(F.broadcast(common), "word").select("block", "slot", "ids"))
+    else:
+        joined = listed.join(encoded, "word")
+    back = joined.select("block", "slot", "ids", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("codes"))
     texts = cut.filter(F.col("codes").isNotNull()).select("block", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("array<int>").alias("ids"), "doc_id", "codes")
     ordered = back.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("slot").isNull())
     return ordered.mapInArrow(_assemble, "doc_id bigint, ids array<int>")
@@ -198,21 +217,43 @@ def token_bytes(tokenizer: str = BYTE_BPE) -> dict[int, bytes]:
     return {i: bytes(map(letters.__getitem__, token)) for token, i in vocabulary.items() if all(c in letters for c in token)}
 
 
-def _decode(path: str):
-    """Each list joined with the token-byte table, in its order; the table is held by every task, so no row moves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
-        for batch in batches:
-            texts = [b"".join([table.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return run
+def _join_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, doc_id, at, bytes) of the tokens of each list, one list after the other; only one list is held."""
+    of, doc, parts = None, None, []
+    for batch in batches:
+        rows = batch.column(0).to_numpy()
+        docs, places, tokens = batch.column(1), batch.column(2), batch.column(3).to_pylist()
+        edges = [0, *(np.flatnonzero(np.diff(rows)) + 1).tolist(), batch.num_rows]
+        ids, texts = [], []
+        for a, b in zip(edges, edges[1:]):
+            if rows[a] != of:
+                if of is not None:
+                    ids.append(doc)
+                    texts.append(b"".join(parts).decode("utf-8", "replace"))
+                of, doc, parts, at = rows[a], docs[a].as_py(), [], 0
+            given = places.slice(a, b - a)
+            if given[0].as_py() is not None:
+                if given[0].as_py() != at or given[-1].as_py() != at + b - a - 1:
+                    raise RuntimeError("tokens of a list came out of order")
+                at += b - a
+            parts += [t for t in tokens[a:b] if t]
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    if of is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([b"".join(parts).decode("utf-8", "replace")], pa.string())], names=["doc_id", "text"])
 
 
 def decode_corpus(encoded: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """(doc_id, text) of each (doc_id, ids); ids that are in no vocabulary are left out, empty and null lists are empty texts."""
-    return encoded.select(F.col("doc_id").cast("bigint"), F.col("ids").cast("array<int>")).mapInArrow(_decode(tokenizer), "doc_id bigint, text string")
+    """(doc_id, text) of each (doc_id, ids); ids that are in no vocabulary are left out, empty and null lists are empty texts.
+
+    The ids of each list are exploded with their places and joined with the token-byte table, which is as large as the
+    vocabulary and is broadcast. No row moves, so the tokens of a list stay together and in order, which is checked.
+    """
+    spark = encoded.sparkSession
+    tokens = F.broadcast(spark.createDataFrame(list(token_bytes(tokenizer).items()), "id int, bytes binary"))
+    lists = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"), F.monotonically_increasing_id().alias("row"))
+    exploded = lists.select("row", "doc_id", F.posexplode_outer("ids").alias("at", "id"))
+    return exploded.join(tokens, "id", "left").select("row", "doc_id", "at", "bytes").mapInArrow(_join_tokens, "doc_id bigint, text string")
 
 
 def token_sizes(documents: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
