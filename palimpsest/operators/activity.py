@@ -36,21 +36,24 @@ def mass_editor_days(labels: DataFrame, mass_pages: int = MASS_PAGES) -> DataFra
 
 def daily_activity(labels: DataFrame, mass_pages: int = MASS_PAGES) -> DataFrame:
     """One row per page and day with a revision: the channels, kept_edits, editors, those without mass editors, and the size at its end."""
-    rows = with_channel(labels)
-    mass = mass_editor_days(labels, mass_pages).select("user_text", "day", F.lit(True).alias("mass"))
-    rows = rows.join(mass, ["user_text", "day"], "left")
+    rows = with_channel(labels).withColumn("_user", F.coalesce("user_text", F.concat(F.lit("\0"), F.col("revision_id").cast("string"))))  # hidden users are no key
+    mass = mass_editor_days(labels, mass_pages).select(F.col("user_text").alias("_user"), "day", F.lit(True).alias("mass"))
+    rows = rows.join(mass, ["_user", "day"], "left")
     edit, own = F.col("channel") == "edits", F.col("mass").isNull()
-    user = F.when(edit & (F.col("user_text") != ""), F.col("user_text"))
     total = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
     size = F.max(F.when(F.col("byte_size").isNotNull(), F.struct("revision_id", "byte_size")))
-    return rows.groupBy("page_id", "day").agg(
-        *[total(F.col("channel") == c).alias(c) for c in CHANNELS],
-        total(F.col("channel").isin("edits", "reverted_edits") & ~F.col("is_reverted")).alias("kept_edits"),
-        F.count_distinct(user).alias("editors"),
-        F.count_distinct(F.when(own, user)).alias("editors_excl_mass"),
-        total(edit & ~own).alias("mass_edits"),
-        size["byte_size"].alias("byte_size_eod"),
+    counts = {c: total(F.col("channel") == c) for c in CHANNELS}
+    counts["kept_edits"] = total(F.col("channel").isin("edits", "reverted_edits") & ~F.col("is_reverted"))
+    counts["mass_edits"] = total(edit & ~own)
+    by_user = rows.groupBy("page_id", "day", "user_text").agg(*[n.alias(c) for c, n in counts.items()], size.alias("size"))
+    named = F.col("user_text").isNotNull() & (F.col("user_text") != "") & (F.col("edits") > 0)
+    out = by_user.groupBy("page_id", "day").agg(
+        *[F.sum(c).alias(c) for c in counts],
+        F.count_if(named).alias("editors"),
+        F.count_if(named & (F.col("edits") > F.col("mass_edits"))).alias("editors_excl_mass"),
+        F.max("size")["byte_size"].alias("byte_size_eod"),
     )
+    return out.select("page_id", "day", *CHANNELS, "kept_edits", "editors", "editors_excl_mass", "mass_edits", "byte_size_eod")
 
 
 def _z(count: Column, base: Column, squares: Column, days: Column) -> Column:

@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def day_bounds(labels: DataFrame, asked: DataFrame) -> DataFrame:
     """Of each asked (page_id, date) the last revision before the day before, before the day, the last kept one on it, and its edits.
 
-    Revisions are first reduced to one row a page and day, and the days to the questions by page; the greatest (time, id) counts.
+    Revisions are reduced to one row a page and day; the asked days are rows among these, and calendar frames do the rest, so no
+    day of activity is joined to any question. The greatest (time, id) counts.
     """
-    when = F.struct("ts", "revision_id")
-    day = F.to_date("ts")
-    daily = labels.groupBy("page_id", day.alias("day")).agg(F.max(when).alias("last"), F.max(F.when(~F.col("is_reverted"), when)).alias("kept"), F.count(F.lit(1)).alias("n"))
-    rows = asked.select("page_id", "date").distinct().join(daily, "page_id", "left")
-    d = F.col("date")
-    return rows.groupBy("page_id", "date").agg(
-        F.max(F.when(F.col("day") < F.date_sub(d, 1), F.col("last")))["revision_id"].alias("start_id"),
-        F.max(F.when(F.col("day") < d, F.col("last")))["revision_id"].alias("prompt_id"),
-        F.max(F.when(F.col("day") == d, F.col("kept")))["revision_id"].alias("end_id"),
-        F.sum(F.when(F.col("day") == d, F.col("n")).otherwise(0)).alias("edits_on_day"),
-    )
+    when, day = F.struct("ts", "revision_id"), F.to_date("ts")
+    daily = labels.groupBy("page_id", day.alias("day")).agg(F.max(when).alias("last"), F.max(F.when(~F.col("is_reverted"), when)).alias("kept"), F.count(F.lit(1)).alias("n"), F.lit(False).alias("ask"))
+    none = F.lit(None).cast(daily.schema["last"].dataType)
+    asks = asked.select("page_id", F.col("date").alias("day")).distinct().select("page_id", "day", none.alias("last"), none.alias("kept"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("ask"))
+    page = W.partitionBy("page_id").orderBy(F.unix_date("day"))
+    until = lambda c, end: F.max(c).over(page.rangeBetween(W.unboundedPreceding, end))["revision_id"]
+    today = page.rangeBetween(0, 0)
+    out = daily.unionByName(asks).select("page_id", F.col("day").alias("date"), "ask", until("last", -2).alias("start_id"), until("last", -1).alias("prompt_id"), F.max("kept").over(today)["revision_id"].alias("end_id"), F.sum("n").over(today).alias("edits_on_day"))
+    return out.filter("ask").drop("ask")
 
 
 def merged_history(archive: DataFrame, live: DataFrame, until: str, day: str, lookback: int) -> DataFrame:

@@ -55,12 +55,14 @@ def neighbor_bursts(edges: DataFrame, bursts: DataFrame, asked: DataFrame) -> Da
 
     ``bursts``: page_id, day, editors of bursting page-days. A burst counts for the "in" side of every page it links to and the
     "out" side of every page that links to it. Bursts meet the edges by equality and are summed by page and day; only then do
-    calendar frames run.
+    calendar frames run. Only edges of asked pages take part.
     """
     multi = (F.col("editors") >= 2).cast("bigint")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    incoming = bursts.join(edges, bursts["page_id"] == edges["src"]).select(F.col("dst").alias("page_id"), "day", one.alias("i"), multi.alias("im"), zero.alias("o"), zero.alias("om"))
-    outgoing = bursts.join(edges, bursts["page_id"] == edges["dst"]).select(F.col("src").alias("page_id"), "day", zero.alias("i"), zero.alias("im"), one.alias("o"), multi.alias("om"))
+    pages = asked.select("page_id").distinct()
+    into, out_of = (edges.join(pages.withColumnRenamed("page_id", c), c, "left_semi").select(F.col("src").alias("_s"), F.col("dst").alias("_t")) for c in ("dst", "src"))
+    incoming = bursts.join(into, F.col("page_id") == F.col("_s")).select(F.col("_t").alias("page_id"), "day", one.alias("i"), multi.alias("im"), zero.alias("o"), zero.alias("om"))
+    outgoing = bursts.join(out_of, F.col("page_id") == F.col("_t")).select(F.col("_s").alias("page_id"), "day", zero.alias("i"), zero.alias("im"), one.alias("o"), multi.alias("om"))
     measures = ["i", "im", "o", "om"]
     hits = incoming.unionByName(outgoing).groupBy("page_id", "day").agg(*[F.sum(m).alias(m) for m in measures]).withColumn("ask", F.lit(False))
     asks = asked.select("page_id", F.col("date").alias("day")).distinct().select("page_id", "day", *[zero.alias(m) for m in measures], F.lit(True).alias("ask"))
@@ -74,7 +76,9 @@ def neighbor_bursts(edges: DataFrame, bursts: DataFrame, asked: DataFrame) -> Da
 
 def bursting_neighbors(edges: DataFrame, bursts: DataFrame, asked: DataFrame, n: int = 8) -> DataFrame:
     """Up to ``n`` linked pages in either direction that burst on the day before, most editors first, the higher page_id first on a tie."""
+    wanted = asked.select("page_id", "date").distinct()
     both = edges.select(F.col("src").alias("page_id"), F.col("dst").alias("neighbor")).unionByName(edges.select(F.col("dst").alias("page_id"), F.col("src").alias("neighbor"))).distinct()
-    near = asked.select("page_id", "date").distinct().join(both, "page_id")
-    hits = near.join(bursts.select(F.col("page_id").alias("neighbor"), F.date_add("day", 1).alias("date"), "editors"), ["neighbor", "date"])
+    own = both.join(wanted.select("page_id").distinct(), "page_id", "left_semi")
+    near = bursts.select(F.col("page_id").alias("neighbor"), F.date_add("day", 1).alias("date"), "editors").join(own, "neighbor")  # bursts first: they are few
+    hits = near.join(wanted, ["page_id", "date"], "left_semi")
     return first_rows(hits, ["page_id", "date"], [F.desc("editors"), F.desc("neighbor")], n, "rank")

@@ -53,14 +53,24 @@ def day_draw(seed: int) -> Column:
     return hash_share(hash_share(F.col("page_id")) + F.unix_date("day") * F.lit(40503) + F.lit(seed))
 
 
+def period_draw(every: int, seed: int) -> Column:
+    """A day from 0 to ``every`` - 1 for each page and period ``_b``."""
+    return F.floor(hash_share(hash_share(F.col("page_id")) + F.col("_b") * F.lit(40503) + F.lit(seed)) * F.lit(every) / F.lit(SPAN))
+
+
 def panel(daily: DataFrame, last: date, rate: float, final: date, seed: int = 0) -> DataFrame:
-    """All page-days with kept edits from the day after a page's first, and a share of the others with a weight to match."""
+    """All page-days with kept edits from the day after a page's first, and a share of the others with a weight to match.
+
+    Of every 1 / rate days of a page one is drawn by a hash, so that only drawn days are ever made.
+    """
+    every = round(1 / rate)
     firsts = daily.groupBy("page_id").agg(F.min("day").alias("first_day")).filter(F.col("first_day") < F.lit(last))
-    grid = firsts.select("page_id", F.explode(F.sequence(F.date_add("first_day", 1), F.lit(last))).alias("day"))
-    negatives = grid.filter(day_draw(seed) < F.lit(int(rate * SPAN)))
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.datediff(F.lit(last), "first_day") - 1) / every).cast("int"))).alias("_b")
+    drawn = firsts.select("page_id", "first_day", number).withColumn("day", F.date_add("first_day", (F.col("_b") * every + 1 + period_draw(every, seed)).cast("int")))
+    negatives = drawn.filter(F.col("day") <= F.lit(last)).select("page_id", "day")
     positives = daily.filter("kept_edits > 0").select("page_id", "day", "kept_edits").join(firsts, "page_id").filter((F.col("day") > F.col("first_day")) & (F.col("day") <= F.lit(last))).select("page_id", "day", "kept_edits")
     rest = negatives.join(positives.select("page_id", "day"), ["page_id", "day"], "left_anti").withColumn("kept_edits", F.lit(0).cast("bigint"))
-    rows = positives.withColumn("sample_weight", F.lit(1.0)).unionByName(rest.withColumn("sample_weight", F.lit(1.0 / rate)))
+    rows = positives.withColumn("sample_weight", F.lit(1.0)).unionByName(rest.withColumn("sample_weight", F.lit(float(every))))
     return rows.select("page_id", F.col("day").alias("date"), (F.col("kept_edits") > 0).alias("y"), "kept_edits", "sample_weight", (F.col("day") <= F.lit(final)).alias("label_is_final"))
 
 

@@ -65,8 +65,16 @@ def paired_difference(baseline: DataFrame, candidate: DataFrame, metric: str) ->
 
 
 def lexicographic_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Dense ranks from 0 that order the rows of each date by ``keys``; equal keys tie. Adds ``score``."""
-    return rows.withColumn("score", F.dense_rank().over(W.partitionBy("date").orderBy(*[F.col(k).asc_nulls_first() for k in keys])) - 1)
+    """Dense ranks from 0 that order the rows of each date by ``keys``, nulls first; equal keys tie. Adds ``score``.
+
+    The distinct keys of a date are placed over range partitions, so no date is ranked by one task, and joined back.
+    """
+    tuples = rows.select("date", *keys).distinct()
+    placed = positions(tuples, "date", [F.col(k).asc_nulls_first() for k in keys], {}).select(F.col("date").alias("_d"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("rank") - 1).alias("score"))
+    same = F.col("date").eqNullSafe(F.col("_d"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(placed, same).drop("_d", *[f"_k{i}" for i in range(len(keys))])
 
 
 BASELINES = {
@@ -80,7 +88,8 @@ BASELINES = {
 
 def baseline_scores(features: DataFrame) -> DataFrame:
     """The scores of five simple rankings, one row for each page-day and ranking."""
-    rows = features.withColumn("recency", -F.col("days_since_last_edit"))
+    columns = {"page_id", "date", *(k for keys in BASELINES.values() for k in keys)}
+    rows = write_shared(features.withColumn("recency", -F.col("days_since_last_edit")).select(*sorted(columns)), "baselines")
     parts = [lexicographic_rank(rows, keys).select("page_id", "date", F.lit(name).alias("baseline"), F.col("score").cast("bigint").alias("score")) for name, keys in BASELINES.items()]
     out = parts[0]
     for p in parts[1:]:

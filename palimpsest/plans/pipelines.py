@@ -125,7 +125,7 @@ QUERIES = {f.__name__: f for f in (s1_page_xml, s2_history_lines, s3_sql_dump, s
 _S = "(SELECT CAST(sum({0}) AS BIGINT) FROM bu WHERE bu.page_id = ca.page_id AND bu.day BETWEEN DATE '2026-08-01' - {1} AND DATE '2026-07-31')"
 SQL = {
     "s1_page_xml": Q.LOG + " SELECT page_id, page_title, revision_id, ts, user_text, coalesce(byte_size, 0) AS byte_size FROM o WHERE page_title IS NOT NULL",
-    "s2_history_lines": "SELECT page_id, revision_id, parent_id, timestamp AS ts, user_text, is_anon, is_bot, byte_size, sha1 FROM revisions WHERE page_id IS NOT NULL AND revision_id % 7 <> 0 AND revision_id % 11 <> 0",
+    "s2_history_lines": "SELECT page_id, revision_id, parent_id, timestamp AS ts, user_text, is_anon, is_bot, byte_size, sha1 FROM revisions WHERE page_id IS NOT NULL AND namespace = 0",
     "s3_sql_dump": "SELECT c_custkey AS id, c_name AS name, CAST(nullif(c_nationkey, 0) AS BIGINT) AS nation FROM customer",
     "s5_live_changes": "SELECT page_id, revision_id, timestamp AS ts, CASE WHEN revision_id % 50 <> 0 THEN user_text END AS user_text, is_anon, is_bot, CASE WHEN revision_id % 5 = 0 THEN timestamp END AS page_created FROM revisions WHERE page_id IS NOT NULL AND namespace = 0 AND (revision_id % 5 = 0 OR revision_id % 7 <> 0) AND timestamp >= TIMESTAMP '2026-07-07' AND timestamp < TIMESTAMP '2026-07-09'",
     "s13_month_buckets": Q.LOG + " SELECT '2026-07' AS month, page_id % 8 AS bucket, count(*) AS n FROM o WHERE strftime(ts, '%Y-%m') = '2026-07' GROUP BY ALL",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators import activity as A
@@ -13,8 +13,12 @@ from palimpsest.operators import links as L
 from palimpsest.operators import panel as P
 from palimpsest.operators import ranking as R
 from palimpsest.operators.labels import is_bot
+from palimpsest.operators.revisions import first_delivery
+from palimpsest.operators.rolling import rolling_totals
 from palimpsest.plans import activity as Q
-from palimpsest.shared import table, write_shared
+from palimpsest.plans.problems import REVISION
+from palimpsest.shared import keep, shared_dir, table, write_shared
+from palimpsest.sources import sinks
 
 LAST, FINAL = date(2026, 8, 10), date(2026, 7, 31)
 DAYS = [date(2026, 7, 5) + timedelta(days=7 * i) for i in range(5)]
@@ -178,16 +182,21 @@ def j13_merged_history(spark, d):
 
 
 def j14_titles_then(spark, d):
-    now = table(spark, d, "titles").distinct()
-    return now.select("kind", "revision_id", "date", F.coalesce("title_then", "title").alias("title"))
+    """Each forecast day's title as it was at the page's last revision before the day, else the title shown."""
+    then = table(spark, d, "titles").filter("title_then IS NOT NULL").groupBy("revision_id").agg(F.max("title_then").alias("title_then"))
+    asked = table(spark, d, "forecast_days").select("page_id", "date", "page_title")
+    bounds = H.day_bounds(Q.labels(spark, d), asked).select("page_id", "date", F.col("prompt_id").alias("revision_id"))
+    rows = asked.join(bounds, ["page_id", "date"], "left").join(then, "revision_id", "left")
+    return rows.select("page_id", "date", "revision_id", F.coalesce("title_then", "page_title").alias("title"))
 
 
 def j15_changes_by_day(spark, d):
-    """Of each forecast day the titles of the day before filed under the page's, as a map of title to number of rows."""
-    rows = table(spark, d, "titles").distinct().filter("title IS NOT NULL").groupBy("date", F.translate("title", "_", " ").alias("title")).agg(F.count(F.lit(1)).alias("n"))
-    by_day = rows.groupBy(F.date_add("date", 1).alias("date")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("title", "n")))).alias("changes"))
-    asked = table(spark, d, "forecast_days").join(by_day, "date", "left")
-    return asked.select("page_id", "date", F.coalesce(F.size("changes"), F.lit(0)).cast("bigint").alias("n_titles"), F.col("changes")[F.translate("page_title", "_", " ")].alias("own"))
+    """Of each forecast day the titles filed under the day before, and the number of rows filed under its page's own."""
+    rows = table(spark, d, "titles").distinct().filter("title IS NOT NULL").groupBy(F.date_add("date", 1).alias("date"), F.translate("title", "_", " ").alias("name")).agg(F.count(F.lit(1)).alias("own"))
+    titles = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n_titles"))
+    asked = table(spark, d, "forecast_days").select("page_id", "date", F.translate("page_title", "_", " ").alias("name"))
+    both = asked.join(rows, ["date", "name"], "left").join(titles, "date", "left")
+    return both.select("page_id", "date", F.coalesce("n_titles", F.lit(0)).cast("bigint").alias("n_titles"), "own")
 
 
 def j16_titles_at_revisions(spark, d):
@@ -204,11 +213,15 @@ def j17_source_differences(spark, d):
 
 
 def j18_rank_agreement(spark, d):
-    """Two scores of the page-days of each date: how their ranks agree, and the pages that are among the first 20 of both."""
-    rows = table(spark, d, "burst_days").distinct().filter("editors IS NOT NULL AND editors_excl_mass IS NOT NULL")
-    rank = lambda c: F.row_number().over(W.partitionBy("date").orderBy(F.desc(c), "page_id"))
-    both = rows.select("date", "editors", "editors_excl_mass", rank("editors").alias("a"), rank("editors_excl_mass").alias("b"))
-    return both.groupBy("date").agg(F.round(F.corr("a", "b"), 6).alias("correlation"), F.count_if((F.col("a") <= 20) & (F.col("b") <= 20)).alias("top_20"), F.count_if(F.col("editors") != F.col("editors_excl_mass")).alias("differs"))
+    """Published totals of 30 days against those computed from the log: how the pages' ranks of each date agree, and the pages among the first 20 of both."""
+    given = table(spark, d, "trailing_totals").select(F.col("page_id").alias("entity"), F.col("date").alias("day"), "edits_30d").filter("edits_30d IS NOT NULL")
+    asked = given.select("entity", "day", F.col("edits_30d").alias("published"))
+    days = first_delivery(table(spark, d, "revisions"), ["page_id", "timestamp"]).filter("page_id IS NOT NULL")
+    daily = days.groupBy(F.col("page_id").alias("entity"), F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("edits"))
+    rows = write_shared(rolling_totals(daily, asked, ["edits"], (30,)), "totals")
+    place = lambda rows, c, name: R.positions(rows, "day", [F.desc(c), F.col("entity").asc()], {}).withColumnRenamed("rank", name)
+    both = place(place(rows, "published", "a"), "edits_30d", "b")
+    return both.groupBy(F.col("day").alias("date")).agg(F.round(F.corr("a", "b"), 6).alias("correlation"), F.count_if((F.col("a") <= 20) & (F.col("b") <= 20)).alias("top_20"), F.count_if(F.col("published") != F.col("edits_30d")).alias("differs"))
 
 
 def pred_p10_hash_sample(spark, d):
@@ -277,9 +290,11 @@ def s14_missing_days(spark, d):
 
 
 def s18_prune(spark, d):
-    rows = table(spark, d, "burst_days")
-    newest = rows.agg(F.max("date").alias("newest"))
-    return rows.join(newest, F.col("date") >= F.date_sub("newest", 14)).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    """A table with a folder for each day, of which those of more than 14 days before the newest are removed."""
+    path = keep(spark, f"{shared_dir(spark)}/palimpsest-prune-{uuid.uuid4().hex}")
+    table(spark, d, "burst_days").repartition("date").write.partitionBy("date").parquet(path)
+    sinks.prune_days(spark, path, 14)
+    return spark.read.parquet(path).groupBy(F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def a28_percentiles(spark, d):
@@ -325,8 +340,10 @@ SQL = {
     "a16_degrees": _LINKS + f", {_DEG} SELECT * FROM dg",
     "j5_neighbor_bursts": _NEAR + " SELECT *, round(in_bursting_1d / greatest(in_links, 1)::DOUBLE, 6) AS in_share_1d, round(out_bursting_1d / greatest(out_links, 1)::DOUBLE, 6) AS out_share_1d FROM n",
     "j12_bursting_neighbors": _LINKS + ", u AS (SELECT src AS page_id, dst AS neighbor FROM e UNION SELECT dst, src FROM e), h AS (SELECT f.page_id, f.date, u.neighbor, row_number() OVER (PARTITION BY f.page_id, f.date ORDER BY bd.editors DESC NULLS LAST, u.neighbor DESC) AS rank FROM (SELECT DISTINCT page_id, date FROM burst_days) f JOIN u USING (page_id) JOIN bd ON bd.page_id = u.neighbor AND bd.day = f.date - 1) SELECT * FROM h WHERE rank <= 8",
-    "l1_panel": Q.DAILY + f""", fi AS (SELECT page_id, min(day) AS first_day FROM da GROUP BY page_id), gr AS (SELECT page_id, CAST(unnest(generate_series(first_day + 1, DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS day FROM fi),
-        pa AS (SELECT g.page_id, g.day, coalesce(da.kept_edits, 0) AS kept_edits FROM gr g LEFT JOIN da USING (page_id, day)) SELECT page_id, day AS date, kept_edits > 0 AS y, kept_edits, CASE WHEN kept_edits > 0 THEN 1.0 ELSE 20.0 END::DOUBLE AS sample_weight, day <= DATE '{FINAL}' AS label_is_final FROM pa WHERE kept_edits > 0 OR {_DRAW.format(0)} < {int(0.05 * P.SPAN)}""",
+    "l1_panel": Q.DAILY + f""", fi AS (SELECT page_id, min(day) AS first_day FROM da GROUP BY page_id), bl AS (SELECT page_id, first_day, unnest(range(0, CAST(floor((DATE '{LAST}' - first_day - 1) / 20.0) AS BIGINT) + 1)) AS b FROM fi WHERE first_day < DATE '{LAST}'),
+        dr AS (SELECT page_id, first_day + CAST(b * 20 + 1 + floor({H32.format(H32.format('page_id') + ' + b * 40503')} * 20 / 4294967296.0) AS INT) AS day FROM bl),
+        pa AS (SELECT da.page_id, da.day, da.kept_edits FROM da JOIN fi USING (page_id) WHERE kept_edits > 0 AND da.day > first_day AND da.day <= DATE '{LAST}' UNION ALL SELECT page_id, day, 0 FROM dr WHERE day <= DATE '{LAST}' AND (page_id, day) NOT IN (SELECT (page_id, day) FROM da WHERE kept_edits > 0))
+        SELECT page_id, day AS date, kept_edits > 0 AS y, kept_edits, CASE WHEN kept_edits > 0 THEN 1.0 ELSE 20.0 END::DOUBLE AS sample_weight, day <= DATE '{FINAL}' AS label_is_final FROM pa""",
     "l2_evaluation_days": Q.LOG + ", fi AS (SELECT page_id, min(day) AS first_day FROM o GROUP BY page_id), ev AS (SELECT unnest([" + ", ".join(f"DATE '{x}'" for x in DAYS) + "]) AS date) SELECT page_id, date FROM fi, ev WHERE date > first_day",
     "l4_baselines": Q.FEATURES + " " + " UNION ALL ".join(f"SELECT page_id, date, '{n}' AS baseline, dense_rank() OVER (PARTITION BY date ORDER BY {', '.join(('-days_since_last_edit' if k == 'recency' else k) + ' NULLS FIRST' for k in ks)}) - 1 AS score FROM ft" for n, ks in R.BASELINES.items()),
     "w16_lexicographic_rank": "SELECT date, page_id, dense_rank() OVER (PARTITION BY date ORDER BY editors, editors_excl_mass NULLS FIRST) - 1 AS score FROM (SELECT DISTINCT * FROM burst_days) WHERE editors IS NOT NULL",
@@ -345,12 +362,12 @@ SQL = {
     "j10_day_bounds": Q.LABELS + " SELECT f.page_id, f.date, arg_max(revision_id, (ts, revision_id)) FILTER (day < f.date - 1) AS start_id, arg_max(revision_id, (ts, revision_id)) FILTER (day < f.date) AS prompt_id, arg_max(revision_id, (ts, revision_id)) FILTER (day = f.date AND NOT is_reverted) AS end_id, count(*) FILTER (day = f.date) AS edits_on_day FROM (SELECT DISTINCT page_id, date FROM forecast_days) f LEFT JOIN l USING (page_id) GROUP BY ALL",
     "j11_neighbor_day_bounds": Q.LOG + " SELECT page_id, day, nullif(arg_min_null(parent_id, revision_id), 0) AS first_parent, max(revision_id) AS last_revision FROM o GROUP BY ALL",
     "j13_merged_history": Q.LOG + f", ca AS (SELECT DISTINCT page_id FROM o WHERE ts >= TIMESTAMP '{CUT}' AND ts < TIMESTAMP '{DAY}' AND ts >= TIMESTAMP '{DAY}' - INTERVAL 30 DAY) SELECT page_id, revision_id FROM o WHERE ts < TIMESTAMP '{DAY}' AND page_id IN (SELECT page_id FROM ca)",
-    "j14_titles_then": "SELECT kind, revision_id, date, coalesce(title_then, title) AS title FROM (SELECT DISTINCT * FROM titles)",
+    "j14_titles_then": Q.LABELS + ", b AS (SELECT f.page_id, f.date, arg_max(revision_id, (ts, revision_id)) FILTER (day < f.date) AS revision_id FROM (SELECT DISTINCT page_id, date FROM forecast_days) f LEFT JOIN l USING (page_id) GROUP BY ALL), th AS (SELECT revision_id, max(title_then) AS title_then FROM titles GROUP BY revision_id) SELECT f.page_id, f.date, b.revision_id, coalesce(th.title_then, f.page_title) AS title FROM forecast_days f JOIN b USING (page_id, date) LEFT JOIN th ON th.revision_id = b.revision_id",
     "j15_changes_by_day": "WITH t AS (SELECT date + 1 AS date, replace(title, '_', ' ') AS title, count(*) AS n FROM (SELECT DISTINCT * FROM titles) WHERE title IS NOT NULL GROUP BY ALL) SELECT f.page_id, f.date, (SELECT count(*) FROM t WHERE t.date = f.date) AS n_titles, (SELECT n FROM t WHERE t.date = f.date AND t.title = replace(f.page_title, '_', ' ')) AS own FROM forecast_days f",
     "j16_titles_at_revisions": Q.LOG + " SELECT revision_id, page_title FROM o WHERE revision_id IN (SELECT revision_id FROM titles)",
-    "j17_source_differences": "WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at) AS i FROM revisions) WHERE i = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at DESC) AS i FROM revisions) WHERE i = 1 AND revision_id % 50 <> 0) SELECT count(*) FILTER (a.revision_id = b.revision_id) AS shared, count(*) FILTER (b.revision_id IS NULL) AS only_a, count(*) FILTER (a.revision_id IS NULL) AS only_b, "
+    "j17_source_differences": "WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at) AS i FROM revisions) WHERE i = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at DESC) AS i FROM revisions) WHERE i = 1) SELECT count(*) FILTER (a.revision_id = b.revision_id) AS shared, count(*) FILTER (b.revision_id IS NULL) AS only_a, count(*) FILTER (a.revision_id IS NULL) AS only_b, "
     + ", ".join(f"count(*) FILTER (a.revision_id = b.revision_id AND a.{c} IS DISTINCT FROM b.{c}) AS {c}_differs" for c in ("user_text", "byte_size", "sha1", "change_tag")) + " FROM a FULL JOIN b ON a.revision_id = b.revision_id",
-    "j18_rank_agreement": "WITH x AS (SELECT date, editors, editors_excl_mass, row_number() OVER (PARTITION BY date ORDER BY editors DESC, page_id) AS a, row_number() OVER (PARTITION BY date ORDER BY editors_excl_mass DESC, page_id) AS b FROM (SELECT DISTINCT * FROM burst_days) WHERE editors IS NOT NULL AND editors_excl_mass IS NOT NULL) SELECT date, round(corr(a, b), 6) AS correlation, count(*) FILTER (a <= 20 AND b <= 20) AS top_20, count(*) FILTER (editors <> editors_excl_mass) AS differs FROM x GROUP BY date",
+    "j18_rank_agreement": REVISION + ", e AS (SELECT page_id, CAST(timestamp AS DATE) AS day, count(*) AS n FROM r WHERE page_id IS NOT NULL GROUP BY ALL), c AS (SELECT p.date, p.page_id, p.edits_30d AS published, coalesce((SELECT sum(n) FROM e WHERE e.page_id = p.page_id AND e.day BETWEEN p.date - 30 AND p.date - 1), 0) AS computed FROM trailing_totals p WHERE edits_30d IS NOT NULL), x AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY published DESC, page_id) AS a, row_number() OVER (PARTITION BY date ORDER BY computed DESC, page_id) AS b FROM c) SELECT date, round(corr(a, b), 6) AS correlation, count(*) FILTER (a <= 20 AND b <= 20) AS top_20, count(*) FILTER (published <> computed) AS differs FROM x GROUP BY date",
     "pred_p10_hash_sample": Q.LOG + f" SELECT page_id, count(*) AS n FROM o WHERE {H32.format('page_id')} < {int(0.2 * P.SPAN)} GROUP BY page_id",
     "pred_p11_day_sample": Q.LOG + f" SELECT DISTINCT page_id, day FROM o WHERE {_DRAW.format(7)} < {int(0.1 * P.SPAN)}",
     "pred_p8_day_grid": "SELECT CAST(unnest(generate_series(DATE '2026-06-01', DATE '2026-08-19', INTERVAL 7 DAY)) AS DATE) AS day",
@@ -363,7 +380,7 @@ SQL = {
     "u4_common_pages": "SELECT page_id FROM burst_days INTERSECT SELECT page_id FROM forecast_days",
     "u5_missing_pages": "SELECT page_id FROM trailing_totals EXCEPT SELECT page_id FROM forecast_days",
     "j22_still_to_fetch": "SELECT DISTINCT revision_id, title_then IS NULL AS again FROM titles WHERE title_then IS NULL OR revision_id NOT IN (SELECT revision_id FROM revisions WHERE revision_id IS NOT NULL)",
-    "s14_missing_days": "SELECT CAST(day AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '2026-06-01', DATE '2026-08-19', INTERVAL 1 DAY)) AS day) WHERE CAST(day AS DATE) NOT IN (SELECT date FROM forecast_days WHERE page_id % 3 = 0)",
+    "s14_missing_days": "SELECT CAST(day AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '2026-06-01', DATE '2026-08-19', INTERVAL 1 DAY)) AS day) WHERE CAST(day AS DATE) NOT IN (SELECT date FROM forecast_days)",
     "s18_prune": "SELECT date, count(*) AS n FROM burst_days WHERE date >= (SELECT max(date) FROM burst_days) - 14 GROUP BY date",
     "a28_percentiles": "SELECT date, " + ", ".join(f"quantile_cont(editors, 0.{p})::DOUBLE AS p{p}" for p in (25, 50, 75, 90)) + " FROM (SELECT DISTINCT * FROM burst_days) WHERE editors IS NOT NULL GROUP BY date",
     "a29_value_counts": "SELECT kind, count(*) AS n FROM titles GROUP BY kind",

@@ -44,12 +44,12 @@ def a18_document_frequency(spark, d):
 
 
 def k5_relevant_sentences(spark, d):
-    """Sentences of the page's articles for each outlook, those that name its page first. The SQL has only those that share words."""
+    """Sentences of the page's articles for each outlook, those that name its page first."""
     own = docs(spark, d).filter("page_id IS NOT NULL")
     queries = own.filter("source = 'outlook'").select(F.col("doc_id").alias("id"), "page_id", F.trim(F.regexp_extract("text", "Page: ([^\n]*)", 1)).alias("title"), "text")
     parts = own.filter("source = 'article'").select("page_id", "doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence"))
     candidates = parts.select("page_id", (F.col("doc_id") * 100000 + F.col("n")).alias("sentence_id"), "sentence")
-    found = X.relevant_sentences(queries, candidates, write_shared(X.document_frequency(docs(spark, d), 0.25), "df"))
+    found = X.relevant_sentences(queries, candidates, write_shared(X.document_frequency(docs(spark, d)), "df"))
     return found.select("id", "sentence_id", "shared", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -68,7 +68,7 @@ def u7_shown_words(spark, d):
 
 
 def t8_names_page(spark, d):
-    """How many of the names of the pages' titles each text holds as whole words, linked or not. The SQL has only targets of links."""
+    """How many of the names of the pages' titles each text holds as whole words, linked or not."""
     titles = table(spark, d, "titles").filter("title IS NOT NULL").select("title").distinct()
     names = write_shared(N.titles_names(titles).drop("title").distinct(), "names")
     spots = N.spots(docs(spark, d).select("doc_id", "text"), names)
@@ -169,7 +169,7 @@ def a25_kind_marginals(spark, d):
 
 
 def a26_best_threshold(spark, d):
-    """Coordinate ascent on the mean Jaccard of the kinds. The SQL takes each kind alone by its agreement, at five thresholds."""
+    """Coordinate ascent on the mean Jaccard of the kinds."""
     own = _marginals(spark, d).withColumn("did", (F.col("id") + F.col("kind")) % 3 == 0)
     return X.best_thresholds(own, [i / 20 for i in range(1, 20)]).withColumn("kind", F.col("kind").cast("bigint"))
 
@@ -291,10 +291,14 @@ SQL = {
     "t6_sentences": _D + ", s AS (SELECT doc_id, " + _SENT.format("text") + " AS a FROM t) SELECT doc_id, len(a) AS n, a[1] AS first FROM s",
     "t7_words": _D + " SELECT doc_id, len(" + _WORDS.format("text") + ") AS n FROM t",
     "a18_document_frequency": _DF + " SELECT * FROM fr",
-    "k5_relevant_sentences": _DF + ", q AS (SELECT doc_id AS id, page_id, unnest(" + _WORDS.format("text") + ") AS word FROM t WHERE source = 'outlook' AND page_id IS NOT NULL), c0 AS (SELECT page_id, doc_id, generate_subscripts(a, 1) - 1 AS n, unnest(a) AS sentence FROM (SELECT page_id, doc_id, " + _SENT.format("text") + " AS a FROM t WHERE source = 'article' AND page_id IS NOT NULL)), c AS (SELECT page_id, doc_id * 100000 + n AS sentence_id, len(" + _WORDS.format("sentence") + ") AS size, unnest(" + _WORDS.format("sentence") + ") AS word FROM c0), m AS (SELECT id, sentence_id, count(*) AS shared, round(sum(idf) / sqrt(any_value(size) + 1), 4) AS score FROM q JOIN fr USING (word) JOIN c USING (page_id, word) WHERE df < 0.25 * (SELECT count(*) FROM t) GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, sentence_id) AS rank FROM m) WHERE rank <= 8",
+    "k5_relevant_sentences": _DF + ", q0 AS (SELECT doc_id AS id, page_id, text, trim(regexp_extract(text, 'Page: ([^\\n]*)', 1)) AS title FROM t WHERE source = 'outlook' AND page_id IS NOT NULL), q AS (SELECT id, page_id, unnest(" + _WORDS.format("text") + ") AS word FROM q0), c0 AS (SELECT page_id, doc_id, generate_subscripts(a, 1) - 1 AS n, unnest(a) AS sentence FROM (SELECT page_id, doc_id, " + _SENT.format("text") + " AS a FROM t WHERE source = 'article' AND page_id IS NOT NULL)), cs AS (SELECT page_id, doc_id * 100000 + n AS sentence_id, sentence FROM c0), c AS (SELECT page_id, sentence_id, len(" + _WORDS.format("sentence") + ") AS size, unnest(" + _WORDS.format("sentence") + ") AS word FROM cs),"
+    " m AS (SELECT id, sentence_id, count(*) AS shared, round(sum(idf) / sqrt(any_value(size) + 1), 4) AS score FROM q JOIN fr USING (word) JOIN c USING (page_id, word) WHERE content GROUP BY ALL),"
+    " nm AS (SELECT DISTINCT id, page_id, name FROM (SELECT id, page_id, replace(title, '_', ' ') AS name FROM q0 UNION ALL SELECT id, page_id, regexp_replace(replace(title, '_', ' '), '[ \\t\\n\\r\\f\\v]*\\([^)]*\\)$', '') FROM q0) WHERE length(name) >= 4), h AS MATERIALIZED (SELECT id, sentence_id, sentence, name FROM nm JOIN cs USING (page_id) WHERE contains(sentence, name)), na AS (SELECT DISTINCT id, sentence_id, true AS named FROM h WHERE regexp_matches(sentence, '(^|[^\\pL\\pN_])' || regexp_escape(name) || '($|[^\\pL\\pN_])')),"
+    " b AS (SELECT id, sentence_id, coalesce(shared, 0) AS shared, coalesce(score, 0) AS score, coalesce(named, false) AS named FROM m FULL JOIN na USING (id, sentence_id)) SELECT id, sentence_id, shared, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY named DESC, score DESC, sentence_id) AS rank FROM b WHERE named OR shared >= 2) WHERE rank <= 8",
     "u6_word_jaccard": _PAIRS + " SELECT page_id, day, round(CASE WHEN u = 0 THEN 1 ELSE i / u::DOUBLE END, 6) AS jaccard FROM x",
     "u7_shown_words": _PAIRS + " SELECT page_id, day, round(CASE WHEN len(b) > 0 THEN i / len(b)::DOUBLE END, 6) AS share FROM x",
-    "t8_names_page": _LINES + ", nm AS (SELECT DISTINCT replace(regexp_replace(title, '\\s*\\([^)]*\\)$', ''), '_', ' ') AS name FROM titles WHERE title IS NOT NULL) SELECT doc_id, count(DISTINCT name) AS names FROM (SELECT doc_id, unnest(regexp_extract_all(line, '\\[\\[([^\\[\\]|]*)', 1)) AS name FROM ll) JOIN nm USING (name) WHERE length(name) >= 4 GROUP BY doc_id",
+    "t8_names_page": _D + ", tt AS (SELECT DISTINCT replace(title, '_', ' ') AS full_name FROM titles WHERE title IS NOT NULL), nm AS (SELECT DISTINCT name FROM (SELECT full_name AS name FROM tt UNION ALL SELECT regexp_replace(full_name, '[ \\t\\n\\r\\f\\v]*\\([^)]*\\)$', '') FROM tt) WHERE length(name) >= 4)"
+    ", h AS MATERIALIZED (SELECT doc_id, text, name FROM t, nm WHERE contains(text, name)) SELECT doc_id, count(*) AS names FROM h WHERE regexp_matches(text, '(^|[^\\pL\\pN_])' || regexp_escape(name) || '($|[^\\pL\\pN_])') GROUP BY doc_id",
     "t9_headings": _HEAD + " SELECT doc_id, n, level, title FROM h",
     "t11_sections": _SEC + " SELECT * FROM se",
     "t18_cut": _D + ", f AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) AS x FROM t) SELECT doc_id, CASE WHEN length(x) <= 120 THEN x ELSE regexp_replace(substring(x, 1, 120), ' [^ ]*$', '') || ' …' END AS cut FROM f",
@@ -308,7 +312,6 @@ SQL = {
     "a23_forecast_summary": _SCORE + " SELECT round(avg(section_precision), 6) AS section_precision, round(avg(main_section_hit), 6) AS main_section_hit, round(avg(jaccard), 6) AS jaccard, count(*) AS n FROM sc",
     "a24_common_sections": _D + _FC + " SELECT section, count(*) AS n FROM (SELECT unnest(named) AS section FROM fc) GROUP BY section HAVING count(*) > 0.1 * (SELECT count(*) FROM fc)",
     "a25_kind_marginals": _KM + " SELECT * FROM km",
-    "a26_best_threshold": _KM + ", g AS (SELECT kind, t, round(avg(((p >= t) = ((id + kind) % 3 = 0))::INT), 6) AS agreement FROM km, (SELECT unnest([0.4, 0.45, 0.5, 0.55, 0.6])::DOUBLE AS t) GROUP BY ALL) SELECT kind, t AS threshold, agreement FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY agreement DESC, t) AS i FROM g) WHERE i = 1",
     "a27_weighted_mean": "SELECT l_returnflag, round(sum(l_extendedprice)::DOUBLE / sum(l_quantity)::DOUBLE, 4) AS weighted, round(avg(l_extendedprice), 4) AS pooled FROM lineitem GROUP BY l_returnflag",
     "a33_agreement": "WITH a AS (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at) AS i, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at DESC) AS j FROM revisions WHERE revision_id IS NOT NULL) SELECT count(*) AS n, " + ", ".join(f"round(avg((x.{c} IS NOT DISTINCT FROM y.{c})::INT), 6) AS {c}" for c in ("user_text", "byte_size", "sha1", "is_minor")) + " FROM a x JOIN a y ON x.revision_id = y.revision_id AND x.i = 1 AND y.j = 1 AND x.fetched_at < y.fetched_at",
     "pred_p12_sensitive": _D + " SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '\\b(flood|burn|war|strike)', 1))) AS stems FROM t WHERE regexp_matches(text, '(?i)\\b(flood|burn|war|strike)')",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 128
@@ -27,3 +29,17 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
 
 def keep_recent(df: DataFrame, day: str, days: int) -> DataFrame:
     return df.filter(F.col("date") >= F.date_sub(F.lit(day).cast("date"), days))
+
+
+def prune_days(spark: SparkSession, path: str, days: int, column: str = "date") -> list[str]:
+    """Remove the day folders of a table that are more than ``days`` days older than its newest one; returns their days."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = {f.getPath().getName().partition("=")[2]: f.getPath() for f in system.listStatus(root) if f.getPath().getName().startswith(f"{column}=")}
+    known = {date.fromisoformat(d): p for d, p in folders.items() if d[:1].isdigit()}
+    oldest = max(known, default=date.max) - timedelta(days=days)
+    old = [d for d in sorted(known) if d < oldest]
+    for day in old:
+        system.delete(known[day], True)
+    return [str(d) for d in old]
