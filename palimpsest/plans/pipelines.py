@@ -30,8 +30,7 @@ def s1_page_xml(spark, d):
     escape = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     user = F.when(F.col("user_text").isNull(), "<contributor deleted='deleted'/>").when(F.col("is_anon"), F.concat(F.lit("<contributor><ip>"), escape(F.col("user_text")), F.lit("</ip></contributor>"))).otherwise(F.concat(F.lit("<contributor><username>"), escape(F.col("user_text")), F.lit("</username><id>7</id></contributor>")))
     one = F.concat(F.lit("<page><title>"), escape(F.col("page_title")), F.lit("</title><ns>0</ns><id>"), F.col("page_id"), F.lit("</id><revision><id>"), F.col("revision_id"), F.lit("</id><timestamp>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</timestamp>"), user, F.lit("<text bytes='"), F.coalesce(F.col("byte_size"), F.lit(0)), F.lit("'/><sha1>"), F.coalesce("sha1", F.lit("")), F.lit("</sha1></revision></page>"))
-    files = rows.groupBy(F.pmod("revision_id", F.lit(16))).agg(F.concat(F.lit("<mediawiki>\n"), F.concat_ws("\n", F.collect_list(one)), F.lit("\n</mediawiki>")).alias("value"))
-    files.select("value").repartition(16).write.text(path := _folder(spark))
+    dumps.write_lines(rows.select(one.alias("line")), path := _folder(spark), ["<mediawiki>"], ["</mediawiki>"])
     return dumps.page_xml(spark, path).select("page_id", "page_title", "revision_id", "ts", "user_text", "byte_size")
 
 
@@ -48,9 +47,7 @@ def s3_sql_dump(spark, d):
     dumps.register(spark)
     quoted = F.concat(F.lit("'"), F.replace(F.replace("c_name", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
     row = F.concat(F.lit("("), F.col("c_custkey"), F.lit(","), quoted, F.lit(","), F.when(F.col("c_nationkey") == 0, "NULL").otherwise(F.col("c_nationkey").cast("string")), F.lit(")"))
-    head = "CREATE TABLE `customer` (\n  `id` int,\n  `name` varbinary(255),\n  `nation` int\n);\n"
-    rows = table(spark, d, "customer").groupBy(F.col("c_custkey") % 4).agg(F.concat(F.lit(head + "INSERT INTO `customer` VALUES "), F.concat_ws(",", F.collect_list(row)), F.lit(";")).alias("value")).select("value")
-    rows.write.text(path := _folder(spark))
+    dumps.write_statements(table(spark, d, "customer").select(row.alias("row")), "customer", {"id": "int", "name": "varbinary(255)", "nation": "int"}, path := _folder(spark))
     return spark.read.format("sqldump").schema("id bigint, name binary, nation bigint").load(path).select("id", F.col("name").cast("string").alias("name"), "nation")
 
 

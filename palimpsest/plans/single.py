@@ -174,9 +174,8 @@ def d9_weekday(spark, d):
 def s4_integer_dump(spark, d):
     dumps.register(spark)
     row = F.concat(F.lit("("), F.concat_ws(",", "l_orderkey", "l_partkey", "l_suppkey"), F.lit(")"))
-    rows = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 200).alias("g")).agg(F.concat(F.lit("INSERT INTO `l` VALUES "), F.concat_ws(",", F.collect_list(row)), F.lit(";")).alias("value"))
-    whole = rows.groupBy(F.col("g") % 4).agg(F.concat(F.lit("CREATE TABLE `l` (\n  `o` int,\n  `p` int,\n  `s` int\n);\n"), F.concat_ws("\n", F.collect_list("value"))).alias("value"))
-    whole.select("value").write.text(path := f"{shared_dir(spark)}/palimpsest-dump-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/palimpsest-dump-{uuid.uuid4().hex}"
+    dumps.write_statements(table(spark, d, "lineitem").select(row.alias("row")), "l", {"o": "int", "p": "int", "s": "int"}, path)
     return spark.read.format("sqldump").schema("p bigint, o bigint").load(path).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("orders"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
+import functools
+import io
 import re
 from collections.abc import Iterator
-from pathlib import Path
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,74 +53,168 @@ def page_xml(spark: SparkSession, path: str, namespace: int = 0) -> DataFrame:
     )
 
 
-_VALUE = re.compile(rb"NULL|'((?:[^'\\]|\\.)*)'|([-+0-9.eE]+)")
+_VALUE = rb"(?:NULL|'(?:[^'\\]|\\.)*+'|[-+0-9.eE]++)"
+#: Bytes of an uncompressed dump in one partition; a statement belongs to the partition in which its line begins.
+SPLIT = 64 << 20
 
 
-def parse_rows(line: bytes, width: int) -> Iterator[tuple[bytes | None, ...]]:
-    """The rows of ``(..),(..);``; anything that isn't a row of ``width`` values raises."""
-    at, end = 0, len(line)
-    while at < end:
-        if line[at : at + 1] != b"(":
-            raise ValueError(f"no row at byte {at}: {line[at : at + 60]!r}")
-        row: list[bytes | None] = []
-        while True:
-            value = _VALUE.match(line, at + 1)
-            if not value:
-                raise ValueError(f"no value at byte {at + 1}: {line[at + 1 : at + 61]!r}")
-            row.append(None if value[0] == b"NULL" else value[1] if value[1] is not None else value[2])
-            at = value.end()
-            if line[at : at + 1] != b",":
-                break
-        if line[at : at + 1] != b")" or len(row) != width:
-            raise ValueError(f"bad row before byte {at}: {len(row)} of {width} values")
-        at += 1
-        if line[at : at + 1] not in (b",", b";", b""):
-            raise ValueError(f"no separator at byte {at}")
-        at += 1
-        yield tuple(row)
+@functools.lru_cache
+def _row(width: int, wanted: tuple[int, ...]) -> re.Pattern:
+    """A row of ``width`` values, of which those wanted are groups."""
+    return re.compile(rb"\(" + rb",".join(b"(" + _VALUE + b")" if i in wanted else _VALUE for i in range(width)) + rb"\)")
+
+
+def parse_rows(line: bytes, width: int, wanted: tuple[int, ...] | None = None) -> Iterator[tuple[bytes | None, ...]]:
+    """The wanted values, by default all, of the rows of ``(..),(..);``; anything that isn't a row of ``width`` values raises."""
+    pattern, at = _row(width, tuple(range(width)) if wanted is None else tuple(sorted(wanted))), 0
+    for row in pattern.finditer(line):
+        if row.start() != at:
+            break
+        at = row.end() + 1
+        if line[at - 1 : at] not in (b",", b";", b""):
+            raise ValueError(f"no separator at byte {at - 1}: {line[at - 1 : at + 59]!r}")
+        yield tuple([None if v == b"NULL" else v[1:-1] if v[:1] == b"'" else v for v in row.groups()])
+    if at < len(line):
+        raise ValueError(f"no row of {width} values at byte {at}: {line[at : at + 60]!r}")
+
+
+@functools.lru_cache
+def _integers(width: int) -> re.Pattern:
+    return re.compile(rb"(?:\(-?\d+" + rb",-?\d+" * (width - 1) + rb"\)(?:,(?=\()|;?$))++")
+
+
+def parse_integers(line: bytes, width: int) -> np.ndarray | None:
+    """The rows of a line that holds nothing but integers, read at once; None for any other line."""
+    if not _integers(width).fullmatch(line):
+        return None
+    flat = line.translate(bytes.maketrans(b"();", b"   "))
+    return np.fromstring(flat.decode(), np.int64, sep=",").reshape(-1, width) if b"," in flat else np.array([[int(flat)]], np.int64)
+
 
+def _open(path: str):
+    from pyarrow import fs
 
-def read_statements(path: str) -> Iterator[dict[str, bytes | None]]:
-    """The rows of the INSERT statements of a dump, by column, as raw bytes; strings keep their escapes. A line is held at a time."""
+    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system, name
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """The dump files of a path, with their sizes."""
+    from pyarrow import fs
+
+    system, name = _open(path)
+    info = system.get_file_info(name)
+    found = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(name)) if f.is_file]
+    head = path[: len(path) - len(name)] if path.endswith(name) else ""
+    return sorted((head + f.path, f.size) for f in found if not f.base_name.startswith(("_", ".")))
+
+
+def _columns(path: str) -> list[str]:
+    """The columns of the table that a dump creates before its first INSERT."""
+    system, name = _open(path)
     columns: list[str] = []
-    creating = inserting = False
-    with (gzip.open if path.endswith(".gz") else open)(path, "rb") as file:
-        for line in file:
+    creating = False
+    with system.open_input_stream(name, compression="detect") as raw:
+        for line in io.TextIOWrapper(io.BufferedReader(raw), "utf-8", "surrogateescape"):
             line = line.strip()
-            if line.startswith(b"CREATE TABLE"):
+            if line.startswith("INSERT INTO"):
+                break
+            if line.startswith("CREATE TABLE"):
                 columns, creating = [], True
             elif creating:
-                if line.startswith(b"`"):
-                    columns.append(line[1:].split(b"`", 1)[0].decode())
-                creating = not line.startswith(b")")
-            elif line.startswith(b"INSERT INTO") or inserting:
-                if not columns:
-                    raise ValueError(f"{path}: INSERT before CREATE TABLE")
-                body = line.split(b" VALUES", 1)[1].strip() if line.startswith(b"INSERT INTO") else line
-                inserting = not body.endswith(b";")
-                for row in parse_rows(body.rstrip(b";") if body != b";" else b"", len(columns)):
-                    yield dict(zip(columns, row))
+                if line.startswith("`"):
+                    columns.append(line[1:].split("`", 1)[0])
+                creating = not line.startswith(")")
+    return columns
+
+
+def _lines(path: str, start: int, end: int | None) -> Iterator[bytes]:
+    """The lines of a file that begin from ``start`` on and before ``end``; a line is held at a time."""
+    system, name = _open(path)
+    if end is None:
+        with system.open_input_stream(name, compression="detect") as raw:
+            yield from io.BufferedReader(raw, 1 << 20)
+        return
+    with system.open_input_file(name) as raw:
+        raw.seek(max(0, start - 1))
+        file = io.BufferedReader(raw, 1 << 20)
+        at = start
+        if start:
+            at += len(file.readline()) - 1  # the line before, of which at least its end lies before start
+        for line in file:
+            if at >= end:
+                return
+            at += len(line)
+            yield line
+
+
+def read_statements(path: str, columns: list[str], names: list[str], start: int = 0, end: int | None = None) -> Iterator[np.ndarray | list[tuple]]:
+    """The values named of the INSERT statements whose lines begin in a part of a file, line by line: an array of integers, or rows of raw bytes with their escapes.
+
+    Statements may have a row on each line; such lines are told by their bracket.
+    """
+    places = tuple(columns.index(n) for n in names)
+    order = sorted(range(len(places)), key=lambda i: places[i])
+    back = [order.index(i) for i in range(len(places))]
+    for line in _lines(path, start, end):
+        line = line.strip()
+        if line.startswith(b"INSERT INTO"):
+            line = line.partition(b" VALUES")[2].strip()
+        elif not line.startswith(b"("):
+            continue
+        if not line or line == b";":
+            continue
+        numbers = parse_integers(line.rstrip(b","), len(columns))
+        if numbers is not None:
+            yield numbers[:, places]
+        else:
+            yield [tuple(map(row.__getitem__, back)) for row in parse_rows(line, len(columns), places)]
+
+
+@dataclass
+class DumpPart(InputPartition):
+    path: str
+    columns: list
+    start: int = 0
+    end: int | None = None
 
 
 class SqlDumpReader(DataSourceReader):
-    def __init__(self, schema: T.StructType, path: str) -> None:
-        self.schema, self.path = schema, Path(path.removeprefix("file://"))
+    def __init__(self, schema: T.StructType, path: str, split: int) -> None:
+        self.schema, self.path, self.split = schema, path, split
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(self.path.iterdir()) if self.path.is_dir() else [self.path]
-        return [InputPartition(str(f)) for f in files if not f.name.startswith(("_", "."))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        parts: list[InputPartition] = []
+        for path, size in _files(self.path):
+            columns = _columns(path)
+            if not columns and size:
+                raise ValueError(f"{path}: no CREATE TABLE before its rows")
+            if path.endswith((".gz", ".bz2", ".zst")):
+                parts.append(DumpPart(path, columns))
+            else:
+                parts += [DumpPart(path, columns, i, min(size, i + self.split)) for i in range(0, size, self.split)]
+        return parts or [DumpPart("", [])]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         names = [f.name for f in self.schema.fields]
-        numbers = [isinstance(f.dataType, T.LongType) for f in self.schema.fields]
-        for row in read_statements(partition.value):
-            yield tuple(None if row[n] is None else int(row[n]) if number else bytes(row[n]) for n, number in zip(names, numbers))
+        numeric = [isinstance(f.dataType, T.LongType) for f in self.schema.fields]
+        fields = pa.schema([(n, pa.int64() if number else pa.binary()) for n, number in zip(names, numeric)])
+        for rows in read_statements(partition.path, partition.columns, names, partition.start, partition.end):
+            if isinstance(rows, np.ndarray):
+                columns = [pa.array(rows[:, i]) if number else pa.array([b"%d" % v for v in rows[:, i].tolist()], pa.binary()) for i, number in enumerate(numeric)]
+            else:
+                columns = [pa.array([None if v is None else int(v) for v in c], pa.int64()) if number else pa.array(c, pa.binary()) for c, number in zip(zip(*rows), numeric)]
+            if columns:
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
 
 class SqlDump(DataSource):
-    """``spark.read.format("sqldump").schema("id bigint, title binary").load(path)``: one partition a file, named columns only.
+    """``spark.read.format("sqldump").schema("id bigint, title binary").load(path)``: named columns only, of files that any Arrow file system reads.
 
-    Columns of the schema are bigint or binary; strings come as raw bytes with their escapes.
+    Columns of the schema are bigint or binary; strings come as raw bytes with their escapes. Uncompressed files are split between
+    tasks at lines, about ``split`` bytes each.
     """
 
     @classmethod
@@ -128,7 +225,31 @@ class SqlDump(DataSource):
         raise ValueError("give a schema with the columns to read")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SqlDumpReader(schema, self.options["path"])
+        return SqlDumpReader(schema, self.options["path"], int(self.options.get("split", SPLIT)))
+
+
+def write_lines(lines: DataFrame, path: str, head: list[str], tail: list[str]) -> None:
+    """Write the one string column of ``lines`` as text, a file for each partition, each between ``head`` and ``tail``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (pa.array(head), *(batch.column(0) for batch in batches), pa.array(tail)):
+            yield pa.RecordBatch.from_arrays([part], names=["value"])
+
+    lines.mapInArrow(run, "value string").write.text(path)
+
+
+def write_statements(rows: DataFrame, table: str, columns: dict[str, str], path: str, each: int = 1000) -> None:
+    """Write ``rows`` (one string ``row`` of values in brackets) as dump files: one for each partition, with its own CREATE TABLE, ``each`` rows a statement."""
+    head = [f"CREATE TABLE `{table}` (", ",\n".join(f"  `{n}` {kind}" for n, kind in columns.items()), ");"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(head)], names=["value"])
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            lines = [f"INSERT INTO `{table}` VALUES {','.join(own[i : i + each])};" for i in range(0, len(own), each)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    rows.select("row").mapInArrow(run, "value string").write.text(path)
 
 
 def register(spark: SparkSession) -> None:

@@ -74,6 +74,29 @@ def test_sql_dump_layouts(spark, tmp_path):
     assert {(r.id, None if r.title is None else bytes(r.title)) for r in rows} == {(1, b"A"), (2, None), (3, b"C"), (4, b"D"), (5, b"E")}
 
 
+@pytest.mark.parametrize("split", [7, 40, 100, 1 << 20])
+def test_sql_dump_splits(spark, tmp_path, split):
+    dumps.register(spark)
+    head = "CREATE TABLE `t` (\n  `id` int,\n  `n` int,\n  `title` varbinary(9)\n);\n"
+    (tmp_path / "a.sql").write_text(head + "".join(f"INSERT INTO `t` VALUES ({i},{i * 2},'T{i}'),({i + 1},NULL,'x,(\\'y');\n" for i in range(0, 60, 2)))
+    import gzip
+
+    with gzip.open(tmp_path / "b.sql.gz", "wt") as file:
+        file.write(head.replace("  `title` varbinary(9)\n", "  `other` int\n") + "INSERT INTO `t` VALUES (100,1,2),(101,-3,4);\n")
+    read = spark.read.format("sqldump").option("split", split).schema("n bigint, id bigint").load(str(tmp_path)).collect()
+    assert sorted((r.id, r.n) for r in read) == sorted([(i, i * 2) for i in range(0, 60, 2)] + [(i + 1, None) for i in range(0, 60, 2)] + [(100, 1), (101, -3)], key=lambda x: x[0])
+    if split == 40:
+        titles = spark.read.format("sqldump").option("split", split).schema("title binary, id bigint").load(str(tmp_path / "a.sql")).collect()
+        assert {(r.id, bytes(r.title)) for r in titles if r.id < 4} == {(0, b"T0"), (1, rb"x,(\'y"), (2, b"T2"), (3, rb"x,(\'y")}
+
+
+def test_integer_rows():
+    import numpy as np
+
+    assert np.array_equal(dumps.parse_integers(b"(1,-2),(3,4);", 2), [[1, -2], [3, 4]]) and np.array_equal(dumps.parse_integers(b"(1),(2)", 1), [[1], [2]])
+    assert all(dumps.parse_integers(x, 2) is None for x in (b"(1,NULL)", b"(1,'a')", b"(1,2)(3,4)", b"(1,2,3)", b"(1,2),", b""))
+
+
 def test_history_line_width(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("too\tfew\n")
     with pytest.raises(Exception, match="expected 78 fields"):
