@@ -218,25 +218,31 @@ def token_bytes(tokenizer: str = BYTE_BPE) -> dict[int, bytes]:
 
 
 def _join_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, doc_id, at, bytes) of the tokens of each list, one list after the other; only one list is held."""
-    of, doc, parts = None, None, []
+    """Rows (row, doc_id, at, bytes) of the tokens of each list, one list after the other; only one list is held.
+
+    The bytes of neighbouring rows are neighbours in a batch, so those of a list are one piece of it.
+    """
+    of, doc, parts, at = None, None, [], 0
     for batch in batches:
-        rows = batch.column(0).to_numpy()
-        docs, places, tokens = batch.column(1), batch.column(2), batch.column(3).to_pylist()
+        rows, places, tokens = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
+        held = memoryview(tokens.buffers()[2] or b"")
+        offsets = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset :] if len(tokens) else np.zeros(1, np.int32)
+        order = places.fill_null(-1).to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(rows)) + 1).tolist(), batch.num_rows]
         ids, texts = [], []
         for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
             if rows[a] != of:
                 if of is not None:
                     ids.append(doc)
                     texts.append(b"".join(parts).decode("utf-8", "replace"))
-                of, doc, parts, at = rows[a], docs[a].as_py(), [], 0
-            given = places.slice(a, b - a)
-            if given[0].as_py() is not None:
-                if given[0].as_py() != at or given[-1].as_py() != at + b - a - 1:
+                of, doc, parts, at = rows[a], batch.column(1)[a].as_py(), [], 0
+            if order[a] >= 0:
+                if not np.array_equal(order[a:b], np.arange(at, at + b - a)):
                     raise RuntimeError("tokens of a list came out of order")
                 at += b - a
-            parts += [t for t in tokens[a:b] if t]
+            parts.append(bytes(held[offsets[a] : offsets[b]]))
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
     if of is not None:
