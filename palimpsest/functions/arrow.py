@@ -57,6 +57,33 @@ def day_change(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([changes.day_change(_text(a), _text(b)) for a, b in zip(old, new)], columns=CHANGE.names)
 
 
+SPAN_SECTIONS = T.ArrayType(_struct(span=TEXT, sections=TEXTS))
+SPANS = _struct(spans=TEXTS, inserted_chars=LONG, removed_chars=LONG)
+CONTEXT = _struct(section=TEXT, context=TEXT)
+
+
+@F.pandas_udf(SPAN_SECTIONS)
+def span_sections(old: pd.Series, new: pd.Series) -> pd.Series:
+    """The new spans of a text with the sections each goes into."""
+
+    def one(a, b):
+        outline = markup.Outline(b or "")
+        return [{"span": s, "sections": changes.span_sections(outline, at, s)} for at, s in changes.new_spans(a, b)[0]]
+
+    return pd.Series([one(_text(a), _text(b)) for a, b in zip(old, new)], dtype=object)
+
+
+@F.pandas_udf(SPANS)
+def new_spans(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    found = [changes.new_spans(_text(a), _text(b)) for a, b in zip(old, new)]
+    return pd.DataFrame([([s for _, s in spans], came, gone) for spans, came, gone in found], columns=SPANS.names)
+
+
+@F.pandas_udf(CONTEXT)
+def edit_context(text: pd.Series, offset: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([changes.edit_context(_text(t), int(o)) for t, o in zip(text, offset)], columns=CONTEXT.names)
+
+
 @F.pandas_udf(TEXT)
 def mark_dates(text: pd.Series, day: pd.Series) -> pd.Series:
     return pd.Series([dates.mark(_text(t), d) if d is not None else _text(t) for t, d in zip(text, day)], dtype=object)
@@ -102,5 +129,5 @@ def sha1_base36(digest: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
-    for name in ("plain_text", "prose", "lead", "word_diff", "line_diff", "day_change", "mark_dates", "dated_lines", "fix_weekdays", "snippet", "kinds_of", "sha1_base36"):
+    for name in ("plain_text", "prose", "lead", "word_diff", "line_diff", "day_change", "mark_dates", "dated_lines", "fix_weekdays", "snippet", "kinds_of", "sha1_base36", "span_sections", "new_spans", "edit_context"):
         spark.udf.register(name, globals()[name])

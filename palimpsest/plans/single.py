@@ -47,20 +47,6 @@ def pred_p7_window(spark, d):
     return table(spark, d, "burst_days").filter(F.col("date").between("2026-07-01", "2026-07-14")).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pred_p13_filed_under(spark, d):
-    """Texts in a category whose name ends in a place's ending."""
-    return X_.docs(spark, d).filter(F.col("text").rlike(r"(?i)\[\[\s*category\s*:[^\]]*ey\s*\]\]")).select("doc_id")
-
-
-def pred_p20_page_lines(spark, d):
-    return X_.docs(spark, d).filter(F.startswith("text", F.lit("Page: "))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-def pred_p21_cut_off(spark, d):
-    """Texts that end within a word or a construct."""
-    return X_.docs(spark, d).select("doc_id", F.col("text").rlike(r"[a-z,]\z").alias("within"), (F.size(F.regexp_extract_all("text", F.lit(r"\{\{"), F.lit(0))) > F.size(F.regexp_extract_all("text", F.lit(r"\}\}"), F.lit(0)))).alias("open"))
-
-
 def j8_mass_membership(spark, d):
     own = Q.kept_labels(spark, d)
     from palimpsest.operators import activity as A
@@ -77,21 +63,6 @@ def j20_agreement(spark, d):
     return a.join(b, ["page_id", "date"]).groupBy("date").agg(F.round(F.avg(F.col("editors").eqNullSafe(F.col("other")).cast("double")), 6).alias("same"))
 
 
-def t13_span_sections(spark, d):
-    change = U.day_change("old", "new")
-    return X_.pairs(spark, d).select("page_id", "day", change.alias("c")).select("page_id", "day", F.size("c.sections").alias("sections"), F.size("c.kinds").alias("kinds"), "c.inserted_chars", "c.removed_chars")
-
-
-def t22_roles(spark, d):
-    return X_.docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(maker|volunteers|residents|council) (?:of|from) "), F.lit(1)))).alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
-
-
-def pred_p22_all_reasons(spark, d):
-    """Texts all of whose named sections belong to a list; a text that names none does."""
-    own = X_._forecasts(spark, d)
-    return own.select("id", F.forall("named", lambda s: s.isin("History", "Legacy", "Reception", "Results", "Notes", "Career")).alias("holds"))
-
-
 def w4_window_sums(spark, d):
     return Q._features(spark, d)[2].select("page_id", "date", "edits_7d", "edits_30d", "edits_365d")
 
@@ -217,61 +188,22 @@ def t16_snippet(spark, d):
     return X_.docs(spark, d).select("doc_id", U.snippet("text").alias("snippet"))
 
 
-def t17_context(spark, d):
-    """The text around the first heading, ended at words."""
-    at = F.locate("==", F.col("text"))
-    part = F.substring(F.col("text"), F.greatest(F.lit(1), at - 60), F.lit(120))
-    return X_.docs(spark, d).filter(at > 0).select("doc_id", F.regexp_replace(F.regexp_replace(part, "^[^ ]* ", ""), " [^ ]*$", "").alias("context"))
-
-
 def t19_trigger_text(spark, d):
     c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("none"))
     return table(spark, d, "trailing_totals").select("page_id", "date", F.concat(F.lit("Edits in 7 days: "), c("edits_7d"), F.lit("; in 30 days: "), c("edits_30d"), F.lit(".")).alias("line"))
 
 
-def t23_listed_names(spark, d):
-    names = F.filter(F.transform(F.split(F.regexp_replace("comment", "[()]", ";"), ";"), lambda s: F.trim(s)), lambda s: (s != "") & (F.lower(s) != "none"))
-    return first_delivery(table(spark, d, "revisions"), ["comment"]).filter("comment IS NOT NULL").select("revision_id", F.array_join(names, "|").alias("names"))
-
-
-def t24_new_numbers(spark, d):
-    """Numbers of a page's last text of the day that its first one lacks."""
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(F.regexp_replace(c, "(?<=[0-9]),(?=[0-9])", ""), F.lit(r"\b[0-9]+\b"), F.lit(0)))
-    return X_.pairs(spark, d).select("page_id", "day", F.size(F.array_except(numbers("new"), numbers("old"))).cast("bigint").alias("n"))
-
-
-def t26_kept_names(spark, d):
-    names = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("[A-Z][a-z]+"), F.lit(0)))
-    return X_.pairs(spark, d).select("page_id", "day", F.size(F.array_intersect(names("old"), names("new"))).cast("bigint").alias("n"))
-
-
 def t27_title_in_text(spark, d):
     titles = table(spark, d, "titles").filter("title IS NOT NULL").groupBy("date").agg(F.collect_set(F.translate("title", "_", " ")).alias("titles"))
     own = X_.docs(spark, d).filter("source = 'edit_summary' AND day IS NOT NULL").join(titles, F.col("day") == F.date_add("date", 1))
     return own.select("doc_id", F.exists("titles", lambda t: F.contains(F.col("text"), t)).alias("named"))
 
 
-def t29_verdicts(spark, d):
-    word = F.lower(F.regexp_extract("text", "^[^A-Za-z]*([A-Za-z]+)", 1))
-    return X_.docs(spark, d).groupBy(F.when(word == "no", "no").when(word == "yes", "yes").otherwise("unclear").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def t30_split_items(spark, d):
-    item = F.concat_ws(" › ", F.nullif("category", F.lit("")), F.nullif("topic", F.lit("")), "sentence")
-    parts = F.split(item, " › ")
-    own = X.news_items(X_.docs(spark, d).filter("source = 'current_events'"))
-    return own.select("doc_id", F.col("n").cast("bigint").alias("n"), F.element_at(parts, -1).alias("sentence"), F.size(parts).cast("bigint").alias("parts"))
-
-
-def m5_kind_sets(spark, d):
-    return spark.range(512).select(F.bit_count("id").cast("bigint").alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-
-
 def r9_kinds_by_threshold(spark, d):
     return X_._marginals(spark, d).filter("p >= 0.5").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("kind")), lambda k: k.cast("string")), ",").alias("kinds"))
 
 
-_NAMES = (pred_p1_mainspace, pred_p2_timestamps, pred_p3_bots, pred_p4_anonymous, pred_p6_days, pred_p7_window, pred_p13_filed_under, pred_p20_page_lines, pred_p21_cut_off, j8_mass_membership, j20_agreement, t13_span_sections, t22_roles, pred_p22_all_reasons, w4_window_sums, w5_last_active_day, w9_neighbor_burst_days, w11_size_before, w13_weekday_lags, w15_cumulative_hits, w20_without_repeats, k4_top_neighbors, k6_longest_sentence, k7_daily_selection, a8_totals_again, a30_invented_sections, d5_dated_lines, d6_nearest_mark, d7_weekdays, d9_weekday, s4_integer_dump, s9_page_as_known, s11_pruned_scan, s12_atomic_write, j19_attached, j21_evidence, t12_kinds, t16_snippet, t17_context, t19_trigger_text, t23_listed_names, t24_new_numbers, t26_kept_names, t27_title_in_text, t29_verdicts, t30_split_items, m5_kind_sets, r9_kinds_by_threshold)
+_NAMES = (pred_p1_mainspace, pred_p2_timestamps, pred_p3_bots, pred_p4_anonymous, pred_p6_days, pred_p7_window, j8_mass_membership, j20_agreement, w4_window_sums, w5_last_active_day, w9_neighbor_burst_days, w11_size_before, w13_weekday_lags, w15_cumulative_hits, w20_without_repeats, k4_top_neighbors, k6_longest_sentence, k7_daily_selection, a8_totals_again, a30_invented_sections, d5_dated_lines, d6_nearest_mark, d7_weekdays, d9_weekday, s4_integer_dump, s9_page_as_known, s11_pruned_scan, s12_atomic_write, j19_attached, j21_evidence, t12_kinds, t16_snippet, t19_trigger_text, t27_title_in_text, r9_kinds_by_threshold)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _L, _F, _N, _P = Q.LOG, Q.FEATURES, X_._NEWS, X_._PAIRS
@@ -282,13 +214,8 @@ SQL = {
     "pred_p4_anonymous": _L + " SELECT is_anon OR coalesce(regexp_matches(user_text, '^~2[0-9]{3}-'), false) AS anonymous, count(*) AS n FROM o GROUP BY ALL",
     "pred_p6_days": _L + " SELECT day, count(*) AS n FROM o GROUP BY day",
     "pred_p7_window": "SELECT date, count(*) AS n FROM burst_days WHERE date BETWEEN DATE '2026-07-01' AND DATE '2026-07-14' GROUP BY date",
-    "pred_p13_filed_under": X_._D + " SELECT doc_id FROM t WHERE regexp_matches(text, '(?i)\\[\\[\\s*category\\s*:[^\\]]*ey\\s*\\]\\]')",
-    "pred_p20_page_lines": X_._D + " SELECT source, count(*) AS n FROM t WHERE starts_with(text, 'Page: ') GROUP BY source",
-    "pred_p21_cut_off": X_._D + " SELECT doc_id, regexp_matches(text, '[a-z,]\\z') AS within, len(regexp_extract_all(text, '\\{\\{')) > len(regexp_extract_all(text, '\\}\\}')) AS open FROM t",
     "j8_mass_membership": Q.LABELS + f", {Q._MASS} SELECT l.day, count(*) FILTER (mass.pages IS NOT NULL) AS mass, count(*) AS n FROM l LEFT JOIN mass ON mass.user_text = l.user_text AND mass.day = l.day GROUP BY l.day",
     "j20_agreement": "SELECT a.date, round(avg((a.editors IS NOT DISTINCT FROM b.editors_excl_mass)::INT), 6) AS same FROM (SELECT DISTINCT * FROM burst_days) a JOIN (SELECT DISTINCT * FROM burst_days) b USING (page_id, date) GROUP BY a.date",
-    "t22_roles": X_._D + ", r AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b(maker|volunteers|residents|council) (?:of|from) ', 1))) AS role FROM t) SELECT role, count(*) AS n FROM r GROUP BY role",
-    "pred_p22_all_reasons": X_._D + X_._FC + " SELECT id, len(list_filter(named, lambda s: s NOT IN ('History', 'Legacy', 'Reception', 'Results', 'Notes', 'Career'))) = 0 AS holds FROM fc",
     "w4_window_sums": _F + " SELECT page_id, date, edits_7d, edits_30d, edits_365d FROM ft",
     "w5_last_active_day": _F + " SELECT page_id, date, days_since_last_edit FROM ft",
     "w9_neighbor_burst_days": G._NEAR + " SELECT page_id, date, in_bursting_7d, out_bursting_7d FROM n",
@@ -308,14 +235,7 @@ SQL = {
     "s12_atomic_write": "SELECT DISTINCT * FROM burst_days",
     "j19_attached": "SELECT f.page_id, f.date, b.editors FROM forecast_days f LEFT JOIN (SELECT DISTINCT page_id, date, editors FROM burst_days WHERE editors IS NOT NULL) b USING (page_id, date)",
     "j21_evidence": X_._SCORE + ", nm AS (SELECT id, page_id, generate_subscripts(named, 1) AS i, unnest(named) AS section FROM fc) SELECT id, string_agg(section || ':' || chars, '|' ORDER BY i) AS evidence FROM nm JOIN c0 USING (page_id, section) GROUP BY id",
-    "t17_context": X_._D + " SELECT doc_id, regexp_replace(regexp_replace(substring(text, greatest(1, strpos(text, '==') - 60), 120), '^[^ ]* ', ''), ' [^ ]*$', '') AS context FROM t WHERE strpos(text, '==') > 0",
     "t19_trigger_text": "SELECT page_id, date, 'Edits in 7 days: ' || coalesce(CAST(edits_7d AS VARCHAR), 'none') || '; in 30 days: ' || coalesce(CAST(edits_30d AS VARCHAR), 'none') || '.' AS line FROM trailing_totals",
-    "t23_listed_names": Q.REVISION + " SELECT revision_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(comment, '[()]', ';', 'g'), ';'), lambda s: trim(s, ' ')), lambda s: s <> '' AND lower(s) <> 'none'), '|') AS names FROM r WHERE comment IS NOT NULL",
-    "t24_new_numbers": _P + ", z AS (SELECT page_id, day, list_distinct(regexp_extract_all(regexp_replace(old, '([0-9]),([0-9])', '\\1\\2', 'g'), '\\b[0-9]+\\b')) AS a, list_distinct(regexp_extract_all(regexp_replace(new, '([0-9]),([0-9])', '\\1\\2', 'g'), '\\b[0-9]+\\b')) AS b FROM p) SELECT page_id, day, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n FROM z",
-    "t26_kept_names": _P + " SELECT page_id, day, len(list_intersect(list_distinct(regexp_extract_all(old, '[A-Z][a-z]+')), list_distinct(regexp_extract_all(new, '[A-Z][a-z]+')))) AS n FROM p",
     "t27_title_in_text": "WITH s AS (SELECT date, list(DISTINCT replace(title, '_', ' ')) AS titles FROM titles WHERE title IS NOT NULL GROUP BY date) SELECT doc_id, len(list_filter(titles, lambda x: contains(text, x))) > 0 AS named FROM documents JOIN s ON day = date + 1 WHERE source = 'edit_summary' AND text IS NOT NULL",
-    "t29_verdicts": X_._D + " SELECT CASE lower(regexp_extract(text, '^[^A-Za-z]*([A-Za-z]+)', 1)) WHEN 'no' THEN 'no' WHEN 'yes' THEN 'yes' ELSE 'unclear' END AS verdict, count(*) AS n FROM t GROUP BY ALL",
-    "t30_split_items": _N + " SELECT doc_id, n, string_split(sentence, ' › ')[-1] AS sentence, (category <> '')::INT + (topic <> '')::INT + len(string_split(sentence, ' › ')) + (len(string_split(topic, ' › ')) - 1) + (len(string_split(category, ' › ')) - 1) AS parts FROM nw",
-    "m5_kind_sets": "SELECT bit_count(i)::BIGINT AS size, count(*) AS n FROM (SELECT unnest(range(512)) AS i) GROUP BY ALL",
     "r9_kinds_by_threshold": X_._KM + " SELECT id, string_agg(CAST(kind AS VARCHAR), ',' ORDER BY kind) AS kinds FROM km WHERE p >= 0.5 GROUP BY id",
 }

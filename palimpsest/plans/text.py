@@ -107,30 +107,12 @@ def w19_news_items(spark, d):
     return X.news_items(docs(spark, d).filter("source = 'current_events'")).withColumn("n", F.col("n").cast("bigint"))
 
 
-def _news(spark, d):
-    own = table(spark, d, "documents").filter("source = 'current_events'")
-    return X.news_items(own).join(own.select("doc_id", "day"), "doc_id")
-
-
-def a31_stories(spark, d):
-    return X.story_groups(_news(spark, d), DAY, 60, 30)
-
-
-def l17_reports_between(spark, d):
-    own = _news(spark, d).filter("topic <> '' AND day BETWEEN '2026-07-01' AND '2026-07-31'")
-    return own.groupBy("topic").agg(F.count_distinct("day", "sentence").alias("reports"))
-
-
 def _forecasts(spark, d):
     own = docs(spark, d).filter("source = 'outlook' AND page_id IS NOT NULL")
     named = F.array_distinct(F.filter(F.transform(F.split(F.regexp_extract("text", SECTION, 1), ";"), lambda s: F.trim(s)), lambda s: s != ""))
     return own.select(F.col("doc_id").alias("id"), "page_id", F.slice(named, 1, 3).alias("named"))
 
 
-def t20_forecasts(spark, d):
-    return _forecasts(spark, d).select("id", F.array_join("named", "|").alias("named"), F.size("named").cast("bigint").alias("n"))
-
-
 def _changed(spark, d):
     """Of each page the sections of its articles with their characters, largest first."""
     own = docs(spark, d).filter("source = 'article' AND page_id IS NOT NULL").select("doc_id", "page_id")
@@ -185,11 +167,6 @@ def a33_agreement(spark, d):
     return own.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).cast("double")), 6).alias(c) for c in fields])
 
 
-def pred_p12_sensitive(spark, d):
-    stems = r"(?i)\b(flood|burn|war|strike)"
-    return docs(spark, d).filter(F.col("text").rlike(stems)).select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(flood|burn|war|strike)"), F.lit(1)))).cast("bigint").alias("stems"))
-
-
 def pred_p15_calendar_titles(spark, d):
     month = "January|February|March|April|May|June|July|August|September|October|November|December"
     return docs(spark, d).select("doc_id", F.trim(F.regexp_extract("text", "Page: ([^\n]*)", 1)).alias("title")).filter("title <> ''").select("doc_id", F.col("title").rlike(f"^({month})[ _][0-9]{{1,2}}$").alias("calendar"))
@@ -266,7 +243,7 @@ def pred_p5_base36_hashes(spark, d):
     return Q.log(spark, d).filter("sha1 IS NOT NULL").select("revision_id", U.sha1_base36(digest).alias("hash"))
 
 
-QUERIES = {f.__name__: f for f in (t1_pieces, t6_sentences, t7_words, a18_document_frequency, k5_relevant_sentences, w21_within_budget, u6_word_jaccard, u7_shown_words, t8_names_page, t9_headings, t11_sections, t18_cut, t28_title_key, w19_news_items, a31_stories, l17_reports_between, t20_forecasts, k3_main_sections, a23_forecast_scores, a23_forecast_summary, a24_common_sections, a25_kind_marginals, a26_best_threshold, a27_weighted_mean, a33_agreement, pred_p12_sensitive, pred_p15_calendar_titles, d2_nearest_year, d3_relative_days, d4_past_year, d8_known_at, d10_months, s8_page_as_of, m10_json, t2_word_diff, t3_line_diff, t4_plain_text, t5_prose, t10_lead, t15_day_change, d1_mark_dates, pred_p5_base36_hashes)}
+QUERIES = {f.__name__: f for f in (t1_pieces, t6_sentences, t7_words, a18_document_frequency, k5_relevant_sentences, w21_within_budget, u6_word_jaccard, u7_shown_words, t8_names_page, t9_headings, t11_sections, t18_cut, t28_title_key, w19_news_items, k3_main_sections, a23_forecast_scores, a23_forecast_summary, a24_common_sections, a25_kind_marginals, a26_best_threshold, a27_weighted_mean, a33_agreement, pred_p15_calendar_titles, d2_nearest_year, d3_relative_days, d4_past_year, d8_known_at, d10_months, s8_page_as_of, m10_json, t2_word_diff, t3_line_diff, t4_plain_text, t5_prose, t10_lead, t15_day_change, d1_mark_dates, pred_p5_base36_hashes)}
 
 _D = "WITH t AS (SELECT * FROM documents WHERE text IS NOT NULL)"
 _SENT = "list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])[ \\t\\r\\n\\f\\x0B]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 25)"
@@ -304,9 +281,6 @@ SQL = {
     "t18_cut": _D + ", f AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) AS x FROM t) SELECT doc_id, CASE WHEN length(x) <= 120 THEN x ELSE regexp_replace(substring(x, 1, 120), ' [^ ]*$', '') || ' …' END AS cut FROM f",
     "t28_title_key": "SELECT revision_id, date, replace(title_then, '_', ' ') AS title FROM titles",
     "w19_news_items": _NEWS + " SELECT doc_id, n, category, topic, sentence FROM nw",
-    "a31_stories": _NEWS + f", it AS (SELECT DISTINCT topic, day, category, sentence FROM nw WHERE topic <> '' AND day < DATE '{DAY}' AND day >= DATE '{DAY}' - 60), md AS (SELECT topic, category, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, category) AS i FROM it GROUP BY topic, category) SELECT it.topic, count(*) AS reports, count(*) FILTER (day >= DATE '{DAY}' - 30) AS recent, max(day) AS latest, any_value(md.category) AS category FROM it JOIN md ON md.topic = it.topic AND md.i = 1 GROUP BY it.topic HAVING count(*) FILTER (day >= DATE '{DAY}' - 30) > 0",
-    "l17_reports_between": _NEWS + " SELECT topic, count(DISTINCT (day, sentence)) AS reports FROM nw WHERE topic <> '' AND day BETWEEN DATE '2026-07-01' AND DATE '2026-07-31' GROUP BY topic",
-    "t20_forecasts": _D + _FC + " SELECT id, array_to_string(named, '|') AS named, len(named) AS n FROM fc",
     "k3_main_sections": _SEC + _CH + " SELECT page_id, array_to_string(changed[1:3], '|') AS main FROM ch",
     "a23_forecast_scores": _SCORE + " SELECT * FROM sc",
     "a23_forecast_summary": _SCORE + " SELECT round(avg(section_precision), 6) AS section_precision, round(avg(main_section_hit), 6) AS main_section_hit, round(avg(jaccard), 6) AS jaccard, count(*) AS n FROM sc",
@@ -314,7 +288,6 @@ SQL = {
     "a25_kind_marginals": _KM + " SELECT * FROM km",
     "a27_weighted_mean": "SELECT l_returnflag, round(sum(l_extendedprice)::DOUBLE / sum(l_quantity)::DOUBLE, 4) AS weighted, round(avg(l_extendedprice), 4) AS pooled FROM lineitem GROUP BY l_returnflag",
     "a33_agreement": "WITH a AS (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at) AS i, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at DESC) AS j FROM revisions WHERE revision_id IS NOT NULL) SELECT count(*) AS n, " + ", ".join(f"round(avg((x.{c} IS NOT DISTINCT FROM y.{c})::INT), 6) AS {c}" for c in ("user_text", "byte_size", "sha1", "is_minor")) + " FROM a x JOIN a y ON x.revision_id = y.revision_id AND x.i = 1 AND y.j = 1 AND x.fetched_at < y.fetched_at",
-    "pred_p12_sensitive": _D + " SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '\\b(flood|burn|war|strike)', 1))) AS stems FROM t WHERE regexp_matches(text, '(?i)\\b(flood|burn|war|strike)')",
     "pred_p15_calendar_titles": _D + ", y AS (SELECT doc_id, trim(regexp_extract(text, 'Page: ([^\\n]*)', 1)) AS title FROM t) SELECT doc_id, regexp_matches(title, '^(January|February|March|April|May|June|July|August|September|October|November|December)[ _][0-9]{1,2}$') AS calendar FROM y WHERE title <> ''",
     "d2_nearest_year": "WITH c AS (SELECT page_id, date, try_cast(y || strftime(date, '-%m-%d') AS DATE) AS x FROM forecast_days, (SELECT unnest([2025, 2026, 2027]) AS y)) SELECT page_id, date, arg_min(x, (abs(x - DATE '2026-01-15'), x)) AS nearest FROM c GROUP BY ALL",
     "d3_relative_days": _D + f", z AS (SELECT doc_id, (DATE '{DAY}' - day) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -7 END AS k FROM t WHERE day IS NOT NULL) SELECT doc_id, CASE WHEN k = 0 THEN 'today' WHEN k = 1 THEN 'tomorrow' WHEN k = -1 THEN 'yesterday' WHEN k > 0 THEN 'in ' || {_FAR} ELSE {_FAR} || ' ago' END AS phrase FROM z",
