@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from palimpsest.functions import arrow as U
 from palimpsest.functions import text as X
 from palimpsest.functions.batches import without_repeats
+from palimpsest.functions import names as N
+from palimpsest.operators.firsts import first_rows
 from palimpsest.operators.labels import is_bot
 from palimpsest.operators.revisions import first_delivery
 from palimpsest.plans import activity as Q
 from palimpsest.plans import ranking as G
 from palimpsest.plans import text as X_
-from palimpsest.shared import shared_dir, table
-from palimpsest.sources import dumps
+from palimpsest.shared import keep, shared_dir, table, write_shared
+from palimpsest.sources import dumps, sinks
 
 DAY = "2026-08-01"
 
@@ -57,10 +59,10 @@ def j8_mass_membership(spark, d):
 
 
 def j20_agreement(spark, d):
-    """Two published counts of the same page-days."""
-    a = table(spark, d, "burst_days").distinct()
-    b = a.select("page_id", "date", F.col("editors_excl_mass").alias("other"))
-    return a.join(b, ["page_id", "date"]).groupBy("date").agg(F.round(F.avg(F.col("editors").eqNullSafe(F.col("other")).cast("double")), 6).alias("same"))
+    """Two sources' flags of the same page-days, published and computed from the log: how many agree, by day."""
+    given = table(spark, d, "burst_days").filter("is_burst IS NOT NULL").groupBy("page_id", F.col("date").alias("day")).agg(F.bool_or("is_burst").alias("given"))
+    both = given.join(Q.bursts(spark, d).select("page_id", "day", "is_burst"), ["page_id", "day"])
+    return both.groupBy("day").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("given") == F.col("is_burst")).alias("same"))
 
 
 def w4_window_sums(spark, d):
@@ -88,7 +90,8 @@ def w15_cumulative_hits(spark, d):
 
 
 def w20_without_repeats(spark, d):
-    own = X_.docs(spark, d).filter("source = 'outlook' AND day IS NOT NULL").select(F.col("day").cast("string").alias("grp"), F.col("doc_id").alias("n"), "text")
+    """Of each day and source the texts unlike every one kept before."""
+    own = X_.docs(spark, d).filter("day IS NOT NULL").select(F.concat_ws("|", F.col("day").cast("string"), "source").alias("grp"), F.col("doc_id").alias("n"), "text")
     return without_repeats(own).groupBy("grp").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
 
 
@@ -102,10 +105,9 @@ def k6_longest_sentence(spark, d):
 
 
 def k7_daily_selection(spark, d):
-    """Of each date up to ten page-days: first those of one class by score, then up to three of the other where room is left."""
+    """Of each date ten page-days by rank: first those of the one class, then up to three of the other where room is left."""
     rows = G.scored(spark, d).filter("score IS NOT NULL")
-    order = W.partitionBy("date", "y").orderBy(F.desc("score"), "page_id")
-    best = rows.withColumn("i", F.row_number().over(order)).filter("i <= 10")
+    best = first_rows(rows, ["date", "y"], [F.desc("score"), F.col("page_id").asc()], 10, "i")
     first = F.count_if(~F.col("y")).over(W.partitionBy("date"))  # twenty rows a date at most
     return best.withColumn("room", F.least(F.lit(3), 10 - first)).filter("NOT y OR i <= room").select("date", "page_id", "score", "y")
 
@@ -127,11 +129,12 @@ def d5_dated_lines(spark, d):
 
 
 def d6_nearest_mark(spark, d):
-    """The offset of a few that is nearest a given one, the later on a tie."""
-    marks = F.array(F.lit(1), F.lit(3), F.lit(7))
-    given = F.col("editors") % 9
-    near = F.array_min(F.transform(marks, lambda m: F.struct(F.abs(m - given).alias("n"), (-m).alias("m"))))
-    return table(spark, d, "burst_days").distinct().filter("editors IS NOT NULL").select("page_id", "date", (-near["m"]).cast("bigint").alias("mark"))
+    """Each page-day with a forecast snapped to the nearest burst day of its page within 14 days, the later on a tie; null without one."""
+    marks = table(spark, d, "burst_days").filter("is_burst").select("page_id", F.col("date").alias("mark")).distinct()
+    asked = table(spark, d, "forecast_days").select("page_id", "date")
+    days = asked.select("page_id", "date", F.explode(F.sequence(F.date_sub("date", 14), F.date_add("date", 14))).alias("mark"))
+    hits = days.join(marks, ["page_id", "mark"]).groupBy("page_id", "date").agg(F.min_by(F.col("mark"), F.struct(F.abs(F.datediff("mark", "date")), -F.unix_date("mark"))).alias("mark"))
+    return asked.join(hits, ["page_id", "date"], "left")
 
 
 def d7_weekdays(spark, d):
@@ -161,15 +164,26 @@ def s11_pruned_scan(spark, d):
 
 
 def s12_atomic_write(spark, d):
+    """A table replaced twice at one path: by a write that breaks off, which leaves the old one, and by a whole one."""
     rows = table(spark, d, "burst_days").distinct()
-    for _ in range(2):
-        rows.write.mode("overwrite").option("maxRecordsPerFile", 1000).parquet(path := f"{shared_dir(spark)}/palimpsest-sink-{uuid.uuid4().hex}")
+    path = keep(spark, f"{shared_dir(spark)}/palimpsest-sink-{uuid.uuid4().hex}")
+    sinks.replace(rows.limit(10), path)
+    try:
+        sinks.replace(rows.withColumn("editors", F.raise_error(F.lit("broken off")).cast("int")), path)
+    except Exception as error:
+        if "broken off" not in str(error):
+            raise
+    if spark.read.parquet(path).count() != min(10, rows.count()):
+        raise RuntimeError("a write that broke off changed the table")
+    sinks.replace(rows, path, most_rows=1000)
     return spark.read.parquet(path)
 
 
 def j19_attached(spark, d):
-    marks = table(spark, d, "burst_days").filter("editors IS NOT NULL").distinct().select("page_id", "date", "editors")
-    return table(spark, d, "forecast_days").select("page_id", "date").join(marks, ["page_id", "date"], "left")
+    """Marks attached to reports by day and text; a report without a mark keeps null. The marks are those of the reports' page-days."""
+    marks = table(spark, d, "documents").filter("text IS NOT NULL AND day IS NOT NULL AND n_chars IS NOT NULL").groupBy("day", "text").agg(F.max("n_chars").alias("mark"))
+    rows = X_.docs(spark, d).select("doc_id", "day", "text")
+    return rows.join(marks, ["day", "text"], "left").select("doc_id", "mark")
 
 
 def j21_evidence(spark, d):
@@ -194,9 +208,12 @@ def t19_trigger_text(spark, d):
 
 
 def t27_title_in_text(spark, d):
-    titles = table(spark, d, "titles").filter("title IS NOT NULL").groupBy("date").agg(F.collect_set(F.translate("title", "_", " ")).alias("titles"))
-    own = X_.docs(spark, d).filter("source = 'edit_summary' AND day IS NOT NULL").join(titles, F.col("day") == F.date_add("date", 1))
-    return own.select("doc_id", F.exists("titles", lambda t: F.contains(F.col("text"), t)).alias("named"))
+    """Whether a text names, in whole words, a title filed under the day before; texts of days without titles are left out."""
+    titles = table(spark, d, "titles").filter("title IS NOT NULL").select("title", F.date_add("date", 1).alias("day")).distinct()
+    names = write_shared(N.titles_names(titles), "names").filter("name = translate(title, '_', ' ')").drop("title")
+    texts = X_.docs(spark, d).select("doc_id", "day", "text").join(titles.select("day").distinct(), "day", "left_semi")
+    hits = N.spots(texts, names).join(names.drop("hashes").distinct(), ["day", "key"]).filter(N.fits()).select("doc_id").distinct().withColumn("_hit", F.lit(True))
+    return texts.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.col("_hit").isNotNull().alias("named"))
 
 
 def r9_kinds_by_threshold(spark, d):
@@ -215,7 +232,7 @@ SQL = {
     "pred_p6_days": _L + " SELECT day, count(*) AS n FROM o GROUP BY day",
     "pred_p7_window": "SELECT date, count(*) AS n FROM burst_days WHERE date BETWEEN DATE '2026-07-01' AND DATE '2026-07-14' GROUP BY date",
     "j8_mass_membership": Q.LABELS + f", {Q._MASS} SELECT l.day, count(*) FILTER (mass.pages IS NOT NULL) AS mass, count(*) AS n FROM l LEFT JOIN mass ON mass.user_text = l.user_text AND mass.day = l.day GROUP BY l.day",
-    "j20_agreement": "SELECT a.date, round(avg((a.editors IS NOT DISTINCT FROM b.editors_excl_mass)::INT), 6) AS same FROM (SELECT DISTINCT * FROM burst_days) a JOIN (SELECT DISTINCT * FROM burst_days) b USING (page_id, date) GROUP BY a.date",
+    "j20_agreement": Q.BURSTS + ", g AS (SELECT page_id, date AS day, bool_or(is_burst) AS given FROM burst_days WHERE is_burst IS NOT NULL GROUP BY ALL) SELECT day, count(*) AS pairs, count(*) FILTER (given = is_burst) AS same FROM g JOIN bu USING (page_id, day) GROUP BY day",
     "w4_window_sums": _F + " SELECT page_id, date, edits_7d, edits_30d, edits_365d FROM ft",
     "w5_last_active_day": _F + " SELECT page_id, date, days_since_last_edit FROM ft",
     "w9_neighbor_burst_days": G._NEAR + " SELECT page_id, date, in_bursting_7d, out_bursting_7d FROM n",
@@ -227,15 +244,15 @@ SQL = {
     "k7_daily_selection": G._SCORED + ", b AS (SELECT *, row_number() OVER (PARTITION BY date, y ORDER BY score DESC, page_id) AS i FROM sc WHERE score IS NOT NULL), c AS (SELECT *, count(*) FILTER (NOT y) OVER (PARTITION BY date) AS f FROM b WHERE i <= 10) SELECT date, page_id, score, y FROM c WHERE NOT y OR i <= least(3, 10 - f)",
     "a8_totals_again": Q.BURSTS + " SELECT day, count(*) AS pages, count(*) FILTER (editors >= 2) AS multi_editor FROM bu WHERE is_burst GROUP BY day",
     "a30_invented_sections": X_._SCORE + " SELECT section, count(*) AS n FROM (SELECT unnest(list_filter(named, lambda s: NOT list_contains(changed, s))) AS section FROM fc JOIN ch USING (page_id)) GROUP BY section ORDER BY n DESC, section LIMIT 40",
-    "d6_nearest_mark": "SELECT page_id, date, CAST(CASE WHEN g <= 1 THEN 1 WHEN g <= 4 THEN 3 ELSE 7 END AS BIGINT) AS mark FROM (SELECT DISTINCT *, editors % 9 AS g FROM burst_days) WHERE editors IS NOT NULL",
+    "d6_nearest_mark": "SELECT f.page_id, f.date, (SELECT arg_min(b.date, (abs(b.date - f.date), -(b.date - DATE '1970-01-01'))) FROM burst_days b WHERE b.is_burst AND b.page_id = f.page_id AND abs(b.date - f.date) <= 14) AS mark FROM forecast_days f",
     "d9_weekday": "SELECT isodow(date) - 1 AS weekday, count(*) AS n FROM burst_days GROUP BY ALL",
     "s4_integer_dump": "SELECT l_partkey AS p, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders FROM lineitem GROUP BY ALL",
     "s9_page_as_known": Q.REVISION + " SELECT page_id, arg_max(revision_id, (timestamp, revision_id)) AS revision_id FROM r WHERE page_id IS NOT NULL AND user_text IS NOT NULL AND timestamp <= TIMESTAMP '2026-07-20 23:59:59' GROUP BY page_id",
     "s11_pruned_scan": "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' GROUP BY l_linenumber",
     "s12_atomic_write": "SELECT DISTINCT * FROM burst_days",
-    "j19_attached": "SELECT f.page_id, f.date, b.editors FROM forecast_days f LEFT JOIN (SELECT DISTINCT page_id, date, editors FROM burst_days WHERE editors IS NOT NULL) b USING (page_id, date)",
+    "j19_attached": X_._D + ", m AS (SELECT day, text, max(n_chars) AS mark FROM t WHERE day IS NOT NULL AND n_chars IS NOT NULL GROUP BY ALL) SELECT t.doc_id, m.mark FROM t LEFT JOIN m ON m.day = t.day AND m.text = t.text",
     "j21_evidence": X_._SCORE + ", nm AS (SELECT id, page_id, generate_subscripts(named, 1) AS i, unnest(named) AS section FROM fc) SELECT id, string_agg(section || ':' || chars, '|' ORDER BY i) AS evidence FROM nm JOIN c0 USING (page_id, section) GROUP BY id",
     "t19_trigger_text": "SELECT page_id, date, 'Edits in 7 days: ' || coalesce(CAST(edits_7d AS VARCHAR), 'none') || '; in 30 days: ' || coalesce(CAST(edits_30d AS VARCHAR), 'none') || '.' AS line FROM trailing_totals",
-    "t27_title_in_text": "WITH s AS (SELECT date, list(DISTINCT replace(title, '_', ' ')) AS titles FROM titles WHERE title IS NOT NULL GROUP BY date) SELECT doc_id, len(list_filter(titles, lambda x: contains(text, x))) > 0 AS named FROM documents JOIN s ON day = date + 1 WHERE source = 'edit_summary' AND text IS NOT NULL",
+    "t27_title_in_text": X_._D + ", tt AS (SELECT DISTINCT date + 1 AS day, replace(title, '_', ' ') AS name FROM titles WHERE title IS NOT NULL), h AS MATERIALIZED (SELECT doc_id, text, name FROM t JOIN tt USING (day) WHERE length(name) >= 4 AND contains(text, name)), n AS (SELECT DISTINCT doc_id FROM h WHERE regexp_matches(text, '(^|[^\\pL\\pN_])' || regexp_escape(name) || '($|[^\\pL\\pN_])')) SELECT doc_id, doc_id IN (SELECT doc_id FROM n) AS named FROM t WHERE day IN (SELECT day FROM tt)",
     "r9_kinds_by_threshold": X_._KM + " SELECT id, string_agg(CAST(kind AS VARCHAR), ',' ORDER BY kind) AS kinds FROM km WHERE p >= 0.5 GROUP BY id",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,29 @@ def keep_recent(df: DataFrame, day: str, days: int) -> DataFrame:
     return df.filter(F.col("date") >= F.date_sub(F.lit(day).cast("date"), days))
 
 
+def replace(df: DataFrame, path: str, most_rows: int | None = None) -> None:
+    """Replace the table at ``path`` by ``df``: written beside it first and put in its place when whole, so a write that breaks off changes nothing.
+
+    ``most_rows``: rows of a file.
+    """
+    spark = df.sparkSession
+    beside, before = f"{path}-new-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    new, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path, before))
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        writer = df.write.option("maxRecordsPerFile", most_rows) if most_rows else df.write
+        writer.parquet(beside)
+        if system.exists(target):
+            system.rename(target, old)
+        if not system.rename(new, target):
+            system.rename(old, target)
+            raise OSError(f"could not put {beside} in place")
+    finally:
+        system.delete(new, True)
+    system.delete(old, True)
+
+
 def prune_days(spark: SparkSession, path: str, days: int, column: str = "date") -> list[str]:
     """Remove the day folders of a table that are more than ``days`` days older than its newest one; returns their days."""
     jvm = spark.sparkContext._jvm
