@@ -166,6 +166,13 @@ def relative_day(days: Column) -> Column:
     return F.when(days == 0, "today").when(days == 1, "tomorrow").when(days == -1, "yesterday").when(days > 0, F.concat(F.lit("in "), far)).otherwise(F.concat(far, F.lit(" ago")))
 
 
+def relative_span(first: Column, last: Column) -> Column:
+    """When a span of days falls whose ends are so many days ahead."""
+    told = F.when(first > 0, F.concat(F.lit("starts "), relative_day(first))).when(last < 0, F.concat(F.lit("ended "), relative_day(last)))
+    told = told.when(first == 0, F.concat(F.lit("starts today, ends "), relative_day(last))).otherwise(F.concat(F.lit("under way, ends "), relative_day(last)))
+    return F.when(first == last, relative_day(first)).otherwise(told)
+
+
 def nearest_year(month: Column, day: Column, near: Column) -> Column:
     """The date of that month and day nearest ``near``; null if none exists in the three years around it."""
     years = F.sequence(F.year(near) - 1, F.year(near) + 1)

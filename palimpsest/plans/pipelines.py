@@ -14,6 +14,7 @@ from palimpsest.operators import model as M
 from palimpsest.operators import panel as P
 from palimpsest.operators import ranking as R
 from palimpsest.plans import activity as Q
+from palimpsest.plans.ranking import _MET, H32
 from palimpsest.shared import shared_dir, table, write_shared
 from palimpsest.sources import dumps, sinks
 from palimpsest.streaming import daily as S
@@ -109,7 +110,7 @@ def l5_model(spark, d):
 
 
 def l10_daily_score(spark, d):
-    """The first 100 pages by edits of the day before against the outcomes of the day."""
+    """The ranking by edits of the day before against the outcomes of each day."""
     _, daily, _ = Q._features(spark, d)
     hits = daily.filter("is_burst_excl_mass AND editors_excl_mass >= 2").select("page_id", F.col("day").alias("date")).withColumn("y", F.lit(True))
     before = daily.filter("edits > 0").select("page_id", F.date_add("day", 1).alias("date"), F.col("edits").alias("score"))
@@ -117,7 +118,28 @@ def l10_daily_score(spark, d):
     return R.day_metrics(scored, (10, 100), ())
 
 
-QUERIES = {f.__name__: f for f in (s1_page_xml, s2_history_lines, s3_sql_dump, s5_live_changes, s13_month_buckets, s15_append_missing, s16_json_sink, x1_daily_stream, l8_daily_features, l9_daily_outcomes, l5_model, l10_daily_score)}
+def l10_daily_model(spark, d):
+    """A model of bursts fitted on a bounded sample of the pages of earlier days ranks every page of the day with a revision in the month before; its measures beside the ranking by edits of the day before.
+
+    The sample (documented, of labelled rows): all bursts of the ten days before and one of twenty of the other page-days.
+    """
+    own = Q.kept_labels(spark, d)
+    daily = write_shared(A.with_bursts(A.daily_activity(own, Q.MASS)), "daily")
+    hits = daily.filter("is_burst_excl_mass AND editors_excl_mass >= 2").select("page_id", F.col("day").alias("date"), F.lit(True).alias("y"))
+    pages = lambda day: daily.filter((F.col("day") < F.lit(day)) & (F.col("day") >= F.lit(day - timedelta(days=30)))).select("page_id").distinct().withColumn("date", F.lit(day))
+    labelled = lambda rows: rows.join(hits, ["page_id", "date"], "left").withColumn("y", F.coalesce("y", F.lit(False)))
+    earlier = labelled(reduce(lambda a, b: a.unionByName(b), [pages(DAY - timedelta(days=i)) for i in range(1, 11)]))
+    drawn = earlier.filter(F.col("y") | (P.hash_share(F.col("page_id") * 31 + F.unix_date("date")) < P.SPAN // 20))
+    train = write_shared(A.features(daily, own, drawn).join(drawn, ["page_id", "date"]).withColumns({"late": F.col("date") >= F.lit(DAY - timedelta(days=3)), "w": F.when(F.col("y"), 1.0).otherwise(20.0)}), "train")
+    asked = labelled(pages(DAY))
+    rows = write_shared(A.features(daily, own, asked).join(asked, ["page_id", "date"]), "day")
+    model = M.score(M.fit(train, "late", rounds=8, weight="w"), rows).select("date", "page_id", "score", "y")
+    before = rows.select("date", "page_id", F.col("edits_1d").cast("double").alias("score"), "y")
+    parts = [R.day_metrics(x, (10, 100), (100,)).select(F.lit(n).alias("ranking"), "*") for n, x in (("model", model), ("edits_yesterday", before))]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {f.__name__: f for f in (s1_page_xml, s2_history_lines, s3_sql_dump, s5_live_changes, s13_month_buckets, s15_append_missing, s16_json_sink, x1_daily_stream, l8_daily_features, l9_daily_outcomes, l5_model, l10_daily_score, l10_daily_model)}
 
 _S = "(SELECT CAST(sum({0}) AS BIGINT) FROM bu WHERE bu.page_id = ca.page_id AND bu.day BETWEEN DATE '2026-08-01' - {1} AND DATE '2026-07-31')"
 SQL = {
@@ -129,5 +151,6 @@ SQL = {
     "s15_append_missing": "SELECT date, count(*) AS n FROM (SELECT DISTINCT page_id, date FROM burst_days) GROUP BY date",
     "s16_json_sink": "SELECT * FROM forecast_days",
     "x1_daily_stream": "WITH r AS (SELECT revision_id, min(timestamp) AS t FROM revisions GROUP BY ALL) SELECT CAST(t AS DATE) AS day, count(*) AS revisions FROM r GROUP BY ALL",
+    "l10_daily_score": Q.BURSTS + ", sc AS (SELECT b.page_id, b.day + 1 AS date, b.edits AS score, coalesce(h.is_burst_excl_mass AND h.editors_excl_mass >= 2, false) AS y FROM bu b LEFT JOIN bu h ON h.page_id = b.page_id AND h.day = b.day + 1 WHERE b.edits > 0), rk AS (SELECT *, row_number() OVER w AS rank, CAST(sum(y::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hits FROM sc WINDOW w AS (PARTITION BY date ORDER BY score DESC NULLS LAST, " + H32.format("page_id") + ", page_id)), " + _MET((10, 100), ()) + " SELECT * FROM dm",
     "l9_daily_outcomes": Q.BURSTS + f" SELECT page_id, day, editors_excl_mass FROM bu WHERE day = DATE '{DAY}' AND is_burst_excl_mass AND editors_excl_mass >= 2",
 }

@@ -134,10 +134,11 @@ def a23_forecast_summary(spark, d):
     return s.agg(*[F.round(F.avg(c), 6).alias(c) for c in s.columns if c != "id"], F.count(F.lit(1)).alias("n"))
 
 
-def a24_common_sections(spark, d):
-    own = _forecasts(spark, d)
-    n = own.count()
-    return own.select(F.explode("named").alias("section")).groupBy("section").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0.1 * n)
+def a24_common_kinds(spark, d):
+    """Kinds that a tenth of forecasts list, by threshold."""
+    own = _marginals(spark, d).filter("p >= 0.5")
+    n = _forecasts(spark, d).count()
+    return own.groupBy(F.col("kind").cast("bigint").alias("kind")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0.1 * n)
 
 
 def _marginals(spark, d):
@@ -157,7 +158,11 @@ def a26_best_threshold(spark, d):
 
 
 def a27_weighted_mean(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("weighted"), F.round(F.avg("l_extendedprice"), 4).alias("pooled"))
+    """Distinct words for each character of a source's texts, weighted by their characters, and pooled over languages."""
+    size = F.length("text")
+    rows = docs(spark, d).filter("source IS NOT NULL AND lang IS NOT NULL").filter(size > 0).select("source", "lang", size.alias("w"), (F.size(X.words(F.col("text"))) / size).alias("v"))
+    runs = rows.groupBy("source", "lang").agg(F.sum(F.col("v") * F.col("w")).alias("vw"), F.sum("w").alias("w"))
+    return runs.groupBy("source").agg(F.round(F.sum("vw") / F.sum("w"), 6).alias("weighted"), F.round(F.avg(F.col("vw") / F.col("w")), 6).alias("pooled"))
 
 
 def a33_agreement(spark, d):
@@ -178,13 +183,19 @@ def d2_nearest_year(spark, d):
 
 
 def d3_relative_days(spark, d):
+    """When the day of a text falls, and when a span from it falls, seen from a day."""
     ahead = F.datediff(F.lit(DAY).cast("date"), F.col("day")) * F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-7)
-    return docs(spark, d).filter("day IS NOT NULL").select("doc_id", X.relative_day(ahead).alias("phrase"))
+    until = ahead + (F.col("doc_id") % 9).cast("int")
+    return docs(spark, d).filter("day IS NOT NULL").select("doc_id", X.relative_day(ahead).alias("phrase"), X.relative_span(ahead, until).alias("span"))
 
 
 def d4_past_year(spark, d):
-    years = F.transform(F.regexp_extract_all(F.translate("title", "_", " "), F.lit(r"\b(1[0-9]{3}|20[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("bigint"))
-    return table(spark, d, "titles").select("revision_id", "date", F.array_max(years).alias("y")).withColumn("past_year", F.when(F.col("y") < F.year("date"), F.col("y"))).drop("y")
+    """The latest year a title names, if all are before the row's; a season's second year counts."""
+    found = F.regexp_extract_all(F.translate("title", "_", " "), F.lit(r"\b(?:1[0-9]{3}|20[0-9]{2})(?:[–-][0-9]{2})?\b"), F.lit(0))
+    years = F.transform(found, lambda y: F.when(F.length(y) > 4, F.concat(F.substring(y, 1, 2), F.substring(y, -2, 2))).otherwise(y).cast("bigint"))
+    firsts = F.transform(found, lambda y: F.substring(y, 1, 4).cast("bigint"))
+    rows = table(spark, d, "titles").select("revision_id", "date", F.array_max(F.concat(years, firsts)).alias("y"))
+    return rows.withColumn("past_year", F.when(F.col("y") < F.year("date"), F.col("y"))).drop("y")
 
 
 def d8_known_at(spark, d):
@@ -243,7 +254,7 @@ def pred_p5_base36_hashes(spark, d):
     return Q.log(spark, d).filter("sha1 IS NOT NULL").select("revision_id", U.sha1_base36(digest).alias("hash"))
 
 
-QUERIES = {f.__name__: f for f in (t1_pieces, t6_sentences, t7_words, a18_document_frequency, k5_relevant_sentences, w21_within_budget, u6_word_jaccard, u7_shown_words, t8_names_page, t9_headings, t11_sections, t18_cut, t28_title_key, w19_news_items, k3_main_sections, a23_forecast_scores, a23_forecast_summary, a24_common_sections, a25_kind_marginals, a26_best_threshold, a27_weighted_mean, a33_agreement, pred_p15_calendar_titles, d2_nearest_year, d3_relative_days, d4_past_year, d8_known_at, d10_months, s8_page_as_of, m10_json, t2_word_diff, t3_line_diff, t4_plain_text, t5_prose, t10_lead, t15_day_change, d1_mark_dates, pred_p5_base36_hashes)}
+QUERIES = {f.__name__: f for f in (t1_pieces, t6_sentences, t7_words, a18_document_frequency, k5_relevant_sentences, w21_within_budget, u6_word_jaccard, u7_shown_words, t8_names_page, t9_headings, t11_sections, t18_cut, t28_title_key, w19_news_items, k3_main_sections, a23_forecast_scores, a23_forecast_summary, a24_common_kinds, a25_kind_marginals, a26_best_threshold, a27_weighted_mean, a33_agreement, pred_p15_calendar_titles, d2_nearest_year, d3_relative_days, d4_past_year, d8_known_at, d10_months, s8_page_as_of, m10_json, t2_word_diff, t3_line_diff, t4_plain_text, t5_prose, t10_lead, t15_day_change, d1_mark_dates, pred_p5_base36_hashes)}
 
 _D = "WITH t AS (SELECT * FROM documents WHERE text IS NOT NULL)"
 _SENT = "list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])[ \\t\\r\\n\\f\\x0B]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 25)"
@@ -262,6 +273,7 @@ _CH = ", c0 AS (SELECT t.page_id, section, CAST(sum(chars) AS BIGINT) AS chars F
 _SCORE = _SEC + _FC + _CH + ", sc AS (SELECT id, round(CASE WHEN len(named) > 0 THEN len(list_intersect(named, changed)) / len(named)::DOUBLE END, 6) AS section_precision, CASE WHEN len(changed) > 0 THEN list_contains(named, changed[1])::INT::DOUBLE END AS main_section_hit, round(len(list_intersect(named, changed)) / len(list_distinct(list_concat(named, changed)))::DOUBLE, 6) AS jaccard FROM fc JOIN ch USING (page_id))"
 _KM = _D + _FC + ", li AS (SELECT id, mask, exp(-((id * 7 + mask * 13) % 101) / 20.0) AS p FROM fc, (SELECT unnest(range(512)) AS mask)), km AS (SELECT id, kind, round(sum(CASE WHEN (mask >> kind) & 1 = 1 THEN p ELSE 0 END) / sum(p), 6) AS p FROM li, (SELECT unnest(range(9)) AS kind) GROUP BY ALL)"
 _FAR = "CASE WHEN abs(k) <= 60 THEN abs(k) || ' days' WHEN abs(k) < 365 THEN 'about ' || CAST(round(abs(k) / 30.4) AS INT) || ' months' WHEN round(abs(k) / 365.25) = 1 THEN 'about a year' ELSE 'about ' || CAST(round(abs(k) / 365.25) AS INT) || ' years' END"
+_AT = f"CASE WHEN k = 0 THEN 'today' WHEN k = 1 THEN 'tomorrow' WHEN k = -1 THEN 'yesterday' WHEN k > 0 THEN 'in ' || {_FAR} ELSE {_FAR} || ' ago' END"
 
 SQL = {
     "t1_pieces": _D + " SELECT doc_id, len(regexp_extract_all(text, '[ \\t\\r\\n\\f\\x0B]+|[^ \\t\\r\\n\\f\\x0B]+')) AS n, true AS same FROM t",
@@ -284,14 +296,14 @@ SQL = {
     "k3_main_sections": _SEC + _CH + " SELECT page_id, array_to_string(changed[1:3], '|') AS main FROM ch",
     "a23_forecast_scores": _SCORE + " SELECT * FROM sc",
     "a23_forecast_summary": _SCORE + " SELECT round(avg(section_precision), 6) AS section_precision, round(avg(main_section_hit), 6) AS main_section_hit, round(avg(jaccard), 6) AS jaccard, count(*) AS n FROM sc",
-    "a24_common_sections": _D + _FC + " SELECT section, count(*) AS n FROM (SELECT unnest(named) AS section FROM fc) GROUP BY section HAVING count(*) > 0.1 * (SELECT count(*) FROM fc)",
+    "a24_common_kinds": _KM + " SELECT kind, count(*) AS n FROM km WHERE p >= 0.5 GROUP BY kind HAVING count(*) > 0.1 * (SELECT count(*) FROM fc)",
     "a25_kind_marginals": _KM + " SELECT * FROM km",
-    "a27_weighted_mean": "SELECT l_returnflag, round(sum(l_extendedprice)::DOUBLE / sum(l_quantity)::DOUBLE, 4) AS weighted, round(avg(l_extendedprice), 4) AS pooled FROM lineitem GROUP BY l_returnflag",
+    "a27_weighted_mean": _D + ", v AS (SELECT source, lang, length(text) AS w, len(" + _WORDS.format("text") + ") AS n FROM t WHERE source IS NOT NULL AND lang IS NOT NULL AND length(text) > 0), r AS (SELECT source, lang, sum(n)::DOUBLE AS vw, sum(w)::DOUBLE AS w FROM v GROUP BY ALL) SELECT source, round(sum(vw) / sum(w), 6) AS weighted, round(avg(vw / w), 6) AS pooled FROM r GROUP BY source",
     "a33_agreement": "WITH a AS (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at) AS i, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at DESC) AS j FROM revisions WHERE revision_id IS NOT NULL) SELECT count(*) AS n, " + ", ".join(f"round(avg((x.{c} IS NOT DISTINCT FROM y.{c})::INT), 6) AS {c}" for c in ("user_text", "byte_size", "sha1", "is_minor")) + " FROM a x JOIN a y ON x.revision_id = y.revision_id AND x.i = 1 AND y.j = 1 AND x.fetched_at < y.fetched_at",
     "pred_p15_calendar_titles": _D + ", y AS (SELECT doc_id, trim(regexp_extract(text, 'Page: ([^\\n]*)', 1)) AS title FROM t) SELECT doc_id, regexp_matches(title, '^(January|February|March|April|May|June|July|August|September|October|November|December)[ _][0-9]{1,2}$') AS calendar FROM y WHERE title <> ''",
     "d2_nearest_year": "WITH c AS (SELECT page_id, date, try_cast(y || strftime(date, '-%m-%d') AS DATE) AS x FROM forecast_days, (SELECT unnest([2025, 2026, 2027]) AS y)) SELECT page_id, date, arg_min(x, (abs(x - DATE '2026-01-15'), x)) AS nearest FROM c GROUP BY ALL",
-    "d3_relative_days": _D + f", z AS (SELECT doc_id, (DATE '{DAY}' - day) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -7 END AS k FROM t WHERE day IS NOT NULL) SELECT doc_id, CASE WHEN k = 0 THEN 'today' WHEN k = 1 THEN 'tomorrow' WHEN k = -1 THEN 'yesterday' WHEN k > 0 THEN 'in ' || {_FAR} ELSE {_FAR} || ' ago' END AS phrase FROM z",
-    "d4_past_year": "WITH y AS (SELECT revision_id, date, list_max(list_transform(regexp_extract_all(replace(title, '_', ' '), '\\b(1[0-9]{3}|20[0-9]{2})\\b', 1), lambda s: CAST(s AS BIGINT))) AS y FROM titles) SELECT revision_id, date, CASE WHEN y < year(date) THEN y END AS past_year FROM y",
+    "d3_relative_days": _D + f", z AS (SELECT doc_id, (DATE '{DAY}' - day) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -7 END AS k, doc_id % 9 AS m FROM t WHERE day IS NOT NULL), y AS (SELECT doc_id, k, k + m AS e, {_AT} AS phrase FROM z), x AS (SELECT doc_id, e, phrase, k AS b FROM y), w AS (SELECT doc_id, b, phrase, e AS k FROM x) SELECT doc_id, phrase, CASE WHEN b = k THEN phrase WHEN b > 0 THEN 'starts ' || phrase WHEN k < 0 THEN 'ended ' || {_AT} WHEN b = 0 THEN 'starts today, ends ' || {_AT} ELSE 'under way, ends ' || {_AT} END AS span FROM w",
+    "d4_past_year": "WITH y AS (SELECT revision_id, date, regexp_extract_all(replace(title, '_', ' '), '\\b(?:1[0-9]{3}|20[0-9]{2})(?:[–-][0-9]{2})?\\b') AS a FROM titles), z AS (SELECT revision_id, date, list_max(list_concat(list_transform(a, lambda s: CAST(left(s, 4) AS BIGINT)), list_transform(a, lambda s: CAST(CASE WHEN length(s) > 4 THEN left(s, 2) || right(s, 2) ELSE s END AS BIGINT)))) AS y FROM y) SELECT revision_id, date, CASE WHEN y < year(date) THEN y END AS past_year FROM z",
     "d8_known_at": "SELECT page_id, date, CAST(date AS TIMESTAMP) - INTERVAL 1 SECOND AS known_at FROM forecast_days",
     "d10_months": "SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2026-08-01', INTERVAL 1 MONTH)) AS m)",
     "s8_page_as_of": Q.REVISION + " SELECT page_id, arg_max(revision_id, (timestamp, revision_id)) AS revision_id FROM r WHERE page_id IS NOT NULL AND timestamp < TIMESTAMP '2026-07-10 12:00:00' GROUP BY page_id",
