@@ -7,6 +7,7 @@ ids go back to the blocks' slots, and the texts are put together again by positi
 
 from __future__ import annotations
 
+import importlib.util
 import json
 import math
 import os
@@ -22,8 +23,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.shared import write_shared
 
-FOLDER = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{FOLDER}/byte_bpe_50k.json"
+
+
+def _folder() -> str:
+    """Where the public vocabularies lie: the setting, or the package that holds them if one is installed."""
+    spec = importlib.util.find_spec("public_tokenizers")
+    held = list(spec.submodule_search_locations or []) if spec else []
+    return os.environ.get("PUBLIC_TOKENIZERS") or (held[0] if held else "")
+
+
+BYTE_BPE = f"{_folder()}/byte_bpe_50k.json"
 #: A block ends after so many characters (a longer text is a block of its own) or texts.
 BLOCK_CHARS = 2_000_000
 BLOCK_TEXTS = 20_000

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import date
 
@@ -292,6 +293,31 @@ def test_common_shapes(spark):
     assert sum(x.n_lines for x in links) == 6 and {x.n_pages for x in links} == {2} and {x.kind for x in got} == {"links", "text"}
 
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_queries_without_sql(spark, whole):
+    from palimpsest.llm import queries as Q
+    from palimpsest.shared import table
+
+    rows = {r.doc_id: r.text for r in table(spark, DATA, "documents").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.ids for r in Q.p7_ids(spark, DATA).collect()} == {i: whole(t) for i, t in rows.items()}
+    assert {r.doc_id for r in Q.p9_found(spark, DATA).collect()} == {i for i, t in rows.items() if stuffing.is_stuffed(t)}
+    assert sum(r.n_lines for r in Q.p9_shapes(spark, DATA).collect()) == sum(n for t in rows.values() for n, _ in stuffing.page_shapes(t)[0].values())
+    targets = {r.source: r for r in table(spark, DATA, "mix_targets").collect()}
+    mix = Q.p8_mix(spark, DATA).collect()
+    used = {}
+    for r in mix:
+        used[rows[r.doc_id]] = used.get(rows[r.doc_id], 0) + r.repeats
+        assert r.n_tokens == len(whole(rows[r.doc_id])) > 0
+    assert mix and all(r.repeats <= targets[r.source].max_repeats and used[rows[r.doc_id]] <= targets[r.source].max_repeats for r in mix)
+    total = sum(r.n_tokens * r.repeats for r in mix)
+    for r in Q.p8_shares(spark, DATA).collect():
+        own = [x for x in mix if x.source == r.source]
+        assert r.tokens == sum(x.n_tokens * x.repeats for x in own) and r.documents == len(own) and abs(r.reached_share - r.tokens / total) < 1e-9
+
+
 @pytest.mark.parametrize("text", [" " * 200_000, "!" * 200_000 + "x", "<ref>" * 40_000, "[[" * 100_000, "a\t" * 100_000, "http://" + "a." * 100_000, "&" * 200_000, "#a" * 100_000, "a, " * 100_000, "[[a " * 50_000, "a.b. " * 50_000, " -" * 100_000])
 def test_long_runs_end(text):
     import time
