@@ -11,9 +11,11 @@ from palimpsest.operators.revisions import first_delivery
 PERIODS = (7, 30)
 
 
-def rolling_totals(daily: DataFrame, asked: DataFrame, measures: list[str], periods: tuple[int, ...] = PERIODS) -> DataFrame:
+def rolling_totals(daily: DataFrame, asked: DataFrame, measures: list[str], periods: tuple[int, ...] = PERIODS, averages: bool = False) -> DataFrame:
     """Totals of the days before each asked (entity, day): ``{measure}_{n}d`` for each period of n days, D-n to D-1.
 
+    With ``averages`` also ``avg_{measure}_{n}d``, a day of the period; days without activity count as 0.
+
     ``daily``: entity bigint, day date and bigint measures; rows of one day are added up, null as 0. ``asked``: entity, day and
     any other columns, which come out again; repeated rows come out repeatedly, rows with a null entity or day with totals of 0.
     The asked entities get one row for each day of the calendar, by exploding it and not by a join; the sums run over a fixed
@@ -23,8 +25,9 @@ def rolling_totals(daily: DataFrame, asked: DataFrame, measures: list[str], peri
     span = asked.agg(F.min("day"), F.max("day")).first()
     longest = max(periods)
     zero = F.lit(0).cast("bigint")
+    mean = {f"avg_{m}_{n}d": F.col(f"{m}_{n}d") / F.lit(float(n)) for m in measures for n in periods} if averages else {}
     if span[0] is None:
-        return asked.withColumns({f"{m}_{n}d": zero for m in measures for n in periods})
+        return asked.withColumns({f"{m}_{n}d": zero for m in measures for n in periods}).withColumns(mean)
     first, last = F.date_sub(F.lit(span[0]), longest), F.lit(span[1])
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the calendar multiplies what a small partition holds
     pairs = asked.select("entity", "day").dropna().distinct().repartition(parts, "entity")
@@ -41,21 +44,33 @@ def rolling_totals(daily: DataFrame, asked: DataFrame, measures: list[str], peri
     given = asked.select(*[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)])
     entity, day = (f"r_{names.index(c)}" for c in ("entity", "day"))
     joined = given.join(rolled, (F.col(entity) == F.col("_entity")) & (F.col(day) == F.col("_day")), "left")
-    return joined.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)], *[F.coalesce(F.col(f"_t{i}"), zero).alias(k) for i, k in enumerate(totals)])
+    out = joined.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)], *[F.coalesce(F.col(f"_t{i}"), zero).alias(k) for i, k in enumerate(totals)])
+    return out.withColumns(mean) if mean else out
 
 
-def wrong_totals(revisions: DataFrame, bursts: DataFrame, published: DataFrame) -> DataFrame:
-    """Rows of ``published`` with a null, a wrong total or an average off by more than 0.001: (page_id, day)."""
+def page_days(revisions: DataFrame, bursts: DataFrame) -> DataFrame:
+    """Edits and burst editors of each page and day: entity, day, edits, burst_editors."""
     zero = F.lit(0).cast("bigint")
     log = first_delivery(revisions, ["page_id", "timestamp"]).filter(F.col("page_id").isNotNull())
     edits = log.groupBy(F.col("page_id").alias("entity"), F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("edits")).withColumn("burst_editors", zero)
     editors = bursts.distinct().groupBy(F.col("page_id").alias("entity"), F.col("date").alias("day")).agg(F.coalesce(F.sum("editors"), zero).alias("burst_editors")).withColumn("edits", zero)
+    return edits.unionByName(editors)
+
+
+def trailing_totals(revisions: DataFrame, bursts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Totals and averages before each (page_id, date) of ``asked``, days without activity included."""
+    days = asked.select(F.col("page_id").alias("entity"), F.col("date").alias("day"))
+    return rolling_totals(page_days(revisions, bursts), days, ["edits", "burst_editors"], averages=True)
+
+
+def wrong_totals(revisions: DataFrame, bursts: DataFrame, published: DataFrame) -> DataFrame:
+    """Rows of ``published`` with a null, a wrong total or an average off by more than 0.001: (page_id, day)."""
     given = [f"{m}_{n}d" for m in ("edits", "burst_editors") for n in PERIODS]
-    asked = published.select(F.col("page_id").alias("entity"), F.col("date").alias("day"), *[F.col(c).alias(f"given_{c}") for c in given], "avg_edits_7d", "avg_edits_30d")
-    found = rolling_totals(edits.unionByName(editors), asked, ["edits", "burst_editors"])
+    asked = published.select(F.col("page_id").alias("entity"), F.col("date").alias("day"), *[F.col(c).alias(f"given_{c}") for c in (*given, *(f"avg_edits_{n}d" for n in PERIODS))])
+    found = rolling_totals(page_days(revisions, bursts), asked, ["edits", "burst_editors"], averages=True)
     right = F.lit(True)
     for c in given:
         right = right & F.col(c).eqNullSafe(F.col(f"given_{c}"))
     for n in PERIODS:
-        right = right & F.coalesce(F.abs(F.col(f"avg_edits_{n}d") - F.col(f"edits_{n}d") / F.lit(float(n))) <= 0.001, F.lit(False))
+        right = right & F.coalesce(F.abs(F.col(f"given_avg_edits_{n}d") - F.col(f"avg_edits_{n}d")) <= 0.001, F.lit(False))
     return found.filter(~right).select(F.col("entity").alias("page_id"), F.col("day").cast("string").alias("day")).distinct()

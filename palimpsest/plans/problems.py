@@ -36,6 +36,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rolling.wrong_totals(table(spark, d, "revisions"), table(spark, d, "burst_days"), table(spark, d, "trailing_totals"))
 
 
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and averages of edits and burst editors over the 7 and 30 days before each published page-day."""
+    found = rolling.trailing_totals(table(spark, d, "revisions"), table(spark, d, "burst_days"), table(spark, d, "trailing_totals"))
+    return found.withColumnsRenamed({"entity": "page_id", "day": "date"})
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return history.changed_titles(table(spark, d, "revisions"))
 
@@ -45,7 +51,7 @@ def p5_history(spark: SparkSession, d: str) -> DataFrame:
     return h.select(F.col("entity").alias("page_id"), F.col("payload").alias("title"), "valid_from", "valid_to", F.col("first_tie").alias("first_revision_id"), F.col("last_tie").alias("last_revision_id"), F.col("n_updates").alias("n_revisions"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_quantiles, p2_found, p2_features, p3_found, p4_found, p5_found, p5_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_quantiles, p2_found, p2_features, p3_found, p4_found, p4_totals, p5_found, p5_history)}
 
 #: A revision: of its deliveries the first.
 REVISION = "WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at NULLS LAST) AS nth FROM revisions WHERE revision_id IS NOT NULL) WHERE nth = 1)"
@@ -78,6 +84,9 @@ SQL = {
             coalesce((SELECT sum(n) FROM b WHERE b.page_id = p.page_id AND b.day BETWEEN p.date - 7 AND p.date - 1), 0) AS b7, coalesce((SELECT sum(n) FROM b WHERE b.page_id = p.page_id AND b.day BETWEEN p.date - 30 AND p.date - 1), 0) AS b30 FROM trailing_totals p)
         SELECT page_id, strftime(date, '%Y-%m-%d') AS day FROM t WHERE edits_7d IS DISTINCT FROM e7 OR edits_30d IS DISTINCT FROM e30 OR burst_editors_7d IS DISTINCT FROM b7 OR burst_editors_30d IS DISTINCT FROM b30
             OR coalesce(abs(avg_edits_7d - e7 / 7.0) > 0.001, true) OR coalesce(abs(avg_edits_30d - e30 / 30.0) > 0.001, true)""",
+    "p4_totals": REVISION + """, e AS (SELECT page_id, CAST(timestamp AS DATE) AS day, count(*) AS n FROM r WHERE page_id IS NOT NULL GROUP BY ALL), b AS (SELECT page_id, date AS day, sum(coalesce(editors, 0)) AS n FROM (SELECT DISTINCT * FROM burst_days) GROUP BY ALL),
+        t AS (SELECT page_id, date, """ + ", ".join(f"CAST(coalesce((SELECT sum(n) FROM {s} WHERE {s}.page_id = p.page_id AND {s}.day BETWEEN p.date - {k} AND p.date - 1), 0) AS BIGINT) AS {m}_{k}d" for s, m in (("e", "edits"), ("b", "burst_editors")) for k in (7, 30)) + """ FROM trailing_totals p)
+        SELECT *, """ + ", ".join(f"{m}_{k}d / {k}.0::DOUBLE AS avg_{m}_{k}d" for m in ("edits", "burst_editors") for k in (7, 30)) + " FROM t",
     "p5_found": REVISION + f""", t AS (SELECT page_id, revision_id, timestamp, {_TITLE.format('page_title')} AS title FROM r WHERE page_id IS NOT NULL AND page_title IS NOT NULL),
         c AS (SELECT *, CASE WHEN title IS DISTINCT FROM lag(title) OVER w THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY page_id ORDER BY timestamp, revision_id)),
         g AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY timestamp, revision_id) AS v FROM c),
