@@ -152,12 +152,17 @@ def d9_weekday(spark, d):
     return table(spark, d, "burst_days").groupBy(F.weekday("date").cast("bigint").alias("weekday")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def s4_integer_dump(spark, d):
-    dumps.register(spark)
+def integer_dump(spark, d) -> str:
+    """Writes three columns of integers as a dump of statements and returns its folder."""
     row = F.concat(F.lit("("), F.concat_ws(",", "l_orderkey", "l_partkey", "l_suppkey"), F.lit(")"))
     path = f"{shared_dir(spark)}/palimpsest-dump-{uuid.uuid4().hex}"
     dumps.write_statements(table(spark, d, "lineitem").select(row.alias("row")), "l", {"o": "int", "p": "int", "s": "int"}, path)
-    return spark.read.format("sqldump").schema("p bigint, o bigint").load(path).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("orders"))
+    return path
+
+
+def s4_integer_dump(spark, d):
+    dumps.register(spark)
+    return spark.read.format("sqldump").schema("p bigint, o bigint").load(integer_dump(spark, d)).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("orders"))
 
 
 def s9_page_as_known(spark, d):
