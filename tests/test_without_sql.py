@@ -126,7 +126,7 @@ def test_daily_features_equal_those_of_the_whole_log(spark):
     log = Q.log(spark, DATA).filter(f"ts < TIMESTAMP_NTZ'{DAY} 00:00:00'")
     labels = label_reverts(log)
     daily = A.with_bursts(A.daily_activity(labels, 10**9))
-    asked = log.filter(f"ts >= TIMESTAMP_NTZ'{DAY} 00:00:00' - INTERVAL 30 DAYS").selectExpr("page_id", f"DATE'{DAY}' AS date").distinct()
+    asked = log.filter("ts >= TIMESTAMP_NTZ'2026-07-15 00:00:00'").selectExpr("page_id", f"DATE'{DAY}' AS date").distinct()
     want = {tuple(r) for r in A.features(daily, labels, asked).select("page_id", "date", "edits_1d", "edits_7d", "edits_30d", "editors_7d", "burst_days_30d").collect()}
     assert got == want and len(got) > 20
 
