@@ -13,6 +13,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.revisions import first_delivery, title_key
-from palimpsest.shared import keep, shared_dir, write_shared
+from palimpsest.shared import arrow_path, keep, qualified, shared_dir, write_shared
 
 #: Rows of one partition of a history, and of one shard of a large entity; shards rise in size so that no more than MAX_SHARDS exist.
 MERGE_ROWS = 500_000
@@ -29,6 +30,8 @@ MAX_SHARDS = 8_192
 #: A time or tie that is null sorts first.
 NEVER = -(2**63)
 BATCH = 16_384
+#: Schemes of files that tasks can open.
+READABLE = ("file", "hdfs", "s3", "gs")
 
 _SCHEMA = pa.schema([("entity", pa.int64()), ("shard", pa.int32()), ("payload", pa.string()), ("valid_from", pa.timestamp("us")), ("first_tie", pa.int64()), ("last_at", pa.timestamp("us")), ("last_tie", pa.int64()), ("valid_to", pa.timestamp("us")), ("n_updates", pa.int64()), ("several", pa.bool_()), ("is_first", pa.bool_()), ("is_last", pa.bool_())])
 _RUNS = "entity bigint, shard int, payload string, valid_from timestamp_ntz, first_tie bigint, last_at timestamp_ntz, last_tie bigint, valid_to timestamp_ntz, n_updates bigint, several boolean, is_first boolean, is_last boolean"
@@ -43,8 +46,7 @@ def _stream(path: str) -> Iterator[tuple]:
     system, name = fs.FileSystem.from_uri(path)
     with system.open_input_file(name) as file:
         for batch in pq.ParquetFile(file).iter_batches(BATCH, columns=["entity", "shard", "at", "tie", "payload"]):
-            entity, shard, at, tie, payload = batch.columns
-            yield from zip(entity.to_pylist(), shard.to_pylist(), at.cast(pa.int64()).fill_null(NEVER).to_pylist(), tie.fill_null(NEVER).to_pylist(), payload.to_pylist())
+            yield from _rows(batch)
 
 
 def _within(folder: str) -> list[str]:
@@ -83,6 +85,17 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    entity, shard, at, tie, payload = batch.columns
+    return zip(entity.to_pylist(), shard.to_pylist(), at.cast(pa.int64()).fill_null(NEVER).to_pylist(), tie.fill_null(NEVER).to_pylist(), payload.to_pylist())
+
+
+def _from_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    versions = _versions(row for batch in batches for row in _rows(batch))
+    while out := list(islice(versions, BATCH)):
+        yield _batch(out)
+
+
 def _merge(folders: list[str]):
     """The versions of each partition, by merging its files of all snapshots."""
 
@@ -131,7 +144,7 @@ class Snapshots:
             for e, q in found:
                 cuts[e] = sorted({q[math.ceil(i * most / large[e]) - 1] for i in range(1, large[e])} - {None}) if q else []
         parts = parts or max(spark.sparkContext.defaultParallelism, math.ceil(total / merge_rows))
-        return cls(spark, keep(spark, f"{shared_dir(spark)}/palimpsest-snapshots-{uuid.uuid4().hex}"), parts, {e: c for e, c in cuts.items() if c})
+        return cls(spark, qualified(spark, keep(spark, f"{shared_dir(spark)}/palimpsest-snapshots-{uuid.uuid4().hex}")), parts, {e: c for e, c in cuts.items() if c})
 
     def add(self, updates: DataFrame, snapshot: Column | None = None) -> None:
         """Add a snapshot (entity, at, tie, payload), or several of them told apart by ``snapshot``: one shuffle, of these rows only.
@@ -155,7 +168,12 @@ class Snapshots:
 
     def history(self) -> DataFrame:
         """The versions over all snapshots, as ``attribute_history`` gives them."""
-        runs = self.spark.range(0, self.parts, 1, self.parts).mapInArrow(_merge(self.folders), _RUNS)
+        if self.path.partition("://")[0] in READABLE:
+            runs = self.spark.range(0, self.parts, 1, self.parts).mapInArrow(_merge([arrow_path(f) for f in self.folders]), _RUNS)
+        else:  # tasks can't open the files themselves: Spark reads and merges them
+            files = [self.spark.read.parquet(f).select("part", "entity", "shard", "at", "tie", "payload") for f in self.folders]
+            ordered = reduce(DataFrame.unionByName, files).repartitionById(self.parts, F.col("part")).drop("part").sortWithinPartitions("entity", "shard", "at", "tie", "payload")
+            runs = ordered.mapInArrow(_from_rows, _RUNS)
         if not self.cuts:
             return runs.select(*_OUT)
         runs = write_shared(runs, "runs")

@@ -65,5 +65,18 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _WRITTEN.pop())
 
 
+def arrow_path(path: str) -> str:
+    """A path as Arrow's file systems name it, for reading in tasks."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path.removeprefix("file:")
+    return path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, as Spark resolves it."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return arrow_path(own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

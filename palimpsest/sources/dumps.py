@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from palimpsest.shared import arrow_path
+
 # The width of a line of the public history dumps, and the places of the fields read here.
 WIDTH = 78
 PLACE = {"entity": 2, "type": 3, "ts": 4, "user_text": 8, "bot_by": 14, "anonymous": 19, "temporary": 20, "page_id": 28, "page_title": 30, "namespace": 31, "page_created": 37, "revision_id": 60, "parent_id": 61, "byte_size": 65, "sha1": 67, "deleted": 70, "reverted": 72, "revert": 75}
@@ -94,14 +96,15 @@ def parse_integers(line: bytes, width: int) -> np.ndarray | None:
 def _open(path: str):
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system, name
+    path = arrow_path(path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def _files(path: str) -> list[tuple[str, int]]:
     """The dump files of a path, with their sizes."""
     from pyarrow import fs
 
+    path = arrow_path(path)
     system, name = _open(path)
     info = system.get_file_info(name)
     found = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(name)) if f.is_file]

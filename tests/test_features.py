@@ -115,7 +115,7 @@ def test_rolling_totals(spark):
     assert rolling.rolling_totals(empty, spark.createDataFrame([], "entity bigint, day date"), ["n"]).count() == 0
 
 
-def test_attribute_history(spark):
+def test_attribute_history(spark, monkeypatch):
     r = random.Random(4)
     rows = [(r.choice([1, 1, 1, 2, 3, None]), T0 + timedelta(minutes=r.randrange(3000)), i, r.choice(["a", "a", "b", None])) for i in range(900)] + [(8, T0, 1, "only")] * 3 + [(9, None, 1, "x"), (9, T0, 2, "y")]
     df = spark.createDataFrame(rows, "entity bigint, at timestamp_ntz, tie bigint, payload string")
@@ -139,6 +139,9 @@ def test_attribute_history(spark):
         store.add(df.filter(F.coalesce("tie", F.lit(0)) % 3 == i))
     before = [os.stat(f).st_mtime_ns for f in glob.glob(store.path.removeprefix("file://") + "/**/*.parquet", recursive=True)]
     assert {tuple(x) for x in store.history().collect()} == want and len(store.folders) == 3
+    monkeypatch.setattr(history, "READABLE", ())  # a file system that tasks can't open
+    assert {tuple(x) for x in store.history().collect()} == want
+    monkeypatch.undo()
     store.add(spark.createDataFrame([(77, T0, 1, "late")], df.schema))
     assert len(store.history().filter("entity = 77").collect()) == 1 and store.history().count() == len(want) + 1
     assert before and {os.stat(f).st_mtime_ns for f in glob.glob(store.path.removeprefix("file://") + "/**/*.parquet", recursive=True)} >= set(before)
