@@ -60,7 +60,7 @@ def s3_sql_dump(spark, d):
 def s5_live_changes(spark, d):
     """A feed as JSON, made of the revisions."""
     rows = table(spark, d, "revisions").filter("page_id IS NOT NULL")
-    feed = rows.select(F.when(F.col("revision_id") % 5 == 0, "new").when(F.col("revision_id") % 7 == 0, "log").otherwise("edit").alias("type"), F.col("namespace").alias("ns"), F.col("page_title").alias("title"), F.col("page_id").alias("pageid"), F.col("revision_id").alias("revid"), F.col("parent_id").alias("old_revid"), F.col("user_text").alias("user"), F.col("is_anon").alias("anon"), F.lit(False).alias("temp"), F.col("is_bot").alias("bot"), (F.col("revision_id") % 50 == 0).alias("userhidden"), F.col("byte_size").alias("newlen"), F.col("timestamp").alias("ts"), F.lit(None).cast("string").alias("sha1"), F.lit(True).alias("sha1hidden"))
+    feed = rows.select(F.when(F.coalesce("parent_id", F.lit(0)) == 0, "new").when(F.col("page_title").isNull(), "log").otherwise("edit").alias("type"), F.col("namespace").alias("ns"), F.col("page_title").alias("title"), F.col("page_id").alias("pageid"), F.col("revision_id").alias("revid"), F.col("parent_id").alias("old_revid"), F.col("user_text").alias("user"), F.col("is_anon").alias("anon"), F.lit(False).alias("temp"), F.col("is_bot").alias("bot"), F.col("user_text").isNull().alias("userhidden"), F.col("byte_size").alias("newlen"), F.col("timestamp").alias("ts"), F.lit(None).cast("string").alias("sha1"), F.lit(True).alias("sha1hidden"))
     feed.write.json(path := _folder(spark))
     back = spark.read.schema(feed.schema).json(path)
     moment = lambda x: F.lit(x).cast("timestamp_ntz")
@@ -151,7 +151,7 @@ SQL = {
     "s1_page_xml": Q.LOG + " SELECT page_id, page_title, revision_id, ts, user_text, coalesce(byte_size, 0) AS byte_size FROM o WHERE page_title IS NOT NULL",
     "s2_history_lines": "SELECT page_id, revision_id, parent_id, timestamp AS ts, user_text, is_anon, is_bot, byte_size, sha1 FROM revisions WHERE page_id IS NOT NULL AND namespace = 0",
     "s3_sql_dump": "SELECT c_custkey AS id, c_name AS name, CAST(nullif(c_nationkey, 0) AS BIGINT) AS nation FROM customer",
-    "s5_live_changes": "SELECT page_id, revision_id, timestamp AS ts, CASE WHEN revision_id % 50 <> 0 THEN user_text END AS user_text, is_anon, is_bot, CASE WHEN revision_id % 5 = 0 THEN timestamp END AS page_created FROM revisions WHERE page_id IS NOT NULL AND namespace = 0 AND (revision_id % 5 = 0 OR revision_id % 7 <> 0) AND timestamp >= TIMESTAMP '2026-07-07' AND timestamp < TIMESTAMP '2026-07-09'",
+    "s5_live_changes": "SELECT page_id, revision_id, timestamp AS ts, user_text, coalesce(is_anon, false) AS is_anon, coalesce(is_bot, false) AS is_bot, CASE WHEN coalesce(parent_id, 0) = 0 THEN timestamp END AS page_created FROM revisions WHERE page_id IS NOT NULL AND namespace = 0 AND (coalesce(parent_id, 0) = 0 OR page_title IS NOT NULL) AND timestamp >= TIMESTAMP '2026-07-07' AND timestamp < TIMESTAMP '2026-07-09'",
     "s13_month_buckets": Q.LOG + " SELECT '2026-07' AS month, page_id % 8 AS bucket, count(*) AS n FROM o WHERE strftime(ts, '%Y-%m') = '2026-07' GROUP BY ALL",
     "s15_append_missing": "SELECT date, count(*) AS n FROM (SELECT DISTINCT page_id, date FROM burst_days) GROUP BY date",
     "s16_json_sink": "SELECT * FROM forecast_days",
