@@ -12,7 +12,7 @@ import html
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import itemgetter
 from typing import NamedTuple
@@ -231,9 +231,11 @@ def page_shapes(text: str | None) -> tuple[dict[tuple[str, Shape], list[int]], i
     for chars in entries:
         add("links" if len(entries) > 2 else "layout", Shape(0, 0, 0, 1), chars)
     beside = sum(n for (kind, _), (_, n) in found.items() if kind in MATTER) > BESIDE * page
+    said = Counter(tuple(x.words) for b in blocks for x in b.lines)
     large = [b for b in blocks if b.size() >= LEAST]
     for block in [*large, _Block([x for b in blocks if b.size() < LEAST for x in b.lines], None)]:
-        with_before = block.before is not None and block.size() <= 2 * block.before.size  # a refrain after its verse
+        repeats = any(said[tuple(x.words)] > 1 for x in block.lines)
+        with_before = block.before is not None and repeats and not beside and block.size() <= 2 * block.before.size  # a refrain after its verse
         run = _is_run(block.lines, beside) and (not with_before or _is_run([block.before, *block.lines], beside))
         for x in block.lines:
             add("keywords" if run else "text", x.shape, x.chars)
