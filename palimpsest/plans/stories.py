@@ -65,6 +65,18 @@ def m7_trie(spark, d):
     return nodes.select("node", F.when(F.col("depth") > 1, F.regexp_replace("node", " [^ ]*$", "")).alias("parent"), F.col("depth").cast("bigint").alias("depth"), "sequences")
 
 
+def l12_tree_scores(spark, d):
+    """Each candidate's log-probability in the tree of all, summed along its nodes by joins, and its loss for each word. A node's probability is its share of its parent's sequences."""
+    tree = write_shared(m7_trie(spark, d), "tree")
+    roots = tree.filter("depth = 1").agg(F.sum("sequences")).first()[0] or 0
+    parents = tree.select(F.col("node").alias("parent"), F.col("sequences").alias("of"))
+    steps = tree.join(parents, "parent", "left").select("node", F.log(F.col("sequences") / F.coalesce("of", F.lit(roots))).alias("logprob"))
+    words = _titles(spark, d).select(F.explode("candidates").alias("candidate")).distinct().withColumn("w", F.split("candidate", " +"))
+    paths = words.select("candidate", F.size("w").alias("n"), F.explode(F.transform("w", lambda x, i: F.array_join(F.slice("w", 1, i + 1), " "))).alias("node"))
+    out = paths.join(steps, "node").groupBy("candidate", "n").agg(F.sum("logprob").alias("logprob"))
+    return out.select("candidate", F.round("logprob", 6).alias("logprob"), F.round(-F.col("logprob") / F.col("n"), 6).alias("loss"))
+
+
 def m5_kind_lines(spark, d):
     """Every set of kinds that a forecast can list, as its line."""
     names = F.array(*[F.when(F.expr(f"(shiftright(id, {i}) & 1) = 1"), F.lit(k)) for i, k in enumerate(KINDS)])
@@ -137,7 +149,7 @@ def l11_daily_steps(spark, d):
     return spark.createDataFrame([(r.name, r.state) for r in run_steps(steps)], "step string, state string")
 
 
-_NAMES = (r16_portal_items, t30_split_items, a31_stories, l15_story_blocks, l17_reports_between, m6_section_candidates, m7_trie, m5_kind_lines, t19_headers, t20_parsed_headers, t13_span_sections, t14_new_spans, t17_edit_context, r8_joined_spans, s6_fetched_texts, l11_daily_steps)
+_NAMES = (r16_portal_items, t30_split_items, a31_stories, l15_story_blocks, l17_reports_between, m6_section_candidates, m7_trie, l12_tree_scores, m5_kind_lines, t19_headers, t20_parsed_headers, t13_span_sections, t14_new_spans, t17_edit_context, r8_joined_spans, s6_fetched_texts, l11_daily_steps)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _CLEAN = "trim(regexp_replace(replace(replace(regexp_replace(regexp_replace({0}, '\\[https?://[^\\]]*\\]', '', 'g'), '\\[\\[(?:[^\\[\\]|]*\\|)?([^\\[\\]]*)\\]\\]', '\\1', 'g'), '''''''', ''), '''''', ''), ' {{2,}}', ' ', 'g'), ' ')"
@@ -165,6 +177,7 @@ SQL = {
     "l17_reports_between": _REPORTS + ", u AS (SELECT DISTINCT topic, day, array_to_string(list_append(topics[list_position(topics, topic) + 1:], sentence), ' › ') AS report FROM (SELECT day, topics, sentence, unnest(list_distinct(topics)) AS topic FROM rp WHERE day BETWEEN DATE '2026-07-01' AND DATE '2026-07-31') WHERE topic <> '') SELECT topic, count(*) AS reports, count(DISTINCT day) AS days FROM u GROUP BY topic",
     "m6_section_candidates": _TITLES + " SELECT doc_id, len(c) AS candidates, array_to_string(list_transform(c, lambda s: ' ' || s || ';|' || ' ' || s || chr(10)), '|') AS continuations FROM tl",
     "m7_trie": _TITLES + ", w AS (SELECT regexp_split_to_array(s, ' +') AS a FROM (SELECT unnest(c) AS s FROM tl)), p AS (SELECT array_to_string(a[1:i], ' ') AS node, i AS depth FROM (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM w)) SELECT node, CASE WHEN depth > 1 THEN regexp_replace(node, ' [^ ]*$', '') END AS parent, depth, count(*) AS sequences FROM p GROUP BY ALL",
+    "l12_tree_scores": _TITLES + ", w AS (SELECT array_to_string(regexp_split_to_array(s, ' +'), ' ') AS c, s, len(regexp_split_to_array(s, ' +')) AS n FROM (SELECT unnest(c) AS s FROM tl)), k AS (SELECT DISTINCT s, c, n FROM w), l AS (SELECT s, n, ln((SELECT count(*) FROM w WHERE w.c = k.c OR starts_with(w.c, k.c || ' ')) / (SELECT count(*) FROM w)::DOUBLE) AS logprob FROM k) SELECT s AS candidate, round(logprob, 6) AS logprob, round(-logprob / n, 6) AS loss FROM l",
     "m5_kind_lines": f"SELECT mask, ' ' || coalesce(nullif(array_to_string(list_filter([{', '.join(f'CASE WHEN (mask >> {i}) & 1 = 1 THEN {chr(39)}{k}{chr(39)} END' for i, k in enumerate(KINDS))}], lambda x: x IS NOT NULL), ', '), ''), 'none') || chr(10) AS line FROM (SELECT unnest(range(512)) AS mask)",
     "t19_headers": _HEADER + " SELECT id, 'Sections: ' || coalesce(nullif(array_to_string(named, '; '), ''), 'none') || chr(10) || 'Kinds: ' || coalesce(nullif(array_to_string(k, ', '), ''), 'none') || chr(10) AS header FROM hh",
     "t20_parsed_headers": _HEADER + " SELECT id, array_to_string(named, '|') AS sections, array_to_string(k, '|') AS kinds FROM hh",

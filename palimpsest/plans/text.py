@@ -169,7 +169,7 @@ def a33_agreement(spark, d):
     """How often two deliveries of a revision agree, field by field."""
     fields = ["user_text", "byte_size", "sha1", "is_minor"]
     own = table(spark, d, "revisions").filter("revision_id IS NOT NULL").groupBy("revision_id").agg(F.min(F.struct("fetched_at", *fields)).alias("a"), F.max(F.struct("fetched_at", *fields)).alias("b")).filter("a.fetched_at < b.fetched_at")
-    return own.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).cast("double")), 6).alias(c) for c in fields])
+    return own.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).cast("double")), 6).alias(c) for c in fields], F.round(F.avg(F.abs(F.col("a.byte_size") - F.col("b.byte_size"))), 4).alias("byte_size_off"))
 
 
 def pred_p15_calendar_titles(spark, d):
@@ -299,7 +299,7 @@ SQL = {
     "a24_common_kinds": _KM + " SELECT kind, count(*) AS n FROM km WHERE p >= 0.5 GROUP BY kind HAVING count(*) > 0.1 * (SELECT count(*) FROM fc)",
     "a25_kind_marginals": _KM + " SELECT * FROM km",
     "a27_weighted_mean": _D + ", v AS (SELECT source, lang, length(text) AS w, len(" + _WORDS.format("text") + ") AS n FROM t WHERE source IS NOT NULL AND lang IS NOT NULL AND length(text) > 0), r AS (SELECT source, lang, sum(n)::DOUBLE AS vw, sum(w)::DOUBLE AS w FROM v GROUP BY ALL) SELECT source, round(sum(vw) / sum(w), 6) AS weighted, round(avg(vw / w), 6) AS pooled FROM r GROUP BY source",
-    "a33_agreement": "WITH a AS (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at) AS i, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at DESC) AS j FROM revisions WHERE revision_id IS NOT NULL) SELECT count(*) AS n, " + ", ".join(f"round(avg((x.{c} IS NOT DISTINCT FROM y.{c})::INT), 6) AS {c}" for c in ("user_text", "byte_size", "sha1", "is_minor")) + " FROM a x JOIN a y ON x.revision_id = y.revision_id AND x.i = 1 AND y.j = 1 AND x.fetched_at < y.fetched_at",
+    "a33_agreement": "WITH a AS (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at) AS i, row_number() OVER (PARTITION BY revision_id ORDER BY fetched_at DESC) AS j FROM revisions WHERE revision_id IS NOT NULL) SELECT count(*) AS n, " + ", ".join(f"round(avg((x.{c} IS NOT DISTINCT FROM y.{c})::INT), 6) AS {c}" for c in ("user_text", "byte_size", "sha1", "is_minor")) + ", round(avg(abs(x.byte_size - y.byte_size)), 4) AS byte_size_off FROM a x JOIN a y ON x.revision_id = y.revision_id AND x.i = 1 AND y.j = 1 AND x.fetched_at < y.fetched_at",
     "pred_p15_calendar_titles": _D + ", y AS (SELECT doc_id, trim(regexp_extract(text, 'Page: ([^\\n]*)', 1)) AS title FROM t) SELECT doc_id, regexp_matches(title, '^(January|February|March|April|May|June|July|August|September|October|November|December)[ _][0-9]{1,2}$') AS calendar FROM y WHERE title <> ''",
     "d2_nearest_year": "WITH c AS (SELECT page_id, date, try_cast(y || strftime(date, '-%m-%d') AS DATE) AS x FROM forecast_days, (SELECT unnest([2025, 2026, 2027]) AS y)) SELECT page_id, date, arg_min(x, (abs(x - DATE '2026-01-15'), x)) AS nearest FROM c GROUP BY ALL",
     "d3_relative_days": _D + f", z AS (SELECT doc_id, (DATE '{DAY}' - day) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -7 END AS k, doc_id % 9 AS m FROM t WHERE day IS NOT NULL), y AS (SELECT doc_id, k, k + m AS e, {_AT} AS phrase FROM z), x AS (SELECT doc_id, e, phrase, k AS b FROM y), w AS (SELECT doc_id, b, phrase, e AS k FROM x) SELECT doc_id, phrase, CASE WHEN b = k THEN phrase WHEN b > 0 THEN 'starts ' || phrase WHEN k < 0 THEN 'ended ' || {_AT} WHEN b = 0 THEN 'starts today, ends ' || {_AT} ELSE 'under way, ends ' || {_AT} END AS span FROM w",
