@@ -36,25 +36,31 @@ def label_reverts(log: DataFrame, reach: int = REACH, max_days: int = MAX_DAYS,
     """
     names = log.columns
     rows = write_shared(log, "log")
-    cut = write_shared(split_hot_keys(rows.select("page_id", "revision_id", "sha1", "ts"), "page_id", "revision_id", shard_rows, max_shards), "log-shards")
+    cut = split_hot_keys(rows, "page_id", "revision_id", shard_rows, max_shards)
     shard = W.partitionBy("page_id", "_shard").orderBy("revision_id")
-    same = W.partitionBy("page_id", "_shard", "sha1")
-    seen = cut.withColumns({
-        "_before": F.lag("revision_id").over(shard),
-        "_same": F.when(F.col("sha1").isNotNull(), F.lag("revision_id").over(same.orderBy("revision_id"))),
-        "_nth": F.row_number().over(shard),
-    })
-    # the last revision of each content in each shard of a large page; one row a shard, so few for any content
-    last = cut.filter(F.col("_hot") & F.col("sha1").isNotNull() & ~F.col("_context")).groupBy("page_id", "sha1", "_shard").agg(F.max("revision_id").alias("_last"))
+    before = F.lag("revision_id").over(shard)
+    same = F.when(F.col("sha1").isNotNull(), F.lag("revision_id").over(W.partitionBy("page_id", "_shard", "sha1").orderBy("revision_id")))
+
+    def undone(marked: DataFrame) -> DataFrame:
+        """The first revert after each row that undoes it, within ``reach`` rows."""
+        later = F.collect_list(F.struct("revision_id", "ts", "is_revert", "_same")).over(shard.rowsBetween(1, reach))
+        until = F.make_dt_interval(F.lit(max_days))
+        hits = F.filter("_later", lambda j: j.is_revert & (j._same < F.col("revision_id")) & (j.ts - F.col("ts") <= until))
+        return marked.withColumn("_later", later).withColumn("_by", F.try_element_at(hits, F.lit(1)))
+
+    def marked(found: DataFrame) -> DataFrame:
+        return found.withColumn("is_revert", F.coalesce(F.col("_same") != F.col("_before"), F.lit(False)))
+
+    # pages in one piece: one shuffle, and the rows stay whole
+    small = undone(marked(cut.filter(~F.col("_hot")).withColumns({"_before": before, "_same": same})))
+    # large pages: the last revision of each content in each shard, one row a shard, so few for any content
+    large = cut.filter("_hot")
+    seen = large.withColumns({"_before": before, "_same": same, "_nth": F.row_number().over(shard)}).filter(~F.col("_context"))
+    last = large.filter(F.col("sha1").isNotNull() & ~F.col("_context")).groupBy("page_id", "sha1", "_shard").agg(F.max("revision_id").alias("_last"))
     earlier = last.withColumn("_earlier", F.lag("_last").over(W.partitionBy("page_id", "sha1").orderBy("_shard"))).filter(F.col("_earlier").isNotNull()).drop("_last")
-    own = seen.filter(~F.col("_context"))
-    found = own.join(earlier, ["page_id", "sha1", "_shard"], "left").withColumn("_same", F.coalesce("_same", "_earlier")).drop("_earlier")
-    marked = found.withColumn("is_revert", F.coalesce(F.col("_same") != F.col("_before"), F.lit(False)))
-    first = F.when(F.col("_hot") & (F.col("_shard") > 0) & (F.col("_nth") <= reach + 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    spread = marked.withColumn("_ahead", F.explode(first)).withColumn("_shard", F.col("_shard") - F.col("_ahead"))
-    later = F.collect_list(F.struct("revision_id", "ts", "is_revert", "_same")).over(shard.rowsBetween(1, reach))
-    until = F.make_dt_interval(F.lit(max_days))
-    hits = F.filter("_later", lambda j: j.is_revert & (j._same < F.col("revision_id")) & (j.ts - F.col("ts") <= until))
-    by = spread.withColumn("_later", later).filter(F.col("_ahead") == 0).withColumn("_by", F.try_element_at(hits, F.lit(1)))
-    labels = by.select("revision_id", F.when(F.col("is_revert"), F.col("_same")).alias("restored_revision_id"), "is_revert", F.col("_by").isNotNull().alias("is_reverted"), F.col("_by.revision_id").alias("reverted_by_revision_id"), F.col("_by.ts").alias("reverted_by_ts"))
-    return rows.join(labels, "revision_id").select(*names, *labels.columns[1:])
+    found = seen.join(earlier, ["page_id", "sha1", "_shard"], "left").withColumn("_same", F.coalesce("_same", "_earlier"))
+    first = F.when((F.col("_shard") > 0) & (F.col("_nth") <= reach + 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = marked(found).withColumn("_ahead", F.explode(first)).withColumn("_shard", F.col("_shard") - F.col("_ahead"))
+    split = undone(spread).filter(F.col("_ahead") == 0)
+    labels = [F.when(F.col("is_revert"), F.col("_same")).alias("restored_revision_id"), "is_revert", F.col("_by").isNotNull().alias("is_reverted"), F.col("_by.revision_id").alias("reverted_by_revision_id"), F.col("_by.ts").alias("reverted_by_ts")]
+    return small.select(*names, *labels).unionByName(split.select(*names, *labels))
