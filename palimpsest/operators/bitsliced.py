@@ -1,15 +1,15 @@
 """Feature tables over hundreds of event types from bit-sliced counters.
 
 Entities are ordinals; a chunk is 2**12 neighbouring ordinals. Slice k of a counter is the set of the entities whose count has
-bit k, held as in compressed bitmaps: a sorted array while few are in it, a bitmap beyond, and nothing for chunks, types and slices
-without a bit. Adding events to all entities of a chunk is a carry addition of such sets. The latest times lie in arrays
-aligned with the ordinals that have one. Days are taken in order: the state before a day is the table as of that day.
+bit k, as a compressed bitmap: of its words only those that hold a bit exist. Adding events to all entities of a chunk is a carry
+addition of such bitmaps, word by word. The latest times are kept by ordinal beside them. Days are taken in order: the state
+before a day is the table as of that day.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,124 +22,72 @@ from palimpsest.shared import write_shared
 
 #: A type's chunk is one group of a shuffle: 4,096 entities and a row for each of their days with events at most, however many events.
 CHUNK_BITS = 12
-WORDS = (1 << CHUNK_BITS) // 64
-#: Ordinals in an array from which a bitmap is smaller.
-FEW = (1 << CHUNK_BITS) // 16
 NEVER = np.iinfo(np.int64).min
-ONE = np.uint64(1)
 #: Rows of a batch of the wide table.
 WIDE_ROWS = 512
 
 
-class OrdinalSet:
-    """A set of ordinals of one chunk, as a sorted array or as a bitmap, whichever is smaller."""
-
-    __slots__ = ("array", "words", "size")
-
-    def __init__(self) -> None:
-        self.array: np.ndarray | None = np.zeros(0, np.uint16)
-        self.words: np.ndarray | None = None
-        self.size = 0
-
-    def has(self, ordinals: np.ndarray) -> np.ndarray:
-        if self.array is None:
-            return (self.words[ordinals >> 6] >> (ordinals & 63).astype(np.uint64)) & ONE == 1
-        at = np.searchsorted(self.array, ordinals)
-        found = at < self.size
-        found[found] = self.array[at[found]] == ordinals[found]
-        return found
-
-    def flip(self, ordinals: np.ndarray) -> np.ndarray:
-        """Exclusive or with sorted, distinct ``ordinals``. Returned are those that were in the set: what they carry over."""
-        held = self.has(ordinals)
-        both, new = ordinals[held], ordinals[~held]
-        self.size += len(new) - len(both)
-        if self.array is not None and self.size <= FEW:
-            left = np.delete(self.array, np.searchsorted(self.array, both)) if len(both) else self.array
-            self.array = np.insert(left, np.searchsorted(left, new), new) if len(new) else left
-            return both
-        if self.array is not None:
-            self.words = np.zeros(WORDS, np.uint64)
-            np.bitwise_or.at(self.words, self.array >> 6, ONE << (self.array & 63).astype(np.uint64))
-            self.array = None
-        np.bitwise_xor.at(self.words, ordinals >> 6, ONE << (ordinals & 63).astype(np.uint64))
-        if self.size <= FEW // 2:
-            bits = np.unpackbits(self.words.view(np.uint8), bitorder="little")
-            self.array, self.words = np.flatnonzero(bits).astype(np.uint16), None
-        return both
-
-
 class BitSlicedCounter:
-    """Counters of the entities of one chunk; ``slices[k]`` has the entities whose count has bit k."""
+    """Counters of the entities of one chunk; ``slices[k]`` has the words of the bitmap of bit k that aren't 0, by their place."""
 
     __slots__ = ("slices",)
 
     def __init__(self) -> None:
-        self.slices: list[OrdinalSet] = []
-
-    def add(self, ordinals: np.ndarray, amounts: np.ndarray) -> None:
-        """Add a non-negative amount to each of the sorted, distinct ordinals, by one carry addition a bit of the amounts."""
-        for bit in range(int(amounts.max(initial=0)).bit_length()):
-            carry, k = ordinals[(amounts >> bit) & 1 == 1], bit
-            while len(carry):
-                while k >= len(self.slices):
-                    self.slices.append(OrdinalSet())
-                carry, k = self.slices[k].flip(carry), k + 1
-
-    def decode(self, ordinals: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ordinals), np.int64)
+        self.slices: list[dict[int, int]] = []
+
+    def add(self, amounts: Iterable[tuple[int, int]]) -> None:
+        """Add (ordinal, non-negative amount) pairs, an ordinal at most once: for each bit of the amounts one carry addition of the ordinals that have it."""
+        addends: list[dict[int, int]] = []
+        for ordinal, amount in amounts:
+            word, bit, k = ordinal >> 6, 1 << (ordinal & 63), 0
+            while amount:
+                if amount & 1:
+                    while k >= len(addends):
+                        addends.append({})
+                    addends[k][word] = addends[k].get(word, 0) | bit
+                amount >>= 1
+                k += 1
+        for k, addend in enumerate(addends):
+            for word, bits in addend.items():
+                self._carry(k, word, bits)
+
+    def _carry(self, k: int, word: int, bits: int) -> None:
+        while bits:
+            while k >= len(self.slices):
+                self.slices.append({})
+            own = self.slices[k]
+            old = own.get(word, 0)
+            if old == bits:
+                del own[word]
+            else:
+                own[word] = old ^ bits
+            bits &= old
+            k += 1
+
+    def decode(self, ordinal: int) -> int:
+        word, bit, value = ordinal >> 6, ordinal & 63, 0
         for k, own in enumerate(self.slices):
-            if own.size:
-                out += own.has(ordinals).astype(np.int64) << k
-        return out
-
-
-class LatestTimes:
-    """The latest time of each ordinal that has one, in an array aligned with them."""
-
-    __slots__ = ("ordinals", "times")
-
-    def __init__(self) -> None:
-        self.ordinals, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def update(self, ordinals: np.ndarray, times: np.ndarray) -> None:
-        both = np.concatenate([self.ordinals, ordinals])
-        self.ordinals, at = np.unique(both, return_inverse=True)
-        merged = np.full(len(self.ordinals), NEVER)
-        np.maximum.at(merged, at, np.concatenate([self.times, times]))
-        self.times = merged
-
-    def decode(self, ordinals: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.ordinals, ordinals)
-        found = at < len(self.ordinals)
-        found[found] = self.ordinals[at[found]] == ordinals[found]
-        out = np.full(len(ordinals), NEVER)
-        out[found] = self.times[at[found]]
-        return out
+            value |= ((own.get(word, 0) >> bit) & 1) << k
+        return value
 
 
 class _Chunk:
-    """The state of one type and chunk, and events not added to it yet: they are added when the state is asked for."""
+    """The state of one type and chunk. Events wait, summed by ordinal, until the state is asked for, and are then added at once."""
+
+    __slots__ = ("counters", "latest", "waiting")
 
     def __init__(self, measures: int) -> None:
         self.counters = [BitSlicedCounter() for _ in range(measures)]
-        self.latest = LatestTimes()
-        self.waiting: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+        self.latest: dict[int, int] = {}
+        self.waiting: dict[int, list[int]] = {}
 
     def settle(self) -> None:
-        if not self.waiting:
-            return
-        lows, amounts, last = zip(*self.waiting)
-        self.waiting = []
-        ordinals, at = np.unique(np.concatenate(lows), return_inverse=True)
         for i, counter in enumerate(self.counters):
-            total = np.bincount(at, np.concatenate([a[i] for a in amounts]), len(ordinals)).astype(np.int64)  # exact below 2**53
-            some = total > 0
-            counter.add(ordinals[some], total[some])
-        times = np.full(len(ordinals), NEVER)
-        np.maximum.at(times, at, np.concatenate(last))
-        seen = times != NEVER
-        self.latest.update(ordinals[seen], times[seen])
+            counter.add((low, own[i]) for low, own in self.waiting.items() if own[i])
+        for low, own in self.waiting.items():
+            if own[-1] > self.latest.get(low, NEVER):
+                self.latest[low] = own[-1]
+        self.waiting = {}
 
 
 def _ints(column: pa.ChunkedArray | pa.Array, null: int = 0) -> np.ndarray:
@@ -152,39 +100,36 @@ def _decoder(measures: list[str]):
     """For rows sorted by type, chunk, day and kind (0: as asked, 1: events): the asked rows with their features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, of = None, None
+        state, of = _Chunk(len(measures)), None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
             column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-            types = column("_type").dictionary_encode()
-            names, codes = types.dictionary, types.indices.to_numpy()
-            chunk, day, kind, low = (_ints(column(c)) for c in ("_chunk", "_day", "_kind", "_low"))
-            amounts, last = [_ints(column(f"_{m}")) for m in measures], _ints(column("_last"), NEVER)
-            new = (np.diff(codes) != 0) | (np.diff(chunk) != 0) | (np.diff(kind) != 0) | ((np.diff(day) != 0) & (kind[1:] == 0))
-            edges = [0, *(np.flatnonzero(new) + 1).tolist(), n]
-            values = [np.zeros(n, np.int64) for _ in measures]
-            latest = np.full(n, NEVER)
-            for a, b in zip(edges, edges[1:]):
-                key = (names[int(codes[a])].as_py(), int(chunk[a]))
-                if key != of:
-                    state, of = _Chunk(len(measures)), key
-                at = low[a:b]
-                if kind[a]:
-                    state.waiting.append((at, [amount[a:b] for amount in amounts], last[a:b]))
+            types = column("_type").to_pylist()
+            chunks, kinds, lows = (_ints(column(c)).tolist() for c in ("_chunk", "_kind", "_low"))
+            adds = zip(*(_ints(column(f"_{m}")).tolist() for m in measures), _ints(column("_last"), NEVER).tolist())
+            asked: list[int] = []
+            found: list[list[int]] = []
+            for i, (kind, chunk, low, is_event, add) in enumerate(zip(types, chunks, lows, kinds, adds)):
+                if (kind, chunk) != of:
+                    state, of = _Chunk(len(measures)), (kind, chunk)
+                if is_event:
+                    own = state.waiting.get(low)
+                    if own is None:
+                        state.waiting[low] = list(add)
+                    else:
+                        last = own[-1]
+                        own[:] = map(int.__add__, own, add)
+                        own[-1] = max(last, add[-1])
                     continue
-                state.settle()
-                for counter, value in zip(state.counters, values):
-                    value[a:b] = counter.decode(at)
-                latest[a:b] = state.latest.decode(at)
-            asked = np.flatnonzero(kind == 0)
-            if len(asked):
+                if state.waiting:
+                    state.settle()
+                asked.append(i)
+                found.append([*(counter.decode(low) for counter in state.counters), state.latest.get(low, NEVER)])
+            if asked:
                 rows = batch.take(pa.array(asked))
-                found = latest[asked]
-                carried = [rows.column(i) for i, f in enumerate(rows.schema) if f.name.startswith("r_")]
-                decoded = [pa.array(v[asked]) for v in values]
-                yield pa.RecordBatch.from_arrays([*carried, *decoded, pa.array(found, mask=found == NEVER).cast(pa.timestamp("us"))], names=[*(f.name for f in rows.schema if f.name.startswith("r_")), *measures, "last_at"])
+                *values, latest = (np.array(c, np.int64) for c in zip(*found))
+                names = [f.name for f in rows.schema if f.name.startswith("r_")]
+                carried = [rows.column(rows.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*carried, *map(pa.array, values), pa.array(latest, mask=latest == NEVER).cast(pa.timestamp("us"))], names=[*names, *measures, "last_at"])
 
     return run
 
