@@ -156,6 +156,7 @@ SQL = {
     "s15_append_missing": "SELECT date, count(*) AS n FROM (SELECT DISTINCT page_id, date FROM burst_days) GROUP BY date",
     "s16_json_sink": "SELECT * FROM forecast_days",
     "x1_daily_stream": "WITH r AS (SELECT revision_id, min(timestamp) AS t FROM revisions GROUP BY ALL) SELECT CAST(t AS DATE) AS day, count(*) AS revisions FROM r GROUP BY ALL",
+    "l8_daily_features": Q.BURSTS + f", ca AS (SELECT DISTINCT page_id FROM o WHERE ts >= TIMESTAMP '2026-07-15' AND ts < TIMESTAMP '{DAY}') SELECT page_id, DATE '{DAY}' AS date, " + ", ".join(f"coalesce({_S.format('edits', k)}, 0) AS edits_{k}d" for k in (1, 7, 30)) + f", (SELECT count(DISTINCT user_text) FROM l WHERE l.page_id = ca.page_id AND channel = 'edits' AND user_text <> '' AND l.day BETWEEN DATE '{DAY}' - 7 AND DATE '{DAY}' - 1) AS editors_7d, coalesce({_S.format('is_burst::INT', 30)}, 0) AS burst_days_30d FROM ca",
     "l10_daily_score": Q.BURSTS + ", sc AS (SELECT b.page_id, b.day + 1 AS date, b.edits AS score, coalesce(h.is_burst_excl_mass AND h.editors_excl_mass >= 2, false) AS y FROM bu b LEFT JOIN bu h ON h.page_id = b.page_id AND h.day = b.day + 1 WHERE b.edits > 0), rk AS (SELECT *, row_number() OVER w AS rank, CAST(sum(y::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hits FROM sc WINDOW w AS (PARTITION BY date ORDER BY score DESC NULLS LAST, " + H32.format("page_id") + ", page_id)), " + _MET((10, 100), ()) + " SELECT * FROM dm",
     "l9_daily_outcomes": Q.BURSTS + f" SELECT page_id, day, editors_excl_mass FROM bu WHERE day = DATE '{DAY}' AND is_burst_excl_mass AND editors_excl_mass >= 2",
 }

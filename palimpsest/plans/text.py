@@ -274,6 +274,10 @@ _SCORE = _SEC + _FC + _CH + ", sc AS (SELECT id, round(CASE WHEN len(named) > 0
 _KM = _D + _FC + ", li AS (SELECT id, mask, exp(-((id * 7 + mask * 13) % 101) / 20.0) AS p FROM fc, (SELECT unnest(range(512)) AS mask)), km AS (SELECT id, kind, round(sum(CASE WHEN (mask >> kind) & 1 = 1 THEN p ELSE 0 END) / sum(p), 6) AS p FROM li, (SELECT unnest(range(9)) AS kind) GROUP BY ALL)"
 _FAR = "CASE WHEN abs(k) <= 60 THEN abs(k) || ' days' WHEN abs(k) < 365 THEN 'about ' || CAST(round(abs(k) / 30.4) AS INT) || ' months' WHEN round(abs(k) / 365.25) = 1 THEN 'about a year' ELSE 'about ' || CAST(round(abs(k) / 365.25) AS INT) || ' years' END"
 _AT = f"CASE WHEN k = 0 THEN 'today' WHEN k = 1 THEN 'tomorrow' WHEN k = -1 THEN 'yesterday' WHEN k > 0 THEN 'in ' || {_FAR} ELSE {_FAR} || ' ago' END"
+#: 160 bits as two halves, divided by 36 step by step.
+_HALF = "list_reduce(list_transform(range({0}, {1}), lambda i: strpos('0123456789abcdef', substring(d, i::INT, 1))::HUGEINT - 1), lambda a, v: a * 16 + v)"
+_NEXT = "((a.hi % 36) * 1208925819614629174706176::HUGEINT + a.lo)"
+_BASE36 = ", k AS (SELECT revision_id, sha1(sha1) AS d FROM o WHERE sha1 IS NOT NULL), n AS (SELECT revision_id, " + _HALF.format(1, 21) + " AS hi, " + _HALF.format(21, 41) + " AS lo FROM k), z AS (SELECT revision_id, list_reduce(list_prepend({'hi': hi, 'lo': lo, 's': ''}, list_transform(range(31), lambda i: {'hi': 0::HUGEINT, 'lo': 0::HUGEINT, 's': ''})), lambda a, v: {'hi': a.hi // 36, 'lo': " + _NEXT + " // 36, 's': substring('0123456789abcdefghijklmnopqrstuvwxyz', (" + _NEXT + " % 36)::INT + 1, 1) || a.s}) AS r FROM n)"
 
 SQL = {
     "t1_pieces": _D + " SELECT doc_id, len(regexp_extract_all(text, '[ \\t\\r\\n\\f\\x0B]+|[^ \\t\\r\\n\\f\\x0B]+')) AS n, true AS same FROM t",
@@ -284,6 +288,7 @@ SQL = {
     " m AS (SELECT id, sentence_id, count(*) AS shared, round(sum(idf) / sqrt(any_value(size) + 1), 4) AS score FROM q JOIN fr USING (word) JOIN c USING (page_id, word) WHERE content GROUP BY ALL),"
     " nm AS (SELECT DISTINCT id, page_id, name FROM (SELECT id, page_id, replace(title, '_', ' ') AS name FROM q0 UNION ALL SELECT id, page_id, regexp_replace(replace(title, '_', ' '), '[ \\t\\n\\r\\f\\v]*\\([^)]*\\)$', '') FROM q0) WHERE length(name) >= 4), h AS MATERIALIZED (SELECT id, sentence_id, sentence, name FROM nm JOIN cs USING (page_id) WHERE contains(sentence, name)), na AS (SELECT DISTINCT id, sentence_id, true AS named FROM h WHERE regexp_matches(sentence, '(^|[^\\pL\\pN_])' || regexp_escape(name) || '($|[^\\pL\\pN_])')),"
     " b AS (SELECT id, sentence_id, coalesce(shared, 0) AS shared, coalesce(score, 0) AS score, coalesce(named, false) AS named FROM m FULL JOIN na USING (id, sentence_id)) SELECT id, sentence_id, shared, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY named DESC, score DESC, sentence_id) AS rank FROM b WHERE named OR shared >= 2) WHERE rank <= 8",
+    "w21_within_budget": _D + ", s AS (SELECT doc_id, list_reduce(list_prepend({'l': 0, 'used': 0, 'n': 0}, list_transform(" + _SENT.format("text") + ", lambda s: {'l': length(s)::INT, 'used': 0, 'n': 0})), lambda a, x: {'l': 0, 'used': a.used + CASE WHEN a.used + x.l <= 450 THEN x.l ELSE 0 END, 'n': a.n + CASE WHEN a.used + x.l <= 450 THEN 1 ELSE 0 END}) AS r FROM t) SELECT doc_id, r.n::BIGINT AS n, r.used::BIGINT AS chars FROM s",
     "u6_word_jaccard": _PAIRS + " SELECT page_id, day, round(CASE WHEN u = 0 THEN 1 ELSE i / u::DOUBLE END, 6) AS jaccard FROM x",
     "u7_shown_words": _PAIRS + " SELECT page_id, day, round(CASE WHEN len(b) > 0 THEN i / len(b)::DOUBLE END, 6) AS share FROM x",
     "t8_names_page": _D + ", tt AS (SELECT DISTINCT replace(title, '_', ' ') AS full_name FROM titles WHERE title IS NOT NULL), nm AS (SELECT DISTINCT name FROM (SELECT full_name AS name FROM tt UNION ALL SELECT regexp_replace(full_name, '[ \\t\\n\\r\\f\\v]*\\([^)]*\\)$', '') FROM tt) WHERE length(name) >= 4)"
@@ -307,5 +312,6 @@ SQL = {
     "d8_known_at": "SELECT page_id, date, CAST(date AS TIMESTAMP) - INTERVAL 1 SECOND AS known_at FROM forecast_days",
     "d10_months": "SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2026-08-01', INTERVAL 1 MONTH)) AS m)",
     "s8_page_as_of": Q.REVISION + " SELECT page_id, arg_max(revision_id, (timestamp, revision_id)) AS revision_id FROM r WHERE page_id IS NOT NULL AND timestamp < TIMESTAMP '2026-07-10 12:00:00' GROUP BY page_id",
+    "pred_p5_base36_hashes": Q.LOG + _BASE36 + " SELECT revision_id, r.s AS hash FROM z",
     "m10_json": "SELECT page_id, date, editors FROM (SELECT DISTINCT * FROM burst_days)",
 }

@@ -54,7 +54,7 @@ OF_PAIR = {
     "t14_new_spans": lambda a, b: dict(zip(("spans", "inserted_chars", "removed_chars"), ([s for _, s in changes.new_spans(a, b)[0]], *changes.new_spans(a, b)[1:]))),
     "r8_joined_spans": lambda a, b: {"added": " … ".join(changes.word_diff(a, b)["inserted"]), "gone": " … ".join(changes.word_diff(a, b)["removed"])},
 }
-APART = {"w20_without_repeats", "w21_within_budget", "pred_p5_base36_hashes", "t13_span_sections", "t17_edit_context", "a26_best_threshold", "l5_model", "l8_daily_features", "l10_daily_model"}
+APART = {"w20_without_repeats", "t13_span_sections", "t17_edit_context", "a26_best_threshold", "l5_model", "l10_daily_model"}
 
 
 @pytest.mark.parametrize("name", sorted(OF_TEXT))
