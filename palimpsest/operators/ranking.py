@@ -64,17 +64,17 @@ def paired_difference(baseline: DataFrame, candidate: DataFrame, metric: str) ->
     return own.agg(F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_samp(d) / F.sqrt(F.count(d)), 6).alias("se"), F.count_if(d > 0).alias("days_better"), F.count_if(d < 0).alias("days_worse"), F.count(d).alias("days"))
 
 
-def lexicographic_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Dense ranks from 0 that order the rows of each date by ``keys``, nulls first; equal keys tie. Adds ``score``.
+def lexicographic_rank(rows: DataFrame, keys: list[str], groups: tuple[str, ...] = ("date",)) -> DataFrame:
+    """Dense ranks from 0 that order the rows of each group, by default a date, by ``keys``, nulls first; equal keys tie. Adds ``score``.
 
-    The distinct keys of a date are placed over range partitions, so no date is ranked by one task, and joined back.
+    The distinct keys of a group are placed over range partitions, so no group is ranked by one task, and joined back.
     """
-    tuples = rows.select("date", *keys).distinct()
-    placed = positions(tuples, "date", [F.col(k).asc_nulls_first() for k in keys], {}).select(F.col("date").alias("_d"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("rank") - 1).alias("score"))
-    same = F.col("date").eqNullSafe(F.col("_d"))
+    tuples = rows.select(F.concat_ws("|", *[F.col(g).cast("string") for g in groups]).alias("_group"), *keys).distinct()
+    placed = positions(tuples, "_group", [F.col(k).asc_nulls_first() for k in keys], {}).select("_group", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("rank") - 1).alias("score"))
+    same = F.concat_ws("|", *[F.col(g).cast("string") for g in groups]) == F.col("_group")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(placed, same).drop("_d", *[f"_k{i}" for i in range(len(keys))])
+    return rows.join(placed, same).drop("_group", *[f"_k{i}" for i in range(len(keys))])
 
 
 BASELINES = {
@@ -87,11 +87,11 @@ BASELINES = {
 
 
 def baseline_scores(features: DataFrame) -> DataFrame:
-    """The scores of five simple rankings, one row for each page-day and ranking."""
-    columns = {"page_id", "date", *(k for keys in BASELINES.values() for k in keys)}
-    rows = write_shared(features.withColumn("recency", -F.col("days_since_last_edit")).select(*sorted(columns)), "baselines")
-    parts = [lexicographic_rank(rows, keys).select("page_id", "date", F.lit(name).alias("baseline"), F.col("score").cast("bigint").alias("score")) for name, keys in BASELINES.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The scores of five simple rankings, one row for each page-day and ranking; all are placed in one pass."""
+    rows = features.withColumn("recency", -F.col("days_since_last_edit"))
+    width = max(map(len, BASELINES.values()))
+    padded = lambda keys: [*(F.col(k).cast("double") for k in keys), *[F.lit(0.0)] * (width - len(keys))]
+    each = F.array(*[F.struct(F.lit(name).alias("baseline"), *[c.alias(f"k{i}") for i, c in enumerate(padded(keys))]) for name, keys in BASELINES.items()])
+    long = write_shared(rows.select("page_id", "date", F.explode(each).alias("b")).select("page_id", "date", "b.*"), "baselines")
+    scored = lexicographic_rank(long, [f"k{i}" for i in range(width)], ("baseline", "date"))
+    return scored.select("page_id", "date", "baseline", F.col("score").cast("bigint").alias("score"))

@@ -41,7 +41,7 @@ def history_dump(spark, d) -> str:
     values = {"entity": F.lit("revision"), "type": F.lit("create"), "ts": F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.S"), "user_text": F.col("user_text"), "bot_by": F.when(F.col("is_bot"), "name,group"), "anonymous": F.col("is_anon").cast("string"), "page_id": F.col("page_id").cast("string"), "page_title": F.col("page_title"), "namespace": F.col("namespace").cast("string"), "revision_id": F.col("revision_id").cast("string"), "parent_id": F.col("parent_id").cast("string"), "byte_size": F.col("byte_size").cast("string"), "sha1": F.col("sha1"), "deleted": F.lit("false")}
     at = {dumps.PLACE[k]: v for k, v in values.items()}
     line = F.concat_ws("\t", *[F.coalesce(at[i], F.lit("")) if i in at else F.lit("") for i in range(dumps.WIDTH)])
-    rows.select(line.alias("value")).write.option("compression", "bzip2").text(path := _folder(spark))
+    rows.select(line.alias("value")).repartition(spark.sparkContext.defaultParallelism).write.option("compression", "bzip2").text(path := _folder(spark))
     return path
 
 
