@@ -106,14 +106,6 @@ def news_items(docs: DataFrame) -> DataFrame:
     return out.filter("stars <> '' AND NOT topic_line AND label <> ''").select("doc_id", "n", F.col("_c").alias("category"), F.col("_t").alias("topic"), F.col("label").alias("sentence"))
 
 
-def story_groups(items: DataFrame, day: str, week: int = 7, recent: int = 2) -> DataFrame:
-    """Stories of the days before ``day`` by topic: distinct reports, those of the last days, the last day and the commonest category."""
-    d = F.lit(day).cast("date")
-    own = items.filter((F.col("topic") != "") & (F.col("day") < d) & (F.col("day") >= F.date_sub(d, week))).select("topic", "day", "category", "sentence").distinct()
-    out = own.groupBy("topic").agg(F.count(F.lit(1)).alias("reports"), F.count_if(F.col("day") >= F.date_sub(d, recent)).alias("recent"), F.max("day").alias("latest"), F.mode("category", True).alias("category"))
-    return out.filter("recent > 0")
-
-
 def forecast_scores(forecasts: DataFrame) -> DataFrame:
     """Of each (id, named, changed, chars) section_precision, main_section_hit and jaccard; null where nothing is named or changed."""
     named, changed = F.array_distinct(F.slice("named", 1, 3)), F.col("changed")

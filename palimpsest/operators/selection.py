@@ -12,7 +12,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.operators.revisions import first_delivery
 from palimpsest.shared import write_shared

@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from palimpsest.operators import activity as A
-from palimpsest.operators import history_joins as H
 from palimpsest.operators import model as M
 from palimpsest.operators import panel as P
 from palimpsest.operators import ranking as R

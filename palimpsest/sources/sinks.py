@@ -28,10 +28,6 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
     df.dropDuplicates(keys).write.mode("append").parquet(path)
 
 
-def keep_recent(df: DataFrame, day: str, days: int) -> DataFrame:
-    return df.filter(F.col("date") >= F.date_sub(F.lit(day).cast("date"), days))
-
-
 def replace(df: DataFrame, path: str, most_rows: int | None = None) -> None:
     """Replace the table at ``path`` by ``df``: written beside it first and put in its place when whole, so a write that breaks off changes nothing.
 
