@@ -25,9 +25,10 @@ def rolling_totals(daily: DataFrame, asked: DataFrame, measures: list[str], peri
     span = asked.agg(F.min("day"), F.max("day")).first()
     longest = max(periods)
     zero = F.lit(0).cast("bigint")
-    mean = {f"avg_{m}_{n}d": F.col(f"{m}_{n}d") / F.lit(float(n)) for m in measures for n in periods} if averages else {}
+    spans = [(m, n) for m in measures for n in periods]
+    shown = lambda total: [*[total(i).alias(f"{m}_{n}d") for i, (m, n) in enumerate(spans)], *([(total(i) / F.lit(float(n))).alias(f"avg_{m}_{n}d") for i, (m, n) in enumerate(spans)] if averages else [])]
     if span[0] is None:
-        return asked.withColumns({f"{m}_{n}d": zero for m in measures for n in periods}).withColumns(mean)
+        return asked.select("*", *shown(lambda i: zero))
     first, last = F.date_sub(F.lit(span[0]), longest), F.lit(span[1])
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the calendar multiplies what a small partition holds
     pairs = asked.select("entity", "day").dropna().distinct().repartition(parts, "entity")
@@ -44,8 +45,7 @@ def rolling_totals(daily: DataFrame, asked: DataFrame, measures: list[str], peri
     given = asked.select(*[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(names)])
     entity, day = (f"r_{names.index(c)}" for c in ("entity", "day"))
     joined = given.join(rolled, (F.col(entity) == F.col("_entity")) & (F.col(day) == F.col("_day")), "left")
-    out = joined.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)], *[F.coalesce(F.col(f"_t{i}"), zero).alias(k) for i, k in enumerate(totals)])
-    return out.withColumns(mean) if mean else out
+    return joined.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)], *shown(lambda i: F.coalesce(F.col(f"_t{i}"), zero)))
 
 
 def page_days(revisions: DataFrame, bursts: DataFrame) -> DataFrame:

@@ -108,6 +108,9 @@ def test_rolling_totals(spark):
     want = [(e, d, t, *(sum(v or 0 for x, y, v in daily if e is not None and d and x == e and d - timedelta(days=k) <= y < d) for k in (7, 30))) for e, d, t in asked]
     key = lambda x: tuple(map(str, x))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    asked_ = spark.createDataFrame(asked, "entity bigint, day date, avg_n_7d string")
+    means = rolling.rolling_totals(spark.createDataFrame(daily, "entity bigint, day date, n bigint"), asked_, ["n"], averages=True).collect()
+    assert sorted(map(tuple, means), key=key) == sorted([(*w, w[3] / 7.0, w[4] / 30.0) for w in want], key=key)
     empty = spark.createDataFrame([], "entity bigint, day date, n bigint")
     assert rolling.rolling_totals(empty, spark.createDataFrame([], "entity bigint, day date"), ["n"]).count() == 0
 
