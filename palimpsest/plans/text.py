@@ -44,10 +44,10 @@ def a18_document_frequency(spark, d):
 
 
 def k5_relevant_sentences(spark, d):
-    """Sentences of the page's articles for each outlook, those that name its page first."""
+    """Sentences of the page's other texts for each outlook, those that name its page first."""
     own = docs(spark, d).filter("page_id IS NOT NULL")
     queries = own.filter("source = 'outlook'").select(F.col("doc_id").alias("id"), "page_id", F.trim(F.regexp_extract("text", "Page: ([^\n]*)", 1)).alias("title"), "text")
-    parts = own.filter("source = 'article'").select("page_id", "doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence"))
+    parts = own.filter("source <> 'outlook'").select("page_id", "doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence"))
     candidates = parts.select("page_id", (F.col("doc_id") * 100000 + F.col("n")).alias("sentence_id"), "sentence")
     found = X.relevant_sentences(queries, candidates, write_shared(X.document_frequency(docs(spark, d)), "df"))
     return found.select("id", "sentence_id", "shared", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -284,7 +284,7 @@ SQL = {
     "t6_sentences": _D + ", s AS (SELECT doc_id, " + _SENT.format("text") + " AS a FROM t) SELECT doc_id, len(a) AS n, a[1] AS first FROM s",
     "t7_words": _D + " SELECT doc_id, len(" + _WORDS.format("text") + ") AS n FROM t",
     "a18_document_frequency": _DF + " SELECT * FROM fr",
-    "k5_relevant_sentences": _DF + ", q0 AS (SELECT doc_id AS id, page_id, text, trim(regexp_extract(text, 'Page: ([^\\n]*)', 1)) AS title FROM t WHERE source = 'outlook' AND page_id IS NOT NULL), q AS (SELECT id, page_id, unnest(" + _WORDS.format("text") + ") AS word FROM q0), c0 AS (SELECT page_id, doc_id, generate_subscripts(a, 1) - 1 AS n, unnest(a) AS sentence FROM (SELECT page_id, doc_id, " + _SENT.format("text") + " AS a FROM t WHERE source = 'article' AND page_id IS NOT NULL)), cs AS (SELECT page_id, doc_id * 100000 + n AS sentence_id, sentence FROM c0), c AS (SELECT page_id, sentence_id, len(" + _WORDS.format("sentence") + ") AS size, unnest(" + _WORDS.format("sentence") + ") AS word FROM cs),"
+    "k5_relevant_sentences": _DF + ", q0 AS (SELECT doc_id AS id, page_id, text, trim(regexp_extract(text, 'Page: ([^\\n]*)', 1)) AS title FROM t WHERE source = 'outlook' AND page_id IS NOT NULL), q AS (SELECT id, page_id, unnest(" + _WORDS.format("text") + ") AS word FROM q0), c0 AS (SELECT page_id, doc_id, generate_subscripts(a, 1) - 1 AS n, unnest(a) AS sentence FROM (SELECT page_id, doc_id, " + _SENT.format("text") + " AS a FROM t WHERE source <> 'outlook' AND page_id IS NOT NULL)), cs AS (SELECT page_id, doc_id * 100000 + n AS sentence_id, sentence FROM c0), c AS (SELECT page_id, sentence_id, len(" + _WORDS.format("sentence") + ") AS size, unnest(" + _WORDS.format("sentence") + ") AS word FROM cs),"
     " m AS (SELECT id, sentence_id, count(*) AS shared, round(sum(idf) / sqrt(any_value(size) + 1), 4) AS score FROM q JOIN fr USING (word) JOIN c USING (page_id, word) WHERE content GROUP BY ALL),"
     " nm AS (SELECT DISTINCT id, page_id, name FROM (SELECT id, page_id, replace(title, '_', ' ') AS name FROM q0 UNION ALL SELECT id, page_id, regexp_replace(replace(title, '_', ' '), '[ \\t\\n\\r\\f\\v]*\\([^)]*\\)$', '') FROM q0) WHERE length(name) >= 4), h AS MATERIALIZED (SELECT id, sentence_id, sentence, name FROM nm JOIN cs USING (page_id) WHERE contains(sentence, name)), na AS (SELECT DISTINCT id, sentence_id, true AS named FROM h WHERE regexp_matches(sentence, '(^|[^\\pL\\pN_])' || regexp_escape(name) || '($|[^\\pL\\pN_])')),"
     " b AS (SELECT id, sentence_id, coalesce(shared, 0) AS shared, coalesce(score, 0) AS score, coalesce(named, false) AS named FROM m FULL JOIN na USING (id, sentence_id)) SELECT id, sentence_id, shared, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY named DESC, score DESC, sentence_id) AS rank FROM b WHERE named OR shared >= 2) WHERE rank <= 8",
