@@ -89,29 +89,34 @@ def site_totals(daily: DataFrame) -> DataFrame:
     return daily.groupBy("day").agg(F.sum("edits").cast("bigint").alias("edits"))
 
 
-def features(daily: DataFrame, labels: DataFrame, asked: DataFrame, created: DataFrame | None = None) -> DataFrame:
+def features(daily: DataFrame, labels: DataFrame, asked: DataFrame, created: DataFrame | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """The features of each asked (page_id, date), from days before it alone.
 
-    ``daily`` with bursts. Asked rows are added to the activity rows with nothing to count; calendar frames that end a day before
-    a row do the rest, so no day of activity is joined to any question. A page never seen has no age and counts of 0.
+    ``daily`` with bursts. Asked rows are added to the activity rows with nothing to count, and so are the days on which the editors
+    of a week change; running sums up to a day before a row and their differences do the rest, so no day of activity is joined to any
+    question. A page never seen has no age and counts of 0. ``carried``: columns of ``asked`` to pass on; it then has each pair once.
     """
     d = F.unix_date("day")
     count = ["edits", "reverted_edits", "reverts", "bot_edits", "editors"]
-    flag = F.col("is_burst").cast("int")
-    acts = daily.select("page_id", "day", *count, flag.alias("burst"), "byte_size_eod", F.lit(False).alias("ask"))
-    pairs = asked.select("page_id", F.col("date").alias("day")).dropna().distinct()
-    asks = pairs.select("page_id", "day", *[F.lit(0).cast("bigint").alias(c) for c in count], F.lit(0).alias("burst"), F.lit(None).cast("bigint").alias("byte_size_eod"), F.lit(True).alias("ask"))
+    flag, none = F.col("is_burst").cast("int"), F.lit(0).cast("bigint")
+    lacking = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in carried]
+    nothing = [*[none.alias(c) for c in count], F.lit(0).alias("burst"), F.lit(None).cast("bigint").alias("byte_size_eod")]
+    acts = daily.select("page_id", "day", *count, flag.alias("burst"), "byte_size_eod", none.alias("step"), F.lit("day").alias("kind"), *lacking)
+    pairs = asked.select("page_id", F.col("date").alias("day"), *carried).dropna(subset=["page_id", "day"])
+    asks = (pairs if carried else pairs.distinct()).select("page_id", "day", *nothing, none.alias("step"), F.lit("ask").alias("kind"), *carried)
+    steps = editor_steps(labels).select("page_id", "day", *nothing, "step", F.lit("step").alias("kind"), *lacking)
     page = W.partitionBy("page_id")
-    frame = lambda a, b: page.orderBy(d).rangeBetween(a, b)
-    over = lambda c, a, b=-1: F.coalesce(F.sum(c).over(frame(a, b)), F.lit(0)).cast("bigint")
-    last_edit = F.max(F.when(F.col("edits") > 0, d)).over(frame(W.unboundedPreceding, -1))
-    first = F.min(F.when(~F.col("ask"), F.col("day"))).over(page)
-    seen = acts.unionByName(asks).withColumn("first_day", first)
+    until = lambda c, b: F.coalesce(F.sum(c).over(page.orderBy(d).rangeBetween(W.unboundedPreceding, b)), F.lit(0)).cast("bigint")
+    over = lambda c, a, b=-1: until(c, b) - until(c, a - 1)
+    past = page.orderBy(d).rangeBetween(W.unboundedPreceding, -1)
+    last_edit = F.max(F.when(F.col("edits") > 0, d)).over(past)
+    first = F.min(F.when(F.col("kind") == "day", F.col("day"))).over(page)
+    seen = acts.unionByName(asks).unionByName(steps).withColumn("first_day", first)
     days = F.greatest(F.least(F.lit(BASELINE_DAYS), F.datediff("day", "first_day") - 1), F.lit(0)).cast("double")
-    squares = F.coalesce(F.sum(F.col("edits") * F.col("edits")).over(frame(-91, -2)), F.lit(0)).cast("double")
-    out = seen.select(
-        "page_id", F.col("day").alias("date"), "ask", F.datediff("day", "first_day").cast("bigint").alias("page_age_days"),
-        F.last("byte_size_eod", ignorenulls=True).over(frame(W.unboundedPreceding, -1)).alias("page_bytes"),
+    squares = over(F.col("edits") * F.col("edits"), -91, -2).cast("double")
+    return seen.select(
+        "page_id", F.col("day").alias("date"), "kind", F.datediff("day", "first_day").cast("bigint").alias("page_age_days"),
+        F.last("byte_size_eod", ignorenulls=True).over(past).alias("page_bytes"),
         (d - last_edit).cast("bigint").alias("days_since_last_edit"),
         *[over("edits", -k).alias(f"edits_{k}d") for k in (1, 7, 30, 365)],
         over("editors", -1).alias("editors_1d"), over("reverted_edits", -7).alias("reverted_edits_7d"), over("reverts", -7).alias("reverts_7d"), over("bot_edits", -30).alias("bot_edits_30d"),
@@ -119,8 +124,8 @@ def features(daily: DataFrame, labels: DataFrame, asked: DataFrame, created: Dat
         (over("burst", -1) > 0).alias("is_burst_1d"), over("burst", -30).alias("burst_days_30d"),
         over("edits", -7, -7).alias("edits_lag7"), over("edits", -14, -14).alias("edits_lag14"), over("editors", -7, -7).alias("editors_lag7"),
         (over("burst", -7, -7) > 0).alias("is_burst_lag7"), (over("burst", -14, -14) > 0).alias("is_burst_lag14"),
-    ).filter("ask").drop("ask")
-    return out.join(editors_in_week(labels, pairs), ["page_id", "date"], "left").withColumn("editors_7d", F.coalesce("editors_7d", F.lit(0).cast("bigint")))
+        *carried, until("step", 0).alias("editors_7d"),
+    ).filter("kind = 'ask'").drop("kind")
 
 
 def editors_in_week(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -130,6 +135,20 @@ def editors_in_week(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return week.join(users, ["page_id", "day"]).groupBy("page_id", "date").agg(F.count_distinct("user_text").alias("editors_7d"))
 
 
+def editor_steps(labels: DataFrame) -> DataFrame:
+    """Changes of the number of distinct editors of the seven days before a day: page_id, day, step.
+
+    An editor is counted from the day after an edit to the seventh; edits that follow within seven days lengthen the time.
+    """
+    own = with_channel(labels).filter((F.col("channel") == "edits") & (F.col("user_text") != "") & F.col("day").isNotNull()).select("page_id", "user_text", F.unix_date("day").alias("d"))
+    editor = W.partitionBy("page_id", "user_text").orderBy("d")
+    near = own.select("page_id", "d", F.lag("d").over(editor).alias("before"), F.lead("d").over(editor).alias("after"))
+    starts = F.when(F.col("before").isNull() | (F.col("d") - F.col("before") > 7), F.struct((F.col("d") + 1).alias("d"), F.lit(1).alias("step")))
+    ends = F.when(F.col("after").isNull() | (F.col("after") - F.col("d") > 7), F.struct((F.col("d") + 8).alias("d"), F.lit(-1).alias("step")))
+    each = near.select("page_id", F.explode(F.array_compact(F.array(starts, ends))).alias("s"))
+    return each.groupBy("page_id", F.date_from_unix_date("s.d").alias("day")).agg(F.sum("s.step").alias("step"))
+
+
 def with_context(rows: DataFrame, totals: DataFrame) -> DataFrame:
     """Adds day_of_week (Monday 0) and the site's edits of the day before; one row a day is joined."""
     before = totals.select(F.date_add("day", 1).alias("date"), F.col("edits").alias("site_edits_1d"))

@@ -52,6 +52,34 @@ def day_metrics(scored: DataFrame, precision_at: tuple = PRECISION_AT, recall_at
     return ranked(scored, seed).groupBy("date").agg(*out)
 
 
+def ranking_metrics(rows: DataFrame, rankings: dict[str, list[str]], precision_at: tuple = PRECISION_AT, recall_at: tuple = RECALL_AT, seed: int = 0) -> DataFrame:
+    """``day_metrics`` of several rankings of the same ``rows`` (date, page_id, y and the keys), each by its keys, largest first, nulls last.
+
+    All rankings are range-partitioned and sorted in one pass. The measures follow from the places of the positives alone, so that
+    of each part of a ranking and date only its number of rows and those places are passed on.
+    """
+    width = max(map(len, rankings.values()))
+    keys = [f"k{i}" for i in range(width)]
+    padded = lambda own: [*(F.col(k).cast("double") for k in own), *[F.lit(0.0)] * (width - len(own))]
+    each = F.array(*[F.struct(F.lit(i).alias("r"), *[c.alias(k) for k, c in zip(keys, padded(own))]) for i, own in enumerate(rankings.values())])
+    long = rows.select("date", "page_id", "y", F.explode(each).alias("b")).select("b.*", "date", "page_id", "y")
+    groups, by_score = ["r", "date"], [F.desc_nulls_last(k) for k in keys]
+    parts = long.repartitionByRange(*groups, *by_score, hash_share(F.col("page_id") + F.lit(seed)), "page_id").withColumn("hash", hash_share(F.col("page_id") + F.lit(seed)))
+    placed = parts.sortWithinPartitions(*groups, *by_score, "hash", "page_id").select(*groups, "y", F.monotonically_increasing_id().alias("at"))  # the task's number << 33, and the row's
+    own = placed.groupBy(*groups, F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"), F.sort_array(F.collect_list(F.when(F.col("y"), F.col("at")))).alias("hits"))
+    before = W.partitionBy(*groups).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    shifted = own.select(*groups, F.size("hits").alias("h"), "hits", (earlier(F.col("n")) - F.col("start") + 1).alias("shift"), earlier(F.size("hits")).alias("found"))
+    ranks = shifted.select(*groups, "h", "found", F.transform("hits", lambda x: x + F.col("shift")).alias("ranks"))
+    within = lambda k: F.sum(F.size(F.filter("ranks", lambda x: x <= k)))
+    shares = F.aggregate(F.transform("ranks", lambda x, i: (F.col("found") + i + 1) / x), F.lit(0.0), lambda a, x: a + x)
+    positives, index = F.sum("h"), F.array(*map(F.lit, rankings))
+    out = [F.round(within(k) / F.lit(k), 6).alias(f"precision_{k}") for k in precision_at]
+    out += [F.round(F.when(positives > 0, within(k) / positives), 6).alias(f"recall_{k}") for k in recall_at]
+    out.append(F.round(F.when(positives > 0, F.sum(shares) / positives), 6).alias("average_precision"))
+    return ranks.groupBy(*groups).agg(*out).select(F.element_at(index, F.col("r") + 1).alias("ranking"), "*").drop("r")
+
+
 def macro_average(metrics: DataFrame) -> DataFrame:
     return metrics.agg(*[F.round(F.avg(c), 6).alias(c) for c in metrics.columns if c != "date"])
 

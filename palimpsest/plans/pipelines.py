@@ -103,14 +103,15 @@ def l5_model(spark, d):
     own = Q.kept_labels(spark, d)
     daily = write_shared(A.with_bursts(A.daily_activity(own, Q.MASS)), "daily")
     panel = P.panel(daily, date(2026, 8, 15), 0.02, date(2026, 8, 15)).filter("date < '2026-08-01'")
-    early = write_shared(A.features(daily, own, panel).join(panel.select("page_id", "date", "y", "sample_weight"), ["page_id", "date"]).withColumn("late", F.col("date") >= "2026-07-22"), "panel")
-    asked = write_shared(P.evaluation_panel(daily, [DAY + timedelta(days=i) for i in range(15)]), "asked")
-    rows = write_shared(A.features(daily, own, asked).join(asked, ["page_id", "date"]), "evaluation")
-    scored = M.score(M.fit(early, "late", rounds=10, weight="sample_weight"), rows).select("date", "page_id", F.lit("model").alias("ranking"), "score", "y")
-    others = R.baseline_scores(rows).join(asked, ["page_id", "date"]).select("date", "page_id", F.col("baseline").alias("ranking"), F.col("score").cast("double").alias("score"), "y")
-    both = write_shared(scored.unionByName(others), "scored")
-    parts = [R.day_metrics(both.filter(F.col("ranking") == n).drop("ranking"), (10, 100), (100,)).select(F.lit(n).alias("ranking"), "*") for n in ("model", *R.BASELINES)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    asked = P.evaluation_panel(daily, [DAY + timedelta(days=i) for i in range(15)])
+    both = panel.select("page_id", "date", "y", "sample_weight", F.lit(True).alias("fitted")).unionByName(asked.withColumns({"sample_weight": F.lit(None).cast("double"), "fitted": F.lit(False)}))
+    known = write_shared(A.features(daily, own, both, carried=("y", "sample_weight", "fitted")), "known", "fitted")
+    early = known.filter("fitted").withColumn("late", F.col("date") >= "2026-07-22")
+    rows = known.filter("NOT fitted").withColumn("recency", -F.col("days_since_last_edit"))
+    rankings = {"model": ["score"], **R.BASELINES}
+    needed = dict.fromkeys(k for keys in rankings.values() for k in keys)
+    scored = write_shared(M.score(M.fit(early, "late", rounds=10, weight="sample_weight"), rows).select("date", "page_id", "y", *needed), "scored")
+    return R.ranking_metrics(scored, rankings, (10, 100), (100,))
 
 
 def l10_daily_score(spark, d):

@@ -2,6 +2,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import activity as A
 from palimpsest.operators import links as L
@@ -157,3 +158,44 @@ def test_splits_and_samples(spark):
     ids = spark.range(20000)
     got = {x.id for x in ids.filter(P.sampled(ids.id, 0.2)).collect()}
     assert got == {i for i in range(20000) if i * 2654435761 % 2**32 < int(0.2 * 2**32)}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_features_of_every_day_against_brute_force(spark, seed):
+    lab = label_reverts(spark.createDataFrame(history(spark, seed), LOG)).localCheckpoint()
+    daily = A.with_bursts(A.daily_activity(lab)).localCheckpoint()
+    days = [date(2025, 12, 31) + timedelta(days=i) for i in range(200)]
+    asked = spark.createDataFrame([(p, d, i) for p in (1, 2) for i, d in enumerate(days)], "page_id bigint, date date, n int")
+    got = {(x.page_id, x.date): x for x in A.features(daily, lab, asked, carried=("n",)).collect()}
+    edits = [(x.day, x.user_text) for x in A.with_channel(lab).filter("channel = 'edits'").collect()]
+    acts = {x.day: x for x in daily.collect()}
+    week = {(x.page_id, x.date): x.editors_7d for x in A.editors_in_week(lab, asked.select("page_id", F.col("date").alias("day"))).collect()}
+    assert len(got) == 400 and len(week) > 50
+    for (p, d), x in got.items():
+        ago = lambda a, b, c: sum(int(getattr(acts[d - timedelta(days=k)], c)) for k in range(a, b + 1) if p == 1 and d - timedelta(days=k) in acts)  # noqa: B023, E731
+        assert x.n == days.index(d) and x.editors_7d == week.get((p, d), 0) == len({u for day, u in edits if u and p == 1 and 1 <= (d - day).days <= 7})
+        assert [x.edits_1d, x.edits_7d, x.edits_30d, x.edits_365d, x.edits_lag7, x.edits_lag14] == [ago(a, b, "edits") for a, b in ((1, 1), (1, 7), (1, 30), (1, 365), (7, 7), (14, 14))]
+        assert [x.editors_1d, x.editors_lag7, x.reverts_7d, x.reverted_edits_7d, x.bot_edits_30d, x.burst_days_30d] == [ago(1, 1, "editors"), ago(7, 7, "editors"), ago(1, 7, "reverts"), ago(1, 7, "reverted_edits"), ago(1, 30, "bot_edits"), ago(1, 30, "is_burst")]
+
+
+def test_no_asked_day_is_spelled_out_and_broadcast(spark, tmp_path):
+    """Asked pages in a small file made a broadcast of seven rows each in the driver: 203 MB at 0.02 GB in l5_model."""
+    lab = label_reverts(spark.createDataFrame(history(spark, 0), LOG)).localCheckpoint()
+    daily = A.with_bursts(A.daily_activity(lab)).localCheckpoint()
+    spark.range(100_000).selectExpr("id AS page_id", "DATE'2026-05-01' AS date").write.parquet(path := str(tmp_path / "asked"))
+    out = A.features(daily, lab, spark.read.parquet(path))
+    assert out.count() == 100_000
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "explode(sequence" not in text and "Join" not in text
+
+
+def test_rankings_in_one_pass_equal_each_alone(spark):
+    r = random.Random(5)
+    rows = [(date(2026, 5, 1 + i % 3), i * 7 + 2**33 * (i % 2), i % 3 < 2 and r.random() < 0.2, r.choice([None, 0, 0, 1, 2, 9]), r.choice([None, 0.5, -1.0, 3.0])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "date date, page_id bigint, y boolean, a bigint, b double").repartition(5)
+    got = {(x.ranking, x.date): tuple(x)[2:] for x in R.ranking_metrics(df, {"one": ["b"], "two": ["a", "b"], "none": []}, (10, 2000), (100,)).collect()}
+    place = {k: i for i, k in enumerate(sorted({(x[3] is not None, x[3] or 0, x[4] is not None, x[4] or 0) for x in rows}))}
+    score = spark.createDataFrame([(x[1], float(place[x[3] is not None, x[3] or 0, x[4] is not None, x[4] or 0])) for x in rows], "page_id bigint, two double")
+    alone = df.join(score, "page_id").withColumns({"one": F.col("b"), "none": F.lit(1.0)})
+    want = {(n, x.date): tuple(x)[1:] for n in ("one", "two", "none") for x in R.day_metrics(alone.select("date", "page_id", F.col(n).alias("score"), "y"), (10, 2000), (100,)).collect()}
+    assert got == want and len(got) == 9 and got["two", date(2026, 5, 3)] == (0.0, 0.0, None, None)
